@@ -111,7 +111,8 @@ def event_label(label: Column, word: str) -> Column:
 def domain_tags(heading_path: Column, content: Column) -> Column:
     """Sorted tags whose pattern is in a heading or the first 500 characters."""
     where = F.concat(F.coalesce(heading_path, F.array().cast("array<string>")), F.array(F.substring(F.coalesce(content, F.lit("")), 1, 500)))
-    tags = [F.when(F.exists(where, lambda t, p=p: t.rlike(f"(?i){p}")), F.lit(tag)) for tag, p in DOMAIN_TAGS.items()]
+    found = lambda p: F.exists(where, lambda t: t.rlike(f"(?i){p}"))
+    tags = [F.when(found(p), F.lit(tag)) for tag, p in DOMAIN_TAGS.items()]
     return F.array_sort(F.filter(F.array(*tags), lambda t: t.isNotNull()))
 
 
@@ -119,14 +120,16 @@ def topics(text: Column) -> Column:
     """Sorted business topics: a suffix with up to eight CJK characters before it, back to a delimiter."""
     bounds = "".join(rf"\{c}" if not c.isalnum() and ord(c) < 128 and not c.isspace() else c for c in TOPIC_DELIMITERS)
     cjk = rf"[\x{{3400}}-\x{{4dbf}}\x{{4e00}}-\x{{9fff}}\x{{f900}}-\x{{faff}}&&[^{bounds}]]"
-    found = []
-    for suffix in TOPIC_SUFFIXES:
+
+    def of(suffix: str) -> Column:
         # each occurrence looks back on its own, so occurrences may share characters
         ends = F.regexp_extract_all(text, F.lit(f"(?=({suffix}))"), F.lit(1))
         pieces = F.split(text, suffix)
-        upto = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ends), F.lit(1))), lambda k, pieces=pieces, suffix=suffix: F.array_join(F.slice(pieces, 1, k), suffix))
-        found.append(F.when(F.size(ends) > 0, F.transform(upto, lambda t, suffix=suffix: F.concat(F.regexp_extract(t, f"({cjk}{{0,8}})$", 1), F.lit(suffix)))).otherwise(F.array().cast("array<string>")))
-    return F.array_sort(F.array_distinct(F.concat(*found)))
+        upto = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ends), F.lit(1))), lambda k: F.array_join(F.slice(pieces, 1, k), suffix))
+        topic = F.transform(upto, lambda t: F.concat(F.regexp_extract(t, f"({cjk}{{0,8}})$", 1), F.lit(suffix)))
+        return F.when(F.size(ends) > 0, topic).otherwise(F.array().cast("array<string>"))
+
+    return F.array_sort(F.array_distinct(F.concat(*map(of, TOPIC_SUFFIXES))))
 
 
 def split_values(text: Column) -> Column:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from procloom import workers
 from procloom.functions import columns as C
 from procloom.operators.splitting import MAX_BLOCKS, MAX_CHARS, fragments, greedy_join
 
@@ -44,6 +45,7 @@ def greedy(units: DataFrame, max_blocks: int = MAX_BLOCKS, max_chars: int = MAX_
     """grp, ord, batch_no (from 0 in each group) of units (grp string, ord long, unique in its group; blocks long from 1 on; chars long).
 
     A unit over a limit stands alone. A negative ord is allowed; null groups are one group."""
+    workers.ship(units.sparkSession)
     cut = units.select("grp", "ord", "blocks", "chars", F.floor(F.col("ord") / F.lit(segment)).alias("seg"))
 
     def arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

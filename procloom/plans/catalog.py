@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from procloom.plans import text_queries
+from procloom.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+_MODULES = (text_queries,)
+QUERIES: dict[str, Query] = {name: f for m in _MODULES for name, f in m.R.queries.items()}
+SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.R.sql.items()}
 FLAGSHIP = "greedy_batches_by_source"
