@@ -303,4 +303,4 @@ BPMN = Fixture(
 
 SVG = Fixture("doc string, text string", [("s1", '<svg xmlns="http://www.w3.org/2000/svg"><g><g><rect id="r" x="1" y="2" width="3" height="4"/><text x="5" y="6">Hi <tspan>there</tspan></text></g></g><rect width="0" height="4"/><circle cx="7" cy="8" r="1"/></svg>')])
 
-ARCHITECTURE_MD = Fixture("doc string, text string", [("a1", "## L4 processes\n### CM-1\n| ID | Name | Roles |\n|---|---|---|\n| CM-1.1 | Order | Clerk; Boss；Chief+Aide |\n| CM-1.2 | Pay | |\n## SOP\n| ID | Name | Parent |\n|---|---|---|\n| S-1 | How | CM-1.1 |\n## Notes\n| ID | Name |\n|---|---|\n| no | no |")])
+ARCHITECTURE_MD = Fixture("doc string, text string", [("a1", "## L4 processes\n### CM-1\n| ID | Name | Roles |\n|---|---|---|\n| CM-1.1 | Order | Clerk, Boss；Chief+Aide |\n| CM-1.2 | Pay | |\n## SOP\n| ID | Name | Parent |\n|---|---|---|\n| S-1 | How | CM-1.1 |\n## Notes\n| ID | Name |\n|---|---|\n| no | no |")])
