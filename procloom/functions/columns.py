@@ -134,7 +134,7 @@ def topics(text: Column) -> Column:
 
 def split_values(text: Column) -> Column:
     """Values of a cell with several."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[,+；，]"), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[,+；，]"), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def looks_technical(name: Column) -> Column:

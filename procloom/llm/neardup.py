@@ -8,9 +8,10 @@ blocks, so that nothing is skipped and no task holds a whole node. A pair at the
 with probability 0.85 at least, and misses all trees with less than 0.16 ** trees.
 
 Candidates go through the sketch (bytes of 128 minwise values, whose estimate lies 4.5 standard deviations
-below the threshold or more) and are confirmed on full sets. This takes two rounds, so that groups of many
-similar copies don't bring out all their pairs: first each node offers only a spanning forest of its most
-similar pairs; then, with the components of the confirmed ones known, only pairs across components are left.
+below the threshold or more) and are confirmed on full sets. This takes three rounds, so that groups of many
+similar copies don't bring out all their pairs: first each node of the first tree offers only a spanning
+forest of its most similar pairs; then, with the components of the confirmed ones known, each node of any
+tree offers a forest across components; last, all pairs that are still across components are tried.
 
 Texts: null and empty ones, and those of white space, have no set and are linked with nothing. Fewer words
 than a shingle make one shingle. Rows that repeat a doc_id count as one document for links and each get a
@@ -106,31 +107,32 @@ def describe(docs: DataFrame, how: Paths) -> DataFrame:
 
 
 def nodes(classes: DataFrame, how: Paths) -> tuple[DataFrame, DataFrame]:
-    """(node, id) of the nodes to be compared: small ones, and those still large at the last level."""
+    """(tree, node, id) of the nodes to be compared: small ones, and those still large at the last level (with size)."""
     roots = F.transform(F.sequence(F.lit(0), F.lit(how.trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.get("tokens", t)).alias("node")))
     at = classes.select("id", "tokens", F.explode(roots).alias("r")).select("id", "tokens", "r.tree", "r.node")
     small = None
     for level in range(how.levels + 1):
         sizes = at.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         sized = shared.spill(at.join(sizes, "node"), "nodes")
-        done = sized.where(F.col("size") <= how.node_limit).select("node", "id")
+        done = sized.where(F.col("size") <= how.node_limit).select("tree", "node", "id")
         small = done if small is None else small.unionByName(done)
         large = sized.where(F.col("size") > how.node_limit)
         if level == how.levels or large.isEmpty():
-            return small, large.select("node", "id", "size")
-        chosen = F.transform(F.sequence(F.lit(0), F.lit(how.branches - 1)), lambda b, level=level: how.trees + F.col("tree") * (how.branches * how.levels) + level * how.branches + b)
+            return small, large.select("tree", "node", "id", "size")
+        base = how.trees + F.col("tree") * (how.branches * how.levels) + level * how.branches
+        chosen = F.sequence(base, base + (how.branches - 1))
         children = F.transform(chosen, lambda k: F.xxhash64("node", k, F.get("tokens", k)))
         at = large.select("id", "tokens", "tree", F.explode(children).alias("node"))
     raise AssertionError
 
 
 def blocked(large: DataFrame, how: Paths) -> DataFrame:
-    """(node, id, side) where a large node's classes are dealt into blocks and every pair of blocks is a node of its own."""
+    """(tree, node, id, side, own) where a large node's classes are dealt into blocks and every pair of blocks is a node of its own; own: a block with itself."""
     count = F.ceil(F.col("size") / F.lit(how.block))
     own = large.withColumn("count", count).withColumn("b", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("count")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1))
-    pairs = own.select("node", "id", "b", other.alias("o"))
-    return pairs.select(F.xxhash64("node", F.least("b", "o"), F.greatest("b", "o")).alias("node"), "id", F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"))
+    pairs = own.select("tree", "node", "id", "b", other.alias("o"))
+    return pairs.select("tree", F.xxhash64("node", F.least("b", "o"), F.greatest("b", "o")).alias("node"), "id", F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), (F.col("b") == F.col("o")).alias("own"))
 
 
 def similar(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,7 +166,7 @@ def forest(x: np.ndarray, y: np.ndarray, same: np.ndarray, n: int) -> np.ndarray
 
 
 def candidates(members: DataFrame, how: Paths, spanning: bool) -> DataFrame:
-    """(a, b) with a < b: pairs of the classes in a node (node, side, id, n, sketch, comp) that the sketches let pass; a spanning forest of each node's, or all across components."""
+    """(a, b) with a < b: pairs across components of the classes in a node (node, side, id, n, sketch, comp) that the sketches let pass; all, or those that span the components of each node."""
     bar = how.percent / 100
     least = int((bar - 4.5 * (bar * (1 - bar) / SKETCH) ** 0.5) * SKETCH)
 
@@ -176,7 +178,8 @@ def candidates(members: DataFrame, how: Paths, spanning: bool) -> DataFrame:
         keep = (ids[x] != ids[y]) & (comps[x] != comps[y]) & (np.full(len(x), two) | (x < y))
         x, y, same = x[keep], y[keep], same[keep]
         if spanning:
-            keep = forest(x, y, same, len(ids))
+            code = np.unique(comps, return_inverse=True)[1]
+            keep = forest(code[x], code[y], same, len(ids))
             x, y = x[keep], y[keep]
         return np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
 
@@ -281,19 +284,21 @@ def near_groups(docs: DataFrame, how: Paths = Paths()) -> DataFrame:
     classes = every.withColumnRenamed("doc_id", "id")
 
     small, large = nodes(classes.select("id", "tokens").join(wanted, "id"), how)
-    placed = small.select("node", "id", F.lit(0).alias("side")).unionByName(blocked(large, how))
-    placed = shared.spill(placed.join(classes.select("id", "n", "sketch"), "id"), "placed")
-    first = candidates(placed.withColumn("comp", F.col("id")), how, spanning=True)
-    links = shared.spill(confirmed(docs, first, how), "links")
-    label = components(links)
-
-    labelled = placed.drop("sketch").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    labelled = shared.spill(labelled, "labelled")
-    mixed = labelled.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("node")
-    apart = labelled.join(mixed, "node").join(classes.select("id", "sketch"), "id")
-    more = shared.spill(confirmed(docs, candidates(apart, how, spanning=False), how), "links")
-    if not more.isEmpty():
-        label = components(links.unionByName(more))
+    placed = small.select("tree", "node", "id", F.lit(0).alias("side"), F.lit(True).alias("own")).unionByName(blocked(large, how))
+    placed = shared.spill(placed.select("node", "id", "side", (F.col("own") & (F.col("tree") == 0)).alias("first")).join(classes.select("id", "n"), "id"), "placed")
+    links, label = None, None
+    for spanning in (True, True, False):
+        if label is None:
+            members = placed.where("first").withColumn("comp", F.col("id"))
+        else:
+            labelled = shared.spill(placed.drop("first").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "labelled")
+            across = labelled.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("node")
+            members = labelled.join(across, "node")
+        members = members.select("node", "id", "side", "n", "comp").join(classes.select("id", "sketch"), "id")
+        new = shared.spill(confirmed(docs, candidates(members, how, spanning), how), "links")
+        if links is None or not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            label = components(links)
     out = member.join(label, "id", "left")
     comp = F.coalesce("comp", "id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("doc_id") == comp).alias("kept"))

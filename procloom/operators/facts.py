@@ -83,7 +83,7 @@ def activity_aggregates(facts: DataFrame) -> DataFrame:
         *[_ordered_distinct(F.col("label"), kind == k).alias(f) for k, f in SIBLING_FIELDS.items() if k != "COMPLETION_CRITERIA"],
         F.array_sort(F.collect_list(F.when(kind.isin("COMPLETION_CRITERIA", "CONFIRMATION_CONDITION"), F.struct("frag_idx", "pos", "kind", "label")))).alias("criteria"),
     )
-    parts = F.flatten(F.transform("criteria", lambda c: F.when(c["kind"] == "COMPLETION_CRITERIA", F.array(c["label"])).otherwise(F.filter(F.transform(F.split(c["label"], "[、,，]"), F.trim), lambda t: t != ""))))
+    parts = F.flatten(F.transform("criteria", lambda c: F.when(c["kind"] == "COMPLETION_CRITERIA", F.array(c["label"])).otherwise(F.filter(F.transform(F.split(c["label"], "[、,，]"), lambda v: F.trim(v)), lambda t: t != ""))))
     none = F.array().cast("array<string>")
     joined = activities.join(siblings, ["process", "subject_key"], "left")
     return joined.select(
