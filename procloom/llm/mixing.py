@@ -100,6 +100,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 def mixed(docs: DataFrame, **how: object) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with their columns. doc_id must tell rows apart."""
-    taken = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+    taken = mix(docs, **how).where("copies > 0").select("doc_id", "copies")
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))  # apart, whatever the columns are called
+    rows = rows.join(taken, F.col("id").eqNullSafe(F.col("doc_id")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
