@@ -11,8 +11,8 @@ One row comes out for each plain message, call and result; position orders a con
 index), as a sort key, so a conversation of any length stays spread over the cluster.
 
 Nulls: a null text is a message with null content; a null role or turn stays null; calls and results without an
-identifier are not linked (status no_id). Of calls that repeat an identifier in a conversation the first (by
-turn, then index) is the call and the others are duplicate_id; a result's repeats all link. Calls on a cycle,
+identifier or conversation are not linked (status no_id). Of calls that repeat an identifier in a conversation the first (by
+turn, index, and the row it came in) is the call and the others are duplicate_id; a result's repeats all link. Calls on a cycle,
 or behind one, or dependent on an identifier that is no call get status unresolved. Other columns are ignored;
 an empty table gives an empty result.
 """
@@ -73,13 +73,13 @@ def link(turns: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool]]]
     spark = turns.sparkSession
     spec = json.dumps({n: [{"param": p, "type": t, "required": r} for p, (t, r) in ps.items()] for n, ps in schemas.items()})
     tools = spark.range(1).select(F.explode(F.from_json(F.lit(spec), "map<string,array<struct<param:string,type:string,required:boolean>>>")).alias("name", "params"))
-    parsed = turns.select("conv_id", "turn", "role", "text", F.when(F.ltrim("text").startswith("{"), F.from_json("text", f"tool_calls array<{_CALL}>, tool_call_id string, content string")).alias("j"))
+    parsed = turns.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("row"), F.when(F.ltrim("text").startswith("{"), F.from_json("text", f"tool_calls array<{_CALL}>, tool_call_id string, content string")).alias("j"))
     parsed = shared.spill(parsed.select("*", F.coalesce(F.size("j.tool_calls") > 0, F.lit(False)).alias("calls"), F.col("j.tool_call_id").isNotNull().alias("result")), "turns")
 
-    calls = parsed.where("calls").select("conv_id", "turn", "role", F.posexplode("j.tool_calls").alias("index", "c")).select("conv_id", "turn", "role", "index", "c.*")
-    first = calls.where("id is not null").groupBy("conv_id", "id").agg(F.min(F.struct("turn", "index")).alias("first"))
+    calls = parsed.where("calls").select("conv_id", "turn", "role", "row", F.posexplode("j.tool_calls").alias("index", "c")).select("conv_id", "turn", "role", "row", "index", "c.*")
+    first = calls.where("id is not null").groupBy("conv_id", "id").agg(F.min(F.struct("turn", "index", "row")).alias("first"))
     calls = calls.join(first, ["conv_id", "id"], "left").join(F.broadcast(tools), "name", "left")  # as many rows as schemas
-    calls = calls.withColumn("own", F.col("id").isNotNull() & F.struct("turn", "index").eqNullSafe(F.col("first")))
+    calls = calls.withColumn("own", F.col("id").isNotNull() & F.struct("turn", "index", "row").eqNullSafe(F.col("first")))
     calls = calls.withColumn("v", F.expr("try_parse_json(arguments)"))
     calls = calls.withColumn("object", F.expr("coalesce(schema_of_variant(v) LIKE 'OBJECT%', false)"))
     calls = calls.withColumn("keys", F.when(F.col("object"), F.coalesce(F.json_object_keys("arguments"), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
@@ -88,7 +88,7 @@ def link(turns: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool]]]
     extra = F.exists("keys", lambda k: ~F.exists("params", lambda p: p["param"] == k))
     wrong = F.exists("params", lambda p: F.coalesce((F.element_at("kinds", p["param"]) != p["type"]) & ~((p["type"] == "number") & (F.element_at("kinds", p["param"]) == "integer")), F.lit(False)))
     status = (
-        F.when(F.col("id").isNull(), "no_id").when(~F.col("own"), "duplicate_id").when(F.col("params").isNull(), "unknown_tool").when(~F.col("object"), "bad_arguments")
+        F.when(F.col("id").isNull() | F.col("conv_id").isNull(), "no_id").when(~F.col("own"), "duplicate_id").when(F.col("params").isNull(), "unknown_tool").when(~F.col("object"), "bad_arguments")
         .when(lacks, "missing_parameter").when(extra, "unknown_parameter").when(wrong, "wrong_type").otherwise("valid")
     )
     calls = shared.spill(calls.select("conv_id", "turn", "role", "index", F.col("id").alias("call_id"), "name", "arguments", "depends_on", "own", status.alias("status")), "checked")
