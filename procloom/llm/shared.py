@@ -43,6 +43,13 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sample(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """At most n rows of df by a seeded hash of doc_id. Rows are thinned by their hash where they are read, so about 2 n rows meet for the choice however many df has."""
+    order = F.xxhash64(F.lit(seed), "doc_id")
+    share = min(1.0, 2 * n / max(df.count(), 1))
+    return df.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(order, "doc_id").limit(n)
+
+
 def ship(spark: SparkSession) -> None:
     """Let local Python workers find this package when the driver was started elsewhere; a cluster gets it by --py-files."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

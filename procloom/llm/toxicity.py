@@ -76,7 +76,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(text, np.searchsorted(self.term, term), len(offsets) - 1), -30, 30)))
 
 
-def train(text: np.ndarray, term: np.ndarray, label: np.ndarray, max_terms: int, rank: int = 6, epochs: int = 25, rate: float = 0.1, decay: float = 1e-3, seed: int = 3) -> Machine:
+def train(text: np.ndarray, term: np.ndarray, label: np.ndarray, max_terms: int, rank: int = 6, epochs: int = 40, rate: float = 0.2, decay: float = 1e-4, seed: int = 3) -> Machine:
     """Fit to labelled texts given as pairs of text number and term, ordered by text."""
     n, positives = len(label), int(label.sum())
     if not 0 < positives < n:
@@ -104,7 +104,7 @@ def train(text: np.ndarray, term: np.ndarray, label: np.ndarray, max_terms: int,
             v = m.factors[a]
             sums = np.zeros((len(batch), rank))
             np.add.at(sums, which, v)
-            grad_w = np.bincount(a, slope[which], len(known))
+            grad_w = np.bincount(a, slope[which], len(known)).astype(float)
             grad_v = np.zeros_like(m.factors)
             np.add.at(grad_v, a, slope[which][:, None] * (sums[which] - v))
             hit = np.unique(a)
@@ -121,8 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     """A machine from the rows of docs that labels (doc_id, label 0 or 1) covers; at most max_rows of each label, chosen by hash."""
     shared.ship(docs.sparkSession)
     usable = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    chosen = usable.where("y = 1").orderBy(order, "doc_id").limit(max_rows).unionByName(usable.where("y = 0").orderBy(order, "doc_id").limit(max_rows))
+    chosen = shared.sample(usable.where("y = 1"), max_rows, seed).unionByName(shared.sample(usable.where("y = 0"), max_rows, seed))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * max_rows rows of 12 bytes at most
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
