@@ -42,15 +42,15 @@ def dedup_facts(facts: DataFrame) -> DataFrame:
     Kinds of one instance are keyed by their subject, others by their label, too. The process key is the machine key, so spellings of one code meet."""
     single = F.col("kind").isin(*SINGLE_KINDS) & F.col("subject_key").isNotNull()
     keyed = facts.withColumn("process", C.machine_key(F.col("process_key"))).withColumn("single", single).withColumn("label_key", F.when(single, F.lit(None)).otherwise(F.col("label")))
-    clean = F.trim(F.coalesce("label", F.lit("")))
-    one = F.struct("batch_id", "fact_id", F.col("label").alias("label"), clean.alias("clean"))
-    # a group holds the instances of one fact; label and fact_id are small
-    groups = keyed.groupBy("kind", "process", "subject_key", "single", "label_key").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("evidence_refs", F.array().cast("array<string>")))))).alias("evidence_refs"),
-        F.array_sort(F.collect_list(one)).alias("many"),
-        F.count("*").alias("n_merged"),
+    key = ["kind", "process", "subject_key", "single", "label_key"]
+    # first by label, so that what meets for a fact grows with its labels and not with its instances
+    by_label = keyed.groupBy(*key, F.trim(F.coalesce("label", F.lit(""))).alias("clean")).agg(
+        F.min(F.struct("batch_id", "fact_id", "label")).alias("first"), F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set(F.coalesce("evidence_refs", F.array().cast("array<string>"))))).alias("refs")
     )
-    labels = F.array_distinct(F.filter(F.transform("many", lambda m: m["clean"]), lambda t: t != ""))
+    groups = by_label.groupBy(*key).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("evidence_refs"), F.array_sort(F.collect_list(F.struct("first.batch_id", "first.fact_id", "first.label", "clean"))).alias("many"), F.sum("n").alias("n_merged")
+    )
+    labels = F.filter(F.transform("many", lambda m: m["clean"]), lambda t: t != "")
     groups = groups.withColumn("best", representative_label(labels))
     holders = F.filter("many", lambda m: m["clean"] == F.col("best.label"))
     chosen = F.when(F.col("single") & (F.col("n_merged") > 1) & (F.size(holders) > 0), F.get(holders, F.lit(0))).otherwise(F.get("many", F.lit(0)))

@@ -59,7 +59,7 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.run_report(state.task_outcomes(attempts(spark, sf_dir)).withColumn("shard", F.col("task") % 10), ["shard"])
 
 
-_CACHE = """b AS (SELECT source || '/' || lang AS batch_id, list_sort(list(sha256(coalesce(text, '')))) AS hashes, min(doc_id) AS k FROM documents GROUP BY 1),
+_CACHE = """b AS (SELECT source || '/' || lang || '/' || doc_id // 500 AS batch_id, list_sort(list(sha256(coalesce(text, '')))) AS hashes, min(doc_id) AS k FROM documents GROUP BY 1),
     bb AS (SELECT batch_id, sha256(array_to_string(hashes, ',')) AS good, CASE WHEN k % 5 = 0 THEN 'bad' ELSE sha256(array_to_string(hashes, ',')) END AS batch_sha256, k FROM b),
     q AS (SELECT batch_id || ':' || t AS task_id, batch_id, CASE WHEN (k + t) % 2 = 0 THEN 'ACCEPTED' ELSE 'PENDING' END AS status, k, t FROM b CROSS JOIN range(3) AS r(t)),
     f AS (SELECT batch_id || ':' || t AS task_id, batch_id, CASE WHEN k % 7 = 0 THEN 'old' ELSE batch_sha256 END AS sha FROM bb CROSS JOIN range(2) AS r(t))"""
@@ -69,9 +69,9 @@ _CACHE = """b AS (SELECT source || '/' || lang AS batch_id, list_sort(list(sha25
     WITH {_CACHE}, j AS (SELECT q.task_id, q.batch_id, q.status, CASE WHEN bb.batch_sha256 <> bb.good THEN 'hash_mismatch' WHEN q.status = 'ACCEPTED' AND f.task_id IS NULL THEN 'fragment_missing' WHEN q.status = 'ACCEPTED' AND f.sha <> bb.batch_sha256 THEN 'fragment_hash_mismatch' END AS reason FROM q JOIN bb USING (batch_id) LEFT JOIN f ON f.task_id = q.task_id)
     SELECT task_id, batch_id, CASE WHEN reason IS NOT NULL THEN 'PENDING' WHEN status = 'ACCEPTED' THEN 'CACHED' ELSE status END AS status, reason FROM j""")
 def cache_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source and language is a batch of three tasks; some hashes and fragments are wrong or missing."""
+    """Each 500 ids of a source and language are a batch of three tasks; some hashes and fragments are wrong or missing."""
     docs = table(spark, sf_dir, "documents")
-    b = docs.groupBy(F.concat("source", F.lit("/"), "lang").alias("batch_id")).agg(F.array_sort(F.collect_list(F.sha2(F.coalesce("text", F.lit("")), 256))).alias("content_hashes"), F.min("doc_id").alias("k"))
+    b = docs.groupBy(F.concat_ws("/", "source", "lang", F.expr("doc_id div 500").cast("string")).alias("batch_id")).agg(F.array_sort(F.collect_list(F.sha2(F.coalesce("text", F.lit("")), 256))).alias("content_hashes"), F.min("doc_id").alias("k"))
     good = F.sha2(F.array_join("content_hashes", ","), 256)
     b = b.withColumn("batch_sha256", F.when(F.col("k") % 5 == 0, "bad").otherwise(good))
     each = lambda n: b.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("task_id", F.concat("batch_id", F.lit(":"), F.col("t").cast("string")))
@@ -80,11 +80,11 @@ def cache_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.cache_states(queue, b.select("batch_id", "batch_sha256", "content_hashes"), fragments)
 
 
-@R.add("""SELECT source, sha256('{"version":"1","inputs":' || '["' || array_to_string(list_sort(list(sha256(coalesce(text, '')))), '","') || '"],"focus":null}') AS cache_key FROM documents GROUP BY source""")
+@R.add("""SELECT source, doc_id // 500 AS run, sha256('{"version":"1","inputs":' || '["' || array_to_string(list_sort(list(sha256(coalesce(text, '')))), '","') || '"],"focus":null}') AS cache_key FROM documents GROUP BY 1, 2""")
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cache keys of §1.4: each source's inputs, in order of their hashes."""
-    docs = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.sha2(F.coalesce("text", F.lit("")), 256))).alias("inputs"))
-    return docs.select("source", state.cache_key(F.lit("1").alias("version"), F.col("inputs"), F.lit(None).cast("string").alias("focus")).alias("cache_key"))
+    """Cache keys of §1.4: each 500 ids of a source are the inputs of a run, in order of their hashes."""
+    docs = table(spark, sf_dir, "documents").groupBy("source", F.expr("doc_id div 500").alias("run")).agg(F.array_sort(F.collect_list(F.sha2(F.coalesce("text", F.lit("")), 256))).alias("inputs"))
+    return docs.select("source", "run", state.cache_key(F.lit("1").alias("version"), F.col("inputs"), F.lit(None).cast("string").alias("focus")).alias("cache_key"))
 
 
 @R.add(f"""
