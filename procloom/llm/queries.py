@@ -80,7 +80,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _BLANK = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 
+#: The words of each document, and with A-Z folded.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+def _windows(n: int) -> str:
+    """n-word windows of each text: which occurrence of a window it is, and how many there are."""
+    return f"""SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, h ORDER BY i) AS nth, count(*) OVER (PARTITION BY doc_id, h) AS many
+        FROM (SELECT doc_id, i, hash(array_to_string(ws[i:i + {n - 1}], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM w))"""
+
+
+def quality_sql(limits: quality.Limits = quality.Limits()) -> str:
+    shares = ", ".join(f"g{n} AS (SELECT doc_id, sum(length(word)) AS c FROM words JOIN (SELECT DISTINCT doc_id, i + unnest(range({n})) AS i FROM ({_windows(n)}) WHERE nth > 1) USING (doc_id, i) GROUP BY doc_id)" for n in limits.gram_shares)
+    joins = " ".join(f"LEFT JOIN g{n} USING (doc_id)" for n in limits.gram_shares)
+    verdict = " AND ".join(f"coalesce(g{n}.c, 0) <= {share}::DOUBLE * greatest(word_chars, 1)" for n, share in limits.gram_shares.items())
+    return rf"""
+        WITH w AS (SELECT doc_id, text, {_WORDS} AS ws FROM documents), words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+        base AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM w),
+        lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth FROM (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)) WHERE regexp_matches(line, '[^ 	-]')),
+        dup AS (SELECT doc_id, count(*) AS n_dup_lines, sum(list_sum(list_transform(regexp_extract_all(line, '[^ 	-]+'), lambda x: length(x)))) AS c FROM lines WHERE nth > 1 GROUP BY doc_id),
+        rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, i + unnest(range({limits.window})) AS i FROM ({_windows(limits.window)}) WHERE many > 1) GROUP BY doc_id), {shares},
+        told AS (SELECT b.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < {limits.min_words} OR 100 * coalesce(n_repeat_words, 0) > {limits.repeat_percent} * n_words AS base_failed,
+            coalesce(dup.c, 0) <= {limits.line_share}::DOUBLE * greatest(word_chars, 1) AND n_symbols <= {limits.symbol_share}::DOUBLE * greatest(word_chars, 1) AND {verdict} AS good
+            FROM base b LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) {joins})
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept FROM told"""
+
+
 SQL: dict[str, str] = {
+    "op3_near_duplicates": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_FOLDED} AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, hash(g) AS g FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reach)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reach) AS c FROM r GROUP BY doc_id) m USING (doc_id)""",
+    "op4_quality_rules": quality_sql(),
     "op5_tool_calls": """
         SELECT conv_id, turn, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, 'plain' AS status, CAST(0 AS BIGINT) AS n_results, turn AS at, CAST(0 AS INTEGER) AS level,
                CAST(to_json(struct_pack(content := text, role := role)) AS VARCHAR) AS body
