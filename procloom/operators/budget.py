@@ -69,8 +69,8 @@ def refinement_groups(chunks: DataFrame, max_chars: int = 14400) -> DataFrame:
 def rule_packet(wanted: DataFrame, sections: DataFrame, limit: int = 2000) -> DataFrame:
     """rule_id, found, tokens, status of the wanted rules by their sections (rule_id, content); the packet of all must keep to the limit."""
     told = wanted.join(sections, "rule_id", "left").select("rule_id", F.col("content").isNotNull().alias("found"), C.estimate_tokens(F.col("content")).alias("tokens"))
-    total = told.agg(F.sum("tokens").alias("packet_tokens"))
-    return told.crossJoin(F.broadcast(total)).withColumn("status", C.budget_status(F.col("packet_tokens").cast("double"), F.lit(float(limit))))
+    packet = told.agg(F.sum("tokens").alias("packet_tokens"), F.collect_list(F.struct(*told.columns)).alias("rules"))  # as many as rules are wanted
+    return packet.select("packet_tokens", F.inline("rules")).withColumn("status", C.budget_status(F.col("packet_tokens").cast("double"), F.lit(float(limit))))
 
 
 def stage_tasks(packets: DataFrame) -> DataFrame:

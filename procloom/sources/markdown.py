@@ -96,10 +96,11 @@ def json_list(value: Column) -> Column:
 
 
 def section(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc, rule_id, content of each wanted rule_id: from the first heading that names it to the next of its level or above."""
+    """doc, rule_id, content of each wanted rule_id: from the first heading that names it to the next of its level or above. An id is words joined by hyphens."""
     level = F.length(F.regexp_extract("line", HEADING, 1))
     heads = rows.withColumn("level", level).where("level > 0").select("doc", "line_no", "level", "line")
-    named = heads.join(F.broadcast(wanted), F.contains("line", "rule_id")).groupBy("doc", "rule_id").agg(F.min(F.struct("line_no", "level")).alias("h"))
+    ids = F.array_distinct(F.regexp_extract_all("line", F.lit(r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)+"), F.lit(0)))
+    named = heads.withColumn("rule_id", F.explode(ids)).join(wanted, "rule_id").groupBy("doc", "rule_id").agg(F.min(F.struct("line_no", "level")).alias("h"))
     named = named.select("doc", "rule_id", F.col("h.line_no").alias("start"), F.col("h.level").alias("own"))
     ends = named.join(heads.select("doc", F.col("line_no").alias("next"), "level"), "doc").where("next > start and level <= own").groupBy("doc", "rule_id").agg(F.min("next").alias("stop"))
     spans = named.join(ends, ["doc", "rule_id"], "left")

@@ -30,6 +30,7 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
         assert found == wanted
 
 
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
@@ -48,3 +49,16 @@ def test_entry_without_the_optional_subpackage(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
     assert int(done.stdout) == len(catalog.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_no_plan_joins_everything_with_everything(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_scans_read_only_the_columns_they_need(spark):
+    plan = catalog.QUERIES["dangling_refs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "o_totalprice" not in plan and "c_name" not in plan
+    plan = catalog.QUERIES["refinement_groups"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(lang)" in plan
