@@ -7,7 +7,8 @@ partial aggregates, so a line that a third of all documents share makes no large
 dropped lines go back to the documents, whose other lines are joined again in order.
 
 Texts: null and empty are one empty line. A document's own repeats of a key stay or go together. Rows that
-repeat a doc_id count as one document for the rule, and each row gets its own result. Other columns are
+repeat a doc_id count as one document for the rule, and each row gets its own result. A row without a doc_id
+keeps all its lines. Other columns are
 ignored. An empty table gives an empty result.
 """
 
@@ -18,8 +19,6 @@ from pyspark.sql import functions as F
 
 from procloom.llm import shared
 
-from procloom.llm import shared
-
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: the white space that keys lose at their ends.
 BLANK = "\t\n\x0b\x0c\r "
@@ -30,21 +29,21 @@ def line_key(line: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, pos, h1, h2) of every line with a key that counts; (h1, h2, keeper) of keys in two documents or more."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    keyed = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    hashed = keyed.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
+    """(doc_id, text_hash, pos, h1, h2) of every line with a key that counts; (h1, h2, keeper) of keys in two documents or more."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    keyed = lines.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    hashed = keyed.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
     hashed = shared.spill(hashed, "lines")
     held = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last")
-    return hashed, held.drop("last")
+    return hashed, shared.spill(held.drop("last"), "held")  # apart from the join, whose rows of a frequent line can then be split over tasks
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text of each row of docs."""
     hashed, held = repeated_lines(docs, min_chars)
     gone = hashed.join(held, ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
-    gone = gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))  # positions of one document's lines
-    rows = docs.select("doc_id", "text").join(gone, "doc_id", "left")
+    gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))  # positions of one text's lines
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(gone, ["doc_id", "text_hash"], "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     n = F.size(lines)
     left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone"))
