@@ -97,6 +97,7 @@ def exact_groups(docs: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
     seen = shared.spill(hashed.mapInArrow(marked, "doc_id long, text_sha256 string, again boolean"), "marked")
     again = seen.where("again").drop("again")
     groups = again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = shared.spill(groups, "groups")  # apart from the join, whose rows of a large group can then be split over tasks
     out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     alone = F.col("group_size").isNull()
     grouped = (
