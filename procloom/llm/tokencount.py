@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from procloom.llm import shared
 
 CHUNK = 512
-#: States after which a worker's table starts afresh, which bounds its memory.
-MOST_STATES = 250_000
+#: Cells (states times symbols) after which a worker's table starts afresh, which bounds its memory to about 400 MB.
+MOST_CELLS = 1 << 25
 _END = "\0"
 #: White space of Unicode, as a set of code points.
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -64,7 +64,6 @@ class Transducer:
         self.text = {i: t for t, i in self.token.items()}
         self.rank = {(plain(a), plain(b)): k for k, (a, b) in enumerate(spec["model"]["merges"])}
         self.begins = {t[:k] for t in self.token for k in range(1, len(t))}
-        self.fits: dict[tuple[int, int], bool] = {}
         self.symbols = byte_symbols()
         self.kinds = kinds()
         self.reset()
@@ -76,6 +75,7 @@ class Transducer:
         self.next, self.delta = np.full((1024, 64), -1, np.int32), np.zeros((1024, 64), np.int16)
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
+        self.fits: dict[tuple[int, int], bool] = {}
         self.state(("", (-1,), (0,)))
 
     def state(self, key: tuple) -> int:
@@ -155,7 +155,7 @@ class Transducer:
         n = len(stream)
         if not n:
             return np.zeros(0, np.int64)
-        if len(self.states) > MOST_STATES:
+        if len(self.states) * self.next.shape[1] > MOST_CELLS:
             self.reset()
         lanes = -(-n // chunk)
         columns = np.zeros(lanes * chunk, np.int64)
