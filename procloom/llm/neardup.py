@@ -1,14 +1,14 @@
 """Near-duplicate detection by a chosen-path similarity join (Christiani and Pagh; Christiani, Pagh and Sivertsen).
 
 Documents with one set of word shingles are one class. Each class has minwise tokens, and each of several
-independent trees branches the classes by selected tokens: its root puts classes together that share one
-token, and a node with more than node_limit classes branches again by two further tokens of theirs. Small
-nodes are compared exhaustively by sketches; nodes still large at the last level are dealt into pairs of
-blocks, so that nothing is skipped and no task holds a whole node. A pair at the threshold meets in one tree
-with probability 0.85 at least, and misses all trees with less than 0.16 ** trees.
-
-Candidates go through the sketch (bytes of 128 minwise values, whose estimate lies 4.5 standard deviations
-below the threshold or more) and are confirmed on full sets. This takes three rounds, so that groups of many
+independent trees branches the classes by selected tokens: its root puts classes together that share two
+tokens, and a node with more than node_limit classes branches again by two further tokens of theirs. Small
+nodes are compared exhaustively by sketches; nodes that stay large are dealt into pairs of blocks, so that
+nothing is skipped and no task holds a whole node. A pair at the threshold of 0.85 meets in one tree with
+probability 0.72 (0.69 where nodes branch), and misses all ten trees with less than one in 100,000.
+
+Candidates go through the sketch (bytes of minwise values: first 128, then all 512, whose estimate must not
+lie over 4.5 standard deviations below the threshold) and are confirmed on full sets. This takes three rounds, so that groups of many
 similar copies don't bring out all their pairs: first each node of the first tree offers only a spanning
 forest of its most similar pairs; then, with the components of the confirmed ones known, each node of any
 tree offers a forest across components; last, all pairs that are still across components are tried.
@@ -20,21 +20,24 @@ row. Only doc_id and text are read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procloom.llm import shared
 
-SKETCH = 128
+SKETCH, FIRST = 512, 128
 _U = np.uint64
-_random = np.random.default_rng(85)
-_TIMES = _random.integers(1, 2**63, SKETCH, dtype=np.uint64) | _U(1)
-_PLUS = _random.integers(1, 2**63, SKETCH, dtype=np.uint64)
+#: Odd multipliers, each of which permutes 32-bit hashes.
+_TIMES = np.random.default_rng(85).integers(1, 2**32, SKETCH, dtype=np.uint32) | np.uint32(1)
+#: Hashes that are turned at a time.
+CACHED = 1 << 15
+#: Links in a file of labels.
+LINKS_PER_FILE = 200_000
 
 
 @dataclass(frozen=True)
@@ -43,7 +46,7 @@ class Paths:
 
     shingle: int = 5
     percent: int = 85
-    trees: int = 8
+    trees: int = 10
     node_limit: int = 512
     branches: int = 2
     levels: int = 2
@@ -66,18 +69,25 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """SKETCH minwise 32-bit tokens of each set (one row a set); sets are not empty."""
-    every = np.concatenate(sets)
-    first = np.r_[0, np.cumsum([len(z) for z in sets])[:-1]]
-    out = np.zeros((len(sets), SKETCH), np.uint32)
-    with np.errstate(over="ignore"):
+    """SKETCH minwise 32-bit tokens of each set (one row a set); sets are not empty. A few sets at a time, so that they stay in a core's cache."""
+    sizes = np.array([len(z) for z in sets])
+    out, start = np.zeros((len(sets), SKETCH), np.uint32), 0
+    total = np.cumsum(sizes)
+    while start < len(sets):
+        done = int(total[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, done + CACHED, "right")))
+        every = (np.concatenate(sets[start:stop]) >> _U(32)).astype(np.uint32)
+        first = np.r_[0, np.cumsum(sizes[start : stop - 1])]
+        turned = np.empty_like(every)
         for k in range(SKETCH):
-            out[:, k] = np.minimum.reduceat(((every * _TIMES[k] + _PLUS[k]) >> _U(32)).astype(np.uint32), first)
+            np.multiply(every, _TIMES[k], out=turned)
+            out[start:stop, k] = np.minimum.reduceat(turned, first)
+        start = stop
     return out
 
 
 def tokens_needed(how: Paths) -> int:
-    return how.trees * (1 + how.branches * how.levels)
+    return how.trees * (2 + how.branches * how.levels)
 
 
 def describe(docs: DataFrame, how: Paths) -> DataFrame:
@@ -106,43 +116,107 @@ def describe(docs: DataFrame, how: Paths) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(read, "doc_id long, n long, h1 long, h2 long, tokens array<int>, sketch binary")
 
 
-def nodes(classes: DataFrame, how: Paths) -> tuple[DataFrame, DataFrame]:
-    """(tree, node, id) of the nodes to be compared: small ones, and those still large at the last level (with size)."""
-    roots = F.transform(F.sequence(F.lit(0), F.lit(how.trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.get("tokens", t)).alias("node")))
-    at = classes.select("id", "tokens", F.explode(roots).alias("r")).select("id", "tokens", "r.tree", "r.node")
-    small = None
-    for level in range(how.levels + 1):
-        sizes = at.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        sized = shared.spill(at.join(sizes, "node"), "nodes")
-        done = sized.where(F.col("size") <= how.node_limit).select("tree", "node", "id")
-        small = done if small is None else small.unionByName(done)
-        large = sized.where(F.col("size") > how.node_limit)
-        if level == how.levels or large.isEmpty():
-            return small, large.select("tree", "node", "id", "size")
-        base = how.trees + F.col("tree") * (how.branches * how.levels) + level * how.branches
-        chosen = F.sequence(base, base + (how.branches - 1))
-        children = F.transform(chosen, lambda k: F.xxhash64("node", k, F.get("tokens", k)))
-        at = large.select("id", "tokens", "tree", F.explode(children).alias("node"))
-    raise AssertionError
+def picker(keys: DataFrame, key: str, max_bits: int = 1 << 28) -> tuple[Column, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+    """A column p of rows with a key, and what keeps the rows of batches with p whose key is in keys, and a few others. A bitmap over hashed keys (of max_bits / 8
+    bytes at most) goes to every task, so that rows that no join will take don't shuffle."""
+    bits = min(max_bits, max(1 << 12, 1 << (64 * keys.count()).bit_length()))
+    spot = F.pmod(F.xxhash64(key), F.lit(bits))
+    words = keys.select(spot.alias("p")).groupBy(F.expr("p div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("mask")).toArrow()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("mask").to_numpy()
+    wanted = keys.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = wanted.value
+        for batch in batches:
+            p = batch.column("p").to_numpy()
+            yield batch.filter(pa.array((bitmap[p >> 6] >> (p & 63).astype(np.uint64)) & _U(1) > 0))
+
+    return spot.alias("p"), keep
+
+
+def among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is in keys, and a few others."""
+    spot, keep = picker(keys, key)
+    told = rows.select("*", spot)
+    return told.mapInArrow(keep, told.schema).drop("p")
 
 
-def blocked(large: DataFrame, how: Paths) -> DataFrame:
-    """(tree, node, id, side, own) where a large node's classes are dealt into blocks and every pair of blocks is a node of its own; own: a block with itself."""
-    count = F.ceil(F.col("size") / F.lit(how.block))
-    own = large.withColumn("count", count).withColumn("b", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("count")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1))
-    pairs = own.select("tree", "node", "id", "b", other.alias("o"))
-    return pairs.select("tree", F.xxhash64("node", F.least("b", "o"), F.greatest("b", "o")).alias("node"), "id", F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), (F.col("b") == F.col("o")).alias("own"))
+def sizes(at: DataFrame, how: Paths) -> DataFrame:
+    """The rows of at (node, comp, ...) in nodes that hold several components, with size. Of large nodes, top is the component with most members, and most their number."""
+    mixed = at.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("node", "size")
+    mixed = shared.spill(mixed, "mixed")  # apart from the join, so that a large node's rows can be split over tasks
+    sized = shared.spill(among(at, "node", mixed).join(mixed, "node"), "sized")
+    by = sized.where(F.col("size") > how.node_limit).groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "comp")).alias("m"))
+    by = shared.spill(by.select("node", F.col("m.comp").alias("top"), F.col("m.n").alias("most")), "tops")
+    large = sized.where(F.col("size") > how.node_limit).join(by, "node")
+    return shared.spill(sized.where(F.col("size") <= how.node_limit).unionByName(large, allowMissingColumns=True), "nodes")
 
 
-def similar(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (row of a, row of b, equal bytes) with at least least equal bytes in their sketches and sizes that allow the similarity."""
+def nodes(classes: DataFrame, tokens: DataFrame, trees: int, how: Paths, pairs: bool) -> DataFrame:
+    """node, id, side, comp, seen of the nodes of the first trees that are to be compared, for classes (id, comp, lead: the tokens of the roots) and their
+    tokens (id, tokens). Nodes within one component are left out.
+
+    A large node branches. One that a single component holds for the most part is not split by branching, as its members are near copies of each other;
+    it is dealt into blocks, like those still large at the last level. seen has, by tree, the roots of earlier trees that were compared whole:
+    two classes that share one have met before."""
+    roots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.get("lead", 2 * t), F.get("lead", 2 * t + 1)).alias("node")))
+    at = classes.select("id", "comp", F.explode(roots).alias("r")).select("id", "comp", "r.tree", "r.node")
+    found = seen = None
+    for level in range(how.levels + 1):
+        sized = sizes(at, how)
+        is_small = F.col("size") <= how.node_limit
+        held = F.lit(level == how.levels) | (2 * F.col("most") > F.col("size"))
+        if seen is None:
+            seen = sized.where(is_small | held).groupBy("id").agg(F.array(*[F.max(F.when(F.col("tree") == t, F.col("node"))) for t in range(trees)]).alias("seen"))
+        done = sized.where(is_small).select("tree", "node", "id", F.lit(0).alias("side"), "comp").unionByName(blocked(sized.where(~is_small & held), how, pairs))
+        found = done if found is None else found.unionByName(done)
+        large = sized.where(~is_small & ~held)
+        if level == how.levels or large.isEmpty():
+            break
+        base = 2 * how.trees + F.col("tree") * (how.branches * how.levels) + level * how.branches
+        children = F.transform(F.sequence(base, base + (how.branches - 1)), lambda k: F.xxhash64("node", k, F.get("tokens", k)))
+        branching = large.select("id", "comp", "tree", "node").join(among(tokens.select("id", "tokens"), "id", large), "id")
+        at = shared.spill(branching.select("id", "comp", "tree", F.explode(children).alias("node")), "at")
+    earlier = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.when(t < F.col("tree"), F.coalesce(F.get("seen", t), F.lit(0))).otherwise(F.lit(0)).cast("long"))
+    return found.join(seen, "id", "left").select("node", "id", "side", "comp", earlier.alias("seen"))
+
+
+def blocked(large: DataFrame, how: Paths, pairs: bool) -> DataFrame:
+    """(tree, node, id, side, comp) where a large node's classes are dealt into blocks, each a node of its own. With pairs, every pair of blocks is one too,
+    but for those of the component with most members: these meet all others and not each other."""
+    blocks = lambda n: F.greatest(F.ceil(n / F.lit(how.block)), F.lit(1)).cast("long")
+    deal = lambda n: F.pmod(F.xxhash64("node", "id"), n)
+    if not pairs:
+        return large.select("tree", F.xxhash64("node", deal(blocks(F.col("size")))).alias("node"), "id", F.lit(0).alias("side"), "comp")
+    told = large.withColumn("major", F.col("comp") == F.col("top")).withColumns({"many": blocks(F.col("most")), "few": blocks(F.col("size") - F.col("most"))})
+    told = told.withColumn("b", F.when(F.col("major"), deal(F.col("many"))).otherwise(deal(F.col("few"))))
+    each = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    part = lambda kind, x, y, side: F.struct(F.xxhash64("node", F.lit(kind), x, y).alias("node"), side.alias("side"))
+    zero, one = F.lit(0), F.lit(1)
+    minor = F.concat(F.transform(each(F.col("few")), lambda o: part("few", F.least("b", o), F.greatest("b", o), F.when(F.col("b") <= o, zero).otherwise(one))), F.transform(each(F.col("many")), lambda o: part("many", F.col("b"), o, zero)))
+    major = F.transform(each(F.col("few")), lambda o: part("many", o, F.col("b"), one))
+    return told.select("tree", "id", "comp", F.explode(F.when(F.col("major"), major).otherwise(minor)).alias("p")).select("tree", "p.node", "id", "p.side", "comp")
+
+
+def least_equal(percent: int, n: int) -> int:
+    """Equal bytes of n that a pair at the threshold has, but for one in 300,000."""
+    bar = percent / 100
+    return int((bar - 4.5 * (bar * (1 - bar) / n) ** 0.5) * n)
+
+
+def similar(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row of a, row of b, equal bytes) whose sketches and sizes allow the similarity."""
     found = []
     for i in range(0, len(a), 64):
-        same = (a[i : i + 64, None, :] == b[None, :, :]).sum(2, dtype=np.int16)
-        fits = (same >= least) & (100 * np.minimum(na[i : i + 64, None], nb) >= percent * np.maximum(na[i : i + 64, None], nb))
+        same = (a[i : i + 64, None, :FIRST] == b[None, :, :FIRST]).sum(2, dtype=np.int16)
+        fits = (same >= least_equal(percent, FIRST)) & (100 * np.minimum(na[i : i + 64, None], nb) >= percent * np.maximum(na[i : i + 64, None], nb))
         x, y = np.nonzero(fits)
-        found.append((x + i, y, same[x, y]))
+        for k in range(0, len(x), 1 << 16):
+            u, v = x[k : k + (1 << 16)] + i, y[k : k + (1 << 16)]
+            whole = (a[u] == b[v]).sum(1, dtype=np.int16)
+            keep = whole >= least_equal(percent, SKETCH)
+            found.append((u[keep], v[keep], whole[keep]))
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
 
 
@@ -166,17 +240,17 @@ def forest(x: np.ndarray, y: np.ndarray, same: np.ndarray, n: int) -> np.ndarray
 
 
 def candidates(members: DataFrame, how: Paths, spanning: bool) -> DataFrame:
-    """(a, b) with a < b: pairs across components of the classes in a node (node, side, id, n, sketch, comp) that the sketches let pass; all, or those that span the components of each node."""
-    bar = how.percent / 100
-    least = int((bar - 4.5 * (bar * (1 - bar) / SKETCH) ** 0.5) * SKETCH)
+    """(a, b) with a < b: pairs across components of the classes in a node (node, side, id, n, sketch, comp, seen) that the sketches let pass; all, or those that span the components of each node."""
 
-    def compare(ids: np.ndarray, n: np.ndarray, sides: np.ndarray, comps: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(ids: np.ndarray, n: np.ndarray, sides: np.ndarray, comps: np.ndarray, sketch: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         two = sides.min() != sides.max()
         left, right = (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)) if two else (np.arange(len(ids)),) * 2
-        x, y, same = similar(sketch[left], sketch[right], n[left], n[right], least, how.percent)
+        x, y, same = similar(sketch[left], sketch[right], n[left], n[right], how.percent)
         x, y = left[x], right[y]
         keep = (ids[x] != ids[y]) & (comps[x] != comps[y]) & (np.full(len(x), two) | (x < y))
         x, y, same = x[keep], y[keep], same[keep]
+        fresh = ~((seen[x] == seen[y]) & (seen[x] != 0)).any(1)
+        x, y, same = x[fresh], y[fresh], same[fresh]
         if spanning:
             code = np.unique(comps, return_inverse=True)[1]
             keep = forest(code[x], code[y], same, len(ids))
@@ -187,7 +261,8 @@ def candidates(members: DataFrame, how: Paths, spanning: bool) -> DataFrame:
         def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            a, b = compare(*(t.column(c).to_numpy() for c in ("id", "n", "side", "comp")), sketch)
+            seen = t.column("seen").combine_chunks().flatten().to_numpy().reshape(len(sketch), -1)
+            a, b = compare(*(t.column(c).to_numpy() for c in ("id", "n", "side", "comp")), sketch, seen)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -208,37 +283,23 @@ def candidates(members: DataFrame, how: Paths, spanning: bool) -> DataFrame:
     return members.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long").distinct()
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, how: Paths, max_bits: int = 1 << 28) -> DataFrame:
-    """(id, set) of the rows of docs whose doc_id is in ids, and of few others. A bitmap over hashed ids (of max_bits / 8 bytes
-    at most) goes to every task, so no text shuffles; the joins that follow are exact."""
-    spark = docs.sparkSession
-    bits = min(max_bits, max(1 << 12, 1 << (16 * ids.count()).bit_length()))
-    spot = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = ids.select(spot.alias("p")).groupBy(F.expr("p div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("mask")).toArrow()
-    bitmap = np.zeros(bits // 64, np.int64)
-    bitmap[words.column("word").to_numpy()] = words.column("mask").to_numpy()
-    wanted = spark.sparkContext.broadcast(bitmap.view(np.uint64))
+def full_sets(docs: DataFrame, pairs: DataFrame, how: Paths) -> DataFrame:
+    """(id, set) of the rows of docs whose doc_id is in pairs (a, b), and of a few others; no text shuffles."""
+    spot, keep = picker(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), "id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = wanted.value
-
-        def chosen() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                p = batch.column("p").to_numpy()
-                yield batch.filter(pa.array((bitmap[p >> 6] >> (p & 63).astype(np.uint64)) & _U(1) > 0))
-
-        for rows, data, offsets in shared.passes(chosen()):
+        for rows, data, offsets in shared.passes(keep(batches)):
             sets = pa.array([z.tobytes() for z in shingles(data, offsets, how.shingle)], pa.binary())
             yield pa.RecordBatch.from_arrays([rows.column("id"), sets], ["id", "set"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    return shared.spill(rows.withColumn("p", spot).mapInArrow(read, "id long, set binary"), "full")
+    return shared.spill(rows.select("id", "text", spot).mapInArrow(read, "id long, set binary"), "full")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, how: Paths) -> DataFrame:
     """The pairs (a, b) of documents whose full sets have the similarity."""
     pairs = shared.spill(pairs, "pairs")
-    sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), how)
+    sets = full_sets(docs, pairs, how)
     percent = how.percent
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,48 +321,45 @@ def confirmed(docs: DataFrame, pairs: DataFrame, how: Paths) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, comp): the smallest id reachable, for each id that has a link; by repeated hooking to the smallest neighbour's label and pointer jumping."""
-    edges = shared.spill(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    label = shared.spill(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
-    while True:
-        seen = edges.join(label.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        near = label.join(seen, "id").select("id", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        jump = label.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
-        new = shared.spill(near.join(jump, "comp", "left").select("id", F.coalesce(F.least("comp", "top"), "comp").alias("comp"), "old"), "labels")
-        changed = not new.where("comp < old").isEmpty()
-        label = new.select("id", "comp")
-        if not changed:
-            return label
+    files = 1 + links.count() // LINKS_PER_FILE  # few links make few files, which join without a shuffle
+    with shared.scratch():
+        edges = shared.spill(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(2 * files), "edges")
+        label = shared.spill(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")).coalesce(files), "labels", outlast=1)
+        while True:
+            seen = edges.join(label.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
+            near = label.join(seen, "id").select("id", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
+            jump = label.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+            new = shared.spill(near.join(jump, "comp", "left").select("id", F.coalesce(F.least("comp", "top"), "comp").alias("comp"), "old").coalesce(files), "labels", outlast=1)
+            changed = not new.where("comp < old").isEmpty()
+            label = new.select("id", "comp")
+            if not changed:
+                return label
 
 
 def near_groups(docs: DataFrame, how: Paths = Paths()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept of each row of docs."""
     shared.ship(docs.sparkSession)
-    every = shared.spill(describe(docs, how), "sketches")
     same = ["n", "h1", "h2"]
-    reps = every.where("n > 0").groupBy(same).agg(F.min("doc_id").alias("id"))
-    member = shared.spill(every.select("doc_id", *same).join(reps, same, "left"), "members")
-    wanted = member.where("id = doc_id").select("id").distinct()
-    classes = every.withColumnRenamed("doc_id", "id")
-
-    small, large = nodes(classes.select("id", "tokens").join(wanted, "id"), how)
-    placed = small.select("tree", "node", "id", F.lit(0).alias("side"), F.lit(True).alias("own")).unionByName(blocked(large, how))
-    placed = shared.spill(placed.select("node", "id", "side", (F.col("own") & (F.col("tree") == 0)).alias("first")).join(classes.select("id", "n"), "id"), "placed")
-    links, label = None, None
-    for spanning in (True, True, False):
-        if label is None:
-            members = placed.where("first").withColumn("comp", F.col("id"))
-        else:
-            labelled = shared.spill(placed.drop("first").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "labelled")
-            across = labelled.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("node")
-            members = labelled.join(across, "node")
-        members = members.select("node", "id", "side", "n", "comp").join(classes.select("id", "sketch"), "id")
-        new = shared.spill(confirmed(docs, candidates(members, how, spanning), how), "links")
-        if links is None or not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            label = components(links)
-    out = member.join(label, "id", "left")
-    comp = F.coalesce("comp", "id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("doc_id") == comp).alias("kept"))
+    with shared.scratch():
+        every = shared.spill(describe(docs, how), "sketches")
+        reps = every.where("n > 0").groupBy(same).agg(F.min("doc_id").alias("id"))
+        member = shared.spill(every.select("doc_id", *same).join(reps, same, "left"), "members")
+        wanted = member.where("id = doc_id").select("id").distinct()
+        chosen = shared.spill(every.withColumnRenamed("doc_id", "id").join(wanted, "id").select("id", "n", "tokens", "sketch"), "classes")
+        links, label = None, None
+        for trees, spanning in ((1, True), (how.trees, True), (how.trees, False)):
+            with shared.scratch():
+                told = chosen.select("id", F.slice("tokens", 1, 2 * trees).alias("lead"))
+                told = told.withColumn("comp", F.col("id")) if label is None else shared.spill(told.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "told")
+                placed = shared.spill(nodes(told, chosen, trees, how, pairs=label is not None), "placed")
+                members = placed.join(among(chosen.select("id", "n", "sketch"), "id", placed), "id")
+                new = shared.spill(confirmed(docs, candidates(members, how, spanning), how), "links", outlast=1)
+            if links is None or not new.isEmpty():
+                links = new if links is None else links.unionByName(new)
+                label = components(links)
+        comp = F.coalesce("comp", "id", "doc_id")
+        out = member.join(label, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("doc_id") == comp).alias("kept"))
+        return shared.spill(out, "near", outlast=1)
 
 
 def drop_near(docs: DataFrame, how: Paths = Paths()) -> DataFrame:

@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -35,10 +37,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def spill(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
+#: Tables of the computations under way, innermost last, each with what deletes it.
+_open: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("open", default=())
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are spilled inside, but for those that outlast it, are deleted at the end."""
+    mine: list[tuple[SparkSession, str]] = []
+    token = _open.set((*_open.get(), mine))
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for spark, path in mine:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spill(df: DataFrame, name: str, outlast: int = 0) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing. The table outlasts so many scratches around it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/procloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    owners = _open.get()
+    if len(owners) > outlast:
+        owners[len(owners) - 1 - outlast].append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
