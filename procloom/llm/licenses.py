@@ -7,8 +7,9 @@ paragraphs: a family is named only above the probability that all but a few held
 stay under. A prediction is confirmed by comparing the paragraph with the family's notices: the share of a
 notice's words that the paragraph holds, and of the paragraph's distinct words for a short one.
 
-A paragraph that holds no anchor (a word of the notices seen in no sampled unknown paragraph) cannot name a
-licence and is unknown by definition; only paragraphs with an anchor are scored.
+The comparison also chooses what is scored, as it costs less: every paragraph that it would confirm for some family
+is scored. Texts are passed over only if they hold none of the anchors, words of which each such paragraph has one
+whatever the corpus (see anchors()).
 
 Texts: null and empty have one empty paragraph, which is unknown. Rows that repeat get equal results; any
 length is taken whole. Other columns are ignored. An empty table gives an empty result.
@@ -47,6 +48,10 @@ NOTICES = {
 }
 
 
+#: Everyday words, which are the last to serve as anchors.
+EVERYDAY = frozenset("a above all an and any applicable are as at be by copies copy to for free from hereby if in is it its later may must name names no not of on or other part person public source that the this under use used version without with work you your".split())
+
+
 def word_array(text: Column) -> Column:
     """Lower-case words: runs of letters, digits, and points or hyphens within them."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"), F.lit(0))
@@ -67,12 +72,25 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "paragraph"))
 
 
+def word_sets() -> list[list[str]]:
+    """The distinct words of each notice."""
+    return [sorted(set(re.findall(r"[^\W_]+(?:[.\-][^\W_]+)*", t.lower()))) for ts in NOTICES.values() for t in ts]
+
+
+def anchors(overlap: float) -> list[str]:
+    """Words of which every text has one that holds the share overlap of some notice's n distinct words: if k words make the share, any n - k + 1 of the n will do."""
+    found = set()
+    for words in word_sets():
+        k = next(k for k in range(1, len(words) + 1) if k >= overlap * len(words))
+        found.update(sorted(words, key=lambda w: (w in EVERYDAY, -len(w), w))[: len(words) - k + 1])
+    return sorted(found)
+
+
 @dataclass
 class Classifier:
     vocabulary: CountVectorizerModel
     model: LogisticRegressionModel
     families: list[str]
-    anchors: list[str]
     threshold: float
 
 
@@ -109,27 +127,28 @@ def train(docs: DataFrame, max_unknown: int = 3000, seed: int = 23, quantile: fl
     weight = F.when(F.col("family") == UNKNOWN, 0.2).otherwise(1.0)
     table = shared.spill(features(vocabulary, rows.withColumn("label", label).withColumn("weight", weight)).select("features", "label", "weight"), "training")
     model = LogisticRegression(regParam=0.0005, elasticNetParam=1.0, family="multinomial", weightCol="weight", maxIter=60, standardization=False).fit(table)
-    common = {r["w"] for r in drawn.select(F.explode(word_array(F.col("paragraph"))).alias("w")).distinct().join(F.broadcast(own.select(F.explode(word_array(F.col("paragraph"))).alias("w")).distinct()), "w").collect()}
-    anchors = sorted({w for r in own.select(word_array(F.col("paragraph")).alias("w")).collect() for w in r["w"] if len(w) > 2} - common)
     best = F.array_max(F.slice(vector_to_array("probability"), 1, len(families) - 1))
     top = model.transform(features(vocabulary, drawn.where("held"))).select(best.alias("p")).agg(F.percentile_approx("p", quantile).alias("p")).first()["p"]
-    return Classifier(vocabulary, model, families, anchors, max(0.5, top or 0.0))
+    return Classifier(vocabulary, model, families, max(0.5, top or 0.0))
 
 
 def scan(docs: DataFrame, by: Classifier, overlap: float = 0.6) -> DataFrame:
     """doc_id, n_paragraphs, n_licensed, families (comma-separated, in order) and probability (greatest) of each row of docs."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    some = F.lower("text").rlike("(?:^|[^\\p{L}\\p{N}])(?:" + "|".join(map(re.escape, by.anchors)) + ")(?:[^\\p{L}\\p{N}]|$)")
-    hits = paragraphs(rows.where(some)).withColumn("words", F.array_distinct(word_array(F.col("paragraph"))))
-    hits = hits.where(F.arrays_overlap("words", F.array(*[F.lit(a) for a in by.anchors])))
+    some = F.lower("text").rlike("(?:^|[^\\p{L}\\p{N}])(?:" + "|".join(map(re.escape, anchors(overlap))) + ")(?:[^\\p{L}\\p{N}]|$)")
+    told = F.array(*[F.lit(w) for w in sorted(set().union(*word_sets()))])
+    every = F.array(*[F.array(*map(F.lit, t)) for t in word_sets()])
+    alike = lambda t, words: F.size(F.array_intersect(t, words)) >= overlap * F.size(t)
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("paragraph"), F.array_intersect(word_array(x), told).alias("words")))
+    hits = rows.where(some).select("doc_id", F.posexplode(lines).alias("pos", "p")).select("doc_id", "pos", "p.*").where(F.exists(every, lambda t: alike(t, F.col("words"))))
     scored = by.model.transform(features(by.vocabulary, hits))
     known = F.slice(vector_to_array("probability"), 1, len(by.families) - 1)
     scored = scored.withColumn("best", F.array_max(known)).withColumn("family", F.element_at(F.array(*[F.lit(f) for f in by.families]), F.array_position(known, F.array_max(known)).cast("int")))
     scored = scored.where(F.col("best") >= by.threshold)
     # template comparison: the paragraph must hold enough of the words of one of its family's notices
     texts = notices(spark).groupBy("family").agg(F.collect_list(F.array_distinct(word_array(F.col("paragraph")))).alias("templates"))
-    near = F.exists("templates", lambda t: F.size(F.array_intersect(t, F.col("words"))) >= overlap * F.size(t))
+    near = F.exists("templates", lambda t: alike(t, F.col("words")))
     confirmed = scored.join(F.broadcast(texts), "family").where(near)
     found = confirmed.groupBy("doc_id").agg(F.countDistinct("pos").alias("n_licensed"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("best").alias("probability"))
     count = F.size(F.split("text", "\n")).cast("long").alias("n_paragraphs")

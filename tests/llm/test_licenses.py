@@ -45,3 +45,17 @@ def test_nasty_rows(spark, trained):
     out = licenses.scan(df.where("doc_id is not null"), trained).collect()
     assert {r["doc_id"] for r in out} == set(range(len(nasty.texts()))) and all(r["families"] == "" for r in out)
     assert licenses.scan(nasty.empty(spark), trained).count() == 0
+
+
+def test_words_of_notices_in_the_sample_take_no_paragraph_out(spark):
+    prose = ["all of them went home", "the rights of way were kept", "a table was reserved for two", "the shop is licensed to sell beer", "they sat under the tree", "it scored 4.0 of five", "MIT licence applies", "the dog ran by the cc office"]
+    by = licenses.train(spark.createDataFrame([(k, prose[k % len(prose)]) for k in range(400)], "doc_id long, text string"))
+    texts = {1: "All rights reserved", 2: "Licensed under CC BY 4.0", 3: "Released under the MIT License", 4: "They sat under the tree"}
+    found = {r["doc_id"]: r["families"] for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), by).collect()}
+    assert found == {1: "Proprietary", 2: "CC-BY", 3: "MIT", 4: ""}
+
+
+def test_every_choice_of_enough_words_of_a_notice_holds_an_anchor():
+    anchors = set(licenses.anchors(0.6))
+    for words in licenses.word_sets():
+        assert len(set(words) - anchors) < 0.6 * len(words)
