@@ -1,5 +1,9 @@
 """Licence scan of paragraphs, with DataFrame functions and Spark ML only.
 
+A paragraph is a line; a notice may be wrapped over several. So each line is read alone and together with the lines
+after it (see passages()), and a passage names a family if no shorter one in it names the same. n_licensed counts
+the lines of such passages.
+
 A paragraph classifier is trained from notices of known licence families: multinomial logistic regression
 with an L1 penalty over the word 1-, 2- and 3-grams of the notices (a sparse vocabulary), against a bounded
 sample of the corpus's own paragraphs as the class unknown. The unknown class is calibrated on held-back
@@ -18,12 +22,13 @@ length is taken whole. Other columns are ignored. An empty table gives an empty
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from procloom.llm import shared
@@ -49,7 +54,7 @@ NOTICES = {
 
 
 #: Everyday words, which are the last to serve as anchors.
-EVERYDAY = frozenset("a above all an and any applicable are as at be by copies copy to for free from hereby if in is it its later may must name names no not of on or other part person public source that the this under use used version without with work you your".split())
+EVERYDAY = frozenset("a all an and any are as at be by for from if in is it its may must no not of on or other that the this to under with without you your".split())
 
 
 def word_array(text: Column) -> Column:
@@ -68,13 +73,13 @@ def grams(words: Column) -> Column:
     return F.concat(*map(of, (1, 2, 3)))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "paragraph"))
+def word_list(notice: str) -> list[str]:
+    return re.findall(r"[^\W_]+(?:[.\-][^\W_]+)*", notice.lower())
 
 
 def word_sets() -> list[list[str]]:
     """The distinct words of each notice."""
-    return [sorted(set(re.findall(r"[^\W_]+(?:[.\-][^\W_]+)*", t.lower()))) for ts in NOTICES.values() for t in ts]
+    return [sorted(set(word_list(t))) for ts in NOTICES.values() for t in ts]
 
 
 def anchors(overlap: float) -> list[str]:
@@ -86,6 +91,32 @@ def anchors(overlap: float) -> list[str]:
     return sorted(found)
 
 
+def passages(docs: DataFrame, only: Callable[[Column], Column] | None = None) -> DataFrame:
+    """doc_id, low, high (first and last line), paragraph, words (those of notices) of the runs of lines that can hold a notice: single lines, and neighbours where
+    none is without words and those between the first and the last have no more words than a notice has. only: a condition on words."""
+    most = max(len(word_list(t)) for ts in NOTICES.values() for t in ts)
+    told = F.array(*[F.lit(w) for w in sorted(set().union(*word_sets()))])
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: word_array(x).alias("w"))
+    read = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), F.transform(lines, lambda w: F.struct(F.size(w).alias("n"), F.array_intersect(w, told).alias("words"))).alias("told"))
+    # ends of the passages that start at line i: as each line between has a word, they are within most + 2 lines
+    start = F.struct(F.lit(True).alias("open"), F.lit(0).alias("between"), F.array().cast("array<int>").alias("ends"))
+
+    def step(acc: Column, x: Column) -> Column:
+        taken = acc["open"] & (x["n"] > 0) & (acc["between"] <= most)
+        between = F.when(F.size(acc["ends"]) == 0, F.lit(0)).otherwise(acc["between"] + x["n"])
+        return F.struct(taken.alias("open"), between.alias("between"), F.when(taken, F.array_append(acc["ends"], F.size(acc["ends"]))).otherwise(acc["ends"]).alias("ends"))
+
+    def of(i: Column) -> Column:
+        ends = F.aggregate(F.slice("told", i + 1, most + 2), start, step, lambda acc: acc["ends"])
+        each = F.transform(ends, lambda k: F.struct(i.alias("low"), (i + k).alias("high"), F.array_distinct(F.flatten(F.transform(F.slice("told", i + 1, k + 1), lambda x: x["words"]))).alias("words")))
+        return F.filter(each, lambda p: only(p["words"])) if only else each
+
+    found = F.flatten(F.transform(F.sequence(F.lit(0), F.size("told") - 1), of))
+    # lines go along as the passage's own slice, joined after the choice
+    found = F.transform(found, lambda p: F.struct(p["low"].alias("low"), p["high"].alias("high"), p["words"].alias("words"), F.array_join(F.slice("lines", p["low"] + 1, p["high"] - p["low"] + 1), "\n").alias("paragraph")))
+    return read.select("doc_id", F.explode(found).alias("p")).select("doc_id", "p.*")
+
+
 @dataclass
 class Classifier:
     vocabulary: CountVectorizerModel
@@ -109,14 +140,14 @@ def train(docs: DataFrame, max_unknown: int = 3000, seed: int = 23, quantile: fl
     families = [*sorted(NOTICES), UNKNOWN]
     # bounded sample: whole documents are chosen by hash, then paragraphs of theirs
     few = shared.sample(docs.select("doc_id", "text").where("text is not null"), max_unknown // 4, seed)
-    drawn = paragraphs(few).where("length(paragraph) > 0").orderBy(F.xxhash64(F.lit(seed), "doc_id", "pos"), "doc_id", "pos").limit(max_unknown)
+    drawn = passages(few).orderBy(F.xxhash64(F.lit(seed), "doc_id", "low", "high"), "doc_id", "low", "high").limit(max_unknown)
     vocabulary = CountVectorizerModel.from_vocabulary(sorted({g for r in own.select(grams(word_array(F.col("paragraph"))).alias("g")).collect() for g in r["g"]}), "grams", "features")
     vocabulary.setBinary(True)
     # a drawn paragraph that is a notice itself must not teach the class unknown
     held = F.array(*[F.concat(F.lit(" "), F.array_join(F.array(*[F.lit(w) for w in re.findall(r"\w+(?:[.\-]\w+)*", t.lower())]), " "), F.lit(" ")) for ts in NOTICES.values() for t in ts])
     flat = F.concat(F.lit(" "), F.array_join(word_array(F.col("paragraph")), " "), F.lit(" "))
     drawn = drawn.withColumn("flat", flat).where(~F.exists(held, lambda h: F.contains(F.col("flat"), h)))
-    drawn = shared.spill(drawn.select("paragraph", (F.pmod(F.xxhash64("doc_id", "pos"), F.lit(3)) == 0).alias("held")), "unknown")
+    drawn = shared.spill(drawn.select("paragraph", (F.pmod(F.xxhash64("doc_id", "low", "high"), F.lit(3)) == 0).alias("held")), "unknown")
     # augmentation: each notice whole, with words around it, and with its first or last words missing
     words = word_array(F.col("paragraph"))
     n = F.size(words)
@@ -137,11 +168,9 @@ def scan(docs: DataFrame, by: Classifier, overlap: float = 0.6) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     some = F.lower("text").rlike("(?:^|[^\\p{L}\\p{N}])(?:" + "|".join(map(re.escape, anchors(overlap))) + ")(?:[^\\p{L}\\p{N}]|$)")
-    told = F.array(*[F.lit(w) for w in sorted(set().union(*word_sets()))])
     every = F.array(*[F.array(*map(F.lit, t)) for t in word_sets()])
     alike = lambda t, words: F.size(F.array_intersect(t, words)) >= overlap * F.size(t)
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("paragraph"), F.array_intersect(word_array(x), told).alias("words")))
-    hits = rows.where(some).select("doc_id", F.posexplode(lines).alias("pos", "p")).select("doc_id", "pos", "p.*").where(F.exists(every, lambda t: alike(t, F.col("words"))))
+    hits = passages(rows.where(some), lambda words: F.exists(every, lambda t: alike(t, words)))
     scored = by.model.transform(features(by.vocabulary, hits))
     known = F.slice(vector_to_array("probability"), 1, len(by.families) - 1)
     scored = scored.withColumn("best", F.array_max(known)).withColumn("family", F.element_at(F.array(*[F.lit(f) for f in by.families]), F.array_position(known, F.array_max(known)).cast("int")))
@@ -150,6 +179,11 @@ def scan(docs: DataFrame, by: Classifier, overlap: float = 0.6) -> DataFrame:
     texts = notices(spark).groupBy("family").agg(F.collect_list(F.array_distinct(word_array(F.col("paragraph")))).alias("templates"))
     near = F.exists("templates", lambda t: alike(t, F.col("words")))
     confirmed = scored.join(F.broadcast(texts), "family").where(near)
-    found = confirmed.groupBy("doc_id").agg(F.countDistinct("pos").alias("n_licensed"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("best").alias("probability"))
+    # a passage counts if none within it names its family: of those with one first line the shortest, and no later one that ends as early
+    short = confirmed.groupBy("doc_id", "family", "low").agg(F.min(F.struct("high", "best")).alias("p")).select("doc_id", "family", "low", "p.*")
+    later = Window.partitionBy("doc_id", "family").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, -1)
+    least = short.withColumn("inner", F.min("high").over(later)).where("inner is null or inner > high")
+    found = least.select("doc_id", "family", "best", F.explode(F.sequence("low", "high")).alias("line"))
+    found = found.groupBy("doc_id").agg(F.countDistinct("line").alias("n_licensed"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("best").alias("probability"))
     count = F.size(F.split("text", "\n")).cast("long").alias("n_paragraphs")
     return rows.select("doc_id", count).join(found, "doc_id", "left").select("doc_id", "n_paragraphs", F.coalesce("n_licensed", F.lit(0)).alias("n_licensed"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce(F.round("probability", 6), F.lit(0.0)).alias("probability"))

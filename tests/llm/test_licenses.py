@@ -59,3 +59,27 @@ def test_every_choice_of_enough_words_of_a_notice_holds_an_anchor():
     anchors = set(licenses.anchors(0.6))
     for words in licenses.word_sets():
         assert len(set(words) - anchors) < 0.6 * len(words)
+
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+def test_notices_wrapped_over_lines(spark, trained):
+    mit = licenses.NOTICES["MIT"][2].split()
+    made = {
+        1: (BSD, "BSD", None), 2: ("intro of it\n\n" + "\n".join(f"# {' '.join(mit[k : k + 3])}" for k in range(0, len(mit), 3)) + "\n\nthe end", "MIT", None),
+        3: ("Released under\nthe MIT License", "MIT", 2), 4: ("Released under the MIT License\nmore of the words\nAll rights reserved", "MIT,Proprietary", 2), 5: ("Released under\n\nof the\n\nmarket", "", 0),
+    }
+    found = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(k, t) for k, (t, _, _) in made.items()], "doc_id long, text string"), trained).collect()}
+    for k, (text, families, n) in made.items():
+        assert found[k]["families"] == families and found[k]["n_paragraphs"] == text.count("\n") + 1
+        assert n is None or found[k]["n_licensed"] == n
+    assert found[1]["n_licensed"] >= 4
