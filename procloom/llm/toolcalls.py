@@ -7,7 +7,8 @@ required parameters present, no unknown parameters, types as declared. Calls are
 call stands one level below the deepest call that it depends on, its result one step after it. Every row
 is written as canonical JSON (keys in order, no spaces).
 
-One row comes out for each plain message, call and result; position orders a conversation (turn, level, step,
+One row comes out for each plain message, call and result, so a turn gives as many as it holds: with calls and content
+it is a message before its calls, and with calls and a result (whose content it then is) both. position orders a conversation (turn, level, step,
 index), as a sort key, so a conversation of any length stays spread over the cluster.
 
 Nulls: a null text is a message with null content; a null role or turn stays null; calls and results without an
@@ -96,7 +97,7 @@ def link(turns: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool]]]
     needs = calls.where("own").select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("on"))
     level = levels(own, needs)
 
-    results = parsed.where("result and not calls").select("conv_id", "turn", "role", F.col("j.tool_call_id").alias("call_id"), F.col("j.content").alias("content"))
+    results = parsed.where("result").select("conv_id", "turn", "role", F.col("j.tool_call_id").alias("call_id"), F.col("j.content").alias("content"))
     heads = calls.where("own").select("conv_id", "call_id", "name", F.col("turn").alias("call_turn"), F.col("index").alias("call_index")).join(level, ["conv_id", "call_id"], "left")
     answered = results.groupBy("conv_id", "call_id").agg(F.count("*").alias("n_results"))
     zero = F.lit(0).cast("long")
@@ -113,9 +114,10 @@ def link(turns: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool]]]
         spot(F.greatest("turn", "at"), F.coalesce("level", zero), F.lit(1), F.coalesce("call_index", zero)),
         F.expr(f"to_json(named_struct('content', coalesce({canonical('content')}, content), 'role', role, 'tool_call_id', call_id), map('ignoreNullFields', 'false'))").alias("body"),
     )
-    plain = parsed.where("not calls and not result").select(
+    said = parsed.where("not result and (not calls or j.content is not null)")
+    plain = said.select(
         "conv_id", "turn", "role", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("string").alias("name"), F.lit("plain").alias("status"), zero.alias("n_results"), F.lit(0).alias("level"),
-        spot(F.col("turn"), F.lit(0), F.lit(0), F.lit(0)),
-        F.expr("to_json(named_struct('content', text, 'role', role), map('ignoreNullFields', 'false'))").alias("body"),
+        spot(F.col("turn"), F.lit(0), F.lit(0), F.when(F.col("calls"), -1).otherwise(0)),
+        F.expr("to_json(named_struct('content', if(calls, j.content, text), 'role', role), map('ignoreNullFields', 'false'))").alias("body"),
     )
     return plain.unionByName(call_rows).unionByName(result_rows)

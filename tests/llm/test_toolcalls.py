@@ -84,3 +84,12 @@ def test_nulls_ties_and_no_rows(spark):
     assert len(found) == len(made)
     assert sorted(r["status"] for r in found if r["kind"] == "call") in (["duplicate_id", "valid"], ["valid", "valid"])
     assert toolcalls.link(turns(spark, [])).count() == 0
+
+
+def test_turns_that_hold_several_things_lose_none(spark):
+    both = json.dumps({"content": "I look it up", "tool_calls": [call("a"), call("b")]})
+    chained = json.dumps({"tool_call_id": "a", "content": "found", "tool_calls": [call("c")]})
+    found = sorted(linked(spark, [(1, 1, "assistant", both), (1, 2, "tool", chained), (1, 3, "assistant", json.dumps({"content": None, "tool_calls": [call("d")]}))]), key=lambda r: r["position"])
+    assert [(r["turn"], r["kind"], r["call_id"], r["status"], r["n_results"]) for r in found if r["kind"] != "result"] == [(1, "message", None, "plain", 0), (1, "call", "a", "valid", 1), (1, "call", "b", "valid", 0), (2, "call", "c", "valid", 0), (3, "call", "d", "valid", 0)]
+    assert [(r["turn"], r["call_id"], r["status"], json.loads(r["body"])["content"]) for r in found if r["kind"] == "result"] == [(2, "a", "linked", "found")]
+    assert found[0]["body"] == '{"content":"I look it up","role":"assistant"}'
