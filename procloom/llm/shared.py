@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +13,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +28,41 @@ _BASE = _U(0x9E3779B97F4A7C15)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of this machine in local mode (as in tests), else one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="procloom-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        folder = tempfile.mkdtemp(prefix="procloom-") if spark.sparkContext.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_procloom"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration(spark._jsc.hadoopConfiguration())).delete(at, True)
+
+
+#: Folders of this process's applications, whose tables are deleted at its end.
+_folders: set[str] = set()
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """Where this application's tables are. What results still read is deleted when the process ends."""
+    path = f"{shared_folder(spark)}/procloom/{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        _folders.add(path)
+        jvm, at = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration(spark._jsc.hadoopConfiguration()))
+
+        def clear() -> None:
+            try:
+                files.delete(at, True)
+            except (Py4JError, OSError):  # the JVM has ended first
+                return
+
+        atexit.register(clear)
+    return path
+
+
 #: Tables of the computations under way, innermost last, each with what deletes it.
 _open: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("open", default=())
 
@@ -51,14 +77,13 @@ def scratch() -> Iterator[None]:
     finally:
         _open.reset(token)
         for spark, path in mine:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete(spark, path)
 
 
 def spill(df: DataFrame, name: str, outlast: int = 0) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing. The table outlasts so many scratches around it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/procloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     owners = _open.get()
     if len(owners) > outlast:
         owners[len(owners) - 1 - outlast].append((spark, path))
