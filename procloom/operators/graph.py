@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procloom import workers
+from procloom.tables import scratch, spill
 
 #: Width and height of shapes by node type, and the steps of a layout.
 SIZES = {"GATEWAY": (50, 50), "EVENT": (36, 36), "TASK": (120, 80)}
@@ -73,37 +75,173 @@ def back_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.groupBy("g").applyInPandas(walk, "g string, src string, dst string")
 
 
-def ranks(nodes: DataFrame, edges: DataFrame, most: int = 300) -> DataFrame:
-    """g, node, rank: the longest path that leads to a node of an acyclic graph (pass edges without back_edges)."""
+#: Edges of a graph up to which it is solved inside a task, with others of the kind; larger ones spread over the cluster.
+SMALL = 100_000
+
+
+def _numbered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """The nodes (g, node) of a table of edges (dst is null for a node alone), and the ends of its edges by number."""
+    edges = pdf[pdf["dst"].notna()]
+    ends = pd.concat([pdf[["g", "src"]].set_axis(["g", "node"], axis=1), edges[["g", "dst"]].set_axis(["g", "node"], axis=1)], ignore_index=True)
+    code = ends.groupby(["g", "node"], dropna=False, sort=False).ngroup().to_numpy()
+    nodes = ends.drop_duplicates(ignore_index=True)
+    return nodes, code[: len(pdf)][pdf["dst"].notna().to_numpy()], code[len(pdf) :]
+
+
+def _peel(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, done): nodes whose predecessors are done are, level by level; rank is the longest path to a done node."""
+    order = np.argsort(src, kind="stable")
+    to, first = dst[order], np.searchsorted(src[order], np.arange(n + 1))
+    rank, done, waits = np.zeros(n, np.int64), np.zeros(n, bool), np.bincount(dst, minlength=n)
+    front, level = np.flatnonzero(waits == 0), 0
+    while len(front):
+        rank[front], done[front], level = level, True, level + 1
+        size = first[front + 1] - first[front]
+        at = np.repeat(first[front] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        hit, times = np.unique(to[at], return_counts=True)
+        waits[hit] -= times
+        front = hit[waits[hit] == 0]
+    return rank, done
+
+
+def _on_cycle(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """Which nodes lie on a cycle: what peeling from both ends leaves, in components of several nodes or with a loop of their own (Tarjan)."""
+    left = ~(_peel(src, dst, n)[1] | _peel(dst, src, n)[1])
+    keep = left[src] & left[dst]
+    src, dst = src[keep], dst[keep]
+    order = np.argsort(src, kind="stable")
+    to, first = dst[order].tolist(), np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    found = np.zeros(n, bool)
+    found[src[src == dst]] = True
+    index, low, on = [-1] * n, [0] * n, [False] * n
+    path: list[int] = []
+    count = 0
+    for start in np.flatnonzero(left).tolist():
+        if index[start] >= 0:
+            continue
+        calls = [(start, first[start])]
+        while calls:
+            v, at = calls.pop()
+            if at == first[v] and index[v] < 0:
+                index[v] = low[v] = count
+                count += 1
+                path.append(v)
+                on[v] = True
+            elif at > first[v]:
+                low[v] = min(low[v], low[to[at - 1]]) if on[to[at - 1]] else low[v]
+            while at < first[v + 1] and index[to[at]] >= 0:
+                low[v] = min(low[v], index[to[at]]) if on[to[at]] else low[v]
+                at += 1
+            if at < first[v + 1]:
+                calls += [(v, at + 1), (to[at], first[to[at]])]
+            elif low[v] == index[v]:
+                part = []
+                while not part or part[-1] != v:
+                    part.append(path.pop())
+                    on[part[-1]] = False
+                found[part] |= len(part) > 1
+    return found
+
+
+def _large(edges: DataFrame, small: int) -> DataFrame:
+    """g of the graphs with more than small edges; as few as the edges divided by small."""
+    return spill(edges.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > small).select("g"), "large", outlast=1)
+
+
+def _buckets(rows: DataFrame, small: int) -> DataFrame:
+    """rows with a bucket of whole graphs, about small rows each."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(1 + rows.count() // small)))
+
+
+def ranks(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """g, node, rank: the longest path that leads to a node (nodes: g, node) of an acyclic graph (edges: g, src, dst; pass them without back_edges).
+
+    Edges with an end that is no node are left out; nodes on a cycle or behind one have no row. Graphs of up to small edges are ranked
+    inside tasks, many at a time; a larger one level by level over the cluster, one round a level."""
     spark = nodes.sparkSession
-    view = _views(spark, nodes=nodes.select("g", "node"), edges=edges.select("g", "src", "dst").distinct())
-    return spark.sql(f"""
-        WITH RECURSIVE r(g, node, rank) MAX RECURSION LEVEL {most} AS (
-            SELECT n.g, n.node, 0 FROM {view['nodes']} n LEFT ANTI JOIN {view['edges']} e ON e.g = n.g AND e.dst = n.node
-            UNION ALL
-            SELECT e.g, e.dst, r.rank + 1 FROM r JOIN {view['edges']} e ON e.g = r.g AND e.src = r.node
-        ) SELECT g, node, max(rank) AS rank FROM r GROUP BY g, node""")
-
-
-def on_cycle(edges: DataFrame, most: int = 100) -> DataFrame:
-    """g, node of the nodes that a path leads back to."""
-    spark = edges.sparkSession
-    view = _views(spark, edges=edges.select("g", "src", "dst").distinct())
-    return spark.sql(f"""
-        WITH RECURSIVE walk(g, start, node, path) MAX RECURSION LEVEL {most} AS (
-            SELECT g, src, dst, array(src) FROM {view['edges']}
-            UNION ALL
-            SELECT e.g, w.start, e.dst, array_append(w.path, e.src) FROM walk w JOIN {view['edges']} e ON e.g = w.g AND e.src = w.node
-            WHERE NOT array_contains(w.path, w.node)
-        ) SELECT DISTINCT g, node FROM walk WHERE node = start""")
-
-
-def _views(spark: SparkSession, **tables: DataFrame) -> dict[str, str]:
-    names = {}
-    for k, df in tables.items():
-        names[k] = f"procloom_{k}_{id(df):x}"
-        df.createOrReplaceTempView(names[k])
-    return names
+    workers.ship(spark)
+    with scratch():
+        own = spill(nodes.select("g", "node").distinct(), "nodes", outlast=1)
+        known = lambda c: own.select("g", F.col("node").alias(c))
+        arcs = spill(edges.select("g", "src", "dst").distinct().join(known("src"), ["g", "src"], "left_semi").join(known("dst"), ["g", "dst"], "left_semi").select("g", "src", "dst"), "edges", outlast=1)
+        large = _large(arcs, small)
+        none = large.isEmpty()
+        rows = own.select("g", F.col("node").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(arcs)
+
+        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+            told, src, dst = _numbered(pdf)
+            rank, done = _peel(src, dst, len(told))
+            return told.assign(rank=rank)[done]
+
+        found = _buckets(rows if none else rows.join(large, "g", "left_anti"), small).groupBy("bucket").applyInPandas(solve, "g string, node string, rank int")
+        if none:
+            return found
+        waits = arcs.join(large, "g", "left_semi")
+        left, level = spill(own.join(large, "g", "left_semi"), "left"), 0
+        while True:
+            front = spill(left.join(waits.select("g", F.col("dst").alias("node")), ["g", "node"], "left_anti"), "front", outlast=1)
+            if front.isEmpty():
+                return found
+            found = found.unionByName(front.withColumn("rank", F.lit(level)))
+            left = spill(left.join(front, ["g", "node"], "left_anti"), "left")
+            waits, level = spill(waits.join(front.withColumnRenamed("node", "src"), ["g", "src"], "left_anti"), "waits"), level + 1
+
+
+def on_cycle(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """g, node of the nodes that a path of edges (g, src, dst) leads back to.
+
+    Graphs of up to small edges are solved inside tasks, many at a time. A larger one is trimmed over the cluster from both ends; then the
+    greatest name that reaches a node colours it, and what of a colour reaches its namesake back is one strong component (Orzan)."""
+    workers.ship(edges.sparkSession)
+    with scratch():
+        arcs = spill(edges.select("g", "src", "dst").where("src is not null and dst is not null").distinct(), "edges", outlast=1)
+        large = _large(arcs, small)
+        none = large.isEmpty()
+
+        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+            told, src, dst = _numbered(pdf)
+            return told[_on_cycle(src, dst, len(told))]
+
+        found = _buckets(arcs if none else arcs.join(large, "g", "left_anti"), small).groupBy("bucket").applyInPandas(solve, "g string, node string")
+        if none:
+            return found
+        left = arcs.join(large, "g", "left_semi")
+        loops = spill(left.where("src = dst").select("g", F.col("src").alias("node")), "loops", outlast=1)
+        found, left = found.unionByName(loops), spill(left.where("src <> dst"), "left")
+        while not left.isEmpty():
+            left = _trimmed(left)
+            colour = _spread(left, left.select("g", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("c", F.col("node")))
+            same = left.join(colour.select("g", F.col("node").alias("src"), "c"), ["g", "src"]).join(colour.select("g", F.col("node").alias("dst"), F.col("c").alias("d")), ["g", "dst"])
+            same = spill(same.where("c = d").select("g", F.col("src").alias("dst"), F.col("dst").alias("src"), "c"), "same")  # turned round
+            back = _spread(same.select("g", "src", "dst"), colour.withColumn("c", F.when(F.col("node") == F.col("c"), F.col("c"))))
+            part = spill(back.where("c is not null").select("g", "node"), "part", outlast=1)
+            many = same.join(part.withColumnRenamed("node", "src"), ["g", "src"], "left_semi").join(part.withColumnRenamed("node", "dst"), ["g", "dst"], "left_semi")
+            found = found.unionByName(spill(many.select("g", F.explode(F.array("src", "dst")).alias("node")).distinct(), "many", outlast=1))
+            gone = lambda df, c: df.join(part.withColumnRenamed("node", c), ["g", c], "left_anti")
+            left = spill(gone(gone(left, "src"), "dst"), "left")
+        return found.distinct()
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """edges without those that lead from a node with none in, or to one with none out, until none is left of these."""
+    while True:
+        kept = edges.join(edges.select("g", F.col("dst").alias("src")).distinct(), ["g", "src"], "left_semi").join(edges.select("g", F.col("src").alias("dst")).distinct(), ["g", "dst"], "left_semi")
+        kept, before = spill(kept.select("g", "src", "dst"), "trimmed"), edges
+        if kept.count() == before.count():
+            return kept
+        edges = kept
+
+
+def _spread(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """(g, node, c): the greatest label (g, node, c) that reaches each node along edges."""
+    label = spill(label, "labels")
+    while True:
+        come = edges.join(label.where("c is not null").select("g", F.col("node").alias("src"), "c"), ["g", "src"]).groupBy("g", F.col("dst").alias("node")).agg(F.max("c").alias("in"))
+        new = label.join(come, ["g", "node"], "left").select("g", "node", F.greatest("c", "in").alias("c"), (F.col("in") > F.coalesce("c", F.lit(""))).alias("changed"))
+        new = spill(new, "labels")
+        label = new.select("g", "node", "c")
+        if new.where("changed").isEmpty():
+            return label
 
 
 # --- Hierarchies: node, type, parent_id

@@ -1,15 +1,17 @@
 """Greedy packing of ordered units into batches and packets under limits.
 
-Packing in order is sequential by nature: a batch starts where the one before it ended. A group's units are
-therefore cut into segments of order positions. Each segment is summed up by what it does to any open batch
-that comes in (where its first break falls, and what every possible break leads to); the short summaries
-compose in order, and then each segment numbers its own batches. So a group of any size spreads over the
-cluster, while the result is that of one pass over it.
+Packing in order is sequential by nature: a batch starts where the one before it ended. Units are therefore sorted
+over the cluster and cut into segments by position. Each segment is summed up by what it does to any open batch that
+comes in: where the batch breaks, and what every possible break leads to. Only the units up to the first that no open
+batch takes can be a break, so a summary is as short as one batch, however long the segment. Runs of FAN summaries
+compose into one of the same kind, as a tree; going back down, each segment learns what comes in and numbers its own
+batches. So a group of any size spreads over the cluster, while the result is that of one pass over it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,16 +21,65 @@ from pyspark.sql import functions as F
 from procloom import workers
 from procloom.functions import columns as C
 from procloom.operators.splitting import MAX_BLOCKS, MAX_CHARS, fragments, greedy_join
+from procloom.tables import scratch, spill
 
-#: Order positions in a segment.
-SEGMENT = 50_000
+#: Units in a segment, and summaries that one task composes.
+SEGMENT, FAN = 50_000, 64
+#: So many blocks and more mean no limit of blocks.
+NO_LIMIT = 1 << 30
 
 
-def _breaks(blocks: np.ndarray, chars: np.ndarray, alone: np.ndarray, max_blocks: int, max_chars: int) -> tuple[np.ndarray, list[np.ndarray]]:
+@dataclass(frozen=True)
+class Limits:
+    blocks: int
+    chars: int
+
+    def alone(self, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (b > self.blocks) | (c > self.chars)
+
+
+@dataclass
+class Summary:
+    """What a run of units does to an open batch. Entry i is a unit that may break it: b and c are the sums of blocks and chars up to it, and a break
+    there leaves (eb, ec) open and starts n batches in the run. sure: the last entry breaks any batch. blocks, chars: sums of the whole run.
+    Entry 0 is for a run that starts without an open batch."""
+
+    b: np.ndarray
+    c: np.ndarray
+    eb: np.ndarray
+    ec: np.ndarray
+    n: np.ndarray
+    sure: bool
+    blocks: int
+    chars: int
+
+    def after(self, blocks: np.ndarray, chars: np.ndarray, count: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Open (blocks, chars) and batches so far, behind the run, for those before it; blocks of 0: no batch is open."""
+        i = 1 + np.minimum(np.searchsorted(self.b[1:], limits.blocks - blocks, "right"), np.searchsorted(self.c[1:], limits.chars - chars, "right"))
+        if self.sure:
+            i = np.minimum(i, len(self.b) - 1)
+        i = np.where(blocks == 0, 0, i)
+        hit = i < len(self.b)
+        i = np.minimum(i, len(self.b) - 1)
+        return np.where(hit, self.eb[i], blocks + self.blocks), np.where(hit, self.ec[i], chars + self.chars), count + np.where(hit, self.n[i], 0)
+
+    def row(self) -> dict[str, object]:
+        return {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in vars(self).items()}
+
+
+SUMMARY = "b array<long>, c array<long>, eb array<long>, ec array<long>, n array<long>, sure boolean, blocks long, chars long"
+
+
+def _summaries(pdf: pd.DataFrame) -> list[Summary]:
+    arrays = ("b", "c", "eb", "ec", "n")
+    return [Summary(*(np.asarray(getattr(r, k), np.int64) for k in arrays), bool(r.sure), int(r.blocks), int(r.chars)) for r in pdf.itertuples()]
+
+
+def _breaks(blocks: np.ndarray, chars: np.ndarray, limits: Limits) -> tuple[np.ndarray, list[np.ndarray]]:
     """For a batch that starts at each unit, the unit where the next starts, and (exit blocks, exit chars, batches) from there to the end."""
-    n = len(blocks)
+    n, alone = len(blocks), limits.alone(blocks, chars)
     b, c = np.r_[0, np.cumsum(blocks)], np.r_[0, np.cumsum(chars)]
-    to = np.minimum(np.searchsorted(b, b[:-1] + max_blocks, "right"), np.searchsorted(c, c[:-1] + max_chars, "right")) - 1
+    to = np.minimum(np.searchsorted(b, b[:-1] + limits.blocks, "right"), np.searchsorted(c, c[:-1] + limits.chars, "right")) - 1
     stop = np.append(np.flatnonzero(alone), n)  # a unit that stands alone also ends the batch before it
     to = np.where(alone, np.arange(n) + 1, np.minimum(to, stop[np.searchsorted(stop, np.arange(n))]))
     exit_b, exit_c, count = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
@@ -41,58 +92,90 @@ def _breaks(blocks: np.ndarray, chars: np.ndarray, alone: np.ndarray, max_blocks
     return to, [exit_b, exit_c, count]
 
 
-def greedy(units: DataFrame, max_blocks: int = MAX_BLOCKS, max_chars: int = MAX_CHARS, segment: int = SEGMENT) -> DataFrame:
+def summarise(blocks: np.ndarray, chars: np.ndarray, limits: Limits) -> Summary:
+    _, (eb, ec, n) = _breaks(blocks, chars, limits)
+    b, c, alone = np.cumsum(blocks), np.cumsum(chars), limits.alone(blocks, chars)
+    never = np.flatnonzero(alone | (b >= limits.blocks) | (c > limits.chars))  # an open batch has a block
+    k = int(never[0]) + 1 if len(never) else len(blocks)
+    keep = np.arange(k)
+    if limits.blocks >= NO_LIMIT:
+        keep = keep[(chars[:k] > 0) | alone[:k]]  # what weighs nothing breaks nothing
+    keep = np.r_[0, keep]
+    return Summary(b[keep], c[keep], eb[keep], ec[keep], n[keep], bool(len(never)), int(b[-1]), int(c[-1]))
+
+
+def compose(parts: list[Summary], limits: Limits) -> Summary:
+    """The summary of runs that follow each other."""
+    found: list[list[np.ndarray]] = []
+    blocks = chars = 0
+    sure = False
+    for k, part in enumerate(parts):
+        first = 0 if not k else 1  # entry 0 of the first run only
+        state = part.eb[first:], part.ec[first:], part.n[first:]
+        for later in parts[k + 1 :]:
+            state = later.after(*state, limits)
+        found.append([part.b[first:] + blocks, part.c[first:] + chars, *state])
+        blocks, chars, sure = blocks + part.blocks, chars + part.chars, part.sure
+        if sure or blocks >= limits.blocks or chars > limits.chars:
+            break
+    b, c, eb, ec, n = (np.concatenate(x) for x in zip(*found))
+    if not sure:  # later runs break any batch that gets so far
+        sure = bool(len(b) > 1 and (b[-1] >= limits.blocks or c[-1] > limits.chars))
+    return Summary(b, c, eb, ec, n, sure, sum(p.blocks for p in parts), sum(p.chars for p in parts))
+
+
+def greedy(units: DataFrame, max_blocks: int = MAX_BLOCKS, max_chars: int = MAX_CHARS, segment: int = SEGMENT, fan: int = FAN) -> DataFrame:
     """grp, ord, batch_no (from 0 in each group) of units (grp string, ord long, unique in its group; blocks long from 1 on; chars long).
 
     A unit over a limit stands alone. A negative ord is allowed; null groups are one group."""
     workers.ship(units.sparkSession)
-    cut = units.select("grp", "ord", "blocks", "chars", F.floor(F.col("ord") / F.lit(segment)).alias("seg"))
+    limits = Limits(max_blocks, max_chars)
 
-    def arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        b, c = pdf["blocks"].to_numpy(np.int64), pdf["chars"].to_numpy(np.int64)
-        return b, c, (b > max_blocks) | (c > max_chars)
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord")
+        return pd.DataFrame([{"grp": pdf["grp"].iloc[0], "seg": pdf["seg"].iloc[0]} | summarise(pdf["blocks"].to_numpy(np.int64), pdf["chars"].to_numpy(np.int64), limits).row()])
 
-    def first_break(b: np.ndarray, c: np.ndarray, alone: np.ndarray, blocks: int, chars: int) -> int:
-        """The first of the leading units that doesn't go into an open batch; len(b) if all do."""
-        bad = np.flatnonzero((blocks + np.cumsum(b) > max_blocks) | (chars + np.cumsum(c) > max_chars) | alone)
-        return int(bad[0]) if len(bad) else len(b)
+    def up(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seg")
+        return pd.DataFrame([{"grp": pdf["grp"].iloc[0], "seg": pdf["seg"].iloc[0] // fan} | compose(_summaries(pdf), limits).row()])
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        b, c, alone = arrays(pdf)
-        _, (eb, ec, n) = _breaks(b, c, alone, max_blocks, max_chars)
-        k = min(len(b), max_blocks + 1)  # no open batch takes more units than max_blocks
-        return pd.DataFrame([{"grp": pdf["grp"].iloc[0], "seg": pdf["seg"].iloc[0], "units": len(b), "b": b[:k].tolist(), "c": c[:k].tolist(), "eb": eb[: k + 1].tolist(), "ec": ec[: k + 1].tolist(), "n": n[: k + 1].tolist()}])
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, blocks, chars, number = [], 0, 0, 0
-        for r in pdf.sort_values("seg").itertuples():
-            rows.append((r.grp, r.seg, blocks, chars, number))
-            b, c = np.array(r.b), np.array(r.c)
-            alone = (b > max_blocks) | (c > max_chars)
-            j = first_break(b, c, alone, blocks, chars) if blocks else 0
-            if blocks and j == len(b) == r.units:
-                blocks, chars = blocks + int(b.sum()), chars + int(c.sum())
-            else:
-                number += int(blocks > 0) + int(r.n[j]) - int(r.eb[j] > 0)  # batches that are closed when the segment ends
-                blocks, chars = int(r.eb[j]), int(r.ec[j])
-        return pd.DataFrame(rows, columns=["grp", "seg", "in_blocks", "in_chars", "in_number"])
+    def down(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seg")
+        state, rows = tuple(pdf[["in_blocks", "in_chars", "in_count"]].to_numpy(np.int64)[:1].T), []
+        for seg, part in zip(pdf["seg"], _summaries(pdf)):
+            rows.append((pdf["grp"].iloc[0], seg, *(int(x[0]) for x in state)))
+            state = part.after(*state, limits)
+        return pd.DataFrame(rows, columns=["grp", "seg", "in_blocks", "in_chars", "in_count"])
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord", ignore_index=True)
-        b, c, alone = arrays(pdf)
-        to, _ = _breaks(b, c, alone, max_blocks, max_chars)
-        blocks, chars, base = (int(pdf[x].iloc[0]) for x in ("in_blocks", "in_chars", "in_number"))
+        b, c = pdf["blocks"].to_numpy(np.int64), pdf["chars"].to_numpy(np.int64)
+        to, _ = _breaks(b, c, limits)
+        blocks, chars, base = (int(pdf[x].iloc[0]) for x in ("in_blocks", "in_chars", "in_count"))
         start = np.zeros(len(b), np.int64)
-        i = first_break(b, c, alone, blocks, chars) if blocks else 0
-        base += int(blocks > 0)
+        bad = np.flatnonzero((blocks + np.cumsum(b) > max_blocks) | (chars + np.cumsum(c) > max_chars) | limits.alone(b, c))
+        i = 0 if not blocks else int(bad[0]) if len(bad) else len(b)
         while i < len(b):
             start[i] = 1
             i = to[i]
         return pdf[["grp", "ord"]].assign(batch_no=base - 1 + np.cumsum(start))
 
-    summary = cut.groupBy("grp", "seg").applyInPandas(summarise, "grp string, seg long, units long, b array<long>, c array<long>, eb array<long>, ec array<long>, n array<long>")
-    entry = summary.groupBy("grp").applyInPandas(compose, "grp string, seg long, in_blocks long, in_chars long, in_number long").withColumnsRenamed({"grp": "g", "seg": "s"})
+    entries = "grp string, seg long, in_blocks long, in_chars long, in_count long"
+    parent = F.floor(F.col("seg") / F.lit(fan))
+    with scratch():
+        many = 1 + units.count() // segment
+        cut = units.select("grp", "ord", "blocks", "chars").repartitionByRange(many, "grp", "ord").select("*", F.spark_partition_id().cast("long").alias("seg"))
+        cut = spill(cut, "segments", outlast=1)  # segments are positions in the sorted table, however sparse ord is
+        tree = [spill(cut.groupBy("grp", "seg").applyInPandas(sums, f"grp string, seg long, {SUMMARY}"), "summaries", outlast=1)]
+        while many > fan:
+            tree.append(spill(tree[-1].groupBy("grp", parent).applyInPandas(up, f"grp string, seg long, {SUMMARY}"), "summaries", outlast=1))
+            many = -(-many // fan)
+        zero = [F.lit(0).cast("long").alias(c) for c in ("in_blocks", "in_chars", "in_count")]
+        entry = tree[-1].select("*", *zero).groupBy("grp").applyInPandas(down, entries)
+        for level in tree[-2::-1]:
+            come = entry.withColumnsRenamed({"grp": "g", "seg": "s"})
+            entry = level.join(come, F.col("grp").eqNullSafe(F.col("g")) & (parent == F.col("s"))).drop("g", "s").groupBy("grp", parent).applyInPandas(down, entries)
+    entry = entry.withColumnsRenamed({"grp": "g", "seg": "s"})
     told = cut.join(entry, F.col("grp").eqNullSafe(F.col("g")) & (F.col("seg") == F.col("s"))).drop("g", "s")
     return told.groupBy("grp", "seg").applyInPandas(number, "grp string, ord long, batch_no long")
 
@@ -141,7 +224,7 @@ def material_packets(chunks: DataFrame, allowed: list[str], max_tokens: int = 48
     bar = int(max_tokens * 1.2)
     # what stands alone is what exceeds bar; a chunk between the limits starts a packet and fills it
     units = own.select("grp", "ord", F.lit(1).cast("long").alias("blocks"), F.when(F.col("tokens") > bar, F.lit(max_tokens + 1)).otherwise(F.least("tokens", F.lit(max_tokens))).alias("chars"))
-    placed = greedy(units, 1 << 30, max_tokens)
+    placed = greedy(units, NO_LIMIT, max_tokens)
     rows = own.join(placed, ["grp", "ord"])
     return rows.groupBy("grp", "batch_no").agg(
         C.prefixed_id("MP", F.array_join(F.array_sort(F.collect_list("chunk_id")), ",")).alias("packet_id"),

@@ -40,12 +40,13 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(*event_graphs(spark, sf_dir))
 
 
-@R.add("SELECT 'tpch' AS g, o_orderkey AS edge, 'source' AS side, o_custkey::VARCHAR AS ref FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0) UNION ALL SELECT 'tpch', o_orderkey, 'target', o_orderpriority FROM orders")
+@R.add("SELECT 'tpch' AS g, o_orderkey AS edge, 'source' AS side, o_custkey::VARCHAR AS ref FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'tpch', o_orderkey, 'target', o_orderpriority FROM orders UNION ALL SELECT * FROM (VALUES ('tpch', -1, 'source', 'ghost'), ('tpch', -1, 'target', 'nowhere'), ('tpch', -2, 'target', 'nowhere'))")
 def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as edges between customers and priorities, of which some customers are nodes."""
+    """Orders as edges from customers, which are nodes, to priorities, which aren't; two more lead from an unknown and from a known customer."""
     orders = table(spark, sf_dir, "orders").select(F.lit("tpch").alias("g"), F.col("o_orderkey").alias("edge"), F.col("o_custkey").cast("string").alias("src"), F.col("o_orderpriority").alias("dst"))
-    nodes = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(F.lit("tpch").alias("g"), F.col("c_custkey").cast("string").alias("node"))
-    return graph.dangling(orders, nodes)
+    more = spark.createDataFrame([("tpch", -1, "ghost", "nowhere"), ("tpch", -2, "1", "nowhere")], "g string, edge long, src string, dst string")
+    nodes = table(spark, sf_dir, "customer").select(F.lit("tpch").alias("g"), F.col("c_custkey").cast("string").alias("node"))
+    return graph.dangling(orders.unionByName(more), nodes)
 
 
 @R.add()
@@ -86,16 +87,18 @@ def cycle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TREE = """tree AS (SELECT 'r' || r_regionkey AS node, 'REGION' AS type, NULL AS parent_id FROM region UNION ALL SELECT 'n' || n_nationkey, 'NATION', 'r' || n_regionkey FROM nation
-    UNION ALL SELECT 'c' || c_custkey, 'CUSTOMER', 'n' || c_nationkey FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT 's' || s_suppkey, 'CUSTOMER', 'r' || (s_nationkey % 5) FROM supplier UNION ALL SELECT 'o' || o_orderkey, 'ORDER', 'c' || o_custkey FROM orders)"""
+    UNION ALL SELECT 'c' || c_custkey, 'CUSTOMER', 'n' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'CUSTOMER', 'r' || (s_nationkey % 5) FROM supplier UNION ALL SELECT 'o' || o_orderkey, 'ORDER', 'c' || o_custkey FROM orders
+    UNION ALL SELECT * FROM (VALUES ('x1', 'ORDER', 'c-1'), ('x2', 'CUSTOMER', 'n-7'), ('x3', 'NATION', NULL), ('x4', 'ORDER', 'x2')))"""
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions, nations, customers and orders as a hierarchy; some customers are missing, and suppliers skip a level."""
+    """Regions, nations, customers and orders as a hierarchy; suppliers skip a level, and a few more nodes lack their parents."""
     part = lambda name, key, kind, parent: table(spark, sf_dir, name).select(F.concat(F.lit(name[0]), F.col(key).cast("string")).alias("node"), F.lit(kind).alias("type"), parent.alias("parent_id"))
     to = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
-    customers = part("customer", "c_custkey", "CUSTOMER", to("n", "c_nationkey")).where("cast(substring(node, 2) as bigint) % 7 <> 0")
+    customers = part("customer", "c_custkey", "CUSTOMER", to("n", "c_nationkey"))
+    lost = spark.createDataFrame([("x1", "ORDER", "c-1"), ("x2", "CUSTOMER", "n-7"), ("x3", "NATION", None), ("x4", "ORDER", "x2")], "node string, type string, parent_id string")
     suppliers = part("supplier", "s_suppkey", "CUSTOMER", F.concat(F.lit("r"), (F.col("s_nationkey") % 5).cast("string")))
-    return part("region", "r_regionkey", "REGION", F.lit(None).cast("string")).unionByName(part("nation", "n_nationkey", "NATION", to("r", "n_regionkey"))).unionByName(customers).unionByName(suppliers).unionByName(part("orders", "o_orderkey", "ORDER", to("c", "o_custkey")))
+    return part("region", "r_regionkey", "REGION", F.lit(None).cast("string")).unionByName(part("nation", "n_nationkey", "NATION", to("r", "n_regionkey"))).unionByName(customers).unionByName(suppliers).unionByName(part("orders", "o_orderkey", "ORDER", to("c", "o_custkey"))).unionByName(lost)
 
 
 @R.add(f"WITH {_TREE} SELECT node, type, parent_id FROM tree t WHERE type <> 'REGION' AND (parent_id IS NULL OR parent_id NOT IN (SELECT node FROM tree))")

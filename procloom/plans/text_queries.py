@@ -188,12 +188,12 @@ def aggregation_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(f"""
-    WITH RECURSIVE {greedy_sql("SELECT source AS grp, doc_id AS ord, " + utf16_sql("coalesce(text, '')") + " AS chars FROM documents WHERE lang <> 'en'", 1 << 30, 14400)}
+    WITH RECURSIVE {greedy_sql("SELECT source AS grp, doc_id AS ord, " + utf16_sql("coalesce(text, '')") + " AS chars FROM documents WHERE lang IS DISTINCT FROM 'en'", 1 << 30, 14400)}
     SELECT grp, ord, batch_no FROM packed""".replace("AND b.n <= a.n + 1073741824", "").replace(" OR b.n = a.n + 1073741824", ""))
 def refinement_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10: chunks without tags in groups of 14400 characters."""
     tags = F.when(F.col("lang") == "en", F.array(F.lit("L4"))).otherwise(F.array().cast("array<string>"))
-    docs = table(spark, sf_dir, "documents").where("lang is not null").select(F.col("source").alias("grp"), F.col("doc_id").alias("ord"), tags.alias("domain_tags"), F.coalesce("text", F.lit("")).alias("content"))
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("ord"), tags.alias("domain_tags"), F.coalesce("text", F.lit("")).alias("content"))
     return budget.refinement_groups(docs)
 
 

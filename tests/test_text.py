@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -36,6 +37,29 @@ def test_greedy_equals_one_pass(spark, units, segment):
     assert found == greedy_by_hand(units, 3, 12)
 
 
+@SLOW
+@given(st.lists(st.tuples(st.integers(1, 2), st.integers(0, 9)), min_size=1, max_size=60), st.sampled_from([3, 1 << 30]))
+def test_greedy_composes_summaries_as_a_tree(spark, units, blocks):
+    df = spark.createDataFrame([(g, 1000 * k, b, c) for g in "ab" for k, (b, c) in enumerate(units)], "grp string, ord long, blocks long, chars long")
+    for g in "ab":
+        found = [r["batch_no"] for r in packing.greedy(df, blocks, 12, segment=5, fan=2).where(F.col("grp") == g).orderBy("ord").collect()]
+        assert found == greedy_by_hand(units, blocks, 12)
+
+
+def test_summaries_are_as_short_as_a_batch(spark):
+    n = 1_000_000
+    rng = np.random.default_rng(3)
+    limits = packing.Limits(1 << 30, 14_400)
+    parts = [packing.summarise(np.ones(50_000, np.int64), rng.integers(20, 200, 50_000), limits) for _ in range(n // 50_000)]
+    assert max(len(p.b) for p in parts) < 800 and len(packing.compose(parts, limits).b) < 800
+    assert len(packing.summarise(np.ones(n, np.int64), np.zeros(n, np.int64), limits).b) == 1
+    df = spark.range(n).select(F.lit("g").alias("grp"), (F.col("id") * 100_000).alias("ord"), F.lit(1).cast("long").alias("blocks"), (F.pmod(F.xxhash64("id"), F.lit(180)) + 20).alias("chars"))
+    sums = packing.greedy(df, 1 << 30, 14_400).join(df, ["grp", "ord"]).groupBy("batch_no").agg(F.sum("chars").alias("s"))
+    got = sums.agg(F.count("*"), F.max("s"), F.max("batch_no")).first()
+    units = [r["chars"] for r in df.orderBy("ord").select("chars").collect()]
+    assert got[0] == got[2] + 1 == greedy_by_hand([(1, c) for c in units], 1 << 30, 14_400)[-1] + 1 and got[1] <= 14_400
+
+
 def test_greedy_takes_null_groups_and_no_rows(spark):
     schema = "grp string, ord long, blocks long, chars long"
     assert packing.greedy(spark.createDataFrame([], schema)).count() == 0
