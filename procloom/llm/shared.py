@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from py4j.protocol import Py4JError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from procloom.tables import scratch, shared_folder, spill
+from procloom.workers import ship
+
+__all__ = ["scratch", "shared_folder", "ship", "spill"]
+
 #: Words of the contracts: runs of anything but space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy pass takes; a longer single text goes alone.
@@ -27,70 +25,6 @@ _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.
 _BASE = _U(0x9E3779B97F4A7C15)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of this machine in local mode (as in tests), else one in the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="procloom-") if spark.sparkContext.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_procloom"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration(spark._jsc.hadoopConfiguration())).delete(at, True)
-
-
-#: Folders of this process's applications, whose tables are deleted at its end.
-_folders: set[str] = set()
-
-
-def _own_folder(spark: SparkSession) -> str:
-    """Where this application's tables are. What results still read is deleted when the process ends."""
-    path = f"{shared_folder(spark)}/procloom/{spark.sparkContext.applicationId}"
-    if path not in _folders:
-        _folders.add(path)
-        jvm, at = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration(spark._jsc.hadoopConfiguration()))
-
-        def clear() -> None:
-            try:
-                files.delete(at, True)
-            except (Py4JError, OSError):  # the JVM has ended first
-                return
-
-        atexit.register(clear)
-    return path
-
-
-#: Tables of the computations under way, innermost last, each with what deletes it.
-_open: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("open", default=())
-
-
-@contextmanager
-def scratch() -> Iterator[None]:
-    """Tables that are spilled inside, but for those that outlast it, are deleted at the end."""
-    mine: list[tuple[SparkSession, str]] = []
-    token = _open.set((*_open.get(), mine))
-    try:
-        yield
-    finally:
-        _open.reset(token)
-        for spark, path in mine:
-            delete(spark, path)
-
-
-def spill(df: DataFrame, name: str, outlast: int = 0) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing. The table outlasts so many scratches around it."""
-    spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    owners = _open.get()
-    if len(owners) > outlast:
-        owners[len(owners) - 1 - outlast].append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sample(df: DataFrame, n: int, seed: int) -> DataFrame:
     """At most n rows of df by a seeded hash of doc_id. Rows are thinned by their hash where they are read, so about 2 n rows meet for the choice however many df has."""
     order = F.xxhash64(F.lit(seed), "doc_id")
@@ -98,13 +32,6 @@ def sample(df: DataFrame, n: int, seed: int) -> DataFrame:
     return df.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(order, "doc_id").limit(n)
 
 
-def ship(spark: SparkSession) -> None:
-    """Let local Python workers find this package when the driver was started elsewhere; a cluster gets it by --py-files."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
-
-
 def n_words(text: Column) -> Column:
     """Number of words as long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
