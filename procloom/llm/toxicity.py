@@ -5,12 +5,14 @@ has a term or not. The machine adds a bias, a weight for each term, and for each
 of their factors: that an insult next to the mention of a group is worse than both alone is a matter of the
 pair, which no sum of weights expresses. It learns log loss by Adagrad from labelled rows.
 
-Fitting takes at most max_rows rows of each label, chosen by a seeded hash of doc_id (bounded sample), and
-keeps the max_terms terms that tell the labels apart best. Scoring takes every text whole, without a shuffle.
+Fitting takes at most max_rows rows of each label, chosen by a seeded hash of doc_id (bounded sample). Their terms
+are counted by label over the cluster; the machine knows those that tell the labels apart (chi-square), and only these
+come to the driver, each as one number a text. Scoring takes every text whole, without a shuffle.
 
 Texts: null and empty ones have no terms and get the bias alone. Labels that are null are left out; a row
 that repeats trains or scores again. Without rows of both labels every score is the share of positives (0
-without rows). Other columns are ignored. An empty table gives an empty result.
+without rows). Texts with the same terms tie, and a score of 0.5 counts as toxic. Other columns are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -76,18 +78,20 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(text, np.searchsorted(self.term, term), len(offsets) - 1), -30, 30)))
 
 
-def train(text: np.ndarray, term: np.ndarray, label: np.ndarray, max_terms: int, rank: int = 6, epochs: int = 40, rate: float = 0.2, decay: float = 1e-4, seed: int = 3) -> Machine:
+def telling(have: np.ndarray, toxic: np.ndarray, n: int, positives: int) -> np.ndarray:
+    """Which terms tell the labels apart, by chi-square, given in how many texts and in how many positive ones each is: those that chance makes seem so once in 70 times or less."""
+    expected = have * positives / n
+    return (have >= 3) & ((toxic - expected) ** 2 > 6 * np.maximum(expected * (1 - positives / n), 1e-9))
+
+
+def train(text: np.ndarray, term: np.ndarray, label: np.ndarray, rank: int = 6, epochs: int = 40, rate: float = 0.2, decay: float = 1e-4, seed: int = 3) -> Machine:
     """Fit to labelled texts given as pairs of text number and term, ordered by text."""
     n, positives = len(label), int(label.sum())
     if not 0 < positives < n:
         share = min(max(positives / n, 1e-9), 1 - 1e-9) if n else 1e-9
         return Machine(float(np.log(share / (1 - share))), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)))
     have = np.bincount(term, minlength=1 << BITS).astype(float)
-    toxic = np.bincount(term, label[text], 1 << BITS)
-    expected = have * positives / n
-    gain = np.where(have >= 3, (toxic - expected) ** 2 / np.maximum(expected * (1 - positives / n), 1e-9), 0)  # chi-square by term
-    known = np.sort(np.argsort(-gain, kind="stable")[:max_terms])
-    known = known[gain[known] > 6]
+    known = np.flatnonzero(telling(have, np.bincount(term, label[text], 1 << BITS), n, positives))
     keep = np.isin(term, known)
     text, at = text[keep], np.searchsorted(known, term[keep])
     bounds = np.searchsorted(text, np.arange(n + 1))
@@ -117,7 +121,7 @@ def train(text: np.ndarray, term: np.ndarray, label: np.ndarray, max_terms: int,
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 6000, max_terms: int = 4096, seed: int = 17) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 6000, seed: int = 17) -> Machine:
     """A machine from the rows of docs that labels (doc_id, label 0 or 1) covers; at most max_rows of each label, chosen by hash."""
     shared.ship(docs.sparkSession)
     usable = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
@@ -131,16 +135,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
             lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(term, pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), lists], ["doc_id", "y", "terms"])
 
-    sample = rows.select("doc_id", "text", "y").mapInArrow(read, "doc_id long, y int, terms array<int>").toArrow().combine_chunks().sort_by("doc_id")
-    column = sample.column("terms").combine_chunks() if sample.num_rows else pa.array([], pa.list_(pa.int32()))
-    return train(np.repeat(np.arange(sample.num_rows), np.asarray(pc.list_value_length(column))), np.asarray(pc.list_flatten(column)).astype(np.int64), np.asarray(sample.column("y")).astype(float), max_terms)
+    with shared.scratch():
+        sample = shared.spill(rows.select("doc_id", "text", "y").mapInArrow(read, "doc_id long, y int, terms array<int>"), "labelled")
+        n, positives = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+        each = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("have"), F.sum("y").alias("toxic")).where("have >= 3")
+        expected = F.col("have") * positives / max(n, 1)
+        known = each.where((F.col("toxic") - expected) ** 2 > 6 * F.greatest(expected * (1 - positives / max(n, 1)), F.lit(1e-9))).select("term")
+        wanted = np.zeros(1 << BITS, bool)
+        wanted[known.toArrow().column("term").to_numpy()] = True  # 2 ** BITS terms at most
+
+        def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                term, text = pc.list_flatten(b.column("terms")).to_numpy(), pc.list_parent_indices(b.column("terms")).to_numpy()
+                keep = wanted[term]
+                cut = np.searchsorted(text[keep], np.arange(b.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(term[keep], pa.int32()))], ["doc_id", "y", "terms"])
+
+        table = sample.mapInArrow(slim, "doc_id long, y int, terms array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    column = table.column("terms").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
+    return train(np.repeat(np.arange(table.num_rows), np.asarray(pc.list_value_length(column))), np.asarray(pc.list_flatten(column)).astype(np.int64), np.asarray(table.column("y")).astype(float))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 from 0.5 on) of each row of docs."""
     spark = docs.sparkSession
     shared.ship(spark)
-    model = spark.sparkContext.broadcast(machine)  # max_terms rows of a few numbers
+    model = spark.sparkContext.broadcast(machine)  # 2 ** BITS rows of a few numbers at most
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value

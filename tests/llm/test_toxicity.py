@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import math
+import re
 import zlib
 
 import numpy as np
 import pandas as pd
 
-from procloom.llm import queries, toxicity
+from procloom.llm import queries, shared, toxicity
 
 from . import nasty
 
@@ -43,7 +45,7 @@ def test_an_insult_next_to_a_group_is_learnt():
         rows.append(sorted(({1} if a else set()) | ({2} if b else set()) | {int(x) for x in rng.integers(10, 40, 4)}))
         label.append(float(a and b))
     text, term = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([t for r in rows for t in r])
-    m = toxicity.train(text, term, np.array(label), 4096)
+    m = toxicity.train(text, term, np.array(label))
     at = np.array([1, 2])
     alone = [m.margin(np.zeros(1, int), np.searchsorted(m.term, [t]), 1)[0] for t in at]
     both = m.margin(np.zeros(2, int), np.searchsorted(m.term, at), 1)[0]
@@ -59,3 +61,27 @@ def test_nasty_rows_and_no_labels(spark):
     assert all(r["predicted"] == 0 for r in toxicity.score(df, nothing).collect())
     assert toxicity.score(nasty.empty(spark), nothing).count() == 0
     assert toxicity.score(nasty.empty(spark), toxicity.fit(nasty.empty(spark), labels)).count() == 0
+
+
+def by_hand(text, m):
+    """Score of one text by its words, and sums over single terms and over all pairs."""
+    words = re.findall(rb"[a-z\x80-\xff]+", (text or "").lower().encode())
+    found = set()
+    for w in words:
+        for n in (0, *toxicity.BEGINNINGS):
+            if len(w) > n:
+                data = np.frombuffer(w[: n or len(w)], np.uint8)
+                found.add(int((shared.hashes(data, np.array([0]), np.array([len(data)]))[0] + np.uint64(n)) >> np.uint64(64 - toxicity.BITS)))
+    at = [k for k, t in enumerate(m.term.tolist()) if t in found]
+    margin = m.bias + sum(m.weight[i] for i in at) + sum(float(m.factors[i] @ m.factors[j]) for i in at for j in at if i < j)
+    return 1 / (1 + math.exp(-margin))
+
+
+def test_scores_equal_plain_loops_over_pairs(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.fit(docs, labels)
+    assert len(m.term) > 20
+    texts = [r["text"] for r in docs.limit(120).collect()] + nasty.texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(df, m).collect()}
+    assert all(abs(found[k] - by_hand(t, m)) < 1e-9 for k, t in enumerate(texts))
