@@ -127,6 +127,24 @@ def test_crossover_injects_whole_bins_and_never_loses_an_item():
         assert np.bincount(child, lengths).max() <= 1024 and len(child) == 300
 
 
+def test_the_search_beats_best_fit_on_planted_packings():
+    size, how, beaten = 1024, packing.Evolution(), 0
+    for k in range(6):
+        rng = np.random.default_rng(k)
+        two = rng.integers(260, 500, (2, 60))  # with a third each, they fill a bin exactly
+        three = np.vstack([two, size - two.sum(0)])
+        lengths = rng.permutation(three[:, three[2] >= 200].ravel())
+        plain = np.zeros(len(lengths), np.int64)
+        packing.best_fit(lengths, np.argsort(-lengths, kind="stable"), plain, np.zeros(0, np.int64), size)
+        own = [packing.search(lengths, [], size, how, np.random.default_rng(j), plain=j == 0) for j in range(how.islands)]
+        best = max(own, key=lambda b: packing.fitness(lengths, b, size))
+        assert np.bincount(best, lengths).max() <= size
+        found, least = (-packing.fitness(lengths, b, size)[0] for b in (best, plain))
+        assert found <= least
+        beaten += found < least
+    assert beaten >= 4
+
+
 def test_nasty_rows_are_packed(spark, byte):
     df = nasty.docs(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
     whole(packing.pack(packing.pieces(df, BYTE)).collect(), dict(enumerate(nasty.texts())), byte)
