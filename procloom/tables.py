@@ -66,12 +66,13 @@ def scratch() -> Iterator[None]:
             delete(spark, path)
 
 
-def spill(df: DataFrame, name: str, outlast: int = 0) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing. The table outlasts so many scratches around it."""
+def spill(df: DataFrame, name: str, outlast: int = 0, by: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing. The table outlasts so many scratches around it.
+    by: a column whose values get folders of their own, so that a filter on it reads only these."""
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     owners = _open.get()
     if len(owners) > outlast:
         owners[len(owners) - 1 - outlast].append((spark, path))
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
