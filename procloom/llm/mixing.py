@@ -55,16 +55,15 @@ def _tie(seed: int) -> list[Column]:
     return [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id"), F.col("size")]
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 11) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (copies times size) of each row of docs."""
+def _decide(docs: DataFrame, weights: Sequence[float], share: float, max_epochs: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's sizes, copies, and whether it is listed (the copies of all others follow from its source and bucket); and by source whole, last and some: what they follow from."""
     sized = shared.spill(docs.select("doc_id", "source", shared.n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
     per = shared.spill(targets(sized, weights, share, max_epochs), "targets")
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
     one = per.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     one = one.withColumn("whole", F.floor(F.least("rate", F.lit(float(max_epochs))))).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
     hot = F.xxhash64(F.lit(seed), "doc_id")
     rows = sized.join(one.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    rows = rows.withColumn("large", F.col("size") * LARGE > F.col("source_size")).withColumn("bucket", F.when(F.col("large"), -1).otherwise(F.pmod(hot, F.lit(BUCKETS)).cast("int")))
+    rows = rows.withColumn("large", F.col("size") * LARGE > F.col("source_size")).withColumn("bucket", F.when(F.col("large"), -1).otherwise(bucket_of(seed)))
 
     # large documents: at most LARGE a source, in seeded order; each is taken that still fits into the fraction of their words
     many = rows.where("large").groupBy("source").agg(F.array_sort(F.collect_list(F.struct(hot.alias("at"), "doc_id", "row", "size"))).alias("docs"), F.sum("size").alias("words"), F.first(F.col("extra") / F.col("source_size")).alias("fraction"))
@@ -83,24 +82,51 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     buckets = shared.spill(left.select("source", "bucket", F.col("left"), (upto - F.col("words")).alias("before"), upto.alias("after")), "buckets")
     edge = buckets.where("before < left and after > left").select(F.col("source").alias("of"), F.col("bucket").alias("edge"), "left", "before")
-    full = buckets.where("after <= left").groupBy("source").agg(F.max("bucket").alias("last"))
-    cut = full.select(F.col("source").alias("of"), "last")
+    cut = buckets.where("after <= left").groupBy(F.col("source").alias("of")).agg(F.max("bucket").alias("last"))
+    rule = one.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").drop("of").join(edge.select("of", "edge"), F.col("source").eqNullSafe(F.col("of")), "left")
+    rule = shared.spill(rule.select("source", "whole", F.coalesce("last", F.lit(-1)).alias("last"), (F.col("extra") > 0).alias("some"), "edge"), "rules", outlast=1)
 
-    small = rows.where("not large").join(cut, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    small = small.withColumn("more", F.coalesce(F.col("bucket") <= F.col("last"), F.lit(False)) & (F.col("extra") > 0))
+    by = rule.select(F.col("source").alias("of"), "last", "edge")
+    small = rows.where("not large").join(by, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    small = small.withColumn("more", (F.col("bucket") <= F.col("last")) & (F.col("extra") > 0))
     border = rows.where("not large").join(edge, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("edge")))
     inside = Window.partitionBy("source", "bucket").orderBy(*_tie(seed), "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     border = border.withColumn("more_here", F.col("before") + F.sum("size").over(inside) - F.col("size") / 2 <= F.col("left")).where("more_here").select(F.col("row").alias("at"))
     small = small.join(border, F.col("row") == F.col("at"), "left").withColumn("more", F.col("more") | F.col("at").isNotNull())
     keep = ["doc_id", "source", "size", "source_size", "target", "whole", "more"]
-    out = large.select(keep).unionByName(small.select(keep))
+    out = large.select(*keep, F.lit(True).alias("listed")).unionByName(small.select(*keep, F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False)).alias("listed")))
     copies = F.least(F.col("whole") + F.col("more").cast("long"), F.lit(int(max_epochs)))
-    return out.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.withColumn("copies", copies.cast("long")), rule
+
 
+def bucket_of(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BUCKETS)).cast("int")
 
-def mixed(docs: DataFrame, **how: object) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with their columns. doc_id must tell rows apart."""
-    taken = mix(docs, **how).where("copies > 0").select("doc_id", "copies")
-    rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))  # apart, whatever the columns are called
-    rows = rows.join(taken, F.col("id").eqNullSafe(F.col("doc_id")))
-    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 11) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken (copies times size) of each row of docs."""
+    with shared.scratch():
+        out, _ = _decide(docs, weights, share, max_epochs, seed)
+        return shared.spill(out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")), "mix", outlast=1)
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 11) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with their columns. doc_id must tell rows apart.
+
+    No text shuffles: the copies of most rows follow from source and bucket by a table of the sources, and those that are decided one by one
+    (large ones, and one bucket a source) meet a list of them."""
+    with shared.scratch():
+        out, rule = _decide(docs, weights, share, max_epochs, seed)
+        listed = shared.spill(out.where("listed").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_listed")), "listed", outlast=1)
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), bucket_of(seed).alias("_bucket"), F.struct("*").alias("_row"))  # apart, whatever the columns are called
+    small = lambda df: F.broadcast(df) if df.count() <= shared.FEW else df
+    rows = rows.join(small(rule.withColumnsRenamed({c: f"_{c}_by" for c in rule.columns})), F.col("_source").eqNullSafe(F.col("_source_by")))
+    rule_copies = F.least(F.col("_whole_by") + (F.col("_some_by") & (F.col("_bucket") <= F.col("_last_by"))).cast("long"), F.lit(int(max_epochs)))
+    own = listed.withColumnRenamed("_id", "_at")
+    if listed.count() <= shared.FEW:
+        told = rows.join(F.broadcast(own), F.col("_id").eqNullSafe(F.col("_at")), "left")
+    else:
+        clear, some = shared.apart(rows, "_id", listed)
+        told = clear.withColumns({"_at": F.lit(None).cast("long"), "_listed": F.lit(None).cast("long")}).unionByName(some.join(own, F.col("_id").eqNullSafe(F.col("_at")), "left"))
+    told = told.select("_row", F.coalesce("_listed", rule_copies).alias("_copies")).where("_copies > 0")
+    return told.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")

@@ -20,12 +20,12 @@ row. Only doc_id and text are read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procloom.llm import shared
@@ -116,28 +116,9 @@ def describe(docs: DataFrame, how: Paths) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(read, "doc_id long, n long, h1 long, h2 long, tokens array<int>, sketch binary")
 
 
-def picker(keys: DataFrame, key: str, max_bits: int = 1 << 28) -> tuple[Column, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
-    """A column p of rows with a key, and what keeps the rows of batches with p whose key is in keys, and a few others. A bitmap over hashed keys (of max_bits / 8
-    bytes at most) goes to every task, so that rows that no join will take don't shuffle."""
-    bits = min(max_bits, max(1 << 12, 1 << (64 * keys.count()).bit_length()))
-    spot = F.pmod(F.xxhash64(key), F.lit(bits))
-    words = keys.select(spot.alias("p")).groupBy(F.expr("p div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("mask")).toArrow()
-    bitmap = np.zeros(bits // 64, np.int64)
-    bitmap[words.column("word").to_numpy()] = words.column("mask").to_numpy()
-    wanted = keys.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = wanted.value
-        for batch in batches:
-            p = batch.column("p").to_numpy()
-            yield batch.filter(pa.array((bitmap[p >> 6] >> (p & 63).astype(np.uint64)) & _U(1) > 0))
-
-    return spot.alias("p"), keep
-
-
 def among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows whose key is in keys, and a few others."""
-    spot, keep = picker(keys, key)
+    spot, keep = shared.picker(keys, key)
     told = rows.select("*", spot)
     return told.mapInArrow(keep, told.schema).drop("p")
 
@@ -285,7 +266,7 @@ def candidates(members: DataFrame, how: Paths, spanning: bool) -> DataFrame:
 
 def full_sets(docs: DataFrame, pairs: DataFrame, how: Paths) -> DataFrame:
     """(id, set) of the rows of docs whose doc_id is in pairs (a, b), and of a few others; no text shuffles."""
-    spot, keep = picker(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), "id")
+    spot, keep = shared.picker(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), "id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in shared.passes(keep(batches)):
@@ -342,8 +323,17 @@ def near_groups(docs: DataFrame, how: Paths = Paths()) -> DataFrame:
     same = ["n", "h1", "h2"]
     with shared.scratch():
         every = shared.spill(describe(docs, how), "sketches")
-        reps = every.where("n > 0").groupBy(same).agg(F.min("doc_id").alias("id"))
-        member = shared.spill(every.select("doc_id", *same).join(reps, same, "left"), "members")
+        # only sets that occur twice need a look-up; they are written apart from the join, whose rows of a large class can then be split over tasks
+        held = every.where("n > 0").groupBy(same).agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")
+        reps = shared.spill(held, "classes")
+        alone = F.when(F.col("n") > 0, F.coalesce("least", "doc_id"))
+        slim = every.select("doc_id", *same)
+        if reps.count() > shared.FEW:  # sets that occur once pass by the join
+            clear, some = shared.apart(slim.withColumn("key", F.xxhash64(*same)), "key", reps.select(F.xxhash64(*same).alias("key")))
+            joined = some.drop("key").join(reps, same, "left").unionByName(clear.drop("key").withColumn("least", F.lit(None).cast("long")))
+        else:
+            joined = slim.join(F.broadcast(reps), same, "left")
+        member = shared.spill(joined.select("doc_id", *same, alone.alias("id")), "members")
         wanted = member.where("id = doc_id").select("id").distinct()
         chosen = shared.spill(every.withColumnRenamed("doc_id", "id").join(wanted, "id").select("id", "n", "tokens", "sketch"), "classes")
         links, label = None, None
@@ -363,6 +353,5 @@ def near_groups(docs: DataFrame, how: Paths = Paths()) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, how: Paths = Paths()) -> DataFrame:
-    """The rows of docs without all but one document of each group, with their columns."""
-    dropped = near_groups(docs, how).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs without all but one document of each group, with their columns. Rows that can't be dropped don't shuffle."""
+    return shared.without(docs, near_groups(docs, how).where("not kept").select("doc_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ __all__ = ["scratch", "shared_folder", "ship", "spill"]
 
 #: Words of the contracts: runs of anything but space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a few numbers up to which a table is broadcast (some 32 MB as a hash table), and bits of a bitmap that is (16 MB as a table of its words).
+FEW, MAX_BITS = 1_000_000, 1 << 26
 #: Bytes of text that one numpy pass takes; a longer single text goes alone.
 PASS_BYTES = 4 << 20
 
@@ -32,6 +34,47 @@ def sample(df: DataFrame, n: int, seed: int) -> DataFrame:
     return df.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(order, "doc_id").limit(n)
 
 
+def picker(keys: DataFrame, key: str, max_bits: int = 1 << 28) -> tuple[Column, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+    """A column p of rows with a key, and what keeps the rows of batches with p whose key is in keys, and a few others. A bitmap over hashed keys (of max_bits / 8
+    bytes at most) goes to every task, so that rows that no join will take don't shuffle."""
+    bits = min(max_bits, max(1 << 12, 1 << (64 * keys.count()).bit_length()))
+    spot = F.pmod(F.xxhash64(key), F.lit(bits))
+    words = keys.select(spot.alias("p")).groupBy(F.expr("p div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("mask")).toArrow()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("mask").to_numpy()
+    wanted = keys.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = wanted.value
+        for batch in batches:
+            p = batch.column("p").to_numpy()
+            yield batch.filter(pa.array((bitmap[p >> 6] >> (p & 63).astype(np.uint64)) & _U(1) > 0))
+
+    return spot.alias("p"), keep
+
+
+def apart(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key isn't among those of keys, rows whose key may be): a bitmap over hashed keys of MAX_BITS at most goes to the tasks as a table, and no row shuffles."""
+    bits = min(MAX_BITS, max(1 << 12, 1 << (16 * keys.count()).bit_length()))
+    spot = F.pmod(F.xxhash64(key), F.lit(bits))
+    words = spill(keys.select(spot.alias("_spot")).groupBy(F.expr("_spot div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_spot % 64 as int)))").alias("_mask")), "bitmap")
+    told = rows.withColumn("_spot", spot).withColumn("_word", F.expr("_spot div 64")).join(F.broadcast(words), "_word", "left")
+    maybe = F.coalesce(F.expr("shiftright(_mask, cast(_spot % 64 as int)) & 1 = 1"), F.lit(False))
+    return told.where(~maybe).select(rows.columns), told.where(maybe).select(rows.columns)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't among those of ids, with their columns. Up to FEW ids go to every task; of more, only rows that a bitmap over them doesn't clear are joined."""
+    ids = spill(ids.select(F.col("doc_id").alias("_id")).distinct(), "dropped")
+    rows = docs.select(F.col("doc_id").alias("_id"), F.struct("*").alias("_row"))
+    if ids.count() <= FEW:
+        kept = rows.join(F.broadcast(ids), "_id", "left_anti")
+    else:
+        clear, maybe = apart(rows, "_id", ids)
+        kept = clear.unionByName(maybe.join(ids, "_id", "left_anti"))
+    return kept.select("_row.*")
+
+
 def n_words(text: Column) -> Column:
     """Number of words as long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -17,7 +17,7 @@ def shingles(text):
     return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """doc_id -> (n_shingles, component) by all pairs that share a shingle."""
     sets, root, at = {d: shingles(t) for d, t in rows}, {d: d for d, _ in rows}, {}
     for d, s in sets.items():
@@ -36,7 +36,7 @@ def brute(rows):
                 if e < d:
                     shared[e] = shared.get(e, 0) + 1
         for e, both in shared.items():
-            if 100 * both >= 85 * (len(s) + len(sets[e]) - both):
+            if 100 * both >= percent * (len(s) + len(sets[e]) - both):
                 a, b = sorted((find(d), find(e)))
                 root[b] = a
     return {d: (len(sets[d]), find(d)) for d in sets}
