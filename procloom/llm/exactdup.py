@@ -1,13 +1,13 @@
 """Exact deduplication in two passes with a Bloom filter.
 
-Pass one marks k positions for each text's SHA-256. Every task sends the positions it has set, by slice of
-the filter; a slice's own pass adds them up and keeps the bits that were set twice or more. A hash all of
-whose bits are such is possibly repeated. In pass two only possibly repeated rows shuffle, to be grouped by
-their full hash; all others pass straight through as groups of one. False positives only cost a shuffle of
-a few slim rows; the groups themselves are exact.
+Pass one marks k positions for each text's SHA-256. Every task combines its own marks and sends, by slice of the
+filter, positions or, where they take less room, two bitmaps (set, and set again); a slice's own pass adds them up and
+keeps the bits that were set twice or more. A hash all of whose bits are such is possibly repeated. In pass two only
+possibly repeated rows shuffle, to be grouped by their full hash; all others pass straight through as groups of one.
+False positives only cost a shuffle of a few slim rows; the groups themselves are exact.
 
-The filter has 16 bits a row up to max_bits (proven bound of what is broadcast: max_bits / 8 bytes); beyond
-that more rows count as possibly repeated, and the result is the same.
+The filter has 16 bits a row or more at any number of rows: beyond what max_bits allows (max_bits / 8 bytes are
+broadcast), the passes are run by range of the hash, one range after the other.
 
 Texts: null counts as empty, and empty texts are equal to each other. Of equal texts the row with the
 largest doc_id stays; rows that repeat a doc_id count once each. Only doc_id and text are read. An empty
@@ -17,6 +17,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,10 @@ from pyspark.sql import functions as F
 from procloom.llm import shared
 
 SLICE_BITS = 1 << 20
-HASHES = 4
+HASHES = 2
+ROW_BITS = 16
+#: Positions that a task combines at a time.
+COMBINED = 1 << 22
 
 
 def positions(sha: pa.Array, bits: int) -> np.ndarray:
@@ -49,12 +53,33 @@ def repeated_bits(hashed: DataFrame, bits: int) -> DataFrame:
     """(slice, bitmap of the bits that were set twice or more), for slices that have any."""
     size = min(bits, SLICE_BITS)
 
+    def combined(at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, times = np.unique(at, return_counts=True)
+        cut = np.flatnonzero(np.diff(at // size)) + 1
+        for part, n in zip(np.split(at, cut), np.split(times, cut)) if len(at) else ():
+            spot = (part % size).astype(np.uint32)
+            marks, dense = np.r_[spot, spot[n > 1]].tobytes(), False
+            if len(marks) > size // 4:
+                once, again = np.zeros(size, bool), np.zeros(size, bool)
+                once[spot], again[spot[n > 1]] = True, True
+                marks, dense = np.packbits(np.r_[once, again]).tobytes(), True
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[0]) // size]), pa.array([dense]), pa.array([marks], pa.binary())], ["slice", "dense", "marks"])
+
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            at = np.sort(positions(batch.column("text_sha256"), bits).ravel())
-            cut = np.flatnonzero(np.diff(at // size)) + 1
-            for part in np.split(at, cut) if len(at) else []:
-                yield pa.RecordBatch.from_arrays([pa.array([int(part[0]) // size]), pa.array([(part % size).astype(np.uint32).tobytes()], pa.binary())], ["slice", "marks"])
+            held.append(positions(batch.column("text_sha256"), bits).ravel())
+            n += len(held[-1])
+            if n >= COMBINED:
+                yield from combined(np.concatenate(held))
+                held, n = [], 0
+        if held:
+            yield from combined(np.concatenate(held))
+
+    def times(marks: bytes, dense: bool) -> np.ndarray:
+        if dense:
+            return np.unpackbits(np.frombuffer(marks, np.uint8)).reshape(2, size).sum(0, dtype=np.uint8)
+        return twice(np.frombuffer(marks, np.uint32), size)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total = None, np.zeros(size, np.uint8)
@@ -64,25 +89,22 @@ def repeated_bits(hashed: DataFrame, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([np.packbits(total > 1).tobytes()], pa.binary())], ["slice", "bitmap"])
 
         for batch in batches:
-            for k, m in zip(batch.column("slice").to_pylist(), batch.column("marks")):
+            for k, d, m in zip(batch.column("slice").to_pylist(), batch.column("dense").to_pylist(), batch.column("marks")):
                 if k != key:
                     yield from row()
                     key, total = k, np.zeros(size, np.uint8)
-                total = np.minimum(total + twice(np.frombuffer(m.as_py(), np.uint32), size), 2)
+                total = np.minimum(total + times(m.as_py(), d), 2)
         yield from row()
 
     # each slice is one key; its rows stream through in order, so a task holds one slice at a time
-    return hashed.mapInArrow(marks, "slice long, marks binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(merged, "slice long, bitmap binary")
+    return hashed.select("text_sha256").mapInArrow(marks, "slice long, dense boolean, marks binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(merged, "slice long, bitmap binary")
 
 
-def exact_groups(docs: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of each row of docs. max_bits: a power of two that bounds the filter (2**28: 32 MB)."""
-    spark = docs.sparkSession
-    shared.ship(spark)
-    hashed = shared.spill(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")), "hashes")
-    bits = min(max_bits, max(1 << 12, 1 << (16 * hashed.count()).bit_length()))
+def possibly_repeated(hashed: DataFrame, bits: int) -> DataFrame:
+    """The rows of hashed (doc_id, text_sha256) with again: false where the filter of so many bits tells that no other row has the hash."""
+    spark = hashed.sparkSession
     size = min(bits, SLICE_BITS)
-    found = {r["slice"]: bytes(r["bitmap"]) for r in repeated_bits(hashed, bits).collect()}  # max_bits / 8 bytes at most
+    found = {r["slice"]: bytes(r["bitmap"]) for r in repeated_bits(hashed, bits).collect()}  # bits / 8 bytes at most
     shared_bits = spark.sparkContext.broadcast(found)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,10 +116,28 @@ def exact_groups(docs: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
             again = ((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(again)], ["doc_id", "text_sha256", "again"])
 
-    seen = shared.spill(hashed.mapInArrow(marked, "doc_id long, text_sha256 string, again boolean"), "marked")
-    again = seen.where("again").drop("again")
-    groups = again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    groups = shared.spill(groups, "groups")  # apart from the join, whose rows of a large group can then be split over tasks
+    out = shared.spill(hashed.mapInArrow(marked, "doc_id long, text_sha256 string, again boolean"), "marked", outlast=1)
+    shared_bits.unpersist()
+    return out
+
+
+def exact_groups(docs: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of each row of docs. max_bits: a power of two from 64 on that bounds the filter of a pass (2**28: 32 MB)."""
+    shared.ship(docs.sparkSession)
+    with shared.scratch():
+        hashed = shared.spill(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")), "hashes")
+        need = max(1 << 12, 1 << (ROW_BITS * hashed.count()).bit_length())
+        ranges = min(max(1, need // max_bits), 1 << 16)
+        if ranges == 1:
+            seen = possibly_repeated(hashed, need)
+        else:
+            at = F.pmod(F.conv(F.substring("text_sha256", 1, 4), 16, 10).cast("int"), F.lit(ranges))
+            dealt = shared.spill(hashed.withColumn("range", at), "dealt", by="range")
+            parts = [possibly_repeated(dealt.where(F.col("range") == k).drop("range"), max_bits) for k in range(ranges)]
+            seen = reduce(DataFrame.unionByName, parts)
+        again = seen.where("again").drop("again")
+        groups = again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+        groups = shared.spill(groups, "groups", outlast=1)  # apart from the join, whose rows of a large group can then be split over tasks
     out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     alone = F.col("group_size").isNull()
     grouped = (
@@ -111,6 +151,7 @@ def exact_groups(docs: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
 
 
 def drop_exact(docs: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
-    """The rows of docs without the copies, with their columns. doc_id must tell rows apart: rows of a dropped doc_id go."""
-    dropped = exact_groups(docs, max_bits).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs without the copies, with their columns. doc_id must tell rows apart: rows of a dropped doc_id go. Rows that can't be dropped don't shuffle."""
+    with shared.scratch():
+        dropped = shared.spill(exact_groups(docs, max_bits).where("not kept").select("doc_id"), "copies", outlast=1)
+    return shared.without(docs, dropped)

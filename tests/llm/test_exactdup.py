@@ -4,6 +4,7 @@ import hashlib
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from procloom.llm import exactdup, queries
 
@@ -42,3 +43,20 @@ def test_nasty_rows(spark):
     kept = exactdup.drop_exact(df)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {None, *range(len(nasty.texts()))} - {0, 6}
     assert exactdup.exact_groups(nasty.empty(spark)).count() == 0 and exactdup.drop_exact(nasty.empty(spark)).count() == 0
+
+
+def test_only_possibly_repeated_rows_shuffle_at_any_number_of_ranges(spark, monkeypatch):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, F.lit("same")).otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
+    shares = []
+    real = exactdup.possibly_repeated
+
+    def watch(hashed, bits):
+        out = real(hashed, bits)
+        shares.append((out.count(), out.where("again").count(), bits))
+        return out
+
+    monkeypatch.setattr(exactdup, "possibly_repeated", watch)
+    found = exactdup.exact_groups(docs, max_bits=1 << 17).groupBy("group_size").count().collect()
+    assert {tuple(r) for r in found} == {(200, 200), (1, 19_800)}
+    assert len(shares) == 4 and sum(n for n, _, _ in shares) == 20_000 and all(16 * n <= 2 * bits for n, _, bits in shares)
+    assert 200 <= sum(a for _, a, _ in shares) <= 200 + 0.05 * 20_000
