@@ -12,6 +12,12 @@ A pass over many texts is one stream of symbols in chunks of equal length. Every
 each word starts anew. All fixed parts are run side by side, one numpy step per column; then a scan over
 the chunks composes the maps, feeding each exit state into the next chunk's head.
 
+A very long word (over LONG symbols, such as base64) has no fixed parts and brings out a new state at nearly every
+symbol. It is read by the same recurrence without compiled states: the state is the window of last tokens in reach.
+All chunks of it run side by side, each from the state that the WARM symbols before it lead to, as such states soon
+coincide. Then the maps are composed: where a chunk's entry isn't its predecessor's exit, the chunk runs again from
+that, all such chunks at once, until the chain holds; what a chunk has run from is kept, so none runs twice from one state.
+
 Texts: null counts as empty and has no tokens. Any length of text or word is taken whole. Rows that repeat
 are counted alike each time. Other columns are ignored. An empty table gives an empty result.
 """
@@ -29,6 +35,8 @@ from pyspark.sql import DataFrame
 from procloom.llm import shared
 
 CHUNK = 512
+#: Symbols from which a word is read without compiled states, its symbols at a time, and the symbols that a chunk reads ahead of its own.
+LONG, BLOCK, WARM = 4096, 1 << 20, 64
 #: Cells (states times symbols) after which a worker's table starts afresh, which bounds its memory to about 400 MB.
 MOST_CELLS = 1 << 25
 _END = "\0"
@@ -66,6 +74,19 @@ class Transducer:
         self.begins = {t[:k] for t in self.token for k in range(1, len(t))}
         self.symbols = byte_symbols()
         self.kinds = kinds()
+        byte = {c: b for b, c in enumerate(self.symbols)}
+        self.length = np.array([len(self.text.get(i, "").replace(_END, "")) for i in range(max(self.text) + 1)])
+        self.longest = int(self.length.max())
+        self.final = {bytes(byte[c] for c in t[:-1]): i for t, i in self.token.items() if t.endswith(_END) and all(c in byte for c in t[:-1])}
+        inner: dict[int, list[tuple[bytes, int]]] = {}
+        for t, i in self.token.items():
+            if not t.endswith(_END) and all(c in byte for c in t):
+                inner.setdefault(len(t), []).append((bytes(byte[c] for c in t), i))
+        self.inner = {}  # by length: hashes of tokens within a word, ascending, and their ids
+        for n, found in inner.items():
+            h = shared.hashes(np.frombuffer(b"".join(b for b, _ in found), np.uint8), np.arange(0, n * len(found), n), np.arange(n, n * len(found) + 1, n))
+            order = np.argsort(h)
+            self.inner[n] = h[order], np.array([i for _, i in found], np.int32)[order]
         self.reset()
 
     def reset(self) -> None:
@@ -150,8 +171,99 @@ class Transducer:
             states = after
         return states
 
-    def counts(self, stream: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
-        """Change of the token count at each symbol of a stream."""
+    def candidates(self, data: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(length, token that ends at each position or -1), longest first, for lengths of which some token is in data."""
+        out = []
+        for n in sorted(self.inner, reverse=True):
+            h, ids = self.inner[n]
+            if n <= len(data):
+                own = shared.hashes(data, np.arange(len(data) - n + 1), np.arange(n, len(data) + 1))
+                at = np.minimum(np.searchsorted(h, own), len(h) - 1)
+                hit = h[at] == own
+                if hit.any():
+                    told = np.full(len(data), -1, np.int32)
+                    told[n - 1 :][hit] = ids[at[hit]]
+                    out.append((n, told))
+        return out
+
+    def follow(self, choices: list[tuple[int, np.ndarray]], starts: np.ndarray, steps: int, window: np.ndarray, size: int) -> np.ndarray:
+        """Last tokens at each of so many positions from starts on, one row a lane, behind its window of last tokens (-1 is a word's start, -2 nothing)."""
+        w = window.shape[1]
+        last = np.hstack([window, np.full((len(starts), steps), -2, np.int32)])
+        for j in range(steps):
+            here = starts + j
+            open_ = np.flatnonzero(here < size)
+            for n, told in choices:
+                token, before = told[here[open_]], last[open_, w + j - n] if n <= w + j else np.full(len(open_), -2)
+                may = np.flatnonzero((token >= 0) & (before > -2))
+                if len(may):
+                    good = may[[self.fit(b, t) for b, t in zip(before[may].tolist(), token[may].tolist())]]
+                    last[open_[good], w + j] = token[good]
+                    open_ = np.delete(open_, good)
+                    if not len(open_):
+                        break
+            if (here[open_] < size).any():
+                raise ValueError("the vocabulary lacks a token for a byte")
+        return last
+
+    def long_word(self, data: np.ndarray, chunk: int = CHUNK, block: int = BLOCK) -> int:
+        """Number of tokens of one word, given by its bytes."""
+        w, n = self.longest, len(data)
+        tokens = np.zeros(n, np.int32)
+        carry = np.full((1, w), -2, np.int32)
+        carry[0, -1] = -1
+        for base in range(0, n - 1, block):  # all but the word's last byte, whose token bears the end
+            stop = min(n - 1, base + block)
+            lead = min(base, w)  # tokens may begin before the block
+            choices = [(k, told[lead:]) for k, told in self.candidates(data[base - lead : stop])]
+            size, warm = stop - base, max(WARM, w)
+            lanes = -(-size // chunk)
+            choices = [(k, np.r_[told, np.full(lanes * chunk - size, -1, np.int32)]) for k, told in choices]  # lanes of one length; what is past the end is cut off
+            starts = np.arange(lanes) * chunk
+            entry = np.full((lanes, w), -2, np.int32)  # as if a word began there
+            entry[:, -1], entry[0] = -1, carry[0]
+            late = np.flatnonzero(starts >= warm)
+            if len(late):
+                entry[late] = self.follow(choices, starts[late] - warm, warm, entry[late], size)[:, -w:]
+            known: list[dict[bytes, np.ndarray]] = [{} for _ in range(lanes)]
+            todo = np.arange(lanes)
+            run = np.zeros((lanes, chunk), np.int32)
+            while len(todo):
+                new = np.array([k for k in todo.tolist() if entry[k].tobytes() not in known[k]], np.int64)
+                if len(new):
+                    for k, row in zip(new.tolist(), self.follow(choices, starts[new], chunk, entry[new], size)[:, w:]):
+                        known[k][entry[k].tobytes()] = row
+                for k in todo.tolist():
+                    run[k] = known[k][entry[k].tobytes()]
+                exits = np.hstack([entry, run])[:, -w:]
+                todo = 1 + np.flatnonzero((entry[1:] != exits[:-1]).any(1))
+                entry[todo] = exits[todo - 1]
+            tokens[base:stop] = run.reshape(-1)[:size]
+            carry = np.hstack([entry, run]).reshape(lanes, -1)[-1:, : w + size - (lanes - 1) * chunk][:, -w:]
+        raw = data.tobytes()
+        for k in range(min(n, w), 0, -1):
+            token = self.final.get(raw[n - k :])
+            if token is not None and self.fit(int(tokens[n - k - 1]) if n > k else -1, token):
+                break
+        else:
+            raise ValueError("the vocabulary lacks a token for a last byte")
+        count, at, size = 1, n - k, self.length[tokens].tolist()
+        while at > 0:
+            count, at = count + 1, at - size[at - 1]
+        return count
+
+    def counts(self, stream: np.ndarray, chunk: int = CHUNK, long: int = LONG) -> np.ndarray:
+        """Change of the token count at each symbol of a stream; that of a long word is told at its last."""
+        ends = np.flatnonzero(stream >= 256)
+        sizes = np.diff(ends, prepend=-1)
+        large = np.flatnonzero(sizes > long)
+        if len(large):
+            out, rest = np.zeros(len(stream), np.int64), np.ones(len(stream), bool)
+            for end, size in zip(ends[large].tolist(), sizes[large].tolist()):
+                out[end] = self.long_word((stream[end + 1 - size : end + 1] & 255).astype(np.uint8), chunk)
+                rest[end + 1 - size : end + 1] = False
+            out[rest] = self.counts(stream[rest], chunk, long)
+            return out
         n = len(stream)
         if not n:
             return np.zeros(0, np.int64)
@@ -212,7 +324,7 @@ class Transducer:
         keep = kind[point] != _SPACE
         return (data + 256 * (ends[point] & final).astype(np.int64))[keep], point[keep]
 
-    def tokens(self, texts: list[str], chunk: int = CHUNK) -> np.ndarray:
+    def tokens(self, texts: list[str], chunk: int = CHUNK, long: int = LONG) -> np.ndarray:
         """Number of tokens of each text."""
         extra = np.zeros(len(texts), np.int64)
         parts: list[str] = []
@@ -227,7 +339,7 @@ class Transducer:
             of += [k] * len(pieces)
         lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
         stream, point = self.symbols_of("\n".join(parts))
-        total = np.r_[0, np.cumsum(self.counts(stream, chunk))]
+        total = np.r_[0, np.cumsum(self.counts(stream, chunk, long))]
         cut = np.searchsorted(point, np.r_[0, np.cumsum(lengths)])
         return extra + np.bincount(of, total[cut[1:]] - total[cut[:-1]], len(texts)).astype(np.int64)
 

@@ -45,6 +45,24 @@ def test_hard_texts(word, text):
         assert tokencount.machine(WORD).tokens([text, "", text], chunk=chunk).tolist() == [library(word, text), 0, library(word, text)]
 
 
+@SLOW
+@given(st.text(alphabet="aeinrstx'é0漢", min_size=1, max_size=200), st.sampled_from([7, 40]))
+def test_long_words_count_as_the_library(word, text, chunk):
+    m = tokencount.machine(WORD)
+    assert m.tokens([text, text * 3], chunk=chunk, long=5).tolist() == [library(word, text), library(word, text * 3)]
+    data = np.frombuffer(m.normal("".join(c for c in text if c.isalpha()) or "a").encode(), np.uint8)
+    if m.kinds[[ord(c) for c in data.tobytes().decode()]].tolist() == [2] * len(data.tobytes().decode()):
+        assert m.long_word(data, chunk, block=50) == library(word, data.tobytes().decode())
+
+
+@pytest.mark.parametrize("text", ["".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=300_000)), "x" * 300_000, "ab" * 100_000 + " and " + "abc" * 3000])
+def test_a_very_long_word(word, text):
+    m = tokencount.machine(WORD)
+    before = len(m.states)
+    assert m.tokens([text, "a b"]).tolist() == [library(word, text), library(word, "a b")]
+    assert len(m.states) < before + 1000
+
+
 def test_query_counts_as_the_library(spark, word):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     found = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in queries.op10_token_counts(spark, SF).collect()}
