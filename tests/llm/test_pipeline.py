@@ -42,7 +42,7 @@ def test_each_stage_equals_brute_force(spark):
         last[r["text"] or ""] = max(r["doc_id"], last.get(r["text"] or "", -1))
     wanted = [r for r in wanted if last[r["text"] or ""] == r["doc_id"]]
     assert rows(unique) == sorted(map(tuple, wanted), key=repr)
-    comp = groups([(r["doc_id"], r["text"]) for r in wanted])
+    comp = groups([(r["doc_id"], r["text"]) for r in wanted], corpus_pipeline.SIMILARITY)
     wanted = [r for r in wanted if comp[r["doc_id"]][1] == r["doc_id"]]
     assert rows(single) == sorted(map(tuple, wanted), key=repr)
     assert mixed.columns == docs.columns
@@ -86,3 +86,21 @@ def test_nasty_rows(spark):
     for out in staged(spark, df)[:-1]:
         assert out.columns == df.columns
     assert all(out.count() == 0 for out in staged(spark, nasty.empty(spark)))
+
+
+def test_run_on_nasty_rows(spark, tmp_path):
+    for name, df in (("rows", nasty.docs(spark).where("doc_id is null or doc_id <> 6")), ("none", nasty.empty(spark))):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "rows")).collect()
+    long, base = [k for k, t in enumerate(nasty.texts()) if t and len(t) > 100_000], nasty.texts().index(nasty.texts()[7])
+    assert {r["doc_id"] for r in out} <= {*long, base, base + 1, base + 2, base + 3} and {r["doc_id"] for r in out} & set(long)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_near_copies_from_four_fifths_on_go(spark):
+    words = [f"w{k}" for k in range(104)]
+    near, far = list(words), list(words)
+    near[20] = near[50] = "other"  # 90 of 110 shingles in common
+    far[10] = far[35] = far[70] = "else"  # 85 of 115
+    docs = spark.createDataFrame([(1, " ".join(words), "en", "a", 1), (2, " ".join(near), "en", "a", 1), (3, " ".join(far), "en", "b", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).orderBy("doc_id").collect()] == [1, 3]
