@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last
 return the columns of documents; the mix repeats rows that it takes twice. Stages hand over as Parquet in
-the shared folder, so a lost executor costs no finished stage.
+the shared folder, so a lost executor costs no finished stage; each table is deleted when the run is done with it.
+
+Rows: a null text counts as empty, has too few words for the quality rules, and goes there, like empty ones and those
+of white space. A null source is a source of its own, last in order; null lang and n_chars, and columns beyond those of
+documents, whatever their names, pass along. Texts of any length are taken whole. Of equal texts the greatest doc_id stays,
+of near copies the smallest; rows that repeat a doc_id go or stay together, and doc_id is taken to tell rows apart otherwise.
+A null doc_id is never dropped as a copy. Equal words for the mix are decided by a seeded hash, then doc_id. Empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -15,6 +22,10 @@ from procloom.llm import exactdup, mixing, neardup, packing, quality, shared
 from procloom.llm.queries import vocabulary
 
 
+#: Percent of similarity from which documents are near copies, by 5-word shingles.
+SIMILARITY = 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.filter_quality(docs)
 
@@ -24,7 +35,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.drop_near(docs)
+    return neardup.drop_near(docs, neardup.Paths(percent=SIMILARITY))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +60,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = shared.spill(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with shared.scratch():
+        for name, stage in STAGES:
+            docs = shared.spill(stage(spark, docs, sf_dir), name, outlast=int(name == STAGES[-1][0]))
+    return docs
