@@ -40,16 +40,24 @@ def utf16_length(text: Column) -> Column:
 def token_parts(text: Column) -> tuple[Column, Column, Column]:
     """Numbers of Han, ASCII and other characters."""
     text = F.coalesce(text, F.lit(""))
-    han = F.length(F.regexp_replace(text, r"[^\p{IsHan}]", ""))
-    ascii_ = F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
+    han = F.length(F.regexp_replace(text, r"[^\p{IsHan}]+", ""))
+    ascii_ = F.length(F.regexp_replace(text, r"[^\x00-\x7F]+", ""))
     return han.cast("long"), ascii_.cast("long"), (F.length(text) - han - ascii_).cast("long")
 
 
-def estimate_tokens(text: Column) -> Column:
-    han, ascii_, other = token_parts(text)
+def tokens_of(han: Column, ascii_: Column, other: Column) -> Column:
     return F.ceil(han / F.lit(HAN_PER_TOKEN) + ascii_ / F.lit(ASCII_PER_TOKEN) + other).cast("long")
 
 
+def estimate_tokens(text: Column) -> Column:
+    return tokens_of(*token_parts(text))
+
+
+def coordinate(value: Column) -> Column:
+    """A number as text with two decimals at most and no trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.2f", value), r"0+$", ""), r"\.$", "")
+
+
 def budget_status(used: Column, limit: Column) -> Column:
     """State of a budget; a limit of 0 or less is always exceeded."""
     ratio = F.when(limit > 0, used / limit).otherwise(F.lit(float("inf")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procloom.functions import columns as C
@@ -18,9 +18,9 @@ BLOCKS_PER_BATCH = 12
 
 def context_budgets(texts: DataFrame, limit: int) -> DataFrame:
     """grp, fixed, content, metadata, total, ratio, status of texts (grp, role, text): the sum of each text's own estimate, by role."""
-    tokens = C.estimate_tokens(F.col("text"))
-    part = lambda r: F.coalesce(F.sum(F.when(F.col("role") == r, tokens)), F.lit(0)).alias(r)
-    out = texts.groupBy("grp").agg(*[part(r) for r in ("fixed", "content", "metadata")])
+    told = texts.select("grp", "role", C.estimate_tokens(F.col("text")).alias("tokens"))  # once, not for each role
+    part = lambda r: F.coalesce(F.sum(F.when(F.col("role") == r, F.col("tokens"))), F.lit(0)).alias(r)
+    out = told.groupBy("grp").agg(*[part(r) for r in ("fixed", "content", "metadata")])
     out = out.withColumn("total", F.col("fixed") + F.col("content") + F.col("metadata"))
     return out.withColumn("ratio", F.round(F.col("total") / F.lit(float(limit)), 6)).withColumn("status", C.budget_status(F.col("total").cast("double"), F.lit(float(limit))))
 
@@ -73,6 +73,11 @@ def rule_packet(wanted: DataFrame, sections: DataFrame, limit: int = 2000) -> Da
     return packet.select("packet_tokens", F.inline("rules")).withColumn("status", C.budget_status(F.col("packet_tokens").cast("double"), F.lit(float(limit))))
 
 
+def ordered_chunks(chunks: DataFrame) -> DataFrame:
+    """chunks (grp, name, sha, chunk_id) with place: their order in their group by name as people sort it (case and accents last), then sha and id."""
+    return chunks.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(F.collate(F.col("name"), "UNICODE"), "sha", "chunk_id")))
+
+
 def stage_tasks(packets: DataFrame) -> DataFrame:
     """packets (status, budget_status, ...) with runnable."""
     return packets.withColumn("runnable", (F.col("status") != "BLOCKED") & (F.col("budget_status") != C.BUDGET_SPLIT))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from procloom.functions import columns as C
@@ -31,3 +31,8 @@ def discover(blocks: DataFrame) -> DataFrame:
         F.min_by(C.derived_name(F.col("heading"), F.col("process_key")), F.struct("line_start", "heading")).alias("name"),
         F.min_by(level, F.when(level != "", F.struct("line_start", "heading"))).alias("level"), (F.bool_or(F.coalesce(activities, F.lit(False))) & F.bool_or(F.coalesce(flow, F.lit(False))) & F.bool_or(end)).alias("complete"),
     )
+
+
+def ordered(candidates: DataFrame) -> DataFrame:
+    """candidates (grp, line_start, process_key, ...) with place: in the order of the document, those without a line last."""
+    return candidates.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("line_start").asc_nulls_last(), "process_key")))

@@ -186,3 +186,54 @@ def coverage_drops(items: DataFrame) -> DataFrame:
     union = proper.groupBy("group_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_set("part"))).alias("covered"))
     gone = items.join(union, ["group_id", "item_id"], "left")
     return gone.select("group_id", "item_id", F.coalesce(F.size(F.array_except("topics", "covered")) == 0, F.lit(False)).alias("dropped"))
+
+
+def ordered(facts: DataFrame) -> DataFrame:
+    """facts (grp, kind, process_key, subject_key, label, fact_id) with place: a stable order by these, whatever order they came in."""
+    keys = [F.coalesce(c, F.lit("")) for c in ("kind", "process_key", "subject_key", "label", "fact_id")]
+    return facts.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(*keys)))
+
+
+#: Levels that a process card may have, and those of leaves.
+CARD_LEVELS, LEAF_LEVELS = ["L1", "L2", "L3", "L4", "L5"], ["L4", "L5"]
+CARD_KINDS = ["PROCESS_NAME", "PROCESS_LEVEL", "PROCESS_OWNER", "PROCESS_PURPOSE"]
+
+
+def card_fields(facts: DataFrame) -> DataFrame:
+    """g, kind, value, certainty, is_leaf, question of each process (facts: g, pos, kind, label, certainty) and kind that a card needs.
+
+    An explicit fact counts first, else the first; a value that isn't explicit, or is missing, raises a question. A level outside L1 to L5 doesn't count; without one, L4 is the working value."""
+    wanted = facts.select("g").distinct().withColumn("kind", F.explode(F.array(*map(F.lit, CARD_KINDS))))
+    certainty = F.coalesce("certainty", F.lit("EXPLICIT"))
+    usable = facts.where((F.col("kind") != "PROCESS_LEVEL") | F.col("label").isin(*CARD_LEVELS))
+    chosen = usable.groupBy("g", "kind").agg(F.min_by(F.struct("label", certainty.alias("certainty")), F.struct(certainty != "EXPLICIT", "pos")).alias("c"))
+    told = wanted.join(chosen, ["g", "kind"], "left")
+    level = F.col("kind") == "PROCESS_LEVEL"
+    sure = F.coalesce("c.certainty", F.lit("MISSING"))
+    return told.select(
+        "g", "kind", F.when(level, F.coalesce("c.label", F.lit("L4"))).otherwise(F.col("c.label")).alias("value"), sure.alias("certainty"),
+        F.when(level, F.coalesce(F.col("c.label").isin(*LEAF_LEVELS), F.lit(False))).alias("is_leaf"), (sure != "EXPLICIT").alias("question"),
+    )
+
+
+def aggregate_siblings(facts: DataFrame) -> DataFrame:
+    """The facts (g, pos, kind, subject_key, label, evidence_refs) of a catalogue with inputs, outputs, responsibilities, completion_criteria, sla and merged evidence_refs
+    of activities and roles. Facts that tell of an activity (inputs, outputs, durations, conditions) or a role (responsibilities) go into the last one with their subject; the
+    last duration counts, and lists keep all entries in order. Facts of a subject that isn't there stay."""
+    kind = F.col("kind")
+    side = F.when(kind == "RESPONSIBILITY", "ROLE").when(kind.isin("INPUT", "OUTPUT", "SLA", "CONFIRMATION_CONDITION"), "ACTIVITY")
+    targets = facts.where(kind.isin("ACTIVITY", "ROLE")).groupBy("g", "subject_key", kind.alias("side")).agg(F.max("pos").alias("target"))
+    told = facts.withColumn("side", side).join(targets, ["g", "subject_key", "side"], "left")
+    gone = told.where("target is not null")
+    each = lambda k: F.transform(F.filter("said", lambda x: x["kind"] == k), lambda x: x["label"])
+    none = F.array().cast("array<string>")
+    slas = F.filter("said", lambda x: x["kind"] == "SLA")
+    by = gone.groupBy("g", F.col("target").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "label", F.coalesce("evidence_refs", none).alias("refs")))).alias("said"))  # facts on one activity
+    rest = told.where("target is null").select("g", "pos", "kind", "subject_key", "label", "evidence_refs").join(by, ["g", "pos"], "left").withColumn("said", F.coalesce("said", F.expr("filter(array(struct(0L AS pos, '' AS kind, '' AS label, array('') AS refs)), x -> false)")))
+    own = lambda side, value: F.when(kind == side, value)
+    criteria = F.flatten(F.transform(each("CONFIRMATION_CONDITION"), lambda t: F.filter(F.transform(F.split(t, "[、,，]"), lambda v: F.trim(v)), lambda v: v != "")))
+    return rest.select(
+        "g", "pos", "kind", "subject_key", "label", own("ACTIVITY", each("INPUT")).alias("inputs"), own("ACTIVITY", each("OUTPUT")).alias("outputs"), own("ROLE", each("RESPONSIBILITY")).alias("responsibilities"),
+        own("ACTIVITY", criteria).alias("completion_criteria"), own("ACTIVITY", C.parse_sla(F.try_element_at(slas, F.lit(-1))["label"])["value"]).alias("sla_value"),
+        F.array_distinct(F.concat(F.coalesce("evidence_refs", none), F.flatten(F.transform("said", lambda x: x["refs"])))).alias("evidence_refs"),
+    )

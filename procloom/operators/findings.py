@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SUCCESS = ("SUCCEEDED", "SUCCEEDED_WITH_WARNINGS")
@@ -69,6 +69,11 @@ def section(rule: Column) -> Column:
     return out
 
 
+def ordered(findings: DataFrame) -> DataFrame:
+    """findings (run_id, rule_id, targets, ...) with place: their order in their run by rule and first target; of equals as pos has them."""
+    return findings.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy("rule_id", F.get("targets", F.lit(0)), "pos")))
+
+
 def report_sections(findings: DataFrame) -> DataFrame:
     """run_id, section, severity, n, n_confirm of findings (run_id, rule_id, severity, confirm)."""
     return findings.groupBy("run_id", section(F.col("rule_id")).alias("section"), "severity").agg(F.count("*").alias("n"), F.count_if("confirm").alias("n_confirm"))

@@ -15,12 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procloom import workers
 from procloom.functions import columns as C
-from procloom.operators.splitting import MAX_BLOCKS, MAX_CHARS, fragments, greedy_join
+from procloom.operators.splitting import MAX_BLOCKS, MAX_CHARS, fragments, greedy_join, split_blocks
 from procloom.tables import scratch, spill
 
 #: Units in a segment, and summaries that one task composes.
@@ -203,13 +203,41 @@ def evidence_batches(docs: DataFrame, max_chars: int = MAX_CHARS, max_blocks: in
     return measured.join(placed, F.col("grp").eqNullSafe(F.col("g")) & (F.col("ord") == F.col("o"))).drop("g", "o")
 
 
-def batches_by_group(docs: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """grp, n_docs, n_batches, n_split, tokens: how many batches each group's documents make, and how many documents had to be cut."""
-    placed = evidence_batches(docs, max_chars)
-    big = F.col("chars") > max_chars
-    return placed.groupBy("grp").agg(
-        F.count("*").alias("n_docs"), (F.max("batch_no") + 1 + F.sum(F.col("sub_batches") - 1)).cast("long").alias("n_batches"), F.count_if(big).alias("n_split"), F.sum("tokens").alias("tokens")
-    )
+def batch_members(blocks: DataFrame, max_chars: int = MAX_CHARS, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """The blocks (run, artifact, pos, block_id, artifact_sha256, modality, content), with visual, batch_no, sub_no: their batch.
+
+    A visual block is a batch of its own. Of the others, whole artifacts are packed in order; one that exceeds a limit shares no batch and is packed by
+    itself, with blocks over max_chars cut."""
+    sized = blocks.withColumn("content", F.coalesce("content", F.lit(""))).withColumn("visual", F.coalesce(F.col("modality") == "VISUAL_ASSET", F.lit(False)))
+    pictures = sized.where("visual").withColumns({"batch_no": F.col("pos").cast("long"), "sub_no": F.lit(0).cast("long")})
+    texts = sized.where("not visual")
+    groups = texts.groupBy("run", "artifact").agg(F.min("pos").alias("ord"), F.count("*").alias("blocks"), F.sum(C.utf16_length(F.col("content"))).alias("chars"))
+    placed = greedy(groups.select(F.col("run").alias("grp"), "ord", "blocks", "chars"), max_blocks, max_chars)
+    told = groups.join(placed.withColumnRenamed("grp", "run"), ["run", "ord"]).select("run", "artifact", "batch_no", ((F.col("blocks") > max_blocks) | (F.col("chars") > max_chars)).alias("large"))
+    rows = texts.join(told, ["run", "artifact"])
+    cut = split_blocks(rows.where("large"), max_chars).withColumn("ord", F.col("pos") * (1 << 20) + F.col("fragment"))
+    inner = greedy(cut.select(F.concat_ws("\0", "run", "artifact").alias("grp"), "ord", F.lit(1).cast("long").alias("blocks"), C.utf16_length(F.col("content")).alias("chars")), max_blocks, max_chars)
+    inner = inner.withColumnsRenamed({"grp": "g", "batch_no": "sub_no"})
+    cut = cut.join(inner, ["ord"]).where(F.concat_ws("\0", "run", "artifact") == F.col("g"))
+    names = [*sized.columns, "batch_no", "sub_no"]
+    return pictures.select(names).unionByName(rows.where("not large").withColumn("sub_no", F.lit(0).cast("long")).select(names)).unionByName(cut.select(names))
+
+
+def batches(blocks: DataFrame, max_chars: int = MAX_CHARS, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """run, no, batch_id, batch_sha256, n_blocks, chars, tokens, status, modality_mix (in order of appearance), artifacts (sorted) of the batches of blocks, visual ones first."""
+    members = batch_members(blocks, max_chars, max_blocks)
+    text = F.col("content")
+    han, ascii_, other = C.token_parts(text)
+    joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")  # a batch has max_blocks blocks at most
+    told = members.groupBy("run", "visual", "batch_no", "sub_no").agg(
+        C.prefixed_id("EB", joined("block_id")).alias("batch_id"), F.sha2(joined(F.sha2(text, 256)), 256).alias("batch_sha256"), F.count("*").alias("n_blocks"), F.sum(C.utf16_length(text)).alias("chars"),
+        C.tokens_of(F.sum(han), F.sum(ascii_) + F.count("*") - 1, F.sum(other)).alias("tokens"),
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "modality"))), lambda x: x["modality"])).alias("modality_mix"),
+        F.array_sort(F.collect_set("artifact")).alias("artifacts"),
+    )
+    order = Window.partitionBy("run").orderBy(F.desc("visual"), "batch_no", "sub_no")
+    limit = F.lit(float(C.token_limit(max_chars)))
+    return told.select("run", F.row_number().over(order).alias("no"), "batch_id", "batch_sha256", "n_blocks", "chars", "tokens", C.budget_status(F.col("tokens").cast("double"), limit).alias("status"), "modality_mix", "artifacts")
 
 
 def batch_ids(members: DataFrame) -> DataFrame:
@@ -232,4 +260,4 @@ def material_packets(chunks: DataFrame, allowed: list[str], max_tokens: int = 48
     ).withColumnRenamed("batch_no", "packet_no")
 
 
-__all__ = ["batch_ids", "batches_by_group", "evidence_batches", "fold", "greedy", "greedy_join", "material_packets"]
+__all__ = ["batch_ids", "batch_members", "batches", "evidence_batches", "fold", "greedy", "greedy_join", "material_packets"]

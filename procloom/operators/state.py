@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,3 +135,30 @@ def quickstart(requests: DataFrame) -> DataFrame:
 def focus_question(candidates: DataFrame) -> DataFrame:
     """run, n, options of runs with more than one candidate process (run, process_key, name)."""
     return candidates.groupBy("run").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("process_key")).alias("options")).where("n > 1")
+
+
+# --- Schemas: what a column must be, given as data
+
+
+@dataclass(frozen=True)
+class Field:
+    """A column's rules: required, a set of values, a pattern, bounds of a number or of a length."""
+
+    name: str
+    required: bool = False
+    values: tuple[str, ...] = ()
+    pattern: str | None = None
+    least: float | None = None
+    most: float | None = None
+    longest: int | None = None
+
+
+def schema_problems(rows: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
+    """key, field, problem for every rule that a row breaks, all of them: MISSING, ENUM, PATTERN, MINIMUM, MAXIMUM or TOO_LONG."""
+    found = []
+    for f in fields:
+        c = F.col(f.name)
+        broken = {"MISSING": c.isNull() if f.required else None, "ENUM": ~c.isin(*f.values) if f.values else None, "PATTERN": ~c.rlike(f.pattern) if f.pattern else None,
+                  "MINIMUM": c < f.least if f.least is not None else None, "MAXIMUM": c > f.most if f.most is not None else None, "TOO_LONG": F.length(c) > f.longest if f.longest is not None else None}
+        found += [F.when(test, F.struct(F.lit(f.name).alias("field"), F.lit(problem).alias("problem"))) for problem, test in broken.items() if test is not None]
+    return rows.select(F.col(key).alias("key"), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("p")).select("key", "p.*")
