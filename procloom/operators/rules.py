@@ -139,6 +139,58 @@ def activity_findings(activities: DataFrame, bindings: DataFrame, nodes: DataFra
     )
 
 
+def structure_findings(activities: DataFrame, bindings: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:
+    """The parts of FA-ACT-BPMN-002, 004 and 009 that start from the diagram, each target once.
+
+    002: main tasks that no binding of a known activity names. 004: activities without a declared confirmation whose binding has a confirmation task, and confirmation
+    tasks in no binding, as the activity whose main task alone leads to them, or by themselves. 009: activities with several confirmation tasks, bound or behind
+    their main tasks, and activities whose main and confirmation task are two branches of one AND gateway."""
+    edges = flows.select("g", "src", "dst").distinct()
+    kind = lambda t, name: nodes.where(F.col("node_type") == t).select("g", F.col("node").alias(name))
+    known = activities.select("g", "activity")
+    mains = bindings.where("main_task is not null").select("g", "activity", "main_task").distinct()
+    own = mains.join(known, ["g", "activity"], "left_semi").select("g", F.col("main_task").alias("target"))
+    unnamed = kind("MAIN_TASK", "target").join(own, ["g", "target"], "left_anti")
+    formal = F.col("activity_type").isin("REVIEW_MEETING", "DECISION_ACTIVITY")
+    bound = bindings.where("confirmation_task is not null").select("g", "activity", "confirmation_task").distinct()
+    undeclared = activities.where(F.col("confirm_role").isNull() & ~formal).join(first_binding(bindings).where("confirmation_task is not null").select("g", "activity"), ["g", "activity"], "left_semi").select("g", F.col("activity").alias("target"))
+    behind = mains.join(edges.withColumnRenamed("src", "main_task"), ["g", "main_task"]).join(kind("CONFIRMATION_TASK", "dst"), ["g", "dst"]).select("g", "activity", F.col("dst").alias("confirmation_task"))
+    left = kind("CONFIRMATION_TASK", "confirmation_task").join(bound, ["g", "confirmation_task"], "left_anti")
+    led = left.join(behind, ["g", "confirmation_task"], "left").groupBy("g", "confirmation_task").agg(F.countDistinct("activity").alias("n"), F.min("activity").alias("activity"))
+    single = led.where("n = 1").join(known, ["g", "activity"], "left_semi").select("g", F.col("activity").alias("target"))
+    alone = led.where("n <> 1").select("g", F.col("confirmation_task").alias("target"))
+    confirming = bound.unionByName(behind).distinct()
+    several = confirming.groupBy("g", F.col("activity").alias("target")).agg(F.count("*").alias("n")).where("n > 1").select("g", "target")
+    branches = edges.join(kind("AND_GATEWAY", "src"), ["g", "src"])
+    parallel = mains.join(confirming, ["g", "activity"]).join(branches.select("g", "src", F.col("dst").alias("main_task")), ["g", "main_task"]).join(branches.select("g", "src", F.col("dst").alias("confirmation_task")), ["g", "src", "confirmation_task"]).select("g", F.col("activity").alias("target"))
+    return union(
+        finding(unnamed, "FA-ACT-BPMN-002"), finding(undeclared.unionByName(single).unionByName(alone).distinct(), "FA-ACT-BPMN-004"), finding(several.unionByName(parallel).distinct(), "FA-ACT-BPMN-009"),
+    )
+
+
+#: Kinds of elements of the older diagram model that must have a flow, and what a review of activities needs.
+OLD_TYPES = ["TASK", "SUB_PROCESS", "EVENT"]
+REVIEW_INPUTS = ["process_card", "activities", "diagram_model"]
+
+
+def isolated_elements(elements: DataFrame, flows: DataFrame) -> DataFrame:
+    """FA-BPMN-007 for the older diagram model: elements (g, element, type) that no flow (g, src, dst) touches."""
+    wanted = elements.where(F.col("type").isin(*OLD_TYPES)).select("g", F.col("element").alias("node"))
+    return finding(graph.isolated(wanted, flows.select("g", "src", "dst")), "FA-BPMN-007", "node")
+
+
+def visual_status(flows: DataFrame) -> DataFrame:
+    """g, n_flows, status of diagrams by their flows (g, points): crossings are only judged from two flows with geometry on."""
+    told = flows.groupBy("g").agg(F.count_if(F.coalesce(F.size("points"), F.lit(0)) >= 2).alias("n_flows"))
+    return told.withColumn("status", F.when(F.col("n_flows") < 2, "INSUFFICIENT_EVIDENCE").otherwise("SUCCEEDED"))
+
+
+def stage_status(inputs: DataFrame) -> DataFrame:
+    """run_id, status, missing of runs (run_id, and whether each of REVIEW_INPUTS is there): NEEDS_INPUT if any is missing."""
+    missing = F.filter(F.array(*[F.when(~F.coalesce(F.col(c), F.lit(False)), F.lit(c)) for c in REVIEW_INPUTS]), lambda x: x.isNotNull())
+    return inputs.select("run_id", F.when(F.size(missing) > 0, "NEEDS_INPUT").otherwise("SUCCEEDED").alias("status"), missing.alias("missing"))
+
+
 def end_events(cards: DataFrame, nodes: DataFrame) -> DataFrame:
     """FA-ACT-BPMN-007: g, target, problem of end events (nodes) against declared results (cards: g, end_results array of event_id, name)."""
     ends = nodes.where("node_type = 'END_EVENT'").select("g", F.col("node").alias("target"), F.coalesce("name", F.lit("")).alias("name"))

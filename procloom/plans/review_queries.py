@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procloom.functions import columns as C
-from procloom.operators import budget, candidates, facts, findings, packing, state
+from procloom.operators import budget, candidates, facts, findings, packing, rules, state
+from procloom.plans import models as M
 from procloom.plans.fixtures import Fixture
 from procloom.plans.registry import Registry, table
 from procloom.plans.text_queries import status_sql, tokens_sql, utf16_sql
@@ -168,3 +169,63 @@ def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.publish(rows.limit(1), path)
     sinks.publish(rows, path)
     return spark.read.schema("n_nationkey long, n_name string, n_regionkey long").json(path)
+
+
+S_NODES = Fixture(
+    "g string, node string, node_type string",
+    [("d", "m1", "MAIN_TASK"), ("d", "m2", "MAIN_TASK"), ("d", "m3", "MAIN_TASK"), ("d", "m4", "MAIN_TASK"), ("d", "c1", "CONFIRMATION_TASK"), ("d", "c2", "CONFIRMATION_TASK"), ("d", "c3", "CONFIRMATION_TASK"), ("d", "c4", "CONFIRMATION_TASK"), ("d", "c5", "CONFIRMATION_TASK"),
+     ("d", "and", "AND_GATEWAY"), ("d", "and2", "AND_GATEWAY"), ("e", "m1", "MAIN_TASK"), ("e", "c1", "CONFIRMATION_TASK")],
+)
+S_FLOWS = Fixture("g string, src string, dst string", [("d", "m1", "c1"), ("d", "m1", "c2"), ("d", "m2", "c3"), ("d", "m1", "c4"), ("d", "m2", "c4"), ("d", "and", "m2"), ("d", "and", "c3"), ("d", "and2", "m1"), ("d", "m4", "c2"), ("e", "m1", "c1"), ("e", "m1", "c1")])
+S_BINDINGS = Fixture("g string, activity string, main_task string, confirmation_task string, pos int", [("d", "a1", "m1", "c1", 1), ("d", "a2", "m2", "c3", 2), ("d", "ghost", "m3", None, 3), ("e", "x", "m1", None, 1)])
+S_ACTIVITIES = Fixture("g string, activity string, activity_type string, confirm_role string", [("d", "a1", "STANDARD", "boss"), ("d", "a2", "STANDARD", None), ("e", "x", "REVIEW_MEETING", None)])
+
+
+@R.add(f"""
+    WITH n AS (SELECT * FROM {S_NODES.sql}), f AS (SELECT DISTINCT * FROM {S_FLOWS.sql}), b AS (SELECT * FROM {S_BINDINGS.sql}), a AS (SELECT * FROM {S_ACTIVITIES.sql}),
+    behind AS (SELECT DISTINCT b.g, b.activity, n.node AS conf FROM b JOIN f ON f.g = b.g AND f.src = b.main_task JOIN n ON n.g = f.g AND n.node = f.dst AND n.node_type = 'CONFIRMATION_TASK'),
+    conf AS (SELECT * FROM behind UNION SELECT g, activity, confirmation_task FROM b WHERE confirmation_task IS NOT NULL),
+    free AS (SELECT n.g, n.node, (SELECT count(DISTINCT activity) FROM behind x WHERE x.g = n.g AND x.conf = n.node) AS k, (SELECT min(activity) FROM behind x WHERE x.g = n.g AND x.conf = n.node) AS activity FROM n
+        WHERE node_type = 'CONFIRMATION_TASK' AND NOT EXISTS (SELECT 1 FROM b WHERE b.g = n.g AND b.confirmation_task = n.node))
+    SELECT 'FA-ACT-BPMN-002' AS rule_id, g, node AS target FROM n WHERE node_type = 'MAIN_TASK' AND NOT EXISTS (SELECT 1 FROM b JOIN a USING (g, activity) WHERE b.g = n.g AND b.main_task = n.node)
+    UNION SELECT 'FA-ACT-BPMN-004', a.g, a.activity FROM a WHERE confirm_role IS NULL AND activity_type = 'STANDARD' AND (SELECT arg_min({{'c': confirmation_task}}, pos).c FROM b WHERE b.g = a.g AND b.activity = a.activity) IS NOT NULL
+    UNION SELECT 'FA-ACT-BPMN-004', g, node FROM free WHERE k <> 1
+    UNION SELECT 'FA-ACT-BPMN-004', free.g, free.activity FROM free JOIN a ON a.g = free.g AND a.activity = free.activity WHERE k = 1
+    UNION SELECT 'FA-ACT-BPMN-009', g, activity FROM conf GROUP BY ALL HAVING count(*) > 1
+    UNION SELECT 'FA-ACT-BPMN-009', b.g, b.activity FROM b JOIN conf USING (g, activity) JOIN n ON n.g = b.g AND n.node_type = 'AND_GATEWAY' WHERE EXISTS (SELECT 1 FROM f WHERE f.g = n.g AND f.src = n.node AND f.dst = b.main_task) AND EXISTS (SELECT 1 FROM f WHERE f.g = n.g AND f.src = n.node AND f.dst = conf.conf)""")
+def activity_structure_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FA-ACT-BPMN-002, 004 and 009 as the diagram shows them."""
+    return rules.structure_findings(S_ACTIVITIES.df(spark), S_BINDINGS.df(spark), S_NODES.df(spark), S_FLOWS.df(spark))
+
+
+@R.add("""
+    WITH e AS (SELECT user_id::VARCHAR AS g, event_id::VARCHAR AS element, CASE event_type WHEN 'click' THEN 'TASK' WHEN 'error' THEN 'EVENT' ELSE 'DATA_OBJECT' END AS type, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, value FROM events),
+    f AS (SELECT g, element AS src, nxt::VARCHAR AS dst FROM e WHERE value > 100 AND nxt IS NOT NULL)
+    SELECT 'FA-BPMN-007' AS rule_id, g, element AS target FROM e WHERE type <> 'DATA_OBJECT' AND NOT EXISTS (SELECT 1 FROM f WHERE f.g = e.g AND (f.src = e.element OR f.dst = e.element))""")
+def isolated_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FA-BPMN-007 in the older model: events as elements, with a flow to the next where their value is over 100."""
+    from pyspark.sql import Window
+
+    kind = F.when(F.col("event_type") == "click", "TASK").when(F.col("event_type") == "error", "EVENT").otherwise("DATA_OBJECT")
+    nxt = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("string")
+    made = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("g"), F.col("event_id").cast("string").alias("element"), kind.alias("type"), nxt.alias("dst"), "value")
+    return rules.isolated_elements(made, made.where("value > 100 and dst is not null").select("g", F.col("element").alias("src"), "dst"))
+
+
+@R.add(f"SELECT g, count(*) FILTER (len(points) >= 2) AS n_flows, CASE WHEN count(*) FILTER (len(points) >= 2) < 2 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'SUCCEEDED' END AS status FROM (SELECT g, points FROM {M.WAYPOINTS.sql} UNION ALL SELECT 'v3', points[1:1] FROM {M.WAYPOINTS.sql} WHERE g = 'v1' UNION ALL SELECT 'v3', points FROM {M.WAYPOINTS.sql} WHERE flow = 'f4') GROUP BY g")
+def visual_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FA-VIS-001: which diagrams show enough to be judged."""
+    told = M.WAYPOINTS.df(spark)
+    more = told.where("g = 'v1'").select(F.lit("v3").alias("g"), F.slice("points", 1, 1).alias("points")).unionByName(told.where("flow = 'f4'").select(F.lit("v3").alias("g"), "points"))
+    return rules.visual_status(told.select("g", "points").unionByName(more))
+
+
+RUNS = Fixture("run_id int, process_card boolean, activities boolean, diagram_model boolean", [(1, True, True, True), (2, True, None, False), (3, False, True, True)])
+
+
+@R.add(f"""
+    WITH r AS (SELECT run_id, list_filter([CASE WHEN NOT coalesce(process_card, false) THEN 'process_card' END, CASE WHEN NOT coalesce(activities, false) THEN 'activities' END, CASE WHEN NOT coalesce(diagram_model, false) THEN 'diagram_model' END], lambda x: x IS NOT NULL) AS missing FROM {RUNS.sql})
+    SELECT run_id, CASE WHEN len(missing) > 0 THEN 'NEEDS_INPUT' ELSE 'SUCCEEDED' END AS status, missing FROM r""")
+def stage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a review stage lacks."""
+    return rules.stage_status(RUNS.df(spark))
