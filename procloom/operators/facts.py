@@ -36,13 +36,25 @@ def representative_label(labels: Column) -> Column:
     )
 
 
-def dedup_facts(facts: DataFrame) -> DataFrame:
-    """One row a fact: kind, process, subject_key, label, fact_id, batch_id, evidence_refs, n_merged, conflict.
+_KEY = ["kind", "process", "subject_key", "single", "label_key"]
 
-    Kinds of one instance are keyed by their subject, others by their label, too. The process key is the machine key, so spellings of one code meet."""
+
+def _keyed(facts: DataFrame) -> DataFrame:
+    """Kinds of one instance are keyed by their subject, others by their label, too. The process key is the machine key, so spellings of one code meet."""
     single = F.col("kind").isin(*SINGLE_KINDS) & F.col("subject_key").isNotNull()
-    keyed = facts.withColumn("process", C.machine_key(F.col("process_key"))).withColumn("single", single).withColumn("label_key", F.when(single, F.lit(None)).otherwise(F.col("label")))
-    key = ["kind", "process", "subject_key", "single", "label_key"]
+    return facts.withColumn("process", C.machine_key(F.col("process_key"))).withColumn("single", single).withColumn("label_key", F.when(single, F.lit(None)).otherwise(F.col("label")))
+
+
+def fact_evidence(facts: DataFrame) -> DataFrame:
+    """kind, process, subject_key, single, label_key, ref: what the instances of each merged fact refer to, a row each, for facts of any number of instances."""
+    return _keyed(facts).select(*_KEY, F.explode("evidence_refs").alias("ref")).distinct()
+
+
+def dedup_facts(facts: DataFrame, refs: bool = True) -> DataFrame:
+    """One row a fact: kind, process, subject_key, label, fact_id, batch_id, evidence_refs, n_merged, conflict. Without refs, evidence_refs is empty (see fact_evidence)."""
+    keyed, key = _keyed(facts), _KEY
+    if not refs:
+        keyed = keyed.withColumn("evidence_refs", F.array().cast("array<string>"))
     # first by label, so that what meets for a fact grows with its labels and not with its instances
     by_label = keyed.groupBy(*key, F.trim(F.coalesce("label", F.lit(""))).alias("clean")).agg(
         F.min(F.struct("batch_id", "fact_id", "label")).alias("first"), F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set(F.coalesce("evidence_refs", F.array().cast("array<string>"))))).alias("refs")

@@ -56,11 +56,11 @@ def agenda(questions: DataFrame) -> DataFrame:
 
 
 def revision_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """question_id, change (ADDED, REMOVED, CHANGED or SAME) between two revisions (question_id, text, status, answer)."""
+    """package_id, question_id, change (ADDED, REMOVED, CHANGED or SAME) between two revisions (package_id, question_id, text, status, answer) of packages."""
     value = lambda p: F.struct(*[F.col(f"{p}.{c}") for c in ("text", "status", "answer")])
-    both = old.alias("o").join(new.alias("n"), F.col("o.question_id") == F.col("n.question_id"), "full_outer")
+    both = old.alias("o").join(new.alias("n"), (F.col("o.package_id") == F.col("n.package_id")) & (F.col("o.question_id") == F.col("n.question_id")), "full_outer")
     change = F.when(F.col("o.question_id").isNull(), "ADDED").when(F.col("n.question_id").isNull(), "REMOVED").when(~value("o").eqNullSafe(value("n")), "CHANGED").otherwise("SAME")
-    return both.select(F.coalesce("o.question_id", "n.question_id").alias("question_id"), change.alias("change"))
+    return both.select(*[F.coalesce(f"o.{c}", f"n.{c}").alias(c) for c in ("package_id", "question_id")], change.alias("change"))
 
 
 def bpmn_xml(cards: DataFrame, lanes: DataFrame, nodes: DataFrame, flows: DataFrame) -> DataFrame:

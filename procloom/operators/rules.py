@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from procloom import workers
 from procloom.functions import columns as C
-from procloom.operators import graph
+from procloom.operators import graph, names
 
 #: Node types that must have a flow; gateways are checked otherwise.
 CHECKED_TYPES = [
@@ -64,9 +65,10 @@ def unconditioned(nodes: DataFrame, flows: DataFrame) -> DataFrame:
 def name_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """g, node, element of each node of left (g, node, name) that matches an element of right (g, element, name, pos) by name; the first element in order counts.
 
-    Only names of one process meet: the join is on g, whose size a diagram bounds."""
-    a = left.select("g", "node", C.normal_name(F.col("name")).alias("a"))
-    b = right.select("g", "element", "pos", C.normal_name(F.col("name")).alias("b"))
+    Names are composed first, so that one letter is written in one way. Only names of one process meet: the join is on g, whose size a diagram bounds."""
+    workers.ship(left.sparkSession)
+    a = left.select("g", "node", names.compose(F.col("name")).alias("name")).select("g", "node", C.normal_name(F.col("name")).alias("a"))
+    b = right.select("g", "element", "pos", names.compose(F.col("name")).alias("name")).select("g", "element", "pos", C.normal_name(F.col("name")).alias("b"))
     pairs = a.join(b, "g").where(C.names_match(F.col("a"), F.col("b")))
     return pairs.groupBy("g", "node").agg(F.min_by("element", F.struct("pos", "element")).alias("element"))
 

@@ -46,15 +46,24 @@ def fact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(f"""
     WITH f AS (SELECT source AS process_key, sha256(coalesce(text, '')) AS label, doc_id FROM documents)
-    SELECT replace(process_key, '.', '-') AS process, label, count(*) AS n_merged, min(lpad(doc_id::VARCHAR, 12, '0')) AS fact_id, list_sort(list_distinct(list(doc_id::VARCHAR))) AS evidence_refs FROM f GROUP BY 1, 2""")
+    SELECT replace(process_key, '.', '-') AS process, label, count(*) AS n_merged, min(lpad(doc_id::VARCHAR, 12, '0')) AS fact_id FROM f GROUP BY 1, 2""")
 def fact_dedup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1 over all documents: each text is a fact of its source."""
+    """A1 over all documents: each text is a fact of its source. A text may have any number of copies, so what they refer to comes as rows, in fact_evidence_documents."""
+    return O.dedup_facts(document_facts(spark, sf_dir), refs=False).select("process", "label", "n_merged", "fact_id")
+
+
+@R.add("SELECT DISTINCT replace(source, '.', '-') AS process, sha256(coalesce(text, '')) AS label, doc_id::VARCHAR AS ref FROM documents")
+def fact_evidence_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: the evidence of the merged facts of all documents."""
+    return O.fact_evidence(document_facts(spark, sf_dir)).select("process", F.col("label_key").alias("label"), "ref")
+
+
+def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select(
+    return docs.select(
         F.lit("REFERENCE").alias("kind"), F.col("source").alias("process_key"), F.lit(None).cast("string").alias("subject_key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("label"),
         F.lit("b").alias("batch_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("fact_id"), F.array(F.col("doc_id").cast("string")).alias("evidence_refs"),
     )
-    return O.dedup_facts(rows).select("process", "label", "n_merged", "fact_id", "evidence_refs")
 
 
 def _sla_sql(c: str) -> tuple[str, str]:
@@ -257,8 +266,8 @@ def question_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(f"""
     WITH q AS (SELECT * FROM {M.QUESTIONS.sql}), o AS (SELECT * FROM q WHERE revision = 1), n AS (SELECT * FROM q WHERE revision = 2)
-    SELECT coalesce(o.question_id, n.question_id) AS question_id, CASE WHEN o.question_id IS NULL THEN 'ADDED' WHEN n.question_id IS NULL THEN 'REMOVED' WHEN o.text IS DISTINCT FROM n.text OR o.status IS DISTINCT FROM n.status OR o.answer IS DISTINCT FROM n.answer THEN 'CHANGED' ELSE 'SAME' END AS change
-    FROM o FULL JOIN n ON o.question_id = n.question_id""")
+    SELECT coalesce(o.package_id, n.package_id) AS package_id, coalesce(o.question_id, n.question_id) AS question_id, CASE WHEN o.question_id IS NULL THEN 'ADDED' WHEN n.question_id IS NULL THEN 'REMOVED' WHEN o.text IS DISTINCT FROM n.text OR o.status IS DISTINCT FROM n.status OR o.answer IS DISTINCT FROM n.answer THEN 'CHANGED' ELSE 'SAME' END AS change
+    FROM o FULL JOIN n ON o.package_id = n.package_id AND o.question_id = n.question_id""")
 def revision_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J14, SO4."""
     q = M.QUESTIONS.df(spark)
