@@ -17,12 +17,20 @@ def _append(done: Column, text: Column) -> Column:
 
 def greedy_join(parts: Column, separator: str, limit: int) -> Column:
     """Join neighbouring parts by separator as long as the text stays within limit; a longer part stands alone. Blank texts are dropped; texts are as joined, untrimmed."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    # the length goes along, so that a text that grows isn't measured anew for each part
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).cast("long").alias("n"))
 
     def step(acc: Column, part: Column) -> Column:
-        full = (C.utf16_length(acc["now"]) + C.utf16_length(part) + len(separator) > limit) & (acc["now"] != "")
-        more = F.when(acc["now"] != "", F.concat(acc["now"], F.lit(separator), part)).otherwise(part)
-        return F.struct(F.when(full, _append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"), F.when(full, part).otherwise(more).alias("now"))
+        size = F.struct(C.utf16_length(part).alias("n"), part.alias("t"))
+        return F.get(F.transform(F.array(size), lambda p: grown(acc, p)), 0)
+
+    def grown(acc: Column, part: Column) -> Column:
+        empty = acc["now"] == ""
+        total = acc["n"] + part["n"] + len(separator)
+        full = (total > limit) & ~empty
+        fresh = full | empty
+        more = F.when(fresh, part["t"]).otherwise(F.concat(acc["now"], F.lit(separator), part["t"]))
+        return F.struct(F.when(full, _append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"), more.alias("now"), F.when(fresh, part["n"]).otherwise(total).alias("n"))
 
     return F.aggregate(parts, start, step, lambda acc: _append(acc["done"], acc["now"]))
 
@@ -48,7 +56,8 @@ def fragments(text: Column, limit: int = MAX_CHARS) -> Column:
     too_long = lambda t: C.utf16_length(t) > limit
     lines = lambda t: F.flatten(F.transform(by_lines(t, limit), lambda u: F.when(too_long(u), by_chars(u, limit)).otherwise(F.array(u))))
     cut = F.flatten(F.transform(by_paragraphs(text, limit), lambda t: F.when(too_long(t), lines(t)).otherwise(F.array(t))))
-    return F.when(too_long(text) & (F.size(cut) > 0), cut).otherwise(F.array(text))
+    whole = F.array(text)
+    return F.when(too_long(text), F.get(F.transform(F.array(cut), lambda x: F.when(F.size(x) > 0, x).otherwise(whole)), 0)).otherwise(whole)
 
 
 def split_blocks(blocks: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
