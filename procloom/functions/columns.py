@@ -103,10 +103,6 @@ def parse_sla(text: Column) -> Column:
     return out
 
 
-def collapse_space(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-
-
 def strip_space(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
 

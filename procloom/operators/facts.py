@@ -175,6 +175,18 @@ def align_events(facts: DataFrame, kind: str, word: str) -> DataFrame:
     return out.select("process", "label_key", "f.label", "f.fact_id", "evidence_refs")
 
 
+def aligned_endpoints(facts: DataFrame, flows: DataFrame) -> DataFrame:
+    """g, flow, src, dst, rewritten of flows (g, flow, src, dst: fact ids), whose ends at start and end events that are one by their label are the first of them. facts: g, frag_idx, pos, kind, fact_id, label."""
+    key = F.when(F.col("kind") == "START_EVENT", C.event_label(F.col("label"), "开始")).when(F.col("kind") == "END_EVENT", C.event_label(F.col("label"), "结束"))
+    events = facts.withColumn("key", key).where("key is not null")
+    first = events.groupBy("g", "kind", "key").agg(F.min_by("fact_id", F.struct("frag_idx", "pos")).alias("own"))
+    one = events.join(first, ["g", "kind", "key"]).select("g", "fact_id", "own")
+    at = lambda c: one.select("g", F.col("fact_id").alias(c), F.col("own").alias(f"{c}_own"))
+    told = flows.join(at("src"), ["g", "src"], "left").join(at("dst"), ["g", "dst"], "left")
+    moved = lambda c: F.coalesce(F.col(f"{c}_own") != F.col(c), F.lit(False))
+    return told.select("g", "flow", F.coalesce("src_own", "src").alias("src"), F.coalesce("dst_own", "dst").alias("dst"), (moved("src") | moved("dst")).alias("rewritten"))
+
+
 def focus_uncertainties(uncertainties: DataFrame, facts: DataFrame, focus: str) -> DataFrame:
     """frag_idx, pos, kind, text, relevant: whether an uncertainty concerns the focus process.
 

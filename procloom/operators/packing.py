@@ -10,17 +10,16 @@ batches. So a group of any size spreads over the cluster, while the result is th
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from procloom import workers
 from procloom.functions import columns as C
-from procloom.operators.splitting import MAX_BLOCKS, MAX_CHARS, fragments, greedy_join, split_blocks
+from procloom.operators.splitting import MAX_BLOCKS, MAX_CHARS, split_blocks
 from procloom.tables import scratch, spill
 
 #: Units in a segment, and summaries that one task composes.
@@ -180,29 +179,6 @@ def greedy(units: DataFrame, max_blocks: int = MAX_BLOCKS, max_chars: int = MAX_
     return told.groupBy("grp", "seg").applyInPandas(number, "grp string, ord long, batch_no long")
 
 
-def fold(items: Column, size: Callable[[Column], Column], limit: int, alone: int | None = None) -> Column:
-    """Batch number (from 0) of each element of an ordered array, closed when limit would be passed. Elements over alone stand by themselves. For arrays within one row."""
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("no"), F.lit(True).alias("shut"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n = size(x).cast("long")
-        single = n > alone if alone is not None else F.lit(False)
-        fresh = acc["shut"] | single | (acc["sum"] + n > limit)
-        no = F.when(fresh, acc["no"] + 1).otherwise(acc["no"])
-        return F.struct(F.when(fresh, n).otherwise(acc["sum"] + n).alias("sum"), no.alias("no"), single.alias("shut"), F.concat(acc["out"], F.array(no)).alias("out"))
-
-    return F.aggregate(items, start, step, lambda acc: acc["out"])
-
-
-def evidence_batches(docs: DataFrame, max_chars: int = MAX_CHARS, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """grp, ord, batch_no, sub_batches, chars, tokens of whole documents (grp, ord, content) packed in order. A document over the limit is cut and takes sub_batches of its own."""
-    sized = docs.select("grp", "ord", "content", C.utf16_length(F.coalesce("content", F.lit(""))).alias("chars"))
-    placed = greedy(sized.select("grp", "ord", F.lit(1).cast("long").alias("blocks"), "chars"), max_blocks, max_chars).withColumnsRenamed({"grp": "g", "ord": "o"})
-    subs = F.array_max(fold(fragments(F.col("content"), max_chars), C.utf16_length, max_chars)) + 1
-    measured = sized.select("grp", "ord", "chars", F.when(F.col("chars") > max_chars, subs).otherwise(1).cast("long").alias("sub_batches"), C.estimate_tokens(F.col("content")).alias("tokens"))
-    return measured.join(placed, F.col("grp").eqNullSafe(F.col("g")) & (F.col("ord") == F.col("o"))).drop("g", "o")
-
-
 def batch_members(blocks: DataFrame, max_chars: int = MAX_CHARS, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """The blocks (run, artifact, pos, block_id, artifact_sha256, modality, content), with visual, batch_no, sub_no: their batch.
 
@@ -258,6 +234,3 @@ def material_packets(chunks: DataFrame, allowed: list[str], max_tokens: int = 48
         C.prefixed_id("MP", F.array_join(F.array_sort(F.collect_list("chunk_id")), ",")).alias("packet_id"),
         F.when(F.max("tokens") > bar, "BLOCKED").otherwise("RUNNABLE").alias("status"), F.sum("tokens").alias("tokens"), F.count("*").alias("n_chunks"),
     ).withColumnRenamed("batch_no", "packet_no")
-
-
-__all__ = ["batch_ids", "batch_members", "batches", "evidence_batches", "fold", "greedy", "greedy_join", "material_packets"]

@@ -137,6 +137,28 @@ def focus_question(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("run").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("process_key")).alias("options")).where("n > 1")
 
 
+def accept_fragments(fragments: DataFrame, batches: DataFrame) -> DataFrame:
+    """task_id, error of fragments (task_id, raw): the first of TOO_LARGE, NOT_JSON, NO_ENVELOPE, UNKNOWN_BATCH, HASH_MISMATCH, UNKNOWN_EVIDENCE, or null if the fragment is accepted.
+    batches: batch_id, batch_sha256, block_ids."""
+    spec = "batch_id string, batch_sha256 string, task_kind string, facts array<struct<evidence_refs:array<string>>>"
+    told = fragments.select("task_id", "raw", F.from_json("raw", spec).alias("j"), F.expr("try_parse_json(raw) is not null and schema_of_variant(try_parse_json(raw)) like 'OBJECT%'").alias("json"))
+    told = told.select("task_id", "raw", "json", "j.*").join(batches.select(F.col("batch_id"), F.col("batch_sha256").alias("sha"), "block_ids"), "batch_id", "left")
+    refs = F.flatten(F.transform(F.coalesce("facts", F.array().cast("array<struct<evidence_refs:array<string>>>")), lambda f: F.coalesce(f["evidence_refs"], F.array().cast("array<string>"))))
+    lost = F.exists(refs, lambda r: ~F.array_contains("block_ids", r))
+    error = (
+        F.when(F.length("raw") > MAX_FRAGMENT, "TOO_LARGE").when(~F.coalesce("json", F.lit(False)), "NOT_JSON").when(F.col("batch_id").isNull() | F.col("batch_sha256").isNull() | F.col("task_kind").isNull(), "NO_ENVELOPE")
+        .when(F.col("sha").isNull(), "UNKNOWN_BATCH").when(F.col("sha") != F.col("batch_sha256"), "HASH_MISMATCH").when(lost, "UNKNOWN_EVIDENCE")
+    )
+    return told.select("task_id", error.alias("error"))
+
+
+def reusable(wanted: DataFrame, entries: DataFrame) -> DataFrame:
+    """task_id, reason of wanted tasks (task_id, cache_key, versions, params) against a cache's entries (cache_key, versions, params): MISSING, VERSION, PARAMS, or null if the entry holds."""
+    own = entries.select("cache_key", F.col("versions").alias("had_versions"), F.col("params").alias("had_params"), F.lit(True).alias("had"))
+    told = wanted.join(own, "cache_key", "left")
+    return told.select("task_id", F.when(F.col("had").isNull(), "MISSING").when(~F.col("versions").eqNullSafe(F.col("had_versions")), "VERSION").when(~F.col("params").eqNullSafe(F.col("had_params")), "PARAMS").alias("reason"))
+
+
 # --- Schemas: what a column must be, given as data
 
 

@@ -229,3 +229,72 @@ RUNS = Fixture("run_id int, process_card boolean, activities boolean, diagram_mo
 def stage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a review stage lacks."""
     return rules.stage_status(RUNS.df(spark))
+
+
+FRAGMENTS = Fixture(
+    "task_id string, raw string",
+    [("ok", '{"batch_id":"b1","batch_sha256":"s1","task_kind":"K","facts":[{"evidence_refs":["B-1"]},{"evidence_refs":[]}]}'), ("text", "not json"), ("list", "[1]"), ("bare", '{"batch_id":"b1"}'), ("lost", '{"batch_id":"b9","batch_sha256":"s1","task_kind":"K"}'),
+     ("hash", '{"batch_id":"b1","batch_sha256":"s0","task_kind":"K"}'), ("refs", '{"batch_id":"b1","batch_sha256":"s1","task_kind":"K","facts":[{"evidence_refs":["B-1","B-9"]}]}'), ("none", '{"batch_id":"b2","batch_sha256":"s2","task_kind":"K","facts":[]}')],
+)
+FRAGMENT_BATCHES = Fixture("batch_id string, batch_sha256 string, block_ids array<string>", [("b1", "s1", ["B-1", "B-2"]), ("b2", "s2", [])])
+
+
+@R.add(f"""
+    WITH f AS (SELECT task_id, length(raw) > 100000 AS large, coalesce(json_type(CASE WHEN json_valid(raw) THEN raw END) = 'OBJECT', false) AS good, CASE WHEN json_valid(raw) THEN raw END AS j FROM (SELECT * FROM {FRAGMENTS.sql} UNION ALL SELECT 'long', repeat('x', 100001))),
+    t AS (SELECT f.*, j ->> '$.batch_id' AS batch_id, j ->> '$.batch_sha256' AS sha, j ->> '$.task_kind' AS kind, (j ->> '$.facts[*].evidence_refs[*]') AS refs FROM f)
+    SELECT task_id, CASE WHEN large THEN 'TOO_LARGE' WHEN NOT good THEN 'NOT_JSON' WHEN t.batch_id IS NULL OR sha IS NULL OR kind IS NULL THEN 'NO_ENVELOPE' WHEN b.batch_id IS NULL THEN 'UNKNOWN_BATCH' WHEN b.batch_sha256 <> sha THEN 'HASH_MISMATCH'
+        WHEN len(list_filter(refs, lambda r: NOT list_contains(b.block_ids, r))) > 0 THEN 'UNKNOWN_EVIDENCE' END AS error FROM t LEFT JOIN {FRAGMENT_BATCHES.sql} b ON b.batch_id = t.batch_id""")
+def fragment_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2's envelope and V5."""
+    large = spark.range(1).select(F.lit("long").alias("task_id"), F.repeat(F.lit("x"), 100_001).alias("raw"))
+    return state.accept_fragments(FRAGMENTS.df(spark).unionByName(large), FRAGMENT_BATCHES.df(spark))
+
+
+@R.add("""
+    WITH w AS (SELECT event_id::VARCHAR AS task_id, user_id AS k, event_type AS v, props AS p FROM events), e AS (SELECT user_id AS k, arg_min(event_type, event_id) AS v, arg_min(props, event_id) AS p FROM events WHERE user_id % 3 > 0 GROUP BY 1)
+    SELECT task_id, CASE WHEN e.k IS NULL THEN 'MISSING' WHEN w.v IS DISTINCT FROM e.v THEN 'VERSION' WHEN w.p IS DISTINCT FROM e.p THEN 'PARAMS' END AS reason FROM w LEFT JOIN e ON e.k = w.k""")
+def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7: all events as tasks, against the first event of two in three users as the cache's entry."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("cache_key"), F.col("event_type").alias("versions"), F.col("props").alias("params"))
+    entries = rows.where("cast(cache_key as long) % 3 > 0").groupBy("cache_key").agg(F.min_by(F.struct("versions", "params"), "event_id").alias("e")).select("cache_key", "e.*")
+    return state.reusable(rows.withColumn("task_id", F.col("event_id").cast("string")), entries)
+
+
+@R.add("SELECT o_orderkey, upper(CASE o_orderkey % 3 WHEN 0 THEN 'default' WHEN 1 THEN 'cm-' || (o_orderkey / 10)::VARCHAR ELSE trim(o_orderpriority) END) AS canonical FROM orders")
+def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank keys, keys with points, and keys with blanks around them."""
+    key = F.col("o_orderkey")
+    raw = F.when(key % 3 == 0, F.lit("  ")).when(key % 3 == 1, F.concat(F.lit(" cm-"), (key / 10).cast("string"))).otherwise(F.concat(F.lit(" "), "o_orderpriority", F.lit("  ")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.canonical_key(raw).alias("canonical"))
+
+
+@R.add("SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'VISUAL_ONLY' ELSE 'SEMI_STRUCTURED' END AS parse_mode, CASE WHEN trim(coalesce(text, '')) = '' THEN 0.3 ELSE 0.85 END::DOUBLE AS confidence FROM documents")
+def document_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as word-processor files."""
+    return table(spark, sf_dir, "documents").select("doc_id", files.document_kind(F.col("text")).alias("k")).select("doc_id", "k.*")
+
+
+EVENT_FACTS = Fixture(
+    "g string, frag_idx int, pos int, kind string, fact_id string, label string, evidence_refs array<string>",
+    [("p", 1, 1, "START_EVENT", "f1", "Ask（开始）", ["B-1"]), ("p", 2, 1, "START_EVENT", "f2", "Ask", ["B-2"]), ("p", 1, 2, "END_EVENT", "f3", "Done", ["B-1"]), ("p", 2, 2, "END_EVENT", "f4", "Done(结束)", ["B-3"]), ("p", 2, 3, "END_EVENT", "f5", "Lost（结束）", []),
+     ("q", 1, 1, "START_EVENT", "f1", "Go", ["B-4"]), ("p", 3, 1, "ACTIVITY", "f6", "Ask", ["B-5"])],
+)
+EVENT_FLOWS = Fixture("g string, flow string, src string, dst string", [("p", "e1", "f2", "f6"), ("p", "e2", "f6", "f4"), ("p", "e3", "f1", "f5"), ("q", "e1", "f1", "f2")])
+
+
+@R.add(f"""
+    WITH f AS (SELECT *, trim(regexp_replace(label, CASE kind WHEN 'START_EVENT' THEN '（开始）$|\\(开始\\)$' ELSE '（结束）$|\\(结束\\)$' END, '')) AS k FROM {EVENT_FACTS.sql} WHERE kind IN ('START_EVENT', 'END_EVENT')),
+    m AS (SELECT g, fact_id, first_value(fact_id) OVER (PARTITION BY g, kind, k ORDER BY frag_idx, pos) AS own FROM f)
+    SELECT e.g, e.flow, coalesce(a.own, e.src) AS src, coalesce(b.own, e.dst) AS dst, coalesce(a.own <> e.src, false) OR coalesce(b.own <> e.dst, false) AS rewritten
+    FROM {EVENT_FLOWS.sql} e LEFT JOIN m a ON a.g = e.g AND a.fact_id = e.src LEFT JOIN m b ON b.g = e.g AND b.fact_id = e.dst""")
+def event_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows between merged start and end events."""
+    return facts.aligned_endpoints(EVENT_FACTS.df(spark), EVENT_FLOWS.df(spark))
+
+
+@R.add(f"""
+    WITH f AS (SELECT *, trim(regexp_replace(label, '（开始）$|\\(开始\\)$', '')) AS k FROM {EVENT_FACTS.sql} WHERE kind = 'START_EVENT')
+    SELECT g AS process, k AS label_key, arg_min(label, frag_idx * 1000 + pos) AS label, arg_min(fact_id, frag_idx * 1000 + pos) AS fact_id, list_sort(list_distinct(flatten(list(evidence_refs)))) AS evidence_refs FROM f GROUP BY 1, 2""")
+def start_event_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 for start events."""
+    return facts.align_events(EVENT_FACTS.df(spark).withColumns({"process_key": F.col("g"), "certainty": F.lit("EXPLICIT")}), "START_EVENT", "开始")

@@ -116,10 +116,7 @@ def page_visual_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A block for each page, text or placeholder."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("artifact_sha256"), F.lit(1).alias("page"), files.visible_text(F.col("html")).alias("text"))
-    enough = F.length(F.trim("text")) > 10
-    content = F.when(enough, F.trim("text")).otherwise(F.lit("[visual page] 1"))
-    place = F.when(enough, F.lit("pdf:1")).otherwise(F.lit("pdf:visual:1"))
-    return pages.select("page_id", F.when(enough, "TEXT").otherwise("VISUAL_ASSET").alias("modality"), C.block_id(F.col("artifact_sha256"), place).alias("block_id"), F.sha2(content, 256).alias("content_sha256"))
+    return files.page_blocks(pages, "page_id").select("page_id", "modality", "block_id", "content_sha256")
 
 
 @R.add(f"SELECT doc_id, {_HAN.format(t='text')} AS han, {_ASCII.format(t='text')} AS ascii, {utf16_sql('coalesce(text, chr(32))')} - CASE WHEN text IS NULL THEN 1 ELSE 0 END AS utf16, {tokens_sql('text')} AS tokens FROM documents")

@@ -90,11 +90,6 @@ def front_matter(text: Column) -> Column:
     return F.map_from_entries(F.transform(pairs, lambda line: F.struct(F.trim(F.substring_index(line, ":", 1)), F.trim(F.regexp_replace(line, r"^[^:]*:", "")))))
 
 
-def json_list(value: Column) -> Column:
-    """An array given as JSON; null for other texts."""
-    return F.when(value.startswith("["), F.from_json(value, "array<string>"))
-
-
 def section(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc, rule_id, content of each wanted rule_id: from the first heading that names it to the next of its level or above. An id is words joined by hyphens."""
     level = F.length(F.regexp_extract("line", HEADING, 1))
