@@ -11,7 +11,7 @@ from procloom.plans import models as M
 from procloom.plans.fixtures import Fixture
 from procloom.plans.registry import Registry, table
 from procloom.plans.text_queries import status_sql, tokens_sql, utf16_sql
-from procloom.sources import files, sinks
+from procloom.sources import files, markdown, sinks
 from procloom.tables import shared_folder
 
 R = Registry()
@@ -298,3 +298,36 @@ def event_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def start_event_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8 for start events."""
     return facts.align_events(EVENT_FACTS.df(spark).withColumns({"process_key": F.col("g"), "certainty": F.lit("EXPLICIT")}), "START_EVENT", "开始")
+
+
+CODE_CELLS = Fixture(
+    "doc string, table_no bigint, row_no int, col_no int, header string, cell string",
+    [(d, t, r, c, rows[0][c], cell) for d, tables in {
+        "x": [[["Code", "Note"], ["CM-1.1", "n"]], [["Code", "Name", "Level"], ["CM-1.1 and CM-1.2", "", "level l4"], ["CM-1.1", "Buy", ""], ["cm-2", "Lost", "Top"]], [["编号", "层级", "名称"], ["CM-1.2", "L5", "Pay"], ["CM-1.1", "L6", "Later"]]],
+        "y": [[["Code", "Level"], ["CM-2", "L3"]]],
+    }.items() for t, rows in enumerate(tables, 1) for r, row in enumerate(rows) for c, cell in enumerate(row)],
+)
+CODES = Fixture("doc string, code string", [("x", "CM-1.1"), ("x", "CM-1.2"), ("x", "cm-2 "), ("x", "CM-9"), ("y", "CM-2"), ("y", "CM-1.1")])
+
+
+@R.add(f"""
+    WITH c AS (SELECT * FROM {CODE_CELLS.sql}), w AS (SELECT DISTINCT doc, upper(trim(code)) AS code FROM {CODES.sql}),
+    k AS (SELECT doc, table_no, row_no, upper(trim(cell)) AS own, regexp_extract_all(cell, '\\b([A-Z]{{1,4}}-\\d+(?:\\.\\d+)?)\\b', 1) AS codes FROM c WHERE col_no = 0 AND row_no > 0),
+    h AS (SELECT doc, table_no, min(col_no) FILTER (regexp_matches(cell, '(?i)层级|level')) AS l, min(col_no) FILTER (regexp_matches(cell, '(?i)名称|name')) AS n FROM c WHERE row_no = 0 GROUP BY 1, 2),
+    v AS (SELECT w.doc, w.code, (SELECT arg_min(trim(c.cell), c.table_no * 1000 + c.row_no) FROM c JOIN h USING (doc, table_no) JOIN k USING (doc, table_no, row_no) WHERE c.doc = w.doc AND c.col_no = h.l AND trim(c.cell) <> '' AND (k.own = w.code OR list_contains(k.codes, w.code))) AS level,
+        (SELECT arg_min(trim(c.cell), c.table_no * 1000 + c.row_no) FROM c JOIN h USING (doc, table_no) JOIN k USING (doc, table_no, row_no) WHERE c.doc = w.doc AND c.col_no = h.n AND trim(c.cell) <> '' AND list_contains(k.codes, w.code)) AS name FROM w)
+    SELECT doc, code, CASE WHEN regexp_matches(level, '(?i)L[0-9]+') THEN upper(regexp_extract(level, '(?i)(L[0-9]+)', 1)) ELSE level END AS level, name FROM v""")
+def table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels and names of codes by the tables of their document."""
+    return markdown.lookup(CODE_CELLS.df(spark), CODES.df(spark))
+
+
+@R.add("""
+    SELECT 'PAGE' AS locator_type, url || ':page-' || (page_id % 9 + 1) AS locator, left(coalesce(html, ''), 200) AS excerpt FROM pages
+    UNION ALL SELECT 'BPMN_ELEMENT', 'm.bpmn#' || event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE event_id::VARCHAR END FROM events""")
+def locators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and elements."""
+    pages = table(spark, sf_dir, "pages").select(markdown.page_locator(F.col("url"), F.col("page_id") % 9 + 1, F.col("html")).alias("l"))
+    event = F.col("event_id").cast("string")
+    elements = table(spark, sf_dir, "events").select(markdown.element_locator(F.lit("m.bpmn"), event, F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise("")).alias("l"))
+    return pages.unionByName(elements).select("l.*")

@@ -119,3 +119,34 @@ def chunks(found: DataFrame, version: str = "1") -> DataFrame:
         C.prefixed_id("C", F.concat_ws(":", "artifact_sha256", place, "content_sha256", F.lit(version))).alias("chunk_id"),
         C.domain_tags(F.col("heading_path"), F.col("content")).alias("domain_tags"), C.estimate_tokens(F.col("content")).alias("tokens"), "content",
     )
+
+
+#: Headers of the columns that hold a process's level and name.
+LEVEL_HEADER, NAME_HEADER = "(?i)层级|level", "(?i)名称|name"
+
+
+def lookup(cells: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc, code, level, name of the wanted (doc, code) by the tables of cells (see table_cells): the first row, of the first table with such a column, whose first cell
+    names the code and that has a value."""
+    first = cells.where("col_no = 0 and row_no > 0").select("doc", "table_no", "row_no", C.canonical_key(F.col("cell")).alias("own"), C.candidate_codes(F.col("cell")).alias("codes"))
+
+    def values(pattern: str, whole: bool, name: str) -> DataFrame:
+        columns = cells.where((F.col("row_no") == 0) & F.col("cell").rlike(pattern)).groupBy("doc", "table_no").agg(F.min("col_no").alias("col_no"))
+        rows = cells.where("row_no > 0").join(columns, ["doc", "table_no", "col_no"]).where(F.trim("cell") != "").select("doc", "table_no", "row_no", F.trim("cell").alias("value")).join(first, ["doc", "table_no", "row_no"])
+        named = rows.withColumn("code", F.explode(F.array_distinct(F.concat("codes", F.array("own")) if whole else F.col("codes"))))
+        return named.groupBy("doc", "code").agg(F.min_by("value", F.struct("table_no", "row_no")).alias(name))
+
+    key = C.canonical_key(F.col("code"))
+    told = wanted.select("doc", key.alias("code")).distinct().join(values(LEVEL_HEADER, True, "level"), ["doc", "code"], "left").join(values(NAME_HEADER, False, "name"), ["doc", "code"], "left")
+    short = F.upper(F.regexp_extract("level", "(?i)(L[0-9]+)", 1))
+    return told.select("doc", "code", F.when(short != "", short).otherwise(F.col("level")).alias("level"), "name")
+
+
+def page_locator(path: Column, page: Column, text: Column) -> Column:
+    """struct(locator_type, locator, excerpt) of a page."""
+    return F.struct(F.lit("PAGE").alias("locator_type"), F.concat(path, F.lit(":page-"), page.cast("string")).alias("locator"), F.substring(F.coalesce(text, F.lit("")), 1, 200).alias("excerpt"))
+
+
+def element_locator(path: Column, element: Column, name: Column) -> Column:
+    """struct(locator_type, locator, excerpt) of a diagram's element; one without a name shows its id."""
+    return F.struct(F.lit("BPMN_ELEMENT").alias("locator_type"), F.concat(path, F.lit("#"), element).alias("locator"), F.coalesce(C.blank_null(name), element).alias("excerpt"))
