@@ -177,10 +177,14 @@ class Classifier:
     offset: float
 
 
+#: Everyday words; a gram that begins with two of them tells nothing of licences, and is left out.
+EVERYDAY = frozenset("a all an and any are as at be by for from if in is it its may must no not of on or other that the this to under with without you your".split())
+
+
 def gram_list(text: str) -> list[str]:
-    """The grams of a fixed text, as grams() has them."""
-    words = [w.strip(".-") for w in _fixed_words(text)]
-    return [" ".join(words[i : i + k]) for k in (2, 3) for i in range(len(words) - k + 1)]
+    """The grams of a fixed text, as grams() has them, that don't begin with two everyday words."""
+    words = _fixed_words(text)
+    return [" ".join(words[i : i + k]) for k in (2, 3) for i in range(len(words) - k + 1) if not EVERYDAY.issuperset(words[i : i + 2])]
 
 
 def _fixed_words(text: str) -> list[str]:
@@ -239,7 +243,7 @@ def hits(docs: DataFrame, vocabulary: list[list[str]]) -> DataFrame:
     lines = F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")
     read = docs.select("doc_id", lines.alias("lines")).select("doc_id", F.size("lines").cast("long").alias("n_paragraphs"), F.transform("lines", lower_words).alias("nested"))
     read = read.select("doc_id", "n_paragraphs", F.flatten("nested").alias("w"), F.flatten(F.transform("nested", lambda ws, k: F.array_repeat(k, F.size(ws)))).alias("at"))
-    # a three-word gram begins with a two-word gram of the same texts, so the twos find the places
+    # a three-word gram begins with a two-word gram that is known as well, so the twos find the places
     paired = read.select("*", F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.xxhash64(a, b)).alias("two"))
     placed = paired.select("*", F.expr(f"filter(transform(two, (g, i) -> if(g in ({among}), i, null)), i -> i is not null)").alias("places"))
     line = lambda i: F.get("at", i)
