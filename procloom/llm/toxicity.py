@@ -106,18 +106,15 @@ def train(text: np.ndarray, term: np.ndarray, label: np.ndarray, rank: int = 6,
             slope = 1 / (1 + np.exp(-np.clip(m.margin(which, a, len(batch)), -30, 30))) - label[batch]
             m.bias -= rate * slope.sum() / np.sqrt(seen_b := seen_b + slope.sum() ** 2)
             v = m.factors[a]
-            sums = np.zeros((len(batch), rank))
-            np.add.at(sums, which, v)
-            grad_w = np.bincount(a, slope[which], len(known)).astype(float)
-            grad_v = np.zeros_like(m.factors)
-            np.add.at(grad_v, a, slope[which][:, None] * (sums[which] - v))
-            hit = np.unique(a)
-            grad_w[hit] += decay * m.weight[hit]
-            grad_v[hit] += 10 * decay * m.factors[hit]
-            seen_w[hit] += grad_w[hit] ** 2
-            seen_v[hit] += grad_v[hit] ** 2
-            m.weight[hit] -= rate * grad_w[hit] / np.sqrt(seen_w[hit])
-            m.factors[hit] -= 0.3 * rate * grad_v[hit] / np.sqrt(seen_v[hit])
+            by_text = lambda x: np.stack([np.bincount(which, x[:, k], len(batch)) for k in range(rank)], 1)
+            hit, spot = np.unique(a, return_inverse=True)  # only the terms of the batch are touched
+            grad_w = np.bincount(spot, slope[which], len(hit)) + decay * m.weight[hit]
+            part = slope[which][:, None] * (by_text(v)[which] - v)
+            grad_v = np.stack([np.bincount(spot, part[:, k], len(hit)) for k in range(rank)], 1) + 10 * decay * m.factors[hit]
+            seen_w[hit] += grad_w**2
+            seen_v[hit] += grad_v**2
+            m.weight[hit] -= rate * grad_w / np.sqrt(seen_w[hit])
+            m.factors[hit] -= 0.3 * rate * grad_v / np.sqrt(seen_v[hit])
     return m
 
 
