@@ -334,8 +334,9 @@ def near_groups(docs: DataFrame, how: Paths = Paths()) -> DataFrame:
         else:
             joined = slim.join(F.broadcast(reps), same, "left")
         member = shared.spill(joined.select("doc_id", *same, alone.alias("id")), "members")
-        wanted = member.where("id = doc_id").select("id").distinct()
-        chosen = shared.spill(every.withColumnRenamed("doc_id", "id").join(wanted, "id").select("id", "n", "tokens", "sketch"), "classes")
+        # a class is compared by its least document; the others are few or are cleared by a bitmap, so that sketches don't shuffle
+        copies = member.where("id <> doc_id").select("doc_id").join(member.where("id = doc_id").select("doc_id"), "doc_id", "left_anti")
+        chosen = shared.without(every.where("n > 0 and doc_id is not null"), copies).select(F.col("doc_id").alias("id"), "n", "tokens", "sketch")
         links, label = None, None
         for trees, spanning in ((1, True), (how.trees, True), (how.trees, False)):
             with shared.scratch():
