@@ -17,7 +17,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of this machine in local mode (as in tests), else one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="procloom-") if spark.sparkContext.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_procloom"
+        local = spark.sparkContext.master.startswith("local")
+        folder = tempfile.mkdtemp(prefix="procloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_procloom"
+        if not local and spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share: {folder} is one of this machine")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -66,13 +69,19 @@ def scratch() -> Iterator[None]:
             delete(spark, path)
 
 
-def spill(df: DataFrame, name: str, outlast: int = 0, by: str | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing. The table outlasts so many scratches around it.
-    by: a column whose values get folders of their own, so that a filter on it reads only these."""
-    spark = df.sparkSession
+def place(spark: SparkSession, name: str, outlast: int = 0) -> str:
+    """A new path in the shared folder, which is deleted like a spilled table."""
     path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     owners = _open.get()
     if len(owners) > outlast:
         owners[len(owners) - 1 - outlast].append((spark, path))
+    return path
+
+
+def spill(df: DataFrame, name: str, outlast: int = 0, by: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing. The table outlasts so many scratches around it.
+    by: a column whose values get folders of their own, so that a filter on it reads only these."""
+    spark = df.sparkSession
+    path = place(spark, name, outlast)
     df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
