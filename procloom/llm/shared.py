@@ -10,10 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procloom.tables import scratch, shared_folder, spill
+from procloom.tables import place, scratch, shared_folder, spill
 from procloom.workers import ship
 
-__all__ = ["scratch", "shared_folder", "ship", "spill"]
+__all__ = ["place", "scratch", "shared_folder", "ship", "spill"]
 
 #: Words of the contracts: runs of anything but space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
