@@ -18,6 +18,10 @@ All chunks of it run side by side, each from the state that the WARM symbols bef
 coincide. Then the maps are composed: where a chunk's entry isn't its predecessor's exit, the chunk runs again from
 that, all such chunks at once, until the chain holds; what a chunk has run from is kept, so none runs twice from one state.
 
+What a code point is (white space, letter, number or other), and which code points Python normalises as the tokenizer's own library
+does, is asked of that library, once in the driver. A text with any other code point, such as one that is newer than the worker's Python, is
+normalised by the library.
+
 Texts: null counts as empty and has no tokens. Any length of text or word is taken whole. Rows that repeat
 are counted alike each time. Other columns are ignored. An empty table gives an empty result.
 """
@@ -27,10 +31,12 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from tokenizers import Regex, Tokenizer, normalizers
 
 from procloom.llm import shared
 
@@ -39,9 +45,9 @@ CHUNK = 512
 LONG, BLOCK, WARM = 4096, 1 << 20, 64
 #: Cells (states times symbols) after which a worker's table starts afresh, which bounds its memory to about 400 MB.
 MOST_CELLS = 1 << 25
+#: Pairs of tokens after which what is known of pairs starts afresh (some 16 MB, and as much again for the compiled states).
+MOST_FITS = 1 << 20
 _END = "\0"
-#: White space of Unicode, as a set of code points.
-_WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _OTHER, _SPACE, _LETTER, _NUMBER = range(4)
 
 
@@ -52,17 +58,35 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-def kinds() -> np.ndarray:
-    """Kind of each code point: white space, letter, number or other."""
-    out = np.fromiter(({"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-    out[_WHITE] = _SPACE
-    return out
+@cache
+def classes(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """By code point: its kind, and whether the tokenizer must normalise texts that hold it, as the library has it."""
+    points = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], np.uint32)
+    text = points.tobytes().decode("utf-32-le")
+    kinds = np.full(0x110000, _OTHER, np.uint8)
+    for kind, pattern, mark in ((_NUMBER, r"\p{N}", "1"), (_LETTER, r"\p{L}", "a"), (_SPACE, r"\s", " ")):
+        marked = normalizers.Replace(Regex(pattern), mark).normalize_str(text)
+        kinds[points[np.frombuffer(marked.encode("utf-32-le"), np.uint32) == ord(mark)]] = kind
+    odd = np.zeros(0x110000, bool)
+    own = Tokenizer.from_file(path).normalizer.normalize_str("|".join(text.replace("|", "")))
+    for c, found in zip(text.replace("|", ""), own.split("|"), strict=True):
+        odd[ord(c)] = found != normal(c) and kinds[ord(c)] != _SPACE or unicodedata.category(c) == "Cn"
+    return kinds, odd
+
+
+def normal(text: str) -> str:
+    """Python's composition and small letters, without a rule for a sigma at a word's end."""
+    if text.isascii():
+        return text.lower()
+    return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
 
 
 class Transducer:
     """The machine for one vocabulary of byte pairs with word ends."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, told: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        self.kinds, self.odd = told or classes(path)
+        self.normalizer = Tokenizer.from_file(path).normalizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         end = spec["model"]["end_of_word_suffix"]
@@ -73,7 +97,6 @@ class Transducer:
         self.rank = {(plain(a), plain(b)): k for k, (a, b) in enumerate(spec["model"]["merges"])}
         self.begins = {t[:k] for t in self.token for k in range(1, len(t))}
         self.symbols = byte_symbols()
-        self.kinds = kinds()
         byte = {c: b for b, c in enumerate(self.symbols)}
         self.length = np.array([len(self.text.get(i, "").replace(_END, "")) for i in range(max(self.text) + 1)])
         self.longest = int(self.length.max())
@@ -96,7 +119,7 @@ class Transducer:
         self.next, self.delta = np.full((1024, 64), -1, np.int32), np.zeros((1024, 64), np.int16)
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.forget()
         self.state(("", (-1,), (0,)))
 
     def state(self, key: tuple) -> int:
@@ -118,6 +141,11 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def forget(self) -> None:
+        """Nothing is known of pairs of tokens; column 0 of the table is a pair that isn't."""
+        self.fits: dict[tuple[int, int], bool] = {}
+        self.pairs, self.pair_fits = np.full(1, -1, np.int64), np.zeros(1, bool)
+
     def fit(self, before: int, token: int) -> bool:
         """Whether the two tokens stay as they are when they meet; -1 is a word's start."""
         key = (before, token)
@@ -128,6 +156,18 @@ class Transducer:
             self.fits[key] = self.merged(parts) == whole
         return self.fits[key]
 
+    def fit_all(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """fit() of many pairs, from a sorted table of pairs."""
+        key = (before.astype(np.int64) + 1) << 32 | token.astype(np.int64)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        new = np.unique(key[self.pairs[at] != key])
+        if len(new):
+            good = np.array([self.fit((k >> 32) - 1, k & 0xFFFFFFFF) for k in new.tolist()])
+            spot = np.searchsorted(self.pairs, new)
+            self.pairs, self.pair_fits = np.insert(self.pairs, spot, new), np.insert(self.pair_fits, spot, good)
+            at = np.searchsorted(self.pairs, key)
+        return self.pair_fits[at]
+
     def compile(self, state: int, column: int) -> None:
         seen, last, count = self.states[state]
         symbol = self.meaning[column]
@@ -197,7 +237,7 @@ class Transducer:
                 token, before = told[here[open_]], last[open_, w + j - n] if n <= w + j else np.full(len(open_), -2)
                 may = np.flatnonzero((token >= 0) & (before > -2))
                 if len(may):
-                    good = may[[self.fit(b, t) for b, t in zip(before[may].tolist(), token[may].tolist())]]
+                    good = may[self.fit_all(before[may], token[may])]
                     last[open_[good], w + j] = token[good]
                     open_ = np.delete(open_, good)
                     if not len(open_):
@@ -214,6 +254,8 @@ class Transducer:
         carry[0, -1] = -1
         for base in range(0, n - 1, block):  # all but the word's last byte, whose token bears the end
             stop = min(n - 1, base + block)
+            if len(self.fits) > MOST_FITS:
+                self.forget()
             lead = min(base, w)  # tokens may begin before the block
             choices = [(k, told[lead:]) for k, told in self.candidates(data[base - lead : stop])]
             size, warm = stop - base, max(WARM, w)
@@ -294,10 +336,10 @@ class Transducer:
             wait = wait[~np.isin(wait, now)]
         return out.T.reshape(-1)[:n].astype(np.int64)
 
-    def normal(self, text: str) -> str:
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        return text.replace("Σ", "σ").lower()
+    def normal(self, text: str, odd: bool) -> str:
+        if odd and self.odd[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
+            return self.normalizer.normalize_str(text)
+        return normal(text)
 
     def symbols_of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of normalised text, and the code point that each belongs to. White space gives none."""
@@ -327,6 +369,7 @@ class Transducer:
     def tokens(self, texts: list[str], chunk: int = CHUNK, long: int = LONG) -> np.ndarray:
         """Number of tokens of each text."""
         extra = np.zeros(len(texts), np.int64)
+        odd = any(self.odd[np.frombuffer(t.encode("utf-32-le"), np.uint32)].any() for t in texts if not t.isascii())
         parts: list[str] = []
         of: list[int] = []
         for k, text in enumerate(texts):
@@ -335,7 +378,7 @@ class Transducer:
                 if s in text:
                     extra[k] += text.count(s)
                     pieces = [p for piece in pieces for p in piece.split(s)]
-            parts += map(self.normal, pieces)
+            parts += [self.normal(p, odd) for p in pieces]
             of += [k] * len(pieces)
         lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
         stream, point = self.symbols_of("\n".join(parts))
@@ -347,19 +390,20 @@ class Transducer:
 _machines: dict[str, Transducer] = {}
 
 
-def machine(path: str) -> Transducer:
-    """The worker's machine for a vocabulary; later tasks go on with what it has compiled."""
+def machine(path: str, told: tuple[np.ndarray, np.ndarray] | None = None) -> Transducer:
+    """The worker's machine for a vocabulary (told: classes() of it, if known); later tasks go on with what it has compiled."""
     if path not in _machines:
-        _machines[path] = Transducer(path)
+        _machines[path] = Transducer(path, told)
     return _machines[path]
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than limit tokens) of each row of docs. vocabulary: path of the tokenizer's json, the same on all executors."""
     shared.ship(docs.sparkSession)
+    told = docs.sparkSession.sparkContext.broadcast(classes(vocabulary))  # 2 MB
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = machine(vocabulary)
+        m = machine(vocabulary, told.value)
         for rows, data, offsets in shared.passes(batches):
             n = m.tokens(rows.column("text").fill_null("").to_pylist())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

@@ -39,6 +39,12 @@ def test_transducer_counts_as_the_library(word, text):
     assert tokencount.machine(WORD).tokens([text], chunk=16)[0] == library(word, text)
 
 
+def test_every_code_point_counts_as_the_library(word):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b{c}{c}1" for c in points[k : k + 2000]) for k in range(0, len(points), 2000)]
+    assert [int(tokencount.machine(WORD).tokens([t])[0]) for t in texts] == [library(word, t) for t in texts]
+
+
 @pytest.mark.parametrize("text", ["<|endoftext|>", "a<|startoftext|>b <|endoftext|><|endoftext|>", "x" * 5000, "antidisestablishmentarianism" * 40, "it's they're we'll I'd", "ΑΣ ΑΣΑ", "İstanbul ǅ ﬁ", "é é", "퟿", "1234567890", "a​b", "don''t 's's", "!!!???...,,,"])
 def test_hard_texts(word, text):
     for chunk in (4, 64, 512):
@@ -50,7 +56,7 @@ def test_hard_texts(word, text):
 def test_long_words_count_as_the_library(word, text, chunk):
     m = tokencount.machine(WORD)
     assert m.tokens([text, text * 3], chunk=chunk, long=5).tolist() == [library(word, text), library(word, text * 3)]
-    data = np.frombuffer(m.normal("".join(c for c in text if c.isalpha()) or "a").encode(), np.uint8)
+    data = np.frombuffer(m.normal("".join(c for c in text if c.isalpha()) or "a", True).encode(), np.uint8)
     if m.kinds[[ord(c) for c in data.tobytes().decode()]].tolist() == [2] * len(data.tobytes().decode()):
         assert m.long_word(data, chunk, block=50) == library(word, data.tobytes().decode())
 
