@@ -4,13 +4,14 @@ The index is a table of postings (term number, row, impact) that is dealt and so
 many partitions. Only terms of the items get lists; counts over the corpus are taken from all rows. Impacts are whole numbers,
 and an item's list has them times the term's weight and its repeats in the item.
 
-1. The k greatest impacts of each list are summed by item and document. The k-th greatest sum, t, bounds an item's k-th score from below.
-2. Of an item's m lists all entries of ceil(t / m) or more are fetched. A document in none of them has less than t. For the others the sum of
-   what was fetched bounds the score from below, and that sum plus each other list's greatest entry below the threshold bounds it from above.
-3. Documents whose upper bound is at least the k-th lower bound are looked up in all of the item's lists, and the exact scores are ranked.
+1. The k greatest impacts of each list are its head. Documents of an item's heads are scored in full, and the k-th greatest score, t, bounds the item's k-th
+   score from below. (The sums over heads alone bound it, too, but at a fifth of it where an item has thirty lists.)
+2. Of an item's m lists all entries of ceil(t / (SHARE * m)) or more are fetched. A document in none of them has less than t / SHARE. For the others the sum of
+   what was fetched, and each other list's greatest entry below the threshold, bounds the score from above.
+3. Documents whose upper bound is at least t are looked up in all of the item's lists, and the exact scores are ranked.
 
-Heads and ranks are kept to k by list or item in each task before they meet. No pair of an item and a document arises that shares no entry
-over the threshold.
+Heads and ranks are kept to k by list or item in each task before they meet. What is fetched is dealt by document before it meets the items, so that no
+pair of an item and a document shuffles but for those that may rank, and no pair arises that shares no entry over the threshold.
 
 Texts: null and empty ones have no terms; they are in no list and not among the counted documents. Texts of any length are read whole. Each row
 is a document; rows that repeat a doc_id are ranked one by one, equal scores by doc_id (null last), then by row. Each row of the items is an item.
@@ -31,6 +32,11 @@ from pyspark.sql import functions as F
 
 from procloom.llm import shared
 
+#: Postings that one task takes when entries meet the items.
+TASK_POSTINGS = 1 << 19
+#: Part of t that what isn't fetched may add up to. Impacts of a list differ little, so thresholds cut lists rather than entries: at 1 nearly as many
+#: entries are fetched as at 4 (three quarters of all on the given tables), but thirty times as many documents may still rank.
+SHARE = 4
 #: Terms: runs of ASCII letters, digits and all other code points beyond ASCII. What else there is, as bytes, turns to a space, and A-Z to a-z.
 _TERMS = bytes(c + 32 if 65 <= c < 91 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -76,7 +82,7 @@ def nth(df: DataFrame, by: str, k: int, *order: F.Column) -> DataFrame:
 @dataclass(frozen=True)
 class Index:
     """postings: (t, row, impact), by term number; documents: (row, doc_id) of rows with terms; weights: (t, w); items: (item, item_id, t, repeats);
-    and how many terms, items and lists of items there are."""
+    and how many terms, items, lists of items and postings there are."""
 
     postings: DataFrame
     documents: DataFrame
@@ -85,6 +91,7 @@ class Index:
     n_terms: int
     n_items: int
     n_lists: int
+    n_postings: int
 
 
 def build(docs: DataFrame, items: DataFrame) -> Index:
@@ -107,7 +114,16 @@ def build(docs: DataFrame, items: DataFrame) -> Index:
     weights = shared.spill(postings.groupBy("t").agg(F.count("*").alias("df")).select("t", weight).where("w > 0"), "weights")
     n_numbers, n_items = numbers.count(), named.count()
     lists = asked.join(few(numbers, n_numbers), "term").join(few(named.select("item", "item_id"), n_items), "item").select("item", "item_id", "t", "repeats")
-    return Index(postings, ids, weights, lists, n_numbers, n_items, asked.count())
+    return Index(postings, ids, weights, lists, n_numbers, n_items, asked.count(), postings.count())
+
+
+def exact(index: Index, lists: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(item, row, score) of pairs (item, row), looked up in all of the item's lists."""
+    pairs = shared.spill(pairs, "pairs")
+    rows = pairs.select("row").distinct()
+    entries = index.postings.join(few(rows, pairs.count()), "row", "left_semi")
+    asked = pairs.join(few(lists.select("item", "t", "w"), index.n_lists), "item")
+    return entries.join(asked, ["t", "row"]).groupBy("item", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("score")).where("score > 0")
 
 
 def top(index: Index, k: int = 20) -> DataFrame:
@@ -116,28 +132,23 @@ def top(index: Index, k: int = 20) -> DataFrame:
     lists = shared.spill(index.items.join(few(index.weights, n_terms), "t").select("item", "item_id", "t", (F.col("w") * F.col("repeats")).alias("w")), "weighted")
 
     heads = shared.spill(nth(postings, "t", k, F.desc("impact"), F.asc("row")), "heads")
-    sums = few(lists, n_lists).join(heads, "t").groupBy("item", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("low"))
-    bound = nth(sums, "item", k, F.desc("low")).where(F.col("rank") == k).select("item", F.col("low").alias("bound"))
+    met = few(lists, n_lists).join(heads, "t").select("item", "row").distinct()
+    bound = nth(exact(index, lists, met), "item", k, F.desc("score")).where(F.col("rank") == k).select("item", F.col("score").alias("bound"))
     first = heads.where("rank = 1").select("t", F.col("impact").alias("most"))
     m = lists.groupBy("item").agg(F.count("*").alias("m")).join(few(bound, n_items), "item", "left").withColumn("bound", F.coalesce("bound", F.lit(0)))
-    m = m.withColumn("least", F.greatest(F.lit(1), F.expr("(bound + m - 1) div m")))
+    m = m.withColumn("least", F.greatest(F.lit(1), F.expr(f"(bound + {SHARE} * m - 1) div ({SHARE} * m)")))
     told = lists.join(few(first, n_terms), "t").join(few(m.drop("m"), n_items), "item").withColumn("cap", F.least(F.col("w") * F.col("most"), F.col("least") - 1))
     told = shared.spill(told, "thresholds")
 
     need = told.groupBy("t").agg(F.min(F.expr("(least + w - 1) div w")).alias("need"))
-    strong = postings.join(few(need, n_terms), "t").where("impact >= need").drop("need")
-    met = strong.join(few(told.select("item", "t", "w", "least", "cap"), n_lists), "t").where("w * impact >= least")
-    met = shared.spill(met.groupBy("item", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("low"), F.sum("cap").alias("met")), "bounds")
-    again = nth(met, "item", k, F.desc("low")).where(F.col("rank") == k).select("item", F.col("low").alias("again"))
-    rest = told.groupBy("item").agg(F.sum("cap").alias("caps"), F.max("bound").alias("bound")).join(few(again, n_items), "item", "left")
-    rest = rest.select("item", "caps", F.greatest("bound", F.coalesce("again", F.lit(0))).alias("bound"))
-    able = shared.spill(met.join(few(rest, n_items), "item").where("low + caps - met >= bound").select("item", "row"), "candidates")
-
-    asked = able.join(few(lists.select("item", "t", "w"), n_lists), "item")
-    of_rows = postings.join(few(able.select("row").distinct(), able.count()), "row", "left_semi")
-    exact = of_rows.join(asked, ["t", "row"]).groupBy("item", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("score")).where("score > 0")
-    exact = shared.spill(exact, "scores").join(index.documents, "row")
-    ranked = nth(exact, "item", k, F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("row"))
+    strong = postings.join(few(need, n_terms), "t").where("impact >= need").select("t", "row", "impact")
+    strong = strong.repartition(1 + index.n_postings // TASK_POSTINGS, "row")  # the sums of a document's items are then in one task
+    entry = strong.join(few(told.select("item", "t", "w", "least", "cap"), n_lists), "t").where("w * impact >= least")
+    sums = entry.groupBy("item", "row").agg(F.sum(F.col("w") * F.col("impact") - F.col("cap")).alias("over"))
+    rest = told.groupBy("item").agg(F.sum("cap").alias("caps"), F.max("bound").alias("bound"))
+    able = sums.join(few(rest, n_items), "item").where("over + caps >= bound").select("item", "row")
+
+    ranked = nth(exact(index, lists, able).join(index.documents, "row"), "item", k, F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("row"))
     return ranked.join(few(index.items.select("item", "item_id").distinct(), n_items), "item").select("item_id", "rank", "doc_id", "score")
 
 
