@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procloom.functions import columns as C
+from procloom.operators.joins import null_safe
 from procloom.operators.packing import NO_LIMIT, greedy
 
 #: Kinds of extraction task that each batch gets.
@@ -54,7 +55,7 @@ def deviation(actual: Column, least: Column, most: Column) -> Column:
 def aggregation_tasks(results: DataFrame, max_tokens: int) -> DataFrame:
     """grp, task_no, task_id, n_results, tokens, status: results (grp, ord, result_id, tokens) folded in order into tasks. One over 1.2 times the limit is BLOCKED."""
     units = results.select("grp", "ord", F.lit(1).cast("long").alias("blocks"), F.col("tokens").alias("chars"))
-    rows = results.join(greedy(units, NO_LIMIT, max_tokens), ["grp", "ord"])
+    rows = null_safe(results, greedy(units, NO_LIMIT, max_tokens), ["grp", "ord"])
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "result_id"))), lambda x: x["result_id"]), ",")  # as many as max_tokens allows
     out = rows.groupBy("grp", F.col("batch_no").alias("task_no")).agg(C.prefixed_id("AGG", ids).alias("task_id"), F.count("*").alias("n_results"), F.sum("tokens").alias("tokens"))
     return out.withColumn("status", F.when(F.col("tokens") > int(max_tokens * 1.2), "BLOCKED").otherwise("RUNNABLE"))

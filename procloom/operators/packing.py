@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from procloom import workers
 from procloom.functions import columns as C
+from procloom.operators.joins import null_safe
 from procloom.operators.splitting import MAX_BLOCKS, MAX_CHARS, split_blocks
 from procloom.tables import scratch, spill
 
@@ -126,12 +127,14 @@ def compose(parts: list[Summary], limits: Limits) -> Summary:
 def greedy(units: DataFrame, max_blocks: int = MAX_BLOCKS, max_chars: int = MAX_CHARS, segment: int = SEGMENT, fan: int = FAN) -> DataFrame:
     """grp, ord, batch_no (from 0 in each group) of units (grp string, ord long, unique in its group; blocks long from 1 on; chars long).
 
-    A unit over a limit stands alone. A negative ord is allowed; null groups are one group."""
+    A unit over a limit stands alone. A negative ord is allowed; null groups are one group. With a column sub (long), units are in order of ord, then sub, and sub is given, too."""
     workers.ship(units.sparkSession)
     limits = Limits(max_blocks, max_chars)
+    order = ["ord", "sub"] if "sub" in units.columns else ["ord"]
+    orders = ", ".join(f"{c} long" for c in order)
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
+        pdf = pdf.sort_values(order)
         return pd.DataFrame([{"grp": pdf["grp"].iloc[0], "seg": pdf["seg"].iloc[0]} | summarise(pdf["blocks"].to_numpy(np.int64), pdf["chars"].to_numpy(np.int64), limits).row()])
 
     def up(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -147,7 +150,7 @@ def greedy(units: DataFrame, max_blocks: int = MAX_BLOCKS, max_chars: int = MAX_
         return pd.DataFrame(rows, columns=["grp", "seg", "in_blocks", "in_chars", "in_count"])
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", ignore_index=True)
+        pdf = pdf.sort_values(order, ignore_index=True)
         b, c = pdf["blocks"].to_numpy(np.int64), pdf["chars"].to_numpy(np.int64)
         to, _ = _breaks(b, c, limits)
         blocks, chars, base = (int(pdf[x].iloc[0]) for x in ("in_blocks", "in_chars", "in_count"))
@@ -157,13 +160,13 @@ def greedy(units: DataFrame, max_blocks: int = MAX_BLOCKS, max_chars: int = MAX_
         while i < len(b):
             start[i] = 1
             i = to[i]
-        return pdf[["grp", "ord"]].assign(batch_no=base - 1 + np.cumsum(start))
+        return pdf[["grp", *order]].assign(batch_no=base - 1 + np.cumsum(start))
 
     entries = "grp string, seg long, in_blocks long, in_chars long, in_count long"
     parent = F.floor(F.col("seg") / F.lit(fan))
     with scratch():
         many = 1 + units.count() // segment
-        cut = units.select("grp", "ord", "blocks", "chars").repartitionByRange(many, "grp", "ord").select("*", F.spark_partition_id().cast("long").alias("seg"))
+        cut = units.select("grp", *order, "blocks", "chars").repartitionByRange(many, "grp", *order).select("*", F.spark_partition_id().cast("long").alias("seg"))
         cut = spill(cut, "segments", outlast=1)  # segments are positions in the sorted table, however sparse ord is
         tree = [spill(cut.groupBy("grp", "seg").applyInPandas(sums, f"grp string, seg long, {SUMMARY}"), "summaries", outlast=1)]
         while many > fan:
@@ -176,7 +179,7 @@ def greedy(units: DataFrame, max_blocks: int = MAX_BLOCKS, max_chars: int = MAX_
             entry = level.join(come, F.col("grp").eqNullSafe(F.col("g")) & (parent == F.col("s"))).drop("g", "s").groupBy("grp", parent).applyInPandas(down, entries)
     entry = entry.withColumnsRenamed({"grp": "g", "seg": "s"})
     told = cut.join(entry, F.col("grp").eqNullSafe(F.col("g")) & (F.col("seg") == F.col("s"))).drop("g", "s")
-    return told.groupBy("grp", "seg").applyInPandas(number, "grp string, ord long, batch_no long")
+    return told.groupBy("grp", "seg").applyInPandas(number, f"grp string, {orders}, batch_no long")
 
 
 def batch_members(blocks: DataFrame, max_chars: int = MAX_CHARS, max_blocks: int = MAX_BLOCKS) -> DataFrame:
@@ -189,12 +192,12 @@ def batch_members(blocks: DataFrame, max_chars: int = MAX_CHARS, max_blocks: int
     texts = sized.where("not visual")
     groups = texts.groupBy("run", "artifact").agg(F.min("pos").alias("ord"), F.count("*").alias("blocks"), F.sum(C.utf16_length(F.col("content"))).alias("chars"))
     placed = greedy(groups.select(F.col("run").alias("grp"), "ord", "blocks", "chars"), max_blocks, max_chars)
-    told = groups.join(placed.withColumnRenamed("grp", "run"), ["run", "ord"]).select("run", "artifact", "batch_no", ((F.col("blocks") > max_blocks) | (F.col("chars") > max_chars)).alias("large"))
-    rows = texts.join(told, ["run", "artifact"])
-    cut = split_blocks(rows.where("large"), max_chars).withColumn("ord", F.col("pos") * (1 << 20) + F.col("fragment"))
-    inner = greedy(cut.select(F.concat_ws("\0", "run", "artifact").alias("grp"), "ord", F.lit(1).cast("long").alias("blocks"), C.utf16_length(F.col("content")).alias("chars")), max_blocks, max_chars)
-    inner = inner.withColumnsRenamed({"grp": "g", "batch_no": "sub_no"})
-    cut = cut.join(inner, ["ord"]).where(F.concat_ws("\0", "run", "artifact") == F.col("g"))
+    told = null_safe(groups, placed.withColumnRenamed("grp", "run"), ["run", "ord"]).select("run", "artifact", "batch_no", ((F.col("blocks") > max_blocks) | (F.col("chars") > max_chars)).alias("large"))
+    rows = null_safe(texts, told, ["run", "artifact"])
+    one = F.to_json(F.struct("run", "artifact"))
+    cut = split_blocks(rows.where("large"), max_chars).withColumns({"ord": F.col("pos").cast("long"), "sub": F.col("fragment").cast("long"), "g": one})
+    inner = greedy(cut.select(F.col("g").alias("grp"), "ord", "sub", F.lit(1).cast("long").alias("blocks"), C.utf16_length(F.col("content")).alias("chars")), max_blocks, max_chars)
+    cut = cut.join(inner.withColumnsRenamed({"grp": "g", "batch_no": "sub_no"}), ["g", "ord", "sub"])
     names = [*sized.columns, "batch_no", "sub_no"]
     return pictures.select(names).unionByName(rows.where("not large").withColumn("sub_no", F.lit(0).cast("long")).select(names)).unionByName(cut.select(names))
 
@@ -229,7 +232,7 @@ def material_packets(chunks: DataFrame, allowed: list[str], max_tokens: int = 48
     # what stands alone is what exceeds bar; a chunk between the limits starts a packet and fills it
     units = own.select("grp", "ord", F.lit(1).cast("long").alias("blocks"), F.when(F.col("tokens") > bar, F.lit(max_tokens + 1)).otherwise(F.least("tokens", F.lit(max_tokens))).alias("chars"))
     placed = greedy(units, NO_LIMIT, max_tokens)
-    rows = own.join(placed, ["grp", "ord"])
+    rows = null_safe(own, placed, ["grp", "ord"])
     return rows.groupBy("grp", "batch_no").agg(
         C.prefixed_id("MP", F.array_join(F.array_sort(F.collect_list("chunk_id")), ",")).alias("packet_id"),
         F.when(F.max("tokens") > bar, "BLOCKED").otherwise("RUNNABLE").alias("status"), F.sum("tokens").alias("tokens"), F.count("*").alias("n_chunks"),

@@ -76,15 +76,21 @@ def mixed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MIXED = f"""l AS (SELECT source AS run, doc_id, generate_subscripts(p, 1) - 1 AS k, unnest(p) AS content FROM (SELECT source, doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
     b AS (SELECT run, doc_id::VARCHAR AS artifact, doc_id * 100000 + k AS pos, doc_id || '-' || k AS block_id, content, CASE WHEN length(content) < 12 THEN 'VISUAL_ASSET' WHEN contains(content, '|') THEN 'TABLE' ELSE 'TEXT' END AS modality, {utf16_sql('content')} AS chars FROM l),
     g AS (SELECT run, artifact, min(pos) AS ord, count(*) AS blocks, sum(chars)::BIGINT AS chars FROM b WHERE modality <> 'VISUAL_ASSET' GROUP BY 1, 2)"""
+_BLANK = "' ' || chr(9) || chr(10) || chr(13)"
+#: Blocks over the limit in pieces of 12000 characters; lines have no line ends, so paragraphs and lines leave them whole.
+_CUT = f"""x AS (SELECT b.*, g.ord AS first, g.blocks > 12 OR g.chars > 12000 AS large, b.chars > 12000 AS long FROM b JOIN g USING (run, artifact) WHERE b.modality <> 'VISUAL_ASSET'),
+    y AS (SELECT * EXCLUDE (content), CASE WHEN long THEN trim(content, {_BLANK}) ELSE content END AS whole, unnest(CASE WHEN long THEN range(0, length(trim(content, {_BLANK})), 12000) ELSE [0] END) AS spot FROM x),
+    z AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY spot) - 1 AS piece, CASE WHEN long THEN substr(whole, spot + 1, 12000) ELSE whole END AS content FROM y),
+    c AS (SELECT * EXCLUDE (block_id, chars), {utf16_sql('content')} AS chars, CASE WHEN long THEN 'B-' || sha256(sha256(artifact) || ':' || block_id || ':' || coalesce(sum({utf16_sql('content')}) OVER (PARTITION BY pos ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)[:12] ELSE block_id END AS block_id FROM z)"""
 
 
 @R.add(f"""
-    WITH RECURSIVE {_MIXED}, {_greedy('p', 'SELECT run AS grp, ord, blocks, chars FROM g', 12, 12000)},
-    {_greedy('q', "SELECT b.artifact AS grp, b.pos AS ord, 1::BIGINT AS blocks, b.chars FROM b JOIN g USING (run, artifact) WHERE b.modality <> 'VISUAL_ASSET' AND (g.blocks > 12 OR g.chars > 12000)", 12, 12000)},
-    m AS (SELECT run, true AS visual, pos AS batch_no, 0::BIGINT AS sub_no, b.* EXCLUDE (run) FROM b WHERE modality = 'VISUAL_ASSET'
-        UNION ALL SELECT b.run, false, p.batch_no, coalesce(q.batch_no, 0), b.* EXCLUDE (run) FROM b JOIN g USING (run, artifact) JOIN p ON p.grp = b.run AND p.ord = g.ord LEFT JOIN q ON q.grp = b.artifact AND q.ord = b.pos WHERE b.modality <> 'VISUAL_ASSET'),
+    WITH RECURSIVE {_MIXED}, {_CUT}, {_greedy('p', 'SELECT run AS grp, ord, blocks, chars FROM g', 12, 12000)},
+    {_greedy('q', "SELECT artifact AS grp, pos * 1000 + piece AS ord, 1::BIGINT AS blocks, chars FROM c WHERE large", 12, 12000)},
+    m AS (SELECT run, true AS visual, pos AS batch_no, 0::BIGINT AS sub_no, artifact, pos, block_id, content, modality, chars, 0::BIGINT AS piece FROM b WHERE modality = 'VISUAL_ASSET'
+        UNION ALL SELECT c.run, false, p.batch_no, coalesce(q.batch_no, 0), c.artifact, c.pos, c.block_id, c.content, c.modality, c.chars, c.piece FROM c JOIN p ON p.grp = c.run AND p.ord = c.first LEFT JOIN q ON q.grp = c.artifact AND q.ord = c.pos * 1000 + c.piece),
     t AS (SELECT run, visual, batch_no, sub_no, 'EB-' || sha256(string_agg(block_id, ',' ORDER BY block_id))[:12] AS batch_id, sha256(string_agg(sha256(content), ',' ORDER BY sha256(content))) AS batch_sha256, count(*) AS n_blocks, sum(chars)::BIGINT AS chars,
-        {tokens_sql("string_agg(content, chr(10) ORDER BY pos)")} AS tokens, list(modality ORDER BY pos) AS ms, list(DISTINCT artifact ORDER BY artifact) AS artifacts FROM m GROUP BY 1, 2, 3, 4)
+        {tokens_sql("string_agg(content, chr(10) ORDER BY pos, piece)")} AS tokens, list(modality ORDER BY pos, piece) AS ms, list(DISTINCT artifact ORDER BY artifact) AS artifacts FROM m GROUP BY 1, 2, 3, 4)
     SELECT run, row_number() OVER (PARTITION BY run ORDER BY visual DESC, batch_no, sub_no) AS no, batch_id, batch_sha256, n_blocks, chars, tokens, {status_sql('tokens', 8000.0)} AS status,
         list_filter(ms, lambda x, i: list_position(ms, x) = i) AS modality_mix, artifacts FROM t""")
 def evidence_batch_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

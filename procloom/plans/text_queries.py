@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from procloom.functions import columns as C
 from procloom.operators import budget, candidates, packing, splitting
+from procloom.operators.joins import null_safe
 from procloom.plans import models as M
 from procloom.plans.registry import Registry, table
 from procloom.sources import files, markdown
@@ -43,7 +44,8 @@ def greedy_sql(units: str, max_blocks: int, max_chars: int, table: str = "packed
         ), {table} AS (SELECT n.grp, n.ord, s.batch_no FROM numbered n ASOF JOIN starts s ON s.grp = n.grp AND n.n >= s.n)"""
 
 
-DOC_UNITS = f"SELECT source AS grp, doc_id AS ord, {utf16_sql('coalesce(text, chr(32))')} - CASE WHEN text IS NULL THEN 1 ELSE 0 END AS chars FROM documents"
+#: A null source is a group of its own: chr(1) stands for it.
+DOC_UNITS = f"SELECT coalesce(source, chr(1)) AS grp, doc_id AS ord, {utf16_sql('coalesce(text, chr(32))')} - CASE WHEN text IS NULL THEN 1 ELSE 0 END AS chars FROM documents"
 
 
 def by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,26 +140,26 @@ def budget_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(f"""
     WITH RECURSIVE {greedy_sql(DOC_UNITS, 12, 12000)}, t AS (SELECT source, doc_id, {tokens_sql('text')} AS tokens, {utf16_sql("coalesce(text, '')")} AS chars FROM documents)
-    SELECT p.grp, count(*) AS n_docs, max(batch_no) + 1 AS n_batches, count(*) FILTER (t.chars > 12000) AS n_split, sum(t.tokens)::BIGINT AS tokens
-    FROM packed p JOIN t ON t.doc_id = p.ord AND t.source = p.grp GROUP BY p.grp""")
+    SELECT nullif(p.grp, chr(1)) AS grp, count(*) AS n_docs, max(batch_no) + 1 AS n_batches, count(*) FILTER (t.chars > 12000) AS n_split, sum(t.tokens)::BIGINT AS tokens
+    FROM packed p JOIN t ON t.doc_id = p.ord GROUP BY p.grp""")
 def greedy_batches_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of whole documents by source, and how many documents must be cut."""
     docs = by_source(spark, sf_dir).select("grp", "ord", C.utf16_length(F.coalesce("content", F.lit(""))).alias("chars"), C.estimate_tokens(F.col("content")).alias("tokens"))
     placed = packing.greedy(docs.select("grp", "ord", F.lit(1).cast("long").alias("blocks"), "chars"))
-    told = docs.join(placed, ["grp", "ord"])
+    told = null_safe(docs, placed, ["grp", "ord"])
     return told.groupBy("grp").agg(F.count("*").alias("n_docs"), (F.max("batch_no") + 1).alias("n_batches"), F.count_if(F.col("chars") > splitting.MAX_CHARS).alias("n_split"), F.sum("tokens").alias("tokens"))
 
 
 @R.add(f"""
     WITH RECURSIVE {greedy_sql(DOC_UNITS, 12, 12000)},
     b AS (SELECT doc_id, 'B-' || sha256(sha256(coalesce(text, '')) || ':md:1:1')[:12] AS block_id, sha256(coalesce(text, '')) AS sha FROM documents)
-    SELECT p.grp, p.batch_no, 'EB-' || sha256(string_agg(b.block_id, ',' ORDER BY b.block_id))[:12] AS batch_id, sha256(string_agg(b.sha, ',' ORDER BY b.sha)) AS batch_sha256, count(*) AS n_blocks
+    SELECT nullif(p.grp, chr(1)) AS grp, p.batch_no, 'EB-' || sha256(string_agg(b.block_id, ',' ORDER BY b.block_id))[:12] AS batch_id, sha256(string_agg(b.sha, ',' ORDER BY b.sha)) AS batch_sha256, count(*) AS n_blocks
     FROM packed p JOIN b ON b.doc_id = p.ord GROUP BY p.grp, p.batch_no""")
 def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P6."""
     docs = by_source(spark, sf_dir).select("grp", "ord", C.utf16_length(F.coalesce("content", F.lit(""))).alias("chars"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_sha256"))
     placed = packing.greedy(docs.select("grp", "ord", F.lit(1).cast("long").alias("blocks"), "chars"))
-    members = docs.join(placed, ["grp", "ord"]).withColumn("block_id", C.block_id(F.col("content_sha256"), F.lit("md:1:1")))
+    members = null_safe(docs, placed, ["grp", "ord"]).withColumn("block_id", C.block_id(F.col("content_sha256"), F.lit("md:1:1")))
     return packing.batch_ids(members)
 
 
@@ -197,12 +199,12 @@ def refinement_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(f"""
     WITH RECURSIVE {greedy_sql(DOC_UNITS, 12, 12000)}, t AS (SELECT doc_id, {tokens_sql('text')} AS tokens FROM documents),
     b AS (SELECT p.grp, p.batch_no, sum(t.tokens)::BIGINT AS tokens FROM packed p JOIN t ON t.doc_id = p.ord GROUP BY 1, 2)
-    SELECT grp, batch_no, k.task_kind, CASE WHEN {status_sql('tokens', 8000.0)} = 'BUDGET_SPLIT_REQUIRED' THEN 'SPLIT_REQUIRED' ELSE 'PENDING' END AS status FROM b CROSS JOIN (VALUES ('PROCESS_CARD'), ('ACTIVITY_CATALOG'), ('CONTROL_FLOW')) AS k(task_kind)""")
+    SELECT nullif(grp, chr(1)) AS grp, batch_no, k.task_kind, CASE WHEN {status_sql('tokens', 8000.0)} = 'BUDGET_SPLIT_REQUIRED' THEN 'SPLIT_REQUIRED' ELSE 'PENDING' END AS status FROM b CROSS JOIN (VALUES ('PROCESS_CARD'), ('ACTIVITY_CATALOG'), ('CONTROL_FLOW')) AS k(task_kind)""")
 def queue_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three tasks a batch."""
     docs = by_source(spark, sf_dir).select("grp", "ord", C.utf16_length(F.coalesce("content", F.lit(""))).alias("chars"), C.estimate_tokens(F.col("content")).alias("tokens"))
     placed = packing.greedy(docs.select("grp", "ord", F.lit(1).cast("long").alias("blocks"), "chars"))
-    batches = docs.join(placed, ["grp", "ord"]).groupBy("grp", "batch_no").agg(F.sum("tokens").alias("tokens"))
+    batches = null_safe(docs, placed, ["grp", "ord"]).groupBy("grp", "batch_no").agg(F.sum("tokens").alias("tokens"))
     return budget.queue_tasks(batches, C.token_limit(splitting.MAX_CHARS))
 
 
