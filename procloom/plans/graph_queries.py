@@ -303,10 +303,10 @@ def mermaid_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add()
 def bpmn_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S15, S17, S18."""
-    return diagrams.bpmn(M.BPMN.df(spark)).drop("points")
+    return diagrams.bpmn(M.BPMN.df(spark)).drop("points", "pos")
 
 
-@R.add("SELECT * FROM (VALUES ('b1', 4::BIGINT, 3::BIGINT, 1::BIGINT, 0.7::DOUBLE), ('b3', 0, 0, 0, 0.3), ('b4', 2, 0, 0, 0.95)) AS v(doc, n_elements, n_flows, n_dangling, confidence)")
+@R.add("SELECT * FROM (VALUES ('b1', 4::BIGINT, 3::BIGINT, 1::BIGINT, 0.7::DOUBLE), ('b2', 0, 0, 0, 0.3), ('b3', 0, 0, 0, 0.3), ('b4', 2, 0, 0, 0.95)) AS v(doc, n_elements, n_flows, n_dangling, confidence)")
 def bpmn_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is lost and how sure the rest is."""
     return diagrams.extraction_confidence(diagrams.bpmn(M.BPMN.df(spark)))

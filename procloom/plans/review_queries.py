@@ -12,7 +12,7 @@ from procloom.plans.fixtures import Fixture
 from procloom.plans.registry import Registry, table
 from procloom.plans.text_queries import status_sql, tokens_sql, utf16_sql
 from procloom.sources import files, markdown, sinks
-from procloom.tables import shared_folder
+from procloom.tables import place
 
 R = Registry()
 
@@ -146,35 +146,34 @@ def schema_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.schema_problems(rows, "key", [state.Field("role", values=("user",)), state.Field("turn", least=0, most=2), state.Field("text", required=True, pattern="^[A-Z]", longest=300)])
 
 
-FILES = Fixture(
-    "path string, text string",
-    [("d/p.bpmn", '<bpmn:task id="t1" name="Do"/><bpmn:startEvent id="s" name="Go">\n<bpmn:exclusiveGateway id="g" name="Which"/><bpmn:sequenceFlow id="f" sourceRef="s" targetRef="t1"/>'), ("d/q.bpmn", "<process/>"), ("d/m.mmd", "graph TD\nA-->B"), ("d/s.svg", "<svg/>"), ("d/i.PNG", "bytes"), ("d/x.exe", "zz")],
-)
-_SHOWN = " || ".join(
-    f"list_transform(list_zip(regexp_extract_all(text, '{p}', 1), regexp_extract_all(text, '{p}', 2)), lambda z: '{{\"id\":\"' || z[1] || '\",\"name\":\"' || z[2] || '\",\"type\":\"{t}\"}}')" for p, t in files.BPMN_ELEMENTS
-) + f" || list_transform(list_zip(regexp_extract_all(text, '{files.BPMN_FLOW}', 1), regexp_extract_all(text, '{files.BPMN_FLOW}', 2), regexp_extract_all(text, '{files.BPMN_FLOW}', 3)), lambda z: '{{\"id\":\"' || z[1] || '\",\"source\":\"' || z[2] || '\",\"target\":\"' || z[3] || '\",\"type\":\"flow\"}}')"
+_BPMN = """'<definitions xmlns="b"><process id="P"><startEvent id="s" name="' || n_name || '"/><userTask id="t" name="' || n_name || ' &amp; more"/><sequenceFlow id="f" sourceRef="s" targetRef="t"/><exclusiveGateway id="g" name=""/></process></definitions>'"""
 
 
 @R.add(f"""
-    WITH f AS (SELECT *, lower(regexp_extract(path, '[.]([^.]*)$', 1)) AS x, sha256(text) AS sha FROM {FILES.sql}),
-    k AS (SELECT *, CASE WHEN x IN ('mmd', 'mermaid') THEN 'mermaid' WHEN x IN ('png', 'jpg', 'jpeg', 'gif', 'webp', 'bmp', 'tif', 'tiff') THEN 'image' WHEN x IN ('bpmn', 'svg') THEN x END AS kind, {_SHOWN} AS shown FROM f),
-    p AS (SELECT *, CASE kind WHEN 'image' THEN 'image:' || x WHEN 'mermaid' THEN 'mermaid:full' ELSE 'diagram:' || kind END AS locator FROM k)
-    SELECT path, CASE kind WHEN 'image' THEN 'VISUAL_ASSET' ELSE CASE WHEN kind IS NOT NULL THEN 'STRUCTURED_DIAGRAM' END END AS modality, locator, CASE WHEN kind <> 'image' THEN len(string_split(text, chr(10)))::INTEGER END AS line_end, 'B-' || sha256(sha || ':' || locator)[:12] AS block_id,
-        CASE WHEN kind = 'image' THEN '[' || upper(x) || ' image: ' || split_part(path, '/', -1) || ']' WHEN kind = 'bpmn' AND len(shown) > 0 THEN '[' || array_to_string(shown, ',') || ']' WHEN kind IS NOT NULL THEN text END AS content,
-        CASE WHEN kind = 'image' THEN sha256('[image:' || x || ']') WHEN kind IS NOT NULL THEN sha END AS content_sha256, CASE WHEN kind IS NULL THEN 'UNSUPPORTED' END AS problem FROM p""")
+    WITH f AS (SELECT n_nationkey AS n, n_name, {_BPMN} AS text FROM nation),
+    x AS (SELECT 'd/' || n || '.bpmn' AS path, text, 'diagram:bpmn' AS locator, '[{{"id":"t","name":"' || n_name || ' & more","type":"task"}},{{"id":"s","name":"' || n_name || '","type":"event"}},{{"id":"g","name":"","type":"gateway"}},{{"id":"f","source":"s","target":"t","type":"flow"}}]' AS content FROM f
+        UNION ALL SELECT 'd/' || n || 'x.bpmn', '<' || n_name, 'diagram:bpmn', '<' || n_name FROM f UNION ALL SELECT 'd/' || n || '.mmd', 'graph TD' || chr(10) || n_name || '-->B', 'mermaid:full', 'graph TD' || chr(10) || n_name || '-->B' FROM f
+        UNION ALL SELECT 'd/' || n || '.PNG', n_name, 'image:png', '[PNG image: ' || n || '.PNG]' FROM f UNION ALL SELECT 'd/' || n || '.exe', n_name, NULL, NULL FROM f)
+    SELECT path, CASE locator WHEN 'image:png' THEN 'VISUAL_ASSET' ELSE CASE WHEN locator IS NOT NULL THEN 'STRUCTURED_DIAGRAM' END END AS modality, locator, CASE WHEN locator <> 'image:png' THEN len(string_split(text, chr(10)))::INTEGER END AS line_end,
+        'B-' || sha256(sha256(text) || ':' || locator)[:12] AS block_id, content, CASE WHEN locator = 'image:png' THEN sha256('[image:png]') WHEN locator IS NOT NULL THEN sha256(text) END AS content_sha256, CASE WHEN locator IS NULL THEN 'UNSUPPORTED' END AS problem FROM x""")
 def diagram_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S7, S14, S15, S16."""
-    return files.diagram_blocks(FILES.df(spark).select("path", F.encode("text", "UTF-8").alias("content")))
+    """Nations as BPMN (one of two broken), Mermaid, pictures and unknown files."""
+    name = F.col("n_name")
+    bpmn = F.concat(F.lit('<definitions xmlns="b"><process id="P"><startEvent id="s" name="'), name, F.lit('"/><userTask id="t" name="'), name, F.lit(' &amp; more"/><sequenceFlow id="f" sourceRef="s" targetRef="t"/><exclusiveGateway id="g" name=""/></process></definitions>'))
+    made = {".bpmn": bpmn, "x.bpmn": F.concat(F.lit("<"), name), ".mmd": F.concat(F.lit("graph TD\n"), name, F.lit("-->B")), ".PNG": name, ".exe": name}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("end"), v.alias("text")) for k, v in made.items()]))
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("n"), each.alias("f"))
+    return files.diagram_blocks(rows.select(F.concat(F.lit("d/"), "n", "f.end").alias("path"), F.encode("f.text", "UTF-8").alias("content")))
 
 
 @R.add("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
 def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1: a table published twice in one place, and read back."""
-    path = f"{shared_folder(spark)}/procloom-published/nation.json"
+    path = place(spark, "published")
     rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     sinks.publish(rows.limit(1), path)
     sinks.publish(rows, path)
-    return spark.read.schema("n_nationkey long, n_name string, n_regionkey long").json(path)
+    return spark.read.schema("n_nationkey long, n_name string, n_regionkey long").json(sinks.current(spark, path))
 
 
 S_NODES = Fixture(

@@ -79,11 +79,11 @@ def _in(values: list[str]) -> str:
 
 @R.add(f"""
     WITH p AS (SELECT path, {_EXT_SQL} AS e FROM {M.PATHS.sql})
-    SELECT count(*) FILTER (e IN ({_in(files.ROUTED['ARCHITECTURE'])})) AS n_architecture, count(*) FILTER (e IN ({_in(files.ROUTED['DIAGRAM'])})) AS n_diagram,
+    SELECT 1 AS request, count(*) FILTER (e IN ({_in(files.ROUTED['ARCHITECTURE'])})) AS n_architecture, count(*) FILTER (e IN ({_in(files.ROUTED['DIAGRAM'])})) AS n_diagram,
            list_sort(list(path) FILTER (e NOT IN ({_in([*files.ROUTED['ARCHITECTURE'], *files.ROUTED['DIAGRAM']])}))) AS unclassified FROM p""")
 def path_family_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S6."""
-    return files.routed_counts(M.PATHS.df(spark))
+    return files.routed_counts(M.PATHS.df(spark).withColumn("request", F.lit(1)))
 
 
 @R.add(f"""
