@@ -9,7 +9,7 @@ A rule's version is a hash of its definition, so a changed rule reads all blobs
 ledger is whole by itself and scanning is repeatable: rows that a lost run has left or that two runs write at once are merged
 when they are read.
 
-No text shuffles where up to FEW blobs are to be read, or where a bitmap over the versions that aren't to be read (copies, and
+Which rules a blob lacks goes along as a bit mask by place in the rules at hand. No text shuffles where up to FEW blobs are to be read, or where a bitmap over the versions that aren't to be read (copies, and
 blobs that the ledger knows) or over those that are clears a row; other rows are joined.
 
 Texts: null counts as empty, and an empty text is a blob like others. Texts of any length are read whole. Equal texts are one blob,
@@ -23,6 +23,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -78,26 +79,32 @@ def matches(rule: Rule, text: bytes, folded: bytes) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(rule.pattern.encode(), read) if m.end(rule.group) - m.start(rule.group) >= rule.least]
 
 
+def _places(mask: int) -> list[int]:
+    return [k for k in range(mask.bit_length()) if mask >> k & 1]
+
+
 def scanned(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Rows of the ledger from those with blob, text and lacking (rule versions)."""
-    known = {r.version: r for r in rules}
+    """Rows of the ledger from those with blob, text and lacking (bits of places in rules)."""
+    versions = [r.version for r in rules]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in shared.passes(batches):
             whole = data.tobytes()
             lower = whole.lower()  # of bytes: A-Z only
             spans = []
-            for lacking, a, b in zip(part.column("lacking").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+            masks = part.column("lacking").to_pylist()
+            for lacking, a, b in zip(masks, offsets[:-1].tolist(), offsets[1:].tolist()):
                 text, folded = whole[a:b], lower[a:b]
                 found = []
-                for version in lacking:
-                    found += [(version, s, e) for s, e in matches(known[version], text, folded)]
+                for k in _places(lacking):
+                    found += [(versions[k], s, e) for s, e in matches(rules[k], text, folded)]
                 if found and not text.isascii():
                     point = np.r_[0, np.cumsum((data[a:b] & 0xC0) != 0x80)]
                     found = [(v, int(point[s]), int(point[e])) for v, s, e in found]
                 spans.append([{"rule": v, "start": s, "end": e} for v, s, e in found])
             kind = pa.list_(pa.struct([("rule", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([part.column("blob"), part.column("lacking"), pa.array(spans, kind)], ["blob", "rules", "spans"])
+            read_by = pa.array([[versions[k] for k in _places(m)] for m in masks], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([part.column("blob"), read_by, pa.array(spans, kind)], ["blob", "rules", "spans"])
 
     return rows.select("blob", "text", "lacking").mapInArrow(read, LEDGER)
 
@@ -113,13 +120,16 @@ class Ledger:
         return self.spark.read.schema(LEDGER).parquet(self.folder)
 
     def lacking(self, versions: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-        """blob, doc_id (of one version that has it), lacking (rule versions that haven't read it; at least one) for blobs of versions (doc_id, blob)."""
+        """blob, doc_id (of one version that has it), lacking (bits of the rules that haven't read it; at least one) for blobs of versions (doc_id, blob)."""
+        if len(rules) > 62:
+            raise ValueError("a scan takes up to 62 rules")
         wanted = F.array(*[F.lit(r.version) for r in rules])
         seen = self.rows().select("blob", F.array_intersect("rules", wanted).alias("rules")).where(F.size("rules") > 0)
         seen = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("seen"))
         first = versions.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
-        lacking = F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))
-        return first.join(seen, "blob", "left").select("blob", "doc_id", lacking.alias("lacking")).where(F.size("lacking") > 0)
+        bit = lambda k, r: F.when(F.array_contains("seen", r.version), 0).otherwise(1 << k).cast("long")
+        lacking = reduce(Column.__add__, [F.coalesce(bit(k, r), F.lit(1 << k)) for k, r in enumerate(rules)])
+        return first.join(seen, "blob", "left").select("blob", "doc_id", lacking.alias("lacking")).where("lacking > 0")
 
     def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """Scan what is unseen of docs (doc_id, text), write it to the ledger, and give the versions (doc_id, blob), one row for each of docs; they outlast a scratch around the call."""
@@ -129,23 +139,23 @@ class Ledger:
             todo = shared.spill(self.lacking(versions, rules), "lacking")
             n_todo, n_all = todo.count(), versions.count()
             if n_todo:
-                scanned(self._texts(docs, versions, todo, n_todo, n_all, F.array(*[F.lit(r.version) for r in rules])), rules).write.mode("append").parquet(self.folder)
+                scanned(self._texts(docs, versions, todo, n_todo, n_all, (1 << len(rules)) - 1), rules).write.mode("append").parquet(self.folder)
         return versions
 
-    def _texts(self, docs: DataFrame, versions: DataFrame, todo: DataFrame, n_todo: int, n_all: int, wanted: Column) -> DataFrame:
+    def _texts(self, docs: DataFrame, versions: DataFrame, todo: DataFrame, n_todo: int, n_all: int, every: int) -> DataFrame:
         """blob, text, lacking of what is to be read: the joins that a row can't do without, and none of whole texts where a bitmap tells."""
-        rows = docs.select("doc_id", "text", blob().alias("blob")).withColumn("_key", F.xxhash64("doc_id", "blob"))
-        key = todo.withColumnRenamed("doc_id", "_id").withColumnRenamed("blob", "_blob")
-        same = (F.col("blob") == F.col("_blob")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+        told = F.xxhash64("doc_id", "blob").alias("_key")  # a row that has another's key by chance is read, too, as a blob of its own
+        rows = docs.select("doc_id", "text", blob().alias("blob")).withColumn("_key", told)
+        key, out = todo.select(told, "lacking"), ["blob", "text", "lacking"]
         if n_todo <= shared.FEW:
-            return rows.join(F.broadcast(key), same).select("blob", "text", "lacking")
+            return rows.join(F.broadcast(key), "_key").select(out)
         if 2 * n_todo <= n_all:
-            _, maybe = shared.apart(rows, "_key", todo.select(F.xxhash64("doc_id", "blob").alias("_key")))
-            return maybe.join(key, same).select("blob", "text", "lacking")
-        plain = todo.where(F.size("lacking") == F.size(wanted)).select("blob", F.col("doc_id").alias("_id"))
-        other = versions.join(plain, "blob", "left").where(~F.col("doc_id").eqNullSafe(F.col("_id")) | plain["_id"].isNull())
-        clear, maybe = shared.apart(rows, "_key", other.select(F.xxhash64("doc_id", "blob").alias("_key")))
-        return clear.select("blob", "text", wanted.alias("lacking")).unionByName(maybe.join(key, same).select("blob", "text", "lacking"))
+            _, maybe = shared.apart(rows, "_key", key.select("_key"))
+            return maybe.join(key, "_key").select(out)
+        plain = todo.where(F.col("lacking") == every).select("blob", F.col("doc_id").alias("_id"))
+        other = versions.join(plain, "blob", "left").where(~F.col("doc_id").eqNullSafe(F.col("_id")) | F.col("_id").isNull())
+        clear, maybe = shared.apart(rows, "_key", other.select(told))
+        return clear.withColumn("lacking", F.lit(every).cast("long")).select(out).unionByName(maybe.join(key, "_key").select(out))
 
     def findings(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """doc_id, blob, spans (kind, start, end; by start, then in the order of rules) of each of the versions, from the ledger."""
