@@ -5,9 +5,10 @@ has a term or not. The machine adds a bias, a weight for each term, and for each
 of their factors: that an insult next to the mention of a group is worse than both alone is a matter of the
 pair, which no sum of weights expresses. It learns log loss by Adagrad from labelled rows.
 
-Fitting takes at most max_rows rows of each label, chosen by a seeded hash of doc_id (bounded sample). Their terms
-are counted by label over the cluster; the machine knows those that tell the labels apart (chi-square), and only these
-come to the driver, each as one number a text. Scoring takes every text whole, without a shuffle.
+Fitting takes at most max_rows rows of each label, chosen by a seeded hash of doc_id (bounded sample). A first machine learns a few rounds over all
+terms of three texts or more, as what matters only beside another term shows by no count of its own. The machine that scores knows the terms with
+the STRONGEST factors of the first, and those that tell the labels apart alone (chi-square); it would learn noise from the other thousands. The
+first machine sees MAX_PAIRS pairs of a text and a term at most, by a share of the sample. Scoring takes every text whole, without a shuffle.
 
 Texts: null and empty ones have no terms and get the bias alone. Labels that are null are left out; a row
 that repeats trains or scores again. Without rows of both labels every score is the share of positives (0
@@ -30,6 +31,8 @@ from procloom.llm import shared
 
 BITS = 20
 BEGINNINGS = (4, 5, 6, 8)
+#: Terms that are taken over for their factors in the first machine, its rounds, and the pairs of a text and a term that it sees.
+STRONGEST, ROUNDS, MAX_PAIRS = 64, 4, 1 << 24
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -90,10 +93,7 @@ def train(text: np.ndarray, term: np.ndarray, label: np.ndarray, rank: int = 6,
     if not 0 < positives < n:
         share = min(max(positives / n, 1e-9), 1 - 1e-9) if n else 1e-9
         return Machine(float(np.log(share / (1 - share))), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)))
-    have = np.bincount(term, minlength=1 << BITS).astype(float)
-    known = np.flatnonzero(telling(have, np.bincount(term, label[text], 1 << BITS), n, positives))
-    keep = np.isin(term, known)
-    text, at = text[keep], np.searchsorted(known, term[keep])
+    known, at = np.unique(term, return_inverse=True)
     bounds = np.searchsorted(text, np.arange(n + 1))
     rng = np.random.default_rng(seed)
     m = Machine(float(np.log(positives / (n - positives))), known, np.zeros(len(known)), rng.normal(0, 0.02, (len(known), rank)))
@@ -118,6 +118,22 @@ def train(text: np.ndarray, term: np.ndarray, label: np.ndarray, rank: int = 6,
     return m
 
 
+def strongest(text: np.ndarray, term: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The terms with the greatest factors in a machine that learns a few rounds over all terms."""
+    m = train(text, term, label, epochs=ROUNDS)
+    return m.term[np.argsort(-np.linalg.norm(m.factors, axis=1), kind="stable")[:STRONGEST]]
+
+
+def learn(text: np.ndarray, term: np.ndarray, label: np.ndarray) -> Machine:
+    """As fit, of pairs of text number and term, ordered by text."""
+    have, toxic = (np.bincount(term, w, 1 << BITS) for w in (None, label[text]))
+    often = have[term] >= 3
+    wanted = telling(have.astype(float), toxic, max(len(label), 1), int(label.sum()))
+    wanted[strongest(text[often], term[often], label)] = True
+    keep = wanted[term]
+    return train(text[keep], term[keep], label)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 6000, seed: int = 17) -> Machine:
     """A machine from the rows of docs that labels (doc_id, label 0 or 1) covers; at most max_rows of each label, chosen by hash."""
     shared.ship(docs.sparkSession)
@@ -132,14 +148,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
             lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(term, pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), lists], ["doc_id", "y", "terms"])
 
-    with shared.scratch():
-        sample = shared.spill(rows.select("doc_id", "text", "y").mapInArrow(read, "doc_id long, y int, terms array<int>"), "labelled")
-        n, positives = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-        each = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("have"), F.sum("y").alias("toxic")).where("have >= 3")
-        expected = F.col("have") * positives / max(n, 1)
-        known = each.where((F.col("toxic") - expected) ** 2 > 6 * F.greatest(expected * (1 - positives / max(n, 1)), F.lit(1e-9))).select("term")
-        wanted = np.zeros(1 << BITS, bool)
-        wanted[known.toArrow().column("term").to_numpy()] = True  # 2 ** BITS terms at most
+    def marked(told: DataFrame) -> np.ndarray:
+        out = np.zeros(1 << BITS, bool)
+        out[told.select("term").toArrow().column("term").to_numpy()] = True  # 2 ** BITS terms at most
+        return out
+
+    def brought(sample: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, term) pairs of the wanted terms, by doc_id, and labels."""
 
         def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -149,8 +164,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(term[keep], pa.int32()))], ["doc_id", "y", "terms"])
 
         table = sample.mapInArrow(slim, "doc_id long, y int, terms array<int>").toArrow().combine_chunks().sort_by("doc_id")
-    column = table.column("terms").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
-    return train(np.repeat(np.arange(table.num_rows), np.asarray(pc.list_value_length(column))), np.asarray(pc.list_flatten(column)).astype(np.int64), np.asarray(table.column("y")).astype(float))
+        column = table.column("terms").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
+        return np.repeat(np.arange(table.num_rows), np.asarray(pc.list_value_length(column))), np.asarray(pc.list_flatten(column)).astype(np.int64), np.asarray(table.column("y")).astype(float)
+
+    with shared.scratch():
+        sample = shared.spill(rows.select("doc_id", "text", "y").mapInArrow(read, "doc_id long, y int, terms array<int>"), "labelled")
+        n, positives = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+        each = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("have"), F.sum("y").alias("toxic")).where("have >= 3")
+        each = shared.spill(each, "terms")
+        expected = F.col("have") * positives / max(n, 1)
+        wanted = marked(each.where((F.col("toxic") - expected) ** 2 > 6 * F.greatest(expected * (1 - positives / max(n, 1)), F.lit(1e-9))))
+        pairs = each.agg(F.coalesce(F.sum("have"), F.lit(0))).first()[0]
+        share = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 20)) < int(min(1.0, MAX_PAIRS / max(pairs, 1)) * (1 << 20))
+        wanted[strongest(*brought(sample.where(share), marked(each)))] = True
+        found = brought(sample, wanted)
+    return train(*found)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
