@@ -3,9 +3,10 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from procloom.llm import linededup, queries
+from procloom.llm import linededup, queries, shared
 
 from ..oracle import connect, rows, sql_rows
 from . import nasty
@@ -43,7 +44,9 @@ def test_query_gives_the_rows_of_its_sql(spark):
     assert sorted(df.columns) == columns and rows(df) == wanted
 
 
-def test_random_lines(spark):
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_random_lines(spark, monkeypatch, few):
+    monkeypatch.setattr(shared, "FEW", few)  # 0: a bitmap tells which texts change
     rng = random.Random(6)
     lines = ["short", "exactly ten", "0123456789", " 0123456789\t", "ABCDEFGHIJ", "abcdefghij", "Éabcdefghi", "éabcdefghi", "", "\x0b\x0c", " nbsp stays here ", "nbsp stays here"]
     docs = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 8)))) for k in range(60)]
