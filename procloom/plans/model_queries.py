@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from procloom.operators import interchange
+from procloom.operators import alignment, interchange
 from procloom.plans.registry import Registry, table
 
 R = Registry()
@@ -108,3 +108,79 @@ def task_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = interchange.parsed(interchange.written(*models(spark, sf_dir)).select(F.col("g").alias("doc"), F.col("xml").alias("text")))
     activities = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("doc"), F.concat(F.lit("A"), F.col("event_id").cast("string")).alias("activity"), F.col("props").alias("name"))
     return interchange.bindings(interchange.typed(found), activities)
+
+
+def fragment_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch for each user, whose events are facts of its fragments; one user in nine has no card, one in eleven two versions."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    t, r = F.col("event_type"), F.col("event_id") % 4
+    fits = lambda *pairs: F.coalesce(*[F.when(c, v) for c, v in pairs])
+    named = (t == "signup") & (F.col("event_id") % 7 == 0)
+    kind = fits((named, "PROCESS_NAME"), (t == "signup", "INPUT"), (t == "view", "ACTIVITY"), (t == "click", "INPUT"), (t == "purchase", "FLOW"), (r < 2, "END_EVENT"), (r >= 2, "START_EVENT"))
+    task = fits((t == "signup", "PROCESS_CARD"), (t.isin("view", "click"), "ACTIVITY_CATALOG"), (t == "purchase", "CONTROL_FLOW"), (r.isin(0, 3), "CONTROL_FLOW"), (F.lit(True), "PROCESS_CARD"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    k = F.col("k")
+    subject = fits((t == "signup", text("b", k)), (t.isin("view", "click"), text("a", k)), (t == "purchase", text("f", F.col("event_id"))), (r == 0, text("e", k)), (r == 1, text("x", k)), (r == 2, text("s", k % 5)), (r == 3, text("t", k % 5)))
+    label = fits((t == "view", text("Act ", k)), (t == "click", text("in", F.col("event_id"))), (r == 0, text("act", k, "（结束）")), (r == 1, text("act", k)), (r == 2, text("Go", k % 3, "（开始）")), (r == 3, text("Go", k % 3)))
+    label = F.when(t.isin("signup", "purchase"), text("n", F.col("event_id"))).otherwise(label)
+    flow = t == "purchase"
+    src = F.when(flow & (F.col("event_id") % 3 == 0), text("s", k % 5)).when(flow, text("b", k))
+    rows = e.select(
+        F.col("user_id").cast("string").alias("g"), F.when((F.col("user_id") % 11 == 0) & (F.col("event_id") % 2 == 0), "v2").otherwise("v1").alias("batch_sha256"), task.alias("task_kind"), F.col("event_id").alias("pos"), kind.alias("kind"),
+        text("p", F.col("user_id"), ".", k).alias("process_key"), subject.alias("subject_key"), label.alias("label"), F.when((t == "signup") & ~named, text("ACT  ", k)).alias("activity"), src.alias("src"), F.when(flow, text("b", (k + 1) % 100)).alias("dst"),
+        F.when(k % 10 == 0, F.array(F.lit("tool"))).alias("tools"), F.array(text("B-", F.col("event_id")), text("B-", k)).alias("evidence_refs"), F.col("user_id"),
+    )
+    return rows.where("user_id % 9 > 0 or task_kind <> 'PROCESS_CARD'").drop("user_id")
+
+
+_FRAGMENTS = """
+    e AS (SELECT *, (props ->> '$.k')::INTEGER AS k, event_id % 4 AS r FROM events),
+    f0 AS (SELECT user_id, user_id::VARCHAR AS g, CASE WHEN user_id % 11 = 0 AND event_id % 2 = 0 THEN 'v2' ELSE 'v1' END AS sha,
+        CASE WHEN event_type = 'signup' THEN 'PROCESS_CARD' WHEN event_type IN ('view', 'click') THEN 'ACTIVITY_CATALOG' WHEN event_type = 'purchase' OR r IN (0, 3) THEN 'CONTROL_FLOW' ELSE 'PROCESS_CARD' END AS task_kind, event_id AS pos,
+        CASE event_type WHEN 'signup' THEN CASE WHEN event_id % 7 = 0 THEN 'PROCESS_NAME' ELSE 'INPUT' END WHEN 'view' THEN 'ACTIVITY' WHEN 'click' THEN 'INPUT' WHEN 'purchase' THEN 'FLOW' ELSE CASE WHEN r < 2 THEN 'END_EVENT' ELSE 'START_EVENT' END END AS kind,
+        'p' || user_id || '.' || k AS process_key,
+        CASE event_type WHEN 'signup' THEN 'b' || k WHEN 'view' THEN 'a' || k WHEN 'click' THEN 'a' || k WHEN 'purchase' THEN 'f' || event_id ELSE CASE r WHEN 0 THEN 'e' || k WHEN 1 THEN 'x' || k WHEN 2 THEN 's' || k % 5 ELSE 't' || k % 5 END END AS subject_key,
+        CASE event_type WHEN 'signup' THEN 'n' || event_id WHEN 'purchase' THEN 'n' || event_id WHEN 'view' THEN 'Act ' || k WHEN 'click' THEN 'in' || event_id ELSE CASE r WHEN 0 THEN 'act' || k || '（结束）' WHEN 1 THEN 'act' || k WHEN 2 THEN 'Go' || k % 3 || '（开始）' ELSE 'Go' || k % 3 END END AS label,
+        CASE WHEN event_type = 'signup' AND event_id % 7 > 0 THEN 'ACT  ' || k END AS activity, CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 's' || k % 5 ELSE 'b' || k END END AS src,
+        CASE WHEN event_type = 'purchase' THEN 'b' || (k + 1) % 100 END AS dst, k % 10 = 0 AS tooled, ['B-' || event_id, 'B-' || k] AS refs FROM e),
+    f1 AS (SELECT * FROM f0 WHERE user_id % 9 > 0 OR task_kind <> 'PROCESS_CARD'),
+    ok AS (SELECT g FROM f1 GROUP BY g HAVING count(DISTINCT sha) = 1 AND bool_or(task_kind = 'PROCESS_CARD')), f AS (SELECT * FROM f1 SEMI JOIN ok USING (g))"""
+
+
+@R.add(f"WITH {_FRAGMENTS} SELECT g, CASE WHEN count(DISTINCT sha) > 1 THEN 'MIXED_BATCH' ELSE 'NO_PROCESS_CARD' END AS problem FROM f1 ANTI JOIN ok USING (g) GROUP BY g")
+def alignment_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches that can't be aligned."""
+    return alignment.problems(fragment_facts(spark, sf_dir))
+
+
+_DISTINCT = "list_filter({x}, lambda x, i: list_position({x}, x) = i)"
+
+
+@R.add(f"""
+    WITH {_FRAGMENTS}, key AS (SELECT g, arg_min(process_key, [(kind <> 'PROCESS_NAME')::INT, pos]) AS process_key FROM f WHERE task_kind = 'PROCESS_CARD' GROUP BY g),
+    named AS (SELECT g, subject_key AS key, lower(regexp_replace(arg_max(activity, pos), '\\s+', '', 'g')) AS name FROM f WHERE task_kind = 'PROCESS_CARD' AND kind = 'INPUT' AND activity IS NOT NULL GROUP BY 1, 2),
+    acts AS (SELECT g, lower(regexp_replace(label, '\\s+', '', 'g')) AS name, arg_min(subject_key, pos) AS own FROM f WHERE kind = 'ACTIVITY' GROUP BY 1, 2), map AS (SELECT g, key, own FROM named JOIN acts USING (g, name)),
+    last AS (SELECT g, subject_key, max(pos) AS target FROM f WHERE kind = 'ACTIVITY' GROUP BY 1, 2),
+    ins AS (SELECT f.g, target AS pos, list(label ORDER BY f.pos) AS inputs, flatten(list(refs ORDER BY f.pos)) AS more FROM f JOIN last USING (g, subject_key) WHERE task_kind = 'ACTIVITY_CATALOG' AND kind = 'INPUT' GROUP BY 1, 2),
+    a AS (SELECT f.* EXCLUDE (refs), CASE WHEN kind = 'ACTIVITY' THEN coalesce(inputs, []) END AS inputs, {_DISTINCT.format(x='(refs || coalesce(more, []))')} AS refs FROM f LEFT JOIN ins USING (g, pos)
+        WHERE NOT (task_kind = 'ACTIVITY_CATALOG' AND kind = 'INPUT' AND EXISTS (SELECT 1 FROM last WHERE last.g = f.g AND last.subject_key = f.subject_key))),
+    b AS (SELECT *, trim(replace(replace(label, '（结束）', ''), '（开始）', '')) AS event FROM a),
+    ends AS (SELECT g, event, min(pos) AS goal FROM b WHERE kind = 'END_EVENT' AND task_kind = 'CONTROL_FLOW' GROUP BY 1, 2),
+    alias AS (SELECT b.g, b.pos, goal, refs FROM b JOIN ends ON ends.g = b.g AND ends.event = lower(replace(b.label, ' ', '')) WHERE b.kind = 'ACTIVITY' AND len(inputs) = 0 AND NOT tooled),
+    more AS (SELECT g, goal AS pos, flatten(list(refs ORDER BY pos)) AS more FROM alias GROUP BY 1, 2),
+    c AS (SELECT b.* EXCLUDE (refs), {_DISTINCT.format(x='(refs || coalesce(more, []))')} AS refs FROM b LEFT JOIN more USING (g, pos) ANTI JOIN alias ON alias.g = b.g AND alias.pos = b.pos),
+    own AS (SELECT g, event, arg_max(subject_key, pos) AS own FROM c WHERE kind = 'END_EVENT' AND task_kind = 'CONTROL_FLOW' GROUP BY 1, 2),
+    e1 AS (SELECT g, task_kind, event, min(pos) AS pos, flatten(list(refs ORDER BY pos)) AS every FROM c WHERE kind = 'END_EVENT' GROUP BY 1, 2, 3),
+    s1 AS (SELECT g, event, coalesce(arg_min(subject_key, pos) FILTER (task_kind = 'CONTROL_FLOW'), min(subject_key)) AS own, flatten(list(refs ORDER BY pos)) AS every FROM c WHERE kind = 'START_EVENT' GROUP BY 1, 2),
+    s2 AS (SELECT c.g, c.event, own, any_value(every) AS every, coalesce(min(pos) FILTER (subject_key = own), min(pos)) AS pos FROM c JOIN s1 USING (g, event) WHERE kind = 'START_EVENT' GROUP BY 1, 2, 3),
+    moved AS (SELECT c.g, c.subject_key AS key, arg_max(s2.own, c.pos) AS own FROM c JOIN s2 ON s2.g = c.g AND s2.event = c.event WHERE kind = 'START_EVENT' AND c.pos <> s2.pos AND c.subject_key <> s2.own GROUP BY 1, 2),
+    d AS (SELECT c.g, c.task_kind, c.pos, c.kind, CASE WHEN c.task_kind = 'PROCESS_CARD' AND c.kind = 'END_EVENT' THEN coalesce(own.own, subject_key) WHEN c.kind = 'START_EVENT' THEN s2.own ELSE subject_key END AS subject_key,
+        CASE WHEN c.kind = 'END_EVENT' THEN replace(label, '（结束）', '') ELSE label END AS label, coalesce(ms.own, src) AS src, coalesce(md.own, dst) AS dst, inputs, coalesce(e1.every, s2.every, refs) AS refs
+        FROM c LEFT JOIN e1 ON c.kind = 'END_EVENT' AND e1.g = c.g AND e1.pos = c.pos LEFT JOIN own ON c.kind = 'END_EVENT' AND own.g = c.g AND own.event = c.event LEFT JOIN s2 ON c.kind = 'START_EVENT' AND s2.g = c.g AND s2.pos = c.pos
+        LEFT JOIN map ms ON ms.g = c.g AND ms.key = c.src LEFT JOIN map md ON md.g = c.g AND md.key = c.dst WHERE c.kind NOT IN ('END_EVENT', 'START_EVENT') OR e1.g IS NOT NULL OR s2.g IS NOT NULL)
+    SELECT d.g, task_kind, pos, kind, key.process_key, subject_key, label, coalesce(a.own, src) AS src, coalesce(b.own, dst) AS dst, inputs, {_DISTINCT.format(x='refs')} AS evidence_refs
+    FROM d JOIN key USING (g) LEFT JOIN moved a ON a.g = d.g AND a.key = d.src LEFT JOIN moved b ON b.g = d.g AND b.key = d.dst""")
+def aligned_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All batches aligned in one flow."""
+    out = alignment.align(fragment_facts(spark, sf_dir))
+    return out.select("g", "task_kind", "pos", "kind", "process_key", "subject_key", "label", "src", "dst", "inputs", "evidence_refs")
