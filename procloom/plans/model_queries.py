@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from procloom.operators import alignment, interchange
+from procloom.operators import alignment, interchange, schemas
 from procloom.plans.registry import Registry, table
 
 R = Registry()
@@ -184,3 +184,38 @@ def aligned_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All batches aligned in one flow."""
     out = alignment.align(fragment_facts(spark, sf_dir))
     return out.select("g", "task_kind", "pos", "kind", "process_key", "subject_key", "label", "src", "dst", "inputs", "evidence_refs")
+
+
+#: A conversation as its schema has it: turns by reference, at most six, each a role and a text or a number, none twice.
+CONVERSATION = {
+    "type": "object", "required": ["id", "turns"], "additionalProperties": False,
+    "properties": {"id": {"type": "integer", "maximum": 100_000}, "turns": {"type": "array", "maxItems": 6, "uniqueItems": True, "items": {"$ref": "#/$defs/turn"}}},
+    "$defs": {
+        "turn": {
+            "type": "object", "required": ["role"], "additionalProperties": {"type": "boolean"},
+            "properties": {"role": {"enum": ["user", "assistant", "system"]}, "body": {"oneOf": [{"type": "string", "maxLength": 200}, {"type": "number", "minimum": 0}]}},
+        }
+    },
+}
+
+
+@R.add("""
+    WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n, role, text, conv_id % 5 AS m FROM conversations),
+    d AS (SELECT *, '/turns/' || i AS place, CASE WHEN m = 1 THEN 'n' ELSE role END AS r, length(coalesce(text, '')) > 200 AS long FROM t),
+    x AS (SELECT DISTINCT conv_id, '/turns' AS pointer, 'maxItems' AS keyword FROM d WHERE n > 6
+        UNION ALL SELECT conv_id, '/turns', 'uniqueItems' FROM d GROUP BY conv_id HAVING count(*) > count(DISTINCT (r, CASE WHEN m = 2 THEN (-turn)::VARCHAR ELSE coalesce(text, '') END, CASE WHEN m = 3 THEN turn END))
+        UNION ALL SELECT conv_id, place || '/role', 'enum' FROM d WHERE m <> 4 AND r NOT IN ('user', 'assistant', 'system') UNION ALL SELECT conv_id, place || '/role', 'required' FROM d WHERE m = 4
+        UNION ALL SELECT conv_id, place || '/body', 'oneOf' FROM d WHERE CASE WHEN m = 2 THEN turn > 0 ELSE long END UNION ALL SELECT conv_id, place || '/more', 'type' FROM d WHERE m = 3
+        UNION ALL SELECT DISTINCT conv_id, '/id', 'required' FROM d WHERE m = 0 UNION ALL SELECT DISTINCT conv_id, '/key', 'additionalProperties' FROM d WHERE m = 0 UNION ALL SELECT DISTINCT conv_id, '/id', 'maximum' FROM d WHERE m > 0 AND conv_id > 100000)
+    SELECT conv_id, pointer, keyword FROM x""")
+def nested_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1: conversations as nested documents against a schema, four of five written wrongly in one way or another."""
+    m, turns = F.col("conv_id") % 5, table(spark, sf_dir, "conversations")
+    body = F.when(m == 2, (-F.col("turn")).cast("string")).otherwise(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("x"))))
+    body = F.when(m == 2, body).otherwise(F.regexp_replace(body, r'^\{"x":|\}$', ""))
+    role = F.when(m == 4, F.lit("")).otherwise(F.concat(F.lit('"role":"'), F.when(m == 1, "n").otherwise(F.col("role")), F.lit('",')))
+    one = F.concat(F.lit("{"), role, F.lit('"body":'), body, F.when(m == 3, F.concat(F.lit(',"more":'), F.col("turn").cast("string"))).otherwise(""), F.lit("}"))
+    docs = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", one.alias("json")))), lambda t: t["json"]), ",").alias("turns"))
+    key = F.when(m == 0, "key").otherwise("id")
+    text = F.concat(F.lit('{"'), key, F.lit('":'), F.col("conv_id").cast("string"), F.lit(',"turns":['), F.col("turns"), F.lit("]}"))
+    return docs.select("conv_id", F.explode(schemas.breaches(CONVERSATION, text)).alias("e")).select("conv_id", "e.pointer", "e.keyword")
