@@ -13,16 +13,18 @@ from procloom.plans import catalog
 from .oracle import connect, rows, sql_rows
 
 SF = "/root/testdata/sf0.001"
+#: Where the rows are compared: texts are long enough to be cut there.
+ROWS = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
 def duck():  # noqa: ANN201
-    return connect(SF)
+    return connect(ROWS)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_gives_the_rows_of_its_sql(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = catalog.QUERIES[name](spark, ROWS)
     found = rows(df)
     if name in catalog.SQL:
         columns, wanted = sql_rows(duck, catalog.SQL[name])
