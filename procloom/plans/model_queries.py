@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from procloom.operators import alignment, interchange, schemas
+from procloom.operators import alignment, graph, interchange, schemas
 from procloom.plans.registry import Registry, table
 
 R = Registry()
@@ -219,3 +219,36 @@ def nested_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.when(m == 0, "key").otherwise("id")
     text = F.concat(F.lit('{"'), key, F.lit('":'), F.col("conv_id").cast("string"), F.lit(',"turns":['), F.col("turns"), F.lit("]}"))
     return docs.select("conv_id", F.explode(schemas.breaches(CONVERSATION, text)).alias("e")).select("conv_id", "e.pointer", "e.keyword")
+
+
+def _hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Regions, nations, customers and orders as a hierarchy, and what they put out and take in: an order's status is told by its customer unless the balance is negative, by a nation with an even
+    key, and by all regions but the first; every tenth customer takes in what its siblings put out."""
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    r, n, c, o = (table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
+    none = F.lit(None).cast("string")
+    tree = r.select(text("r", "r_regionkey").alias("node"), F.lit("L3").alias("type"), none.alias("parent_id"))
+    tree = tree.unionByName(n.select(text("n", "n_nationkey").alias("node"), F.lit("L4").alias("type"), text("r", "n_regionkey").alias("parent_id")))
+    tree = tree.unionByName(c.select(text("c", "c_custkey").alias("node"), F.lit("L5").alias("type"), text("n", "c_nationkey").alias("parent_id")))
+    tree = tree.unionByName(o.select(text("o", "o_orderkey").alias("node"), F.lit("L6").alias("type"), text("c", "o_custkey").alias("parent_id")))
+    each = F.explode(F.array(F.lit("F"), F.lit("O"), F.lit("P")))
+    out = [
+        o.select(text("o", "o_orderkey").alias("node"), F.col("o_orderstatus").alias("name")), c.where("c_acctbal >= 0").select(text("c", "c_custkey").alias("node"), each.alias("name")),
+        n.where("n_nationkey % 2 = 0").select(text("n", "n_nationkey").alias("node"), each.alias("name")), r.where("r_regionkey > 0").select(text("r", "r_regionkey").alias("node"), each.alias("name")),
+    ]
+    uses = [x.withColumn("kind", F.lit("OUTPUT")) for x in out] + [c.where("c_custkey % 10 = 0").select(text("c", "c_custkey").alias("node"), F.lit("O").alias("name"), F.lit("INPUT").alias("kind"))]
+    whole = uses[0]
+    for x in uses[1:]:
+        whole = whole.unionByName(x)
+    return tree, whole
+
+
+@R.add("""
+    WITH c AS (SELECT c_custkey AS k, c_acctbal >= 0 AS has, n_nationkey % 2 = 0 AS nat, n_nationkey AS n, n_regionkey > 0 AS reg FROM customer JOIN nation ON n_nationkey = c_nationkey),
+    x AS (SELECT 'o' || o_orderkey AS node, 'L6' AS type, o_orderstatus AS output, CASE WHEN NOT has THEN 0 WHEN NOT nat THEN 1 WHEN NOT reg THEN 2 ELSE 3 END AS reached, 3 AS depth FROM orders JOIN c ON k = o_custkey
+        UNION ALL SELECT 'c' || k, 'L5', s, CASE WHEN NOT nat THEN 0 WHEN NOT reg THEN 1 ELSE 2 END, 2 FROM c, (VALUES ('F'), ('O'), ('P')) v(s) WHERE has AND NOT (s = 'O' AND EXISTS (SELECT 1 FROM customer d WHERE d.c_nationkey = n AND d.c_custkey % 10 = 0 AND d.c_custkey <> k))
+        UNION ALL SELECT 'n' || n_nationkey, 'L4', s, CASE WHEN n_regionkey > 0 THEN 1 ELSE 0 END, 1 FROM nation, (VALUES ('F'), ('O'), ('P')) v(s) WHERE n_nationkey % 2 = 0)
+    SELECT node, type, output, reached::BIGINT AS reached FROM x WHERE reached < depth""")
+def output_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs of all levels that are lost on the way from the leaf to the root."""
+    return graph.continuity(*_hierarchy(spark, sf_dir))

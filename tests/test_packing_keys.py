@@ -7,7 +7,7 @@ BLOCKS = "run string, artifact string, pos long, block_id string, artifact_sha25
 
 def test_null_groups_and_large_positions_are_kept(spark):
     far = 10**12 * 100_000
-    rows = [(run, art, far + k, f"{run}-{art}-{k}", "s", "TEXT", "x" * 900) for run in ("r", None) for art in ("a", None) for k in range(20)]
+    rows = [(run, art, far + 100 * j + k, f"{run}-{art}-{k}", "s", "TEXT", "x" * 900) for run in ("r", None) for j, art in enumerate(("a", None)) for k in range(20)]
     rows += [("r", "long", far + 10**6, "l", "s", "TEXT", "y" * 30_000), (None, None, far - 1, "v", "s", "VISUAL_ASSET", None)]
     members = packing.batch_members(spark.createDataFrame(rows, BLOCKS)).collect()
     assert len(members) == len(rows) + 2  # the long block is three
