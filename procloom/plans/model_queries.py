@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from procloom.operators import alignment, graph, interchange, schemas
+from procloom.operators import alignment, graph, interchange, providers, schemas
 from procloom.plans.registry import Registry, table
+from procloom.plans.text_queries import tokens_sql
 
 R = Registry()
 
@@ -252,3 +254,32 @@ def _hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def output_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs of all levels that are lost on the way from the leaf to the root."""
     return graph.continuity(*_hierarchy(spark, sf_dir))
+
+
+def _page_reader(batch: pd.DataFrame) -> pd.DataFrame:
+    """A stand-in for a reader of pictures: it tells a page's address and its text's length, and fails at some pages in its own ways."""
+    number = batch["asset"].astype(int)
+    if (number % 7 == 0).any():
+        raise RuntimeError("unreadable")
+    size = batch["content"].fillna("").str.len()
+    markdown = [None if n % 5 == 0 else f"# {place}\n" + "word " * (s // 10) for n, place, s in zip(number, batch["locator"], size)]
+    regions = [[] if n % 11 == 0 else ["0,0,1,1"] for n in number]
+    return pd.DataFrame({"markdown": markdown, "regions": regions, "confidence": [1.5 if n % 13 == 0 else 0.5 for n in number]})
+
+
+_PAGE_TOKENS = 400
+
+
+@R.add(f"""
+    WITH p AS (SELECT page_id, url, length(coalesce(html, '')) AS size, '# ' || url || chr(10) || repeat('word ', length(coalesce(html, '')) // 10) AS markdown FROM pages),
+    r AS (SELECT *, CASE WHEN page_id % 7 = 0 THEN 'RuntimeError: unreadable' WHEN page_id % 5 = 0 THEN 'no markdown' WHEN page_id % 11 = 0 THEN 'no regions' WHEN page_id % 13 = 0 THEN 'no valid confidence'
+        WHEN {tokens_sql('markdown')} / {_PAGE_TOKENS}.0::DOUBLE > 1.2 THEN 'over budget' END AS reason, sha256(page_id::VARCHAR) AS sha FROM p),
+    h AS (SELECT *, CASE WHEN reason IS NULL THEN markdown ELSE concat_ws(chr(10), '---', 'chunk_id: VC-' || sha[:12], 'source_sha256: ' || sha, 'modality: VISUAL_ASSET', 'status: VISUAL_REFINEMENT_UNAVAILABLE', '---', '',
+        '<!-- VISUAL_REFINEMENT_UNAVAILABLE: ' || reason || ' -->', '', '[visual asset: ' || url || ']') END AS t FROM r)
+    SELECT page_id::VARCHAR AS asset, 'VC-' || sha[:12] AS chunk_id, CASE WHEN reason IS NULL THEN 'REFINED' ELSE 'VISUAL_REFINEMENT_UNAVAILABLE' END AS status, reason, sha256(t) AS markdown_sha256, CASE WHEN reason IS NULL THEN 1 ELSE 0 END AS n_regions,
+        CASE WHEN reason IS NULL THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence, {tokens_sql('t')} AS tokens FROM h""")
+def visual_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T10 and the registry of §2.14: all pages as pictures for a provider that raises, gives too little, or too much."""
+    assets = table(spark, sf_dir, "pages").select(F.col("page_id").alias("asset"), F.col("url").alias("locator"), F.col("html").alias("content"))
+    found = providers.refined(assets, providers.Provider("page-reader", "1", _page_reader), _PAGE_TOKENS)
+    return found.select("asset", "chunk_id", "status", "reason", F.sha2("markdown", 256).alias("markdown_sha256"), F.size("regions").alias("n_regions"), "confidence", "tokens")
