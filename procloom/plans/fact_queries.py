@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from procloom.functions import columns as C
 from procloom.operators import facts as O
 from procloom.operators import findings, names, render, state
+from procloom.plans import derived as D
 from procloom.plans import models as M
 from procloom.plans.registry import Registry, table
 
 R = Registry()
 _KEY = "replace(coalesce(nullif(trim(process_key), ''), 'default'), '.', '-')"
-_FACTS = f"facts AS (SELECT *, {_KEY} AS process FROM {M.FACTS.sql}), sure AS (SELECT * FROM facts WHERE certainty <> 'CONFLICT')"
+_FACTS = f"facts AS (SELECT *, {_KEY} AS process FROM {D.FACTS_SQL}), sure AS (SELECT * FROM facts WHERE certainty <> 'CONFLICT')"
 
 
 @R.add(f"WITH {_FACTS} SELECT process, min(trim(process_key)) AS display_code, count(*) AS n_facts, count(*) FILTER (certainty = 'CONFLICT') AS n_conflicts FROM facts GROUP BY process")
 def process_group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1, C1, F3, F4."""
-    return O.process_groups(M.FACTS.df(spark))
+    return O.process_groups(D.facts(spark, sf_dir))
 
 
 _SINGLE = "(kind IN ('ACTIVITY', 'PROCESS_NAME', 'PROCESS_LEVEL') AND subject_key IS NOT NULL)"
@@ -41,7 +42,7 @@ dedup AS (SELECT kind, process, subject_key, CASE WHEN merged THEN best ELSE rep
 @R.add(f"WITH {_FACTS}, {_DEDUP} SELECT * FROM dedup")
 def fact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 to A3."""
-    return O.dedup_facts(M.FACTS.df(spark))
+    return O.dedup_facts(D.facts(spark, sf_dir))
 
 
 @R.add(f"""
@@ -94,13 +95,13 @@ def _listed(kind: str, name: str) -> str:
     FROM a""")
 def activity_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2, A4, C4."""
-    return O.activity_aggregates(M.FACTS.df(spark))
+    return O.activity_aggregates(D.facts(spark, sf_dir))
 
 
 @R.add(f"WITH {_FACTS} SELECT process, kind, label, count(*) AS n FROM sure f WHERE kind IN ('INPUT', 'OUTPUT') AND NOT EXISTS (SELECT 1 FROM sure a WHERE a.kind = 'ACTIVITY' AND a.process = f.process AND a.subject_key = f.subject_key) GROUP BY 1, 2, 3")
 def process_level_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3."""
-    return O.process_io(M.FACTS.df(spark))
+    return O.process_io(D.facts(spark, sf_dir))
 
 
 _LANES = f"""lane_k AS (SELECT process, regexp_replace(coalesce(label, ''), '\\s+', '', 'g') AS norm, label, {_AT} AS k FROM sure WHERE kind = 'ROLE'),
@@ -120,7 +121,7 @@ _DEDUP_SURE = _DEDUP.replace("FROM facts GROUP BY", "FROM sure GROUP BY")
         CASE WHEN lane_id IS NOT NULL THEN NULL WHEN first_lane IS NOT NULL THEN 'Q-role-' || sha256(fact_id)[:8] ELSE 'Q-nolane-' || sha256(fact_id)[:8] END AS question_id FROM j""")
 def role_lane_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J4, A7."""
-    return O.role_lanes(M.FACTS.df(spark))
+    return O.role_lanes(D.facts(spark, sf_dir))
 
 
 @R.add(f"""
@@ -132,7 +133,7 @@ def role_lane_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM fl WHERE rn = 1""")
 def flow_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5, J6, W3."""
-    return O.resolve_flows(M.FACTS.df(spark))
+    return O.resolve_flows(D.facts(spark, sf_dir))
 
 
 @R.add("""
@@ -159,7 +160,7 @@ def terminal_orgs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT process, label_key, arg_min(label, {_AT}) AS label, arg_min(fact_id, {_AT}) AS fact_id, list_sort(list_distinct(flatten(list(evidence_refs)))) AS evidence_refs FROM k GROUP BY 1, 2""")
 def end_event_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8, V11."""
-    return O.align_events(M.FACTS.df(spark), "END_EVENT", "结束")
+    return O.align_events(D.facts(spark, sf_dir), "END_EVENT", "结束")
 
 
 _UNC = f"""u AS (SELECT * FROM {M.UNCERTAINTIES.sql}), rel AS (SELECT u.frag_idx, u.pos, bool_or(f.process = 'CM-2') AS own FROM (SELECT frag_idx, pos, unnest(related_fact_ids) AS fact_id FROM u) u JOIN facts f USING (frag_idx, fact_id) GROUP BY u.frag_idx, u.pos),
@@ -167,12 +168,12 @@ _UNC = f"""u AS (SELECT * FROM {M.UNCERTAINTIES.sql}), rel AS (SELECT u.frag_idx
 
 
 @R.add(f"""
-    WITH facts AS (SELECT frag_idx, fact_id, {_KEY} AS process FROM {M.FACTS.sql}), {_UNC}
+    WITH facts AS (SELECT frag_idx, fact_id, {_KEY} AS process FROM {D.FACTS_SQL}), {_UNC}
     SELECT u.frag_idx, u.pos, u.kind, u.text, CASE WHEN len(related_fact_ids) = 0 THEN len(codes) = 0 OR list_contains(list_transform(codes, lambda c: replace(c, '.', '-')), 'CM-2') ELSE coalesce(own, true) END AS relevant
     FROM u LEFT JOIN rel ON rel.frag_idx = u.frag_idx AND rel.pos = u.pos JOIN codes ON codes.frag_idx = u.frag_idx AND codes.pos = u.pos""")
 def focus_uncertainties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F5."""
-    return O.focus_uncertainties(M.UNCERTAINTIES.df(spark), M.FACTS.df(spark), "CM-2")
+    return O.focus_uncertainties(M.UNCERTAINTIES.df(spark), D.facts(spark, sf_dir), "CM-2")
 
 
 @R.add(f"""
@@ -191,10 +192,10 @@ def topic_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.TOPIC_TEXTS.df(spark).select("id", C.topics(F.col("text")).alias("topics"))
 
 
-@R.add(f"WITH f AS (SELECT frag_idx AS frag, batch_id, fact_id, unnest(evidence_refs) AS ref FROM {M.FACTS.sql}) SELECT frag, fact_id, ref FROM f WHERE ref NOT IN (SELECT 'B-' || frag_idx || pos FROM {M.FACTS.sql} x WHERE x.batch_id = f.batch_id AND pos % 3 <> 0)")
+@R.add(f"WITH f AS (SELECT frag_idx AS frag, batch_id, fact_id, unnest(evidence_refs) AS ref FROM {D.FACTS_SQL}) SELECT frag, fact_id, ref FROM f WHERE ref NOT IN (SELECT 'B-' || frag_idx || pos FROM {D.FACTS_SQL} x WHERE x.batch_id = f.batch_id AND pos % 3 <> 0)")
 def evidence_ref_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch has only some of the blocks."""
-    facts = M.FACTS.df(spark)
+    facts = D.facts(spark, sf_dir)
     blocks = facts.where("pos % 3 <> 0").select("batch_id", F.concat(F.lit("B-"), F.col("frag_idx").cast("string"), F.col("pos").cast("string")).alias("block_id"))
     return state.missing_evidence(facts.withColumnRenamed("frag_idx", "frag"), blocks)
 
@@ -220,10 +221,10 @@ def chunk_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MAPPED = "'PROCESS_NAME','PROCESS_LEVEL','ACTIVITY','ROLE','INPUT','OUTPUT','TOOL','REFERENCE','SLA','FLOW','CONDITION','GATEWAY','START_EVENT','END_EVENT','CONFIRMATION_CONDITION','COMPLETION_CRITERIA','ORG_UNIT'"
 
 
-@R.add(f"SELECT kind, count(*) AS n_facts, count(*) FILTER (certainty = 'CONFLICT') AS n_conflicts, kind IN ({_MAPPED}) AS mapped FROM {M.FACTS.sql} GROUP BY kind")
+@R.add(f"SELECT kind, count(*) AS n_facts, count(*) FILTER (certainty = 'CONFLICT') AS n_conflicts, kind IN ({_MAPPED}) AS mapped FROM {D.FACTS_SQL} GROUP BY kind")
 def merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6."""
-    return render.merge_report(M.FACTS.df(spark))
+    return render.merge_report(D.facts(spark, sf_dir))
 
 
 _NORM = "trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g'))"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from procloom.functions import columns as C
 from procloom.operators import budget, candidates, packing, splitting
 from procloom.operators.joins import null_safe
+from procloom.plans import derived as D
 from procloom.plans import models as M
 from procloom.plans.registry import Registry, table
 from procloom.sources import files, markdown
@@ -280,10 +281,10 @@ def blocks_sql(src: str) -> str:
         blocks AS (SELECT doc, kind, min(line_no) AS line_start, max(line_no) AS line_end, arg_min(heading_path, line_no) AS heading_path, trim(string_agg(line, chr(10) ORDER BY line_no), ' ' || chr(9) || chr(10) || chr(13)) AS content FROM islands WHERE level = 0 GROUP BY doc, kind, island)"""
 
 
-@R.add(f"WITH {blocks_sql(M.MARKDOWN.sql)} SELECT doc, kind, line_start, line_end, heading_path, content FROM blocks WHERE content <> ''")
+@R.add(f"WITH {blocks_sql(D.MARKDOWN_SQL)} SELECT doc, kind, line_start, line_end, heading_path, content FROM blocks WHERE content <> ''")
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S8, T1 to T4, W1, W2."""
-    return markdown.blocks(markdown.lines(M.MARKDOWN.df(spark))).select("doc", "kind", "line_start", "line_end", "heading_path", "content")
+    return markdown.blocks(markdown.lines(D.manuals(spark, sf_dir))).select("doc", "kind", "line_start", "line_end", "heading_path", "content")
 
 
 @R.add(f"""
@@ -301,7 +302,7 @@ _CELLS = r"list_transform(string_split(regexp_replace(regexp_replace(trim(line),
 
 
 @R.add(rf"""
-    WITH {_LINES.format(src=M.MARKDOWN.sql)}, r AS (SELECT *, starts_with(trim(line), '|') AS is_row FROM lines),
+    WITH {_LINES.format(src=D.MARKDOWN_SQL)}, r AS (SELECT *, starts_with(trim(line), '|') AS is_row FROM lines),
     s AS (SELECT *, is_row AND NOT coalesce(lag(is_row) OVER (PARTITION BY doc ORDER BY line_no), false) AS start FROM r),
     t AS (SELECT doc, line_no, sum(start::INT) OVER (PARTITION BY doc ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS table_no, is_row, {_CELLS} AS row FROM s),
     u AS (SELECT *, row_number() OVER (PARTITION BY doc, table_no ORDER BY line_no) - 1 AS row_no FROM t WHERE is_row AND len(list_filter(row, lambda c: NOT regexp_matches(c, '^:?-{{2,}}:?$'))) > 0),
@@ -309,37 +310,37 @@ _CELLS = r"list_transform(string_split(regexp_replace(regexp_replace(trim(line),
     SELECT doc, table_no::BIGINT AS table_no, row_no::INT AS row_no, col_no::INT AS col_no, header[col_no + 1] AS header, row[col_no + 1] AS cell FROM v""")
 def markdown_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T11, J17."""
-    return markdown.table_cells(markdown.lines(M.MARKDOWN.df(spark)))
+    return markdown.table_cells(markdown.lines(D.manuals(spark, sf_dir)))
 
 
 _TAGS = ", ".join(rf"CASE WHEN len(list_filter(w, lambda t: regexp_matches(t, '(?i){p}'))) > 0 THEN '{tag}' END" for tag, p in C.DOMAIN_TAGS.items())
 
 
 @R.add(f"""
-    WITH {blocks_sql(M.MARKDOWN.sql)}, w AS (SELECT doc, line_start, list_append(heading_path, substr(content, 1, 500)) AS w FROM blocks WHERE content <> '')
+    WITH {blocks_sql(D.MARKDOWN_SQL)}, w AS (SELECT doc, line_start, list_append(heading_path, substr(content, 1, 500)) AS w FROM blocks WHERE content <> '')
     SELECT doc, line_start, list_sort(list_filter([{_TAGS}], lambda t: t IS NOT NULL)) AS domain_tags FROM w""")
 def domain_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T9."""
-    found = markdown.blocks(markdown.lines(M.MARKDOWN.df(spark)))
+    found = markdown.blocks(markdown.lines(D.manuals(spark, sf_dir)))
     return found.select("doc", "line_start", C.domain_tags(F.col("heading_path"), F.col("content")).alias("domain_tags"))
 
 
 @R.add(f"""
-    WITH {blocks_sql(M.MARKDOWN.sql)}, n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line_start) AS sequence, sha256(content) AS csha, sha256(doc) AS asha FROM blocks WHERE content <> '')
+    WITH {blocks_sql(D.MARKDOWN_SQL)}, n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line_start) AS sequence, sha256(content) AS csha, sha256(doc) AS asha FROM blocks WHERE content <> '')
     SELECT doc, sequence::INT AS sequence, lpad(sequence::VARCHAR, 4, '0') || '.md' AS file, 'C-' || sha256(asha || ':{{"line_start":' || line_start || ',"line_end":' || line_end || '}}:' || csha || ':1')[:12] AS chunk_id, {tokens_sql('content')} AS tokens FROM n""")
 def normalized_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered chunks with ids."""
-    docs = M.MARKDOWN.df(spark)
+    docs = D.manuals(spark, sf_dir)
     sha = docs.select("doc", F.sha2("doc", 256).alias("artifact_sha256"))
     return markdown.chunks(markdown.evidence(markdown.lines(docs), sha)).select("doc", "sequence", "file", "chunk_id", "tokens")
 
 
 @R.add(r"""
     WITH m AS (SELECT doc, unnest(list_filter(string_split(regexp_extract(text, '^---\n((?s).*?)\n---', 1), chr(10)), lambda l: regexp_matches(l, '^\s*[A-Za-z_][\w-]*\s*:'))) AS line FROM {src})
-    SELECT doc, trim(split_part(line, ':', 1)) AS key, trim(regexp_replace(line, '^[^:]*:', '')) AS value FROM m""".replace("{src}", M.MARKDOWN.sql))
+    SELECT doc, trim(split_part(line, ':', 1)) AS key, trim(regexp_replace(line, '^[^:]*:', '')) AS value FROM m""".replace("{src}", D.MARKDOWN_SQL))
 def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S25."""
-    return M.MARKDOWN.df(spark).select("doc", F.explode(markdown.front_matter(F.col("text"))).alias("key", "value"))
+    return D.manuals(spark, sf_dir).select("doc", F.explode(markdown.front_matter(F.col("text"))).alias("key", "value"))
 
 
 _WANTED = "(VALUES ('FA-L4-001'), ('FA-HIER-001'), ('FA-SOP-004')) AS wanted(rule_id)"
@@ -366,10 +367,10 @@ def line_locator_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.excerpts(markdown.lines(table(spark, sf_dir, "documents"), "doc_id")).select(F.col("doc").alias("doc_id"), "line_no", F.sha2("excerpt", 256).alias("excerpt_sha256"))
 
 
-@R.add(f"WITH {blocks_sql(M.MARKDOWN.sql)} SELECT doc, line_start FROM blocks WHERE content <> '' AND len(list_filter(heading_path, lambda h: list_contains(regexp_extract_all(upper(h), '[A-Z]{{1,4}}-[0-9]+(?:\\.[0-9]+)?'), 'CM-1.1'))) > 0")
+@R.add(f"WITH {blocks_sql(D.MARKDOWN_SQL)} SELECT doc, line_start FROM blocks WHERE content <> '' AND len(list_filter(heading_path, lambda h: list_contains(regexp_extract_all(upper(h), '[A-Z]{{1,4}}-[0-9]+(?:\\.[0-9]+)?'), 'CM-1.1'))) > 0")
 def focus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1, C2, C3."""
-    return candidates.focus_filter(markdown.blocks(markdown.lines(M.MARKDOWN.df(spark))), "cm-1.1").select("doc", "line_start")
+    return candidates.focus_filter(markdown.blocks(markdown.lines(D.manuals(spark, sf_dir))), "cm-1.1").select("doc", "line_start")
 
 
 _ROWS = rf"list_filter(list_transform(list_filter(string_split(content, chr(10)), lambda x: starts_with(trim(x), '|')), lambda line: {_CELLS}), lambda r: len(list_filter(r, lambda c: NOT regexp_matches(c, '^:?-{{2,}}:?$'))) > 0)"
@@ -377,7 +378,7 @@ _NAME = r"trim(regexp_replace(regexp_replace(trim(replace(regexp_replace(trim(he
 
 
 @R.add(rf"""
-    WITH {blocks_sql(M.MARKDOWN.sql)}, b AS (SELECT *, {_ROWS} AS rows, heading_path[-1] AS last FROM blocks WHERE content <> ''),
+    WITH {blocks_sql(D.MARKDOWN_SQL)}, b AS (SELECT *, {_ROWS} AS rows, heading_path[-1] AS last FROM blocks WHERE content <> ''),
     h AS (SELECT *, unnest(heading_path) AS heading FROM b), k AS (SELECT *, unnest(list_distinct(regexp_extract_all(upper(heading), '[A-Z]{{1,4}}-[0-9]+(?:\.[0-9]+)?'))) AS process_key FROM h),
     v AS (SELECT *, {_NAME} AS pname, upper(regexp_extract(heading, '(?i)(L[0-9]+)', 1)) AS lv, kind = 'TABLE' AND contains(array_to_string(rows[1], '|'), '活动') AND contains(array_to_string(rows[1], '|'), '角色') AND len(rows) >= 3 AS acts,
         regexp_matches(last, '控制流|顺序流') OR (kind = 'TABLE' AND contains(array_to_string(rows[1], '|'), '来源') AND contains(array_to_string(rows[1], '|'), '目标')) AS flow, regexp_matches(last, '结束事件|开始与结束') AS ends FROM k)
@@ -385,4 +386,4 @@ _NAME = r"trim(regexp_replace(regexp_replace(trim(replace(regexp_replace(trim(he
         arg_min(lv, {{'a': line_start, 'b': heading}}) FILTER (lv <> '') AS level, bool_or(coalesce(acts, false)) AND bool_or(coalesce(flow, false)) AND bool_or(coalesce(ends, false)) AS complete FROM v GROUP BY 1, 2""")
 def candidate_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A13, A14, C12."""
-    return candidates.discover(markdown.blocks(markdown.lines(M.MARKDOWN.df(spark))))
+    return candidates.discover(markdown.blocks(markdown.lines(D.manuals(spark, sf_dir))))
