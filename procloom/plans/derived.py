@@ -85,3 +85,62 @@ def manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
         whole = F.when(F.col("c_custkey") % 4 == i, text(*cut)).otherwise(whole)
     own = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("doc"), whole.alias("text"))
     return M.MARKDOWN.df(spark).unionByName(own)
+
+
+#: Process models of users, as queries that both engines take; {events} is the table, and list(...), pair(a, b) and parts(...) differ by engine.
+_STEPS = """SELECT concat('u', CAST(user_id AS STRING)) AS g, event_id, event_type AS t, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k, user_id,
+    lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM {events}"""
+_NODE = "('N' || CAST({c} AS STRING))"
+_TYPE = """CASE t WHEN 'view' THEN 'MAIN_TASK' WHEN 'click' THEN 'CONFIRMATION_TASK' WHEN 'error' THEN CASE event_id % 3 WHEN 0 THEN 'XOR_GATEWAY' WHEN 1 THEN 'AND_GATEWAY' ELSE 'OR_GATEWAY' END
+    WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'INTERMEDIATE_LINK_THROW' ELSE 'INTERMEDIATE_LINK_CATCH' END
+    ELSE CASE event_id % 5 WHEN 0 THEN 'START_EVENT' WHEN 1 THEN 'END_EVENT' ELSE 'MAIN_TASK' END END"""
+_NAME = "CASE WHEN t = 'signup' THEN concat('L', CAST(k % 20 AS STRING)) WHEN t = 'purchase' AND event_id % 5 < 2 THEN CASE WHEN k % 4 = 0 THEN '' ELSE concat('End & ', CAST(k AS STRING)) END ELSE concat('T', CAST(k AS STRING)) END"
+_ME = _NODE.format(c="event_id")
+_MODELS = {
+    "NODES": f"SELECT g, {_ME} AS node, {_TYPE} AS node_type, {_NAME} AS name, concat('l', CAST(k % 4 AS STRING)) AS lane, CAST(n AS INT) AS pos FROM s",
+    "FLOWS": f"""SELECT g, concat('F', CAST(event_id AS STRING)) AS edge, {_ME} AS src, {_NODE.format(c='next')} AS dst, CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN concat('k < ', CAST(k AS STRING)) END AS label FROM s WHERE next IS NOT NULL AND k % 10 > 0
+        UNION ALL SELECT g, concat('G', CAST(event_id AS STRING)), {_ME}, {_NODE.format(c='event_id + 1')}, CASE WHEN k % 2 = 0 THEN 'else' END FROM s WHERE t = 'error'""",
+    "LANES": "SELECT DISTINCT g, concat('l', CAST(k % 3 AS STRING)) AS lane, concat('Lane ', CAST(k % 3 AS STRING)) AS name, concat('r', CAST(k % 3 AS STRING)) AS role, k % 3 AS pos FROM s",
+    "BINDINGS": f"SELECT g, concat('A', CAST(k AS STRING)) AS activity, {_ME} AS main_task, CASE WHEN event_id % 2 = 0 THEN {_NODE.format(c='next')} END AS confirmation_task, CAST(n AS INT) AS pos FROM s WHERE t = 'view'",
+    "ACTIVITIES": f"""SELECT g, activity, name, CASE m % 3 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'DECISION_ACTIVITY' ELSE 'REVIEW_MEETING' END AS activity_type, CASE WHEN m % 2 = 0 THEN 'RASCI' ELSE 'OARP' END AS model, {_NODE.format(c='m')} AS main_task,
+        CASE WHEN k % 5 = 0 THEN parts(pair(concat('emp_', CAST(k AS STRING)), 'R')) ELSE parts(pair(concat('r', CAST(k % 3 AS STRING)), CASE WHEN m % 2 = 0 THEN 'R' ELSE 'O' END), pair(concat('r', CAST((k + 1) % 3 AS STRING)), 'A')) END AS roles,
+        CASE WHEN k % 4 = 0 THEN concat('r', CAST((k + 1) % 3 AS STRING)) END AS confirm_role, k % 2 = 0 AS co_completes, k % 3 > 0 AS bears, CASE WHEN k % 7 > 0 THEN k % 7 < 5 END AS no_meeting
+        FROM (SELECT g, concat('A', CAST(k AS STRING)) AS activity, concat('T', CAST(k AS STRING)) AS name, k, min(event_id) AS m FROM s WHERE t = 'view' GROUP BY g, k) AS v""",
+    "CARDS": f"""SELECT g, concat('User ', g) AS name, concat('L', CAST(user_id % 3 + 3 AS STRING)) AS level, user_id % 3 > 0 AS is_leaf, user_id % 2 = 0 AS parent_declared, event({_NODE.format(c='a')}, 'Begin') AS start,
+        parts(event({_NODE.format(c='z')}, concat('End & ', CAST(zk AS STRING))), event('nowhere', 'Gone')) AS end_results
+        FROM (SELECT g, user_id, min(event_id) AS a, max(CASE WHEN t = 'purchase' AND event_id % 5 = 1 THEN event_id END) AS z, max(CASE WHEN t = 'purchase' AND event_id % 5 = 1 THEN k END) AS zk FROM s GROUP BY g, user_id) AS v WHERE z IS NOT NULL""",
+}
+
+
+def _in_engine(sql: str, pair: str, event: str, parts: str) -> str:
+    """sql with the three forms of one engine; each takes two names for its arguments or any number."""
+    out, k = "", 0
+    while k < len(sql):
+        form = next((f for f in ("pair(", "event(", "parts(") if sql.startswith(f, k) and not sql[k - 1].isalnum()), None)
+        if not form:
+            out, k = out + sql[k], k + 1
+            continue
+        end, depth = k + len(form), 1
+        while depth:
+            depth += (sql[end] == "(") - (sql[end] == ")")
+            end += 1
+        inner = [_in_engine(x, pair, event, parts) for x in _split(sql[k + len(form) : end - 1])]
+        out += parts.format(", ".join(inner)) if form == "parts(" else (pair if form == "pair(" else event).format(*inner)
+        k = end
+    return out
+
+
+def model_sql(name: str) -> str:
+    """Rows of a model's part for DuckDB: those of the fixture, and those of all users."""
+    body = _in_engine(_MODELS[name], "{{'role': {}, 'code': {}}}", "{{'event_id': {}, 'name': {}}}", "[{}]")
+    return f"(SELECT * FROM {getattr(M, name).sql} UNION ALL BY NAME SELECT * FROM (WITH s AS ({_STEPS.format(events='events')}) {body}) AS v)"
+
+
+def model(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for Spark."""
+    body = _in_engine(_MODELS[name], "named_struct('role', {}, 'code', {})", "named_struct('event_id', {}, 'name', {})", "array({})")
+    steps = _STEPS.format(events="{events}").replace("'[0-9]+')", "'[0-9]+', 0)")
+    s = spark.sql(steps, events=table(spark, sf_dir, "events"))
+    fixture = getattr(M, name).df(spark)
+    own = spark.sql(re.sub(r"\bFROM s\b", "FROM {s}", body), s=s)
+    return fixture.unionByName(own.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fixture.schema]))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procloom.operators import graph, render, rules
+from procloom.plans import derived as D
 from procloom.plans import models as M
 from procloom.plans.registry import Registry, table
 from procloom.sources import diagrams
@@ -126,13 +127,13 @@ def hierarchy_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked_nodes(spark: SparkSession) -> DataFrame:
-    return M.NODES.df(spark).where("g = 'd1'").select("g", "node", "node_type", "lane", (F.col("pos") % 5).alias("rank"), "pos")
+    return D.model("NODES", spark, sf_dir).where("g = 'd1'").select("g", "node", "node_type", "lane", (F.col("pos") % 5).alias("rank"), "pos")
 
 
 _LAYOUT = f"""n AS (SELECT g, node, node_type, lane, pos % 5 AS rank, pos, CASE WHEN contains(node_type, 'GATEWAY') THEN 50 WHEN regexp_matches(node_type, 'EVENT|CATCH|THROW') THEN 36 ELSE 120 END AS width,
-        CASE WHEN contains(node_type, 'GATEWAY') THEN 50 WHEN regexp_matches(node_type, 'EVENT|CATCH|THROW') THEN 36 ELSE 80 END AS height FROM {M.NODES.sql} WHERE g = 'd1'),
+        CASE WHEN contains(node_type, 'GATEWAY') THEN 50 WHEN regexp_matches(node_type, 'EVENT|CATCH|THROW') THEN 36 ELSE 80 END AS height FROM {D.model_sql('NODES')} WHERE g = 'd1'),
     s AS (SELECT *, sum(height) OVER k + (count(*) OVER k - 1) * 10 AS total, coalesce(sum(height + 10) OVER (PARTITION BY g, lane, rank ORDER BY pos, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM n WINDOW k AS (PARTITION BY g, lane, rank)),
-    h AS (SELECT l.g, l.lane, l.pos, greatest(coalesce((SELECT max(total) FROM s WHERE s.g = l.g AND s.lane = l.lane), 0) + 60, 150) AS lane_height FROM {M.LANES.sql} l WHERE l.g = 'd1'),
+    h AS (SELECT l.g, l.lane, l.pos, greatest(coalesce((SELECT max(total) FROM s WHERE s.g = l.g AND s.lane = l.lane), 0) + 60, 150) AS lane_height FROM {D.model_sql('LANES')} l WHERE l.g = 'd1'),
     t AS (SELECT *, coalesce(sum(lane_height) OVER (PARTITION BY g ORDER BY pos, lane ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lane_y FROM h),
     places AS (SELECT s.g, s.node, (260 + s.rank * 200 + (120 - width) / 2)::DOUBLE AS x, (lane_y + (lane_height - total) / 2 + above)::DOUBLE AS y, width, height FROM s JOIN t ON t.g = s.g AND t.lane = s.lane)"""
 
@@ -140,18 +141,18 @@ _LAYOUT = f"""n AS (SELECT g, node, node_type, lane, pos % 5 AS rank, pos, CASE
 @R.add(f"WITH {_LAYOUT} SELECT * FROM places")
 def layout_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G4, W5, W6, C23."""
-    return graph.layout(ranked_nodes(spark), M.LANES.df(spark).where("g = 'd1'")).withColumns({c: F.col(c).cast("double") for c in "xy"})
+    return graph.layout(ranked_nodes(spark), D.model("LANES", spark, sf_dir).where("g = 'd1'")).withColumns({c: F.col(c).cast("double") for c in "xy"})
 
 
 @R.add(f"""
     WITH {_LAYOUT}, low AS (SELECT g, max(y + height) + 40 AS low FROM places GROUP BY g),
-    e AS (SELECT f.g, f.edge, f.edge = 'e9' AS back, a.x + a.width AS sx, a.y + a.height / 2 AS sy, b.x AS dx, b.y + b.height / 2 AS dy, low FROM {M.FLOWS.sql} f JOIN places a ON a.g = f.g AND a.node = f.src JOIN places b ON b.g = f.g AND b.node = f.dst JOIN low ON low.g = f.g)
+    e AS (SELECT f.g, f.edge, f.edge = 'e9' AS back, a.x + a.width AS sx, a.y + a.height / 2 AS sy, b.x AS dx, b.y + b.height / 2 AS dy, low FROM {D.model_sql('FLOWS')} f JOIN places a ON a.g = f.g AND a.node = f.src JOIN places b ON b.g = f.g AND b.node = f.dst JOIN low ON low.g = f.g)
     SELECT g, edge, CASE WHEN back THEN 6 ELSE 4 END AS n_points, CASE WHEN back THEN [{{'x': sx, 'y': sy}}, {{'x': sx + 20, 'y': sy}}, {{'x': sx + 20, 'y': low}}, {{'x': dx - 20, 'y': low}}, {{'x': dx - 20, 'y': dy}}, {{'x': dx, 'y': dy}}]
         ELSE [{{'x': sx, 'y': sy}}, {{'x': (sx + dx) / 2, 'y': sy}}, {{'x': (sx + dx) / 2, 'y': dy}}, {{'x': dx, 'y': dy}}] END AS points FROM e""")
 def edge_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G5."""
-    places = graph.layout(ranked_nodes(spark), M.LANES.df(spark).where("g = 'd1'"))
-    return graph.routes(places, M.FLOWS.df(spark).withColumn("back", F.col("edge") == "e9"))
+    places = graph.layout(ranked_nodes(spark), D.model("LANES", spark, sf_dir).where("g = 'd1'"))
+    return graph.routes(places, D.model("FLOWS", spark, sf_dir).withColumn("back", F.col("edge") == "e9"))
 
 
 @R.add(f"""
@@ -177,7 +178,7 @@ def arch_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.architecture_rules(M.TREE.df(spark))
 
 
-_MODEL = f"n AS (SELECT * FROM {M.NODES.sql}), f AS (SELECT * FROM {M.FLOWS.sql}), l AS (SELECT * FROM {M.LANES.sql}), b AS (SELECT * FROM {M.BINDINGS.sql}), a AS (SELECT * FROM {M.ACTIVITIES.sql}), c AS (SELECT * FROM {M.CARDS.sql})"
+_MODEL = f"n AS (SELECT * FROM {D.model_sql('NODES')}), f AS (SELECT * FROM {D.model_sql('FLOWS')}), l AS (SELECT * FROM {D.model_sql('LANES')}), b AS (SELECT * FROM {D.model_sql('BINDINGS')}), a AS (SELECT * FROM {D.model_sql('ACTIVITIES')}), c AS (SELECT * FROM {D.model_sql('CARDS')})"
 _DEGREE = "deg AS (SELECT n.*, (SELECT count(*) FROM f WHERE f.g = n.g AND f.dst = n.node) AS n_in, (SELECT count(*) FROM f WHERE f.g = n.g AND f.src = n.node) AS n_out FROM n)"
 _OPEN = "open_x AS (SELECT n.g, n.node FROM n JOIN f ON f.g = n.g AND f.src = n.node WHERE node_type IN ('XOR_GATEWAY', 'OR_GATEWAY') GROUP BY 1, 2 HAVING count(*) > 1 AND count(*) FILTER (coalesce(trim(label), '') = '') > 0)"
 _CHECKED = ", ".join(f"'{t}'" for t in rules.CHECKED_TYPES)
@@ -190,7 +191,7 @@ _CHECKED = ", ".join(f"'{t}'" for t in rules.CHECKED_TYPES)
     UNION ALL SELECT 'FA-BPMN-005', g, node FROM open_x""")
 def bpmn_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FA-BPMN-004, 005, 007."""
-    return rules.bpmn_rules(M.NODES.df(spark), M.FLOWS.df(spark))
+    return rules.bpmn_rules(D.model("NODES", spark, sf_dir), D.model("FLOWS", spark, sf_dir))
 
 
 _NORM = "trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
@@ -237,7 +238,7 @@ _BOUND = """bound AS (SELECT g, activity, arg_min(main_task, pos) AS bound_task,
     UNION ALL SELECT 'FA-ACT-BPMN-009', g, activity FROM told WHERE n_main > 1""")
 def activity_bpmn_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J12, FA-ACT-BPMN-001 to 006, 009."""
-    return rules.activity_findings(M.ACTIVITIES.df(spark), M.BINDINGS.df(spark), M.NODES.df(spark), M.FLOWS.df(spark), M.LANES.df(spark))
+    return rules.activity_findings(D.model("ACTIVITIES", spark, sf_dir), D.model("BINDINGS", spark, sf_dir), D.model("NODES", spark, sf_dir), D.model("FLOWS", spark, sf_dir), D.model("LANES", spark, sf_dir))
 
 
 @R.add(f"""
@@ -247,7 +248,7 @@ def activity_bpmn_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT * FROM p WHERE problem IS NOT NULL""")
 def end_event_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J15, FA-ACT-BPMN-007."""
-    return rules.end_events(M.CARDS.df(spark), M.NODES.df(spark))
+    return rules.end_events(D.model("CARDS", spark, sf_dir), D.model("NODES", spark, sf_dir))
 
 
 @R.add(f"""
@@ -257,7 +258,7 @@ def end_event_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT * FROM p WHERE problem IS NOT NULL""")
 def link_event_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J13, FA-ACT-BPMN-008."""
-    return rules.link_pairs(M.NODES.df(spark), M.FLOWS.df(spark))
+    return rules.link_pairs(D.model("NODES", spark, sf_dir), D.model("FLOWS", spark, sf_dir))
 
 
 @R.add(f"""
@@ -285,7 +286,7 @@ def link_event_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 'FA-DRAFT-' || code AS rule_id, g, target FROM gates""")
 def draft_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty gates of drafts."""
-    return rules.draft_gates(M.CARDS.df(spark), M.ACTIVITIES.df(spark), M.BINDINGS.df(spark), M.NODES.df(spark), M.FLOWS.df(spark), M.LANES.df(spark))
+    return rules.draft_gates(D.model("CARDS", spark, sf_dir), D.model("ACTIVITIES", spark, sf_dir), D.model("BINDINGS", spark, sf_dir), D.model("NODES", spark, sf_dir), D.model("FLOWS", spark, sf_dir), D.model("LANES", spark, sf_dir))
 
 
 @R.add()
@@ -340,4 +341,4 @@ _TAG = "CASE " + " ".join(f"WHEN node_type = '{k}' THEN '{v}'" for k, v in rende
     FROM c LEFT JOIN lt USING (g) LEFT JOIN nt USING (g) LEFT JOIN ft USING (g)""")
 def bpmn_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3."""
-    return render.bpmn_xml(M.CARDS.df(spark), M.LANES.df(spark), M.NODES.df(spark), M.FLOWS.df(spark))
+    return render.bpmn_xml(D.model("CARDS", spark, sf_dir), D.model("LANES", spark, sf_dir), D.model("NODES", spark, sf_dir), D.model("FLOWS", spark, sf_dir))
