@@ -9,7 +9,7 @@ False positives only cost a shuffle of a few slim rows; the groups themselves ar
 The filter has 16 bits a row or more at any number of rows: beyond what max_bits allows (max_bits / 8 bytes are
 broadcast), the passes are run by range of the hash, one range after the other.
 
-Texts: null counts as empty, and empty texts are equal to each other. Of equal texts the row with the
+Texts: of any length they are hashed whole. Null counts as empty, and empty texts are equal to each other. Of equal texts the row with the
 largest doc_id stays; rows that repeat a doc_id count once each. Only doc_id and text are read. An empty
 table gives an empty result.
 """

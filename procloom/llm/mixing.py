@@ -12,7 +12,7 @@ order is a seeded hash; sums by hash bucket tell all but one bucket apart withou
 only that bucket's rows are ordered. So what a source gives is within half a small document of its target,
 no document exceeds max_epochs times its size, and reruns agree.
 
-Rows: a null text has size 0 and is taken at no cost or gain (0 words). A null source is a source of its
+Rows: texts of any length are sized whole, and ties of words are decided by the seeded hash, then doc_id. A null text has size 0 and is taken at no cost or gain (0 words). A null source is a source of its
 own, last in order. Rows that repeat count each. Sources without words have target 0. Other columns are
 ignored. An empty table gives an empty result.
 """

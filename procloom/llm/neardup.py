@@ -13,7 +13,7 @@ similar copies don't bring out all their pairs: first each node of the first tre
 forest of its most similar pairs; then, with the components of the confirmed ones known, each node of any
 tree offers a forest across components; last, all pairs that are still across components are tried.
 
-Texts: null and empty ones, and those of white space, have no set and are linked with nothing. Fewer words
+Texts: of any length they are read whole. Null and empty ones, and those of white space, have no set and are linked with nothing. Fewer words
 than a shingle make one shingle. Rows that repeat a doc_id count as one document for links and each get a
 row. Only doc_id and text are read. An empty table gives an empty result.
 """
