@@ -36,6 +36,8 @@ _U = np.uint64
 _TIMES = np.random.default_rng(85).integers(1, 2**32, SKETCH, dtype=np.uint32) | np.uint32(1)
 #: Hashes that are turned at a time.
 CACHED = 1 << 15
+#: Pairs that are looked at closely at a time, and pairs of a forest that are Python numbers at a time.
+PAIRS = 1 << 13
 #: Links in a file of labels.
 LINKS_PER_FILE = 200_000
 
@@ -186,15 +188,16 @@ def least_equal(percent: int, n: int) -> int:
     return int((bar - 4.5 * (bar * (1 - bar) / n) ** 0.5) * n)
 
 
-def similar(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (row of a, row of b, equal bytes) whose sketches and sizes allow the similarity."""
+def similar(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row of a, row of b, equal bytes) whose sketches and sizes allow the similarity; own: b is a, and only pairs of a row and a later one count."""
     found = []
     for i in range(0, len(a), 64):
-        same = (a[i : i + 64, None, :FIRST] == b[None, :, :FIRST]).sum(2, dtype=np.int16)
-        fits = (same >= least_equal(percent, FIRST)) & (100 * np.minimum(na[i : i + 64, None], nb) >= percent * np.maximum(na[i : i + 64, None], nb))
-        x, y = np.nonzero(fits)
-        for k in range(0, len(x), 1 << 16):
-            u, v = x[k : k + (1 << 16)] + i, y[k : k + (1 << 16)]
+        after = i if own else 0
+        same = (a[i : i + 64, None, :FIRST] == b[None, after:, :FIRST]).sum(2, dtype=np.int16)
+        fits = (same >= least_equal(percent, FIRST)) & (100 * np.minimum(na[i : i + 64, None], nb[after:]) >= percent * np.maximum(na[i : i + 64, None], nb[after:]))
+        x, y = np.nonzero(np.triu(fits, 1) if own else fits)
+        for k in range(0, len(x), PAIRS):
+            u, v = x[k : k + PAIRS] + i, y[k : k + PAIRS] + after
             whole = (a[u] == b[v]).sum(1, dtype=np.int16)
             keep = whole >= least_equal(percent, SKETCH)
             found.append((u[keep], v[keep], whole[keep]))
@@ -212,25 +215,36 @@ def forest(x: np.ndarray, y: np.ndarray, same: np.ndarray, n: int) -> np.ndarray
 
     keep = np.zeros(len(x), bool)
     order = np.argsort(-same, kind="stable")
-    for k, i, j in zip(order.tolist(), x[order].tolist(), y[order].tolist()):
-        a, b = find(i), find(j)
-        if a != b:
-            root[a] = b
-            keep[k] = True
+    for start in range(0, len(order), PAIRS):
+        some = order[start : start + PAIRS]
+        for k, i, j in zip(some.tolist(), x[some].tolist(), y[some].tolist()):
+            a, b = find(i), find(j)
+            if a != b:
+                root[a] = b
+                keep[k] = True
     return keep
 
 
+def met(seen: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of rows share an entry of seen other than 0."""
+    out = np.zeros(len(x), bool)
+    for k in range(0, len(x), PAIRS):
+        u, v = seen[x[k : k + PAIRS]], seen[y[k : k + PAIRS]]
+        out[k : k + PAIRS] = ((u == v) & (u != 0)).any(1)
+    return out
+
+
 def candidates(members: DataFrame, how: Paths, spanning: bool) -> DataFrame:
     """(a, b) with a < b: pairs across components of the classes in a node (node, side, id, n, sketch, comp, seen) that the sketches let pass; all, or those that span the components of each node."""
 
     def compare(ids: np.ndarray, n: np.ndarray, sides: np.ndarray, comps: np.ndarray, sketch: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         two = sides.min() != sides.max()
         left, right = (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)) if two else (np.arange(len(ids)),) * 2
-        x, y, same = similar(sketch[left], sketch[right], n[left], n[right], how.percent)
+        x, y, same = similar(sketch[left], sketch[right], n[left], n[right], how.percent, own=not two)
         x, y = left[x], right[y]
-        keep = (ids[x] != ids[y]) & (comps[x] != comps[y]) & (np.full(len(x), two) | (x < y))
+        keep = (ids[x] != ids[y]) & (comps[x] != comps[y])
         x, y, same = x[keep], y[keep], same[keep]
-        fresh = ~((seen[x] == seen[y]) & (seen[x] != 0)).any(1)
+        fresh = ~met(seen, x, y)
         x, y, same = x[fresh], y[fresh], same[fresh]
         if spanning:
             code = np.unique(comps, return_inverse=True)[1]

@@ -19,8 +19,8 @@ __all__ = ["place", "scratch", "shared_folder", "ship", "spill"]
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a few numbers up to which a table is broadcast (some 32 MB as a hash table), and bits of a bitmap that is (16 MB as a table of its words).
 FEW, MAX_BITS = 1_000_000, 1 << 26
-#: Bytes of text that one numpy pass takes; a longer single text goes alone.
-PASS_BYTES = 4 << 20
+#: Bytes of text that one numpy pass takes; a longer single text goes alone. Its arrays take some 60 times as much, and a worker keeps powers of 16 times as much.
+PASS_BYTES = 1 << 19
 
 _U = np.uint64
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from procloom.llm import neardup, queries
@@ -79,3 +81,35 @@ def test_nasty_rows(spark):
     kept = neardup.drop_near(df)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {None, *(d for d, (_, c) in wanted.items() if d == c)}
     assert neardup.near_groups(nasty.empty(spark)).count() == 0 and neardup.drop_near(nasty.empty(spark)).count() == 0
+
+
+def peak_mb(f, *args):
+    tracemalloc.start()
+    out = f(*args)
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, most
+
+
+def test_a_node_of_copies_is_compared_in_little_memory():
+    rng = np.random.default_rng(1)
+    sketch = np.repeat(rng.integers(0, 256, (1, neardup.SKETCH), np.uint8), 600, 0)
+    n = np.full(600, 100)
+    (x, y, same), most = peak_mb(neardup.similar, sketch, sketch, n, n, 85)
+    assert len(x) == 600 * 600 and (same == neardup.SKETCH).all() and most < 60
+    keep, most = peak_mb(neardup.forest, x[x < y], y[x < y], same[x < y], 600)
+    assert keep.sum() == 599 and most < 20
+
+
+def test_pairs_of_a_node_come_once_and_those_that_met_are_told():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, (40, neardup.SKETCH), np.uint8)
+    sketch = np.where(rng.random((300, neardup.SKETCH)) < 0.05, rng.integers(0, 256, (300, neardup.SKETCH), np.uint8), base[rng.integers(0, 40, 300)])
+    n = rng.integers(90, 110, 300)
+    x, y, same = neardup.similar(sketch, sketch, n, n, 85)
+    later = x < y
+    assert 100 < later.sum() < 300 * 299 // 2
+    for one, other in zip(neardup.similar(sketch, sketch, n, n, 85, own=True), (x[later], y[later], same[later])):
+        assert one.tolist() == other.tolist()
+    seen = rng.integers(0, 3, (300, 4))
+    assert neardup.met(seen, x, y).tolist() == [any(a == b != 0 for a, b in zip(seen[i], seen[j])) for i, j in zip(x, y)]

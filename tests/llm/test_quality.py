@@ -2,11 +2,14 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from procloom.llm import quality, queries
+from procloom.llm import quality, queries, shared
 
 from . import nasty
 
@@ -77,3 +80,21 @@ def test_clean_labelled_documents_stay(spark):
     told = queries.op4_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").toPandas()
     good, bad = told[told["quality"] == 1], told[told["quality"] == 0]
     assert good["kept"].mean() > 0.99 and bad["kept"].mean() < 0.05
+
+
+def test_texts_are_measured_in_little_memory(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(f"word{rng.randrange(5000)}" for _ in range(300)) + "\n" for _ in range(3500)]  # 8 MB
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})
+
+    def kept():
+        return np.concatenate([quality.measure(d, o, LIMITS)["kept"] for _, d, o in shared.passes([batch])]).tolist()
+
+    monkeypatch.setattr(shared, "_powers", [np.ones(1, np.uint64)] * 2)
+    tracemalloc.start()
+    found = kept()
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert most < 70  # two workers stand beside the heap of an executor
+    monkeypatch.setattr(shared, "PASS_BYTES", 4 << 20)
+    assert found == kept()
