@@ -11,7 +11,9 @@ Candidates go through the sketch (bytes of minwise values: first 128, then all 5
 lie over 4.5 standard deviations below the threshold) and are confirmed on full sets. This takes three rounds, so that groups of many
 similar copies don't bring out all their pairs: first each node of the first tree offers only a spanning
 forest of its most similar pairs; then, with the components of the confirmed ones known, each node of any
-tree offers a forest across components; last, all pairs that are still across components are tried.
+tree offers a forest across components; last, all pairs that are still across components are tried. As
+these may be as many as the square of a group's size, they never become rows: each document that has some in a node goes
+there once with its set, and the task that has the node's sets confirms all of them.
 
 Texts: of any length they are read whole. Null and empty ones, and those of white space, have no set and are linked with nothing. Fewer words
 than a shingle make one shingle. Rows that repeat a doc_id count as one document for links and each get a
@@ -44,7 +46,8 @@ LINKS_PER_FILE = 200_000
 
 @dataclass(frozen=True)
 class Paths:
-    """Shingle length in words, similarity in percent, independent trees, the most classes in a node that is compared, tokens and levels of branching, classes in a block."""
+    """Shingle length in words, similarity in percent, independent trees, the most classes in a node that is compared, tokens and levels of branching, classes in a block,
+    shingles after which further sets of a node go to another part."""
 
     shingle: int = 5
     percent: int = 85
@@ -53,6 +56,7 @@ class Paths:
     branches: int = 2
     levels: int = 2
     block: int = 1024
+    held: int = 1 << 20
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -234,53 +238,147 @@ def met(seen: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidates(members: DataFrame, how: Paths, spanning: bool) -> DataFrame:
-    """(a, b) with a < b: pairs across components of the classes in a node (node, side, id, n, sketch, comp, seen) that the sketches let pass; all, or those that span the components of each node."""
-
-    def compare(ids: np.ndarray, n: np.ndarray, sides: np.ndarray, comps: np.ndarray, sketch: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        two = sides.min() != sides.max()
-        left, right = (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)) if two else (np.arange(len(ids)),) * 2
-        x, y, same = similar(sketch[left], sketch[right], n[left], n[right], how.percent, own=not two)
-        x, y = left[x], right[y]
-        keep = (ids[x] != ids[y]) & (comps[x] != comps[y])
-        x, y, same = x[keep], y[keep], same[keep]
-        fresh = ~met(seen, x, y)
-        x, y, same = x[fresh], y[fresh], same[fresh]
-        if spanning:
-            code = np.unique(comps, return_inverse=True)[1]
-            keep = forest(code[x], code[y], same, len(ids))
-            x, y = x[keep], y[keep]
-        return np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The rows of each value of the keys, which come one after the other."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy() for k in keys])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            now = values[:, i].tolist()
+            if held and now != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            last = now
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def sided(sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of the two sides that are compared with each other; all rows twice if there is one side."""
+    two = bool(sides.min() != sides.max())
+    return (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1), two) if two else (np.arange(len(sides)), np.arange(len(sides)), two)
+
+
+def across(node: pa.Table, how: Paths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of a node (side, id, n, sketch, comp, seen) across components that the sketches let pass, and their equal bytes. Pairs that have met in an earlier tree are left out."""
+    ids, n, comps = (node.column(c).to_numpy() for c in ("id", "n", "comp"))
+    sketch = np.frombuffer(b"".join(node.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+    seen = node.column("seen").combine_chunks().flatten().to_numpy().reshape(len(sketch), -1)
+    left, right, two = sided(node.column("side").to_numpy())
+    x, y, same = similar(sketch[left], sketch[right], n[left], n[right], how.percent, own=not two)
+    x, y = left[x], right[y]
+    keep = (ids[x] != ids[y]) & (comps[x] != comps[y])
+    x, y, same = x[keep], y[keep], same[keep]
+    fresh = ~met(seen, x, y)
+    return x[fresh], y[fresh], same[fresh]
+
+
+def candidates(members: DataFrame, how: Paths) -> DataFrame:
+    """(a, b) with a < b: pairs across components of the classes in a node (node, side, id, n, sketch, comp, seen) that span the components of each node, of those that the sketches let pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            seen = t.column("seen").combine_chunks().flatten().to_numpy().reshape(len(sketch), -1)
-            a, b = compare(*(t.column(c).to_numpy() for c in ("id", "n", "side", "comp")), sketch, seen)
+        for node in runs(batches, "node"):
+            x, y, same = across(node, how)
+            ids, code = node.column("id").to_numpy(), np.unique(node.column("comp").to_numpy(), return_inverse=True)[1]
+            keep = forest(code[x], code[y], same, len(ids))
+            a, b = ids[x[keep]], ids[y[keep]]
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        held, key = [], None
-        for batch in batches:
-            node = batch.column("node").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(node)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
-            for i, j in zip(cuts, cuts[1:]):
-                if held and node[i] != key:
-                    yield from emit(held)
-                    held = []
-                key = node[i]
-                held.append(batch.slice(i, j - i))
-        if held:
-            yield from emit(held)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     # a node has node_limit classes or two blocks at most, and a task holds one node at a time
     return members.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long").distinct()
 
 
-def full_sets(docs: DataFrame, pairs: DataFrame, how: Paths) -> DataFrame:
-    """(id, set) of the rows of docs whose doc_id is in pairs (a, b), and of a few others; no text shuffles."""
-    spot, keep = shared.picker(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), "id")
+def parted(x: np.ndarray, y: np.ndarray, n: np.ndarray, two: bool, held: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, side, item) of the items in the pairs (x, y), so that the items of each pair meet in a part: on its two sides, or in a part with one.
+    Items that no chain of pairs joins have parts of their own; a side has held shingles (n: those of each item) and one item more at most."""
+    kin, size = np.arange(len(n)), len(n)
+    while True:
+        least = np.minimum(kin[x], kin[y])
+        new = kin.copy()
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        new = new[new]
+        if (new == kin).all():
+            break
+        kin = new
+    row, side = np.r_[x, y], np.repeat([0, int(two)], len(x))
+    items = np.unique((kin[row] * 2 + side) * size + row)  # by kin, side and item
+    of, item = items // size, items % size
+    before = np.cumsum(n[item]) - n[item]
+    first = np.r_[True, of[1:] != of[:-1]]
+    block = np.zeros((2, size), np.int64)
+    block[of % 2, item] = (before - np.maximum.accumulate(np.where(first, before, 0))) // held
+    p, q = block[0][x], block[int(two)][y]
+    part = np.unique((kin[x] * size + p) * size + q, return_inverse=True)[1]
+    rows = np.unique((np.r_[part, part] * 2 + np.r_[np.zeros(len(x), np.int64), (p != q) | two]) * size + row)
+    return rows // size // 2, rows // size % 2, rows % size
+
+
+def unsettled(members: DataFrame, how: Paths) -> DataFrame:
+    """(node, part, side, id, comp): the documents of each node with pairs across components that the sketches let pass, each once in a part of the node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node in runs(batches, "node"):
+            x, y, _ = across(node, how)
+            if not len(x):
+                continue
+            ids, first, who = np.unique(node.column("id").to_numpy(), return_index=True, return_inverse=True)
+            n = np.zeros(len(ids), np.int64)
+            np.maximum.at(n, who, node.column("n").to_numpy())
+            x, y, two = who[x], who[y], sided(node.column("side").to_numpy())[2]
+            part, side, item = parted(*((x, y) if two else (np.minimum(x, y), np.maximum(x, y))), n, two, how.held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(item), node.column("node")[0].as_py())), pa.array(part), pa.array(side), pa.array(ids[item]), pa.array(node.column("comp").to_numpy()[first[item]])], ["node", "part", "side", "id", "comp"])
+
+    return members.repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, part long, side long, id long, comp long")
+
+
+def spanning_links(sets: list[np.ndarray], ids: np.ndarray, sides: np.ndarray, comps: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows x and y of pairs across components whose sets have the similarity: as many as join all components that such pairs join."""
+    code = np.unique(comps, return_inverse=True)[1]
+    n = np.array([len(z) for z in sets])
+    every, word = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(n) - n
+    left, right, two = sided(sides)
+    own, out = np.zeros(len(every), bool), []
+    for i in left.tolist():
+        at = right if two else right[i + 1 :]
+        at = at[(ids[at] != ids[i]) & (code[at] != code[i]) & (100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i]))]
+        if not len(at):
+            continue
+        own[word[start[i] : start[i] + n[i]]] = True
+        both = np.array([np.count_nonzero(own[word[start[j] : start[j] + n[j]]]) for j in at.tolist()])
+        own[word[start[i] : start[i] + n[i]]] = False
+        for j in at[100 * both >= percent * (n[i] + n[at] - both)].tolist():
+            if code[i] != code[j]:
+                code[code == code[j]] = code[i]
+                out.append((i, j))
+    return tuple(np.array(out, np.int64).reshape(-1, 2).T)
+
+
+def settled(docs: DataFrame, open_rows: DataFrame, how: Paths) -> DataFrame:
+    """Pairs (a, b) of documents whose full sets have the similarity, for what unsettled gives: each part's pairs across components are all tried, and those given join what they join."""
+    open_rows = shared.spill(open_rows, "unsettled")
+    sets = full_sets(docs, open_rows.select("id"), how)
+    percent = how.percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches, "node", "part"):
+            ids, sides, comps = (part.column(c).to_numpy() for c in ("id", "side", "comp"))
+            x, y = spanning_links([np.frombuffer(z.as_buffer(), np.uint64) for z in part.column("set")], ids, sides, comps, percent)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"])
+
+    return open_rows.join(sets, "id").repartition("node", "part").sortWithinPartitions("node", "part").mapInArrow(run, "a long, b long").distinct()
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, how: Paths) -> DataFrame:
+    """(id, set) of the rows of docs whose doc_id is in ids (id), and of a few others; no text shuffles."""
+    spot, keep = shared.picker(ids, "id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in shared.passes(keep(batches)):
@@ -294,7 +392,7 @@ def full_sets(docs: DataFrame, pairs: DataFrame, how: Paths) -> DataFrame:
 def confirmed(docs: DataFrame, pairs: DataFrame, how: Paths) -> DataFrame:
     """The pairs (a, b) of documents whose full sets have the similarity."""
     pairs = shared.spill(pairs, "pairs")
-    sets = full_sets(docs, pairs, how)
+    sets = full_sets(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), how)
     percent = how.percent
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +456,8 @@ def near_groups(docs: DataFrame, how: Paths = Paths()) -> DataFrame:
                 told = told.withColumn("comp", F.col("id")) if label is None else shared.spill(told.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "told")
                 placed = shared.spill(nodes(told, chosen, trees, how, pairs=label is not None), "placed")
                 members = placed.join(among(chosen.select("id", "n", "sketch"), "id", placed), "id")
-                new = shared.spill(confirmed(docs, candidates(members, how, spanning), how), "links", outlast=1)
+                tried = confirmed(docs, candidates(members, how), how) if spanning else settled(docs, unsettled(members, how), how)
+                new = shared.spill(tried, "links", outlast=1)
             if links is None or not new.isEmpty():
                 links = new if links is None else links.unionByName(new)
                 label = components(links)

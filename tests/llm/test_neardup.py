@@ -71,6 +71,55 @@ def test_large_groups_branch_and_are_dealt_into_blocks(spark, how):
     assert result(df, how) == brute(rows)
 
 
+@pytest.mark.parametrize("how", [neardup.Paths(percent=80), neardup.Paths(percent=80, held=1500), neardup.Paths(percent=80, node_limit=16, block=24, held=1500)])
+def test_rows_that_just_miss_a_large_group_dont_pair_up(spark, monkeypatch, how):
+    base, rng = [f"w{k}" for k in range(174)], random.Random(4)
+    spots = list(range(5, 170, 6))  # a change at each takes five shingles of its own
+    rows = []
+    for k in range(110):  # 160 of 180 shingles in common, or more
+        own = list(base)
+        own[spots[k % 9]] = f"a{k}"
+        rows.append((len(rows), " ".join(own)))
+    far = set()
+    while len(far) < 40:
+        far.add(tuple(sorted(rng.sample(spots[9:], 3))))
+    for k, changed in enumerate(sorted(far)):  # 150 of 190 with each of the others
+        own = list(base)
+        for at in changed:
+            own[at] = f"b{k}.{at}"
+        rows.append((len(rows), " ".join(own)))
+    made, write = {}, neardup.shared.spill
+
+    def spill(df, name, *args, **kw):
+        out = write(df, name, *args, **kw)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(neardup.shared, "spill", spill)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = result(df, how)
+    assert found == brute(rows, 80) and sum(d == c for d, (_, c) in found.items()) == 41
+    assert made["pairs"] < 1000  # forests of nodes and of pairs of blocks; there are 4400 pairs with the group alone
+
+
+def test_parts_bring_each_pair_together():
+    rng = np.random.default_rng(3)
+    for held, two in ((1 << 20, False), (300, False), (300, True), (1, True)):
+        n = rng.integers(10, 200, 90)
+        kin = rng.integers(0, 6, 90)
+        x, y = np.nonzero((kin[:, None] == kin[None, :]) & (rng.random((90, 90)) < 0.3))
+        x, y = (x[(x < 45) & (y >= 45)], y[(x < 45) & (y >= 45)]) if two else (x[x < y], y[x < y])
+        part, side, item = neardup.parted(x, y, n, two, held)
+        assert len({*zip(part.tolist(), side.tolist(), item.tolist())}) == len(part)
+        parts = {}
+        for p, s, i in zip(part.tolist(), side.tolist(), item.tolist()):
+            parts.setdefault(p, ([], []))[s].append(i)
+        assert all(sum(n[one]) <= held + 200 for both in parts.values() for one in both)
+        assert all(len({*kin[a + b].tolist()}) == 1 for a, b in parts.values())
+        assert {*zip(x.tolist(), y.tolist())} <= {(min(i, j), max(i, j)) for a, b in parts.values() for i in a for j in (b or a)}
+        assert held < 1000 or len(parts) == len({*kin[x].tolist()})
+
+
 def test_nasty_rows(spark):
     df = nasty.docs(spark)
     out = neardup.near_groups(df)
