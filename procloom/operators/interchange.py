@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ UNKNOWN = [
     "dataObject", "dataStoreReference", "textAnnotation", "group",
 ]
 _SPACES = {"bpmn": "BPMN/20100524/MODEL", "bpmndi": "BPMN/20100524/DI", "dc": "DD/20100524/DC", "di": "DD/20100524/DI"}
+#: Nodes and flows whose lines one task joins; a process's are never parted.
+TASK_LINES = 25_000
 #: What a lane's shape and the pool's are wider or higher than their contents.
 LANE_X, POOL_PAD, RIGHT_PAD = 0, 10, 60
 
@@ -46,9 +49,10 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _lines(rows: DataFrame, by: list[str], order: Column, line: Column, name: str) -> DataFrame:
-    """by, name: the lines of rows joined in order. One process's lines make one text."""
-    return rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("t")))), lambda x: x["t"]), "\n").alias(name))
+def _lines(rows: DataFrame, by: list[str], order: Column, line: Column, name: str, tasks: int = 0) -> DataFrame:
+    """by, name: the lines of rows joined in order. One process's lines make one text. With tasks, rows meet in so many by g before they become text, and texts don't move."""
+    rows = rows.repartition(tasks, "g") if tasks else rows
+    return rows.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list(F.struct(order.alias("o"), line.alias("t"))))["t"], "\n").alias(name))
 
 
 def _bounds(*values: Column) -> Column:
@@ -74,11 +78,12 @@ def written(cards: DataFrame, lanes: DataFrame, nodes: DataFrame, flows: DataFra
     nodes, flows, lanes = spill(nodes, "nodes"), spill(flows, "flows"), spill(lanes, "lanes")  # several parts of a file read them
     places = spill(graph.layout(nodes, lanes), "places")
     routes = graph.routes(places, flows)
-    rows = lane_places(nodes, lanes, places)
+    rows = spill(lane_places(nodes, lanes, places), "lane_places")
+    tasks = 1 + (nodes.count() + flows.count()) // TASK_LINES  # a task holds as much text in a large table as in a small one
     tag = F.create_map(*[F.lit(x) for p in TAGS.items() for x in p])[F.col("node_type")]
     held = _lines(nodes, ["g", "lane"], F.struct("pos", "node"), _text("        <bpmn:flowNodeRef>", _esc("node"), "</bpmn:flowNodeRef>"), "refs")
     lane = _text('      <bpmn:lane id="', _esc("lane"), '" name="', _esc("name"), '" model:roleId="', _esc("role"), '">\n', F.coalesce(F.concat("refs", F.lit("\n")), F.lit("")), "      </bpmn:lane>")
-    lane_text = _lines(lanes.join(held, ["g", "lane"], "left"), ["g"], F.struct("pos", "lane"), lane, "lanes")
+    lane_text = _lines(lanes.join(held, ["g", "lane"], "left"), ["g"], F.struct("pos", "lane"), lane, "lanes", tasks)
 
     ends = lambda side, word: _lines(flows, ["g", side], F.struct("edge"), _text(f"      <bpmn:{word}>", _esc("edge"), f"</bpmn:{word}>"), word).withColumnRenamed(side, "node")
     definition = F.create_map(*[F.lit(x) for p in DEFINITIONS.items() for x in p])[F.col("node_type")]
@@ -86,24 +91,24 @@ def written(cards: DataFrame, lanes: DataFrame, nodes: DataFrame, flows: DataFra
     activity = F.when(F.col("activity").isNotNull(), _text(' model:activityId="', _esc("activity"), '"')).otherwise("")
     node = F.concat_ws("\n", _text("    <bpmn:", tag, ' id="', _esc("node"), '" name="', _esc("name"), '"', activity, ">"), F.col("incoming"), F.col("outgoing"), event, _text("    </bpmn:", tag, ">"))
     told = nodes.join(ends("dst", "incoming"), ["g", "node"], "left").join(ends("src", "outgoing"), ["g", "node"], "left")
-    node_text = _lines(told, ["g"], F.struct("pos", "node"), node, "nodes")
+    node_text = _lines(told, ["g"], F.struct("pos", "node"), node, "nodes", tasks)
 
     head = _text('    <bpmn:sequenceFlow id="', _esc("edge"), '" sourceRef="', _esc("src"), '" targetRef="', _esc("dst"), '"')
     condition = _text("      <bpmn:conditionExpression xsi:type=\"bpmn:tFormalExpression\">", _esc(render.condition_text(F.col("source_output"), F.col("operator"), F.coalesce("value", F.lit("")))), "</bpmn:conditionExpression>")
     flow = F.when(F.col("operator").isNull(), F.concat(head, F.lit(" />"))).otherwise(F.concat_ws("\n", F.concat(head, F.lit(">")), condition, F.lit("    </bpmn:sequenceFlow>")))
-    flow_text = _lines(flows, ["g"], F.struct("edge"), flow, "flows")
+    flow_text = _lines(flows, ["g"], F.struct("edge"), flow, "flows", tasks)
 
     shape = lambda key, more: _text('      <bpmndi:BPMNShape id="Shape_', _esc(key), '" bpmnElement="', _esc(key), '"', more, ">\n", _bounds(F.col("x"), F.col("y"), F.col("width"), F.col("height")), "\n      </bpmndi:BPMNShape>")
-    lane_shapes = _lines(rows, ["g"], F.struct("pos", "lane"), shape("lane", ' isHorizontal="true"'), "lane_shapes")
+    lane_shapes = _lines(rows, ["g"], F.struct("pos", "lane"), shape("lane", ' isHorizontal="true"'), "lane_shapes", tasks)
     marker = F.when(F.col("node_type").startswith("GATEWAY"), ' isMarkerVisible="true"').otherwise("")
     placed = nodes.select("g", "node", "node_type", "pos").join(places, ["g", "node"])
-    node_shapes = _lines(placed, ["g"], F.struct("pos", "node"), shape("node", marker), "node_shapes")
+    node_shapes = _lines(placed, ["g"], F.struct("pos", "node"), shape("node", marker), "node_shapes", tasks)
     points = F.array_join(F.transform("points", lambda p: _text('        <di:waypoint x="', C.coordinate(p["x"]), '" y="', C.coordinate(p["y"]), '" />')), "\n")
     edge = _text('      <bpmndi:BPMNEdge id="Edge_', _esc("edge"), '" bpmnElement="', _esc("edge"), '">\n', points, "\n      </bpmndi:BPMNEdge>")
-    edges = _lines(routes, ["g"], F.struct("edge"), edge, "edges")
-    pool = rows.groupBy("g").agg((F.min("x") - POOL_PAD).alias("px"), (F.min("y") - POOL_PAD).alias("py"), (F.max("width") + 2 * POOL_PAD).alias("pw"), (F.sum("height") + 2 * POOL_PAD).alias("ph"))
+    edges = _lines(routes, ["g"], F.struct("edge"), edge, "edges", tasks)
+    pool = rows.repartition(tasks, "g").groupBy("g").agg((F.min("x") - POOL_PAD).alias("px"), (F.min("y") - POOL_PAD).alias("py"), (F.max("width") + 2 * POOL_PAD).alias("pw"), (F.sum("height") + 2 * POOL_PAD).alias("ph"))
 
-    whole = cards
+    whole = cards.repartition(tasks, "g")
     for part in (lane_text, node_text, flow_text, lane_shapes, node_shapes, edges, pool):
         whole = whole.join(part, "g", "left")
     spaces = " ".join(f'xmlns:{k}="http://www.omg.org/spec/{v}"' for k, v in _SPACES.items())
@@ -121,52 +126,72 @@ def written(cards: DataFrame, lanes: DataFrame, nodes: DataFrame, flows: DataFra
 _ROW = "doc string, part string, pos int, id string, tag string, name string, definition string, activity string, role string, lane string, source_ref string, target_ref string, condition string, bounds array<double>, points array<struct<x: double, y: double>>"
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "array<double>": pa.list_(pa.float64()), "array<struct<x: double, y: double>>": pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))}
+_SCHEMA = pa.schema([(n, _ARROW[kind]) for n, kind in (f.split(" ", 1) for f in _ROW.replace(", y:", ",y:").split(", ")) for kind in [kind.replace(",y:", ", y:")]])
+
+
+@cache
+def _local(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1]
+
+
 def _tag(e: ET.Element) -> str:
-    return e.tag.rsplit("}", 1)[-1]
+    return _local(e.tag)
 
 
 def _value(e: ET.Element, name: str) -> str | None:
     return next((v for k, v in e.attrib.items() if k.rsplit("}", 1)[-1] == name), None)
 
 
+_number = lru_cache(1 << 16)(diagrams.decimal)  # coordinates repeat
+_TOLD = {*KNOWN, *UNKNOWN, "lane", "sequenceFlow"}
+
+
 def _rows(doc: str, root: ET.Element) -> Iterator[dict]:
     """Nodes, lanes and flows of one file, as they are."""
-    lane = {(r.text or "").strip(): e.get("id") for e in root.iter() if _tag(e) == "lane" for r in e if _tag(r) == "flowNodeRef"}
-    drawn = {e.get("bpmnElement"): e for e in root.iter() if e.get("bpmnElement") and _tag(e) in ("BPMNShape", "BPMNEdge")}
-    number = diagrams.decimal
-    for pos, e in enumerate(root.iter()):
-        tag, key = _tag(e), e.get("id")
+    tagged = [(e, _tag(e)) for e in root.iter()]
+    lane = {(r.text or "").strip(): e.get("id") for e, tag in tagged if tag == "lane" for r in e if _tag(r) == "flowNodeRef"}
+    drawn = {e.get("bpmnElement"): e for e, tag in tagged if tag in ("BPMNShape", "BPMNEdge") and e.get("bpmnElement")}
+    for pos, (e, tag) in enumerate(tagged):
+        if tag not in _TOLD:
+            continue
+        key = e.get("id")
         base = {"doc": doc, "pos": pos, "id": key, "tag": tag, "name": e.get("name")}
         at = list(drawn.get(key, ()))
         if tag in KNOWN or tag in UNKNOWN or tag == "lane":
             box = next((c for c in at if _tag(c) == "Bounds"), None)
-            bounds = [number(box.get(k)) for k in ("x", "y", "width", "height")] if box is not None else None
+            bounds = [_number(box.get(k)) for k in ("x", "y", "width", "height")] if box is not None else None
             definition = next((_tag(c).removesuffix("EventDefinition") for c in e if _tag(c).endswith("EventDefinition")), None)
             part = "LANE" if tag == "lane" else "NODE"
             yield base | {"part": part, "definition": definition, "activity": _value(e, "activityId"), "role": _value(e, "roleId"), "lane": lane.get(key), "bounds": bounds}
         elif tag == "sequenceFlow":
             text = next(("".join(c.itertext()) for c in e if _tag(c) == "conditionExpression"), None)
-            points = [{"x": number(c.get("x")), "y": number(c.get("y"))} for c in at if _tag(c) == "waypoint"]
+            points = [{"x": _number(c.get("x")), "y": _number(c.get("y"))} for c in at if _tag(c) == "waypoint"]
             yield base | {"part": "FLOW", "source_ref": e.get("sourceRef"), "target_ref": e.get("targetRef"), "condition": text, "points": points}
 
 
 def parsed(docs: DataFrame) -> DataFrame:
     """What BPMN texts (doc, text) hold, one row a node, lane or flow; part ERROR for a text that isn't parsed, with the reason as name."""
     workers.ship(docs.sparkSession)
-    names = [f.split()[0] for f in _ROW.split(", ") if f.split()[0] != "y:"]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for doc, text, bad in zip(pdf["doc"], pdf["text"], pdf["bad"]):
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for doc, text, bad in zip(*(batch.column(c) for c in ("doc", "text", "bad"))):
+                name = bad.as_py()
                 try:
-                    out += [{"doc": doc, "part": "ERROR", "name": bad}] if bad else list(_rows(doc, ET.fromstring(text)))
+                    root = None if name else ET.fromstring(text.as_py())
                 except ET.ParseError as e:
-                    out.append({"doc": doc, "part": "ERROR", "name": str(e)})
-            yield pd.DataFrame(out, columns=names).astype(object).where(lambda d: d.notna(), None)
+                    name = str(e)
+                if name:
+                    yield {"doc": doc.as_py(), "part": "ERROR", "name": name}
+                else:
+                    yield from _rows(doc.as_py(), root)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from workers.handed(told(batches), _SCHEMA)
 
     bad = F.when(F.col("text").isNull(), "no text").when(diagrams.unsafe_xml(F.col("text")), "a document type or entities are declared")
-    return docs.select("doc", "text", bad.alias("bad")).mapInPandas(parse, _ROW)
+    return docs.select("doc", "text", bad.alias("bad")).mapInArrow(parse, _ROW)
 
 
 def typed(found: DataFrame) -> DataFrame:
@@ -206,6 +231,7 @@ def verdicts(found: DataFrame) -> DataFrame:
 
 def bindings(nodes: DataFrame, activities: DataFrame) -> DataFrame:
     """doc, activity, main_task, confirmation_task: the first main task of an activity's name, and the first confirmation task that names the activity (doc, activity, name)."""
+    nodes = spill(nodes.where("node_type in ('MAIN_TASK', 'CONFIRMATION_TASK')").select("doc", "pos", "node", "node_type", "name", "activity"), "tasks")  # texts are parsed once
     first = lambda kind, key: nodes.where(F.col("node_type") == kind).groupBy("doc", key).agg(F.min_by("node", "pos").alias("task"))
     main = first("MAIN_TASK", "name").withColumnRenamed("task", "main_task")
     confirm = first("CONFIRMATION_TASK", "activity").withColumnRenamed("task", "confirmation_task")

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 
+from pyspark.sql import functions as F
+
+from procloom.functions import columns as C
 from procloom.operators import alignment, interchange
 
 NODES = [("p", "s", "START_EVENT", "Go", "l1", 1, 0, None), ("p", "t", "MAIN_TASK", 'A & <b> "c"', "l1", 2, 1, "a1"), ("p", "c", "CONFIRMATION_TASK", "Sign", "l2", 3, 2, "a1"), ("p", "g", "GATEWAY_XOR", "", "l2", 4, 3, None), ("p", "k", "INTERMEDIATE_LINK_THROW", "x'y", "l2", 5, 4, None),
@@ -63,3 +66,24 @@ def test_a_batch_is_aligned(spark):
     assert found[3]["subject_key"] == "e2" and (found[11]["subject_key"], found[11]["evidence_refs"]) == ("s1", ["4", "11"])
     assert (found[12]["src"], found[12]["dst"]) == ("s1", "a1")
     assert [tuple(r) for r in alignment.problems(df).collect()] == [("h", "NO_PROCESS_CARD")]
+
+
+def test_a_task_writes_so_many_lines_and_bindings_parse_once(spark, monkeypatch):
+    whole = text(spark)
+    monkeypatch.setattr(interchange, "TASK_LINES", 1)
+    lanes = spark.createDataFrame([("p", "l1", "One", "r1", 1), ("p", "l2", "Two & more", "r2", 2)], "g string, lane string, name string, role string, pos int")
+    nodes = spark.createDataFrame(NODES, "g string, node string, node_type string, name string, lane string, pos int, rank int, activity string")
+    flows = spark.createDataFrame(FLOWS, "g string, edge string, src string, dst string, source_output string, operator string, value string, back boolean")
+    told = interchange.written(spark.createDataFrame([("p", "P <1>"), ("q", "no parts")], "g string, name string"), lanes, nodes, flows)
+    assert told.rdd.getNumPartitions() == 1 + len(NODES) + len(FLOWS) and {r["g"]: r["xml"] for r in told.collect()} == whole
+    found = interchange.typed(interchange.parsed(told.selectExpr("g AS doc", "xml AS text")))
+    bound = interchange.bindings(found, spark.createDataFrame([("p", "a1", 'A & <b> "c"')], "doc string, activity string, name string"))
+    assert "MapInArrow" not in bound._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in bound.collect()] == [("p", "a1", "t", "c")]
+
+
+def test_whole_numbers_are_coordinates_as_others_are(spark):
+    values = [0.0, -0.0, 1.0, -7.0, 100.0, 0.5, 2.345, -0.001, 1e14, 1e15, 1e20, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    slow = "regexp_replace(regexp_replace(format_string('%.2f', v), '0+$', ''), '[.]$', '')"
+    assert all(a == b for a, b in df.select(C.coordinate(F.col("v")), F.expr(slow)).collect())
