@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from procloom.operators import alignment, graph, interchange, providers, schemas
 from procloom.plans.registry import Registry, table
 from procloom.plans.text_queries import tokens_sql
+from procloom.tables import spill
 
 R = Registry()
 
@@ -62,7 +63,7 @@ _PLACED = f"""
     UNION ALL SELECT g, 'LANE', 'L_' || event_type, NULL, event_type, NULL, 'role & ' || event_type, NULL, NULL, NULL, NULL, NULL, NULL, 0, ly, (SELECT max(x + w) FROM p WHERE p.g = l.g) + 60, lh FROM l""")
 def bpmn_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The processes of all users written as BPMN with diagrams, and read back."""
-    found = interchange.parsed(interchange.written(*models(spark, sf_dir)).select(F.col("g").alias("doc"), F.col("xml").alias("text")))
+    found = spill(interchange.parsed(interchange.written(*models(spark, sf_dir)).select(F.col("g").alias("doc"), F.col("xml").alias("text"))), "parsed", by="part")  # each part reads its own rows
     none = lambda kind="string": F.lit(None).cast(kind)
     box = lambda b: [F.get(b, k).alias(c) for k, c in enumerate(("x", "y", "width", "height"))]
     nodes = interchange.typed(found).select(
