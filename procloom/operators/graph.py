@@ -339,6 +339,8 @@ def ancestors(tree: DataFrame) -> DataFrame:
     n, length = paths.count(), 1
     while n:
         far = paths.where(F.col("distance") == length).select(F.col("ancestor").alias("mid"), F.col("node"))
+        if far.isEmpty():  # nothing is so far apart
+            break
         ahead = paths.select(F.col("node").alias("mid"), F.col("ancestor"), F.col("distance").alias("more"))
         longer = far.join(ahead, "mid").select("node", "ancestor", (F.col("more") + length).alias("distance")).where("node <> ancestor")
         both = paths.unionByName(longer).groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
@@ -353,15 +355,17 @@ def continuity(tree: DataFrame, uses: DataFrame) -> DataFrame:
     """node, type, output, reached (how many levels up the output is still told; 0: its parent doesn't) of the outputs of nodes (tree: node, type, parent_id) that lead nowhere: they are outputs
     of no parent and inputs of no sibling. uses: node, kind (INPUT or OUTPUT), name. For an output that goes on, every ancestor is looked at, from the leaf to the root: reached
     tells where it is lost, and one that the root has isn't listed."""
-    named = uses.where("name is not null").distinct()
+    named = spill(uses.where("name is not null").distinct(), "uses")
     out = named.where("kind = 'OUTPUT'").select("node", F.col("name").alias("output"))
     chain = spill(ancestors(tree), "chain")
     held = out.join(chain, "node").join(out.select(F.col("node").alias("ancestor"), F.col("output")), ["ancestor", "output"], "left_semi").select("node", "output", "distance")
     order = Window.partitionBy("node", "output").orderBy("distance")
     unbroken = held.withColumn("n", F.row_number().over(order)).where("n = distance").groupBy("node", "output").agg(F.max("distance").alias("reached"))  # as far as no level is missing
     depth = chain.groupBy("node").agg(F.max("distance").alias("depth"))
-    parents = tree.where("parent_id is not null").select("node", "type", "parent_id").distinct()
+    parents = spill(tree.where("parent_id is not null").select("node", "type", "parent_id").distinct(), "parents")
     siblings = named.where("kind = 'INPUT'").join(parents.select("node", "parent_id"), "node").select(F.col("node").alias("other"), "parent_id", F.col("name").alias("output"))
-    used = out.join(parents.select("node", "parent_id"), "node").join(siblings, ["parent_id", "output"]).where("other <> node").select("node", "output").distinct()
+    # another sibling takes it in if the least or the greatest of those that do is another; so a parent has a row for each name, however many children
+    takers = siblings.groupBy("parent_id", "output").agg(F.min("other").alias("least"), F.max("other").alias("most"))
+    used = out.join(parents.select("node", "parent_id"), "node").join(takers, ["parent_id", "output"]).where("least <> node or most <> node").select("node", "output").distinct()
     told = out.join(parents.select("node", "type"), "node").join(depth, "node").join(unbroken, ["node", "output"], "left").withColumn("reached", F.coalesce("reached", F.lit(0)))
     return told.where("reached < depth").join(used, ["node", "output"], "left_anti").select("node", "type", "output", "reached")

@@ -73,3 +73,30 @@ def test_ladder_chain_and_many_nodes(spark):
 def test_no_rows(spark):
     none = edges_df(spark, [])
     assert graph.on_cycle(none).count() == 0 and graph.ranks(none.select("g", F.col("src").alias("node")), none).count() == 0
+
+
+def most_joined(spark):
+    """Rows of the largest join of the last execution."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last().executionId()
+    nodes, told, most = store.planGraph(last).allNodes(), store.executionMetrics(last), 0
+    for node in (nodes.apply(k) for k in range(nodes.size())):
+        metrics = node.metrics()
+        for m in (metrics.apply(k) for k in range(metrics.size())):
+            value = told.get(m.accumulatorId())
+            if "Join" in node.name() and m.name() == "number of output rows" and value.isDefined():
+                most = max(most, int(value.get().replace(",", "")))
+    return most
+
+
+def test_siblings_are_not_paired(spark):
+    n = 3000
+    none = F.lit(None).cast("string")
+    child = spark.range(n).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("node"))
+    tree = child.select("node", F.lit("L5").alias("type"), F.lit("p").alias("parent_id")).unionByName(spark.range(2).select(F.when(F.col("id") == 0, "p").otherwise("q").alias("node"), F.lit("L4").alias("type"), none.alias("parent_id")))
+    tree = tree.unionByName(spark.createDataFrame([("d", "L5", "q")], tree.schema))
+    both = child.crossJoin(spark.createDataFrame([("OUTPUT",), ("INPUT",)], "kind string")).select("node", F.lit("x").alias("name"), "kind")
+    alone = spark.createDataFrame([("c1", "y", "OUTPUT"), ("c1", "y", "INPUT"), ("c2", "z", "OUTPUT"), ("c3", "z", "INPUT"), ("d", "x", "OUTPUT"), ("d", "x", "INPUT")], both.schema)
+    found = graph.continuity(tree, both.unionByName(alone)).collect()
+    assert sorted((r["node"], r["output"], r["reached"]) for r in found) == [("c1", "y", 0), ("d", "x", 0)]  # what only its maker takes in is lost
+    assert 0 < most_joined(spark) <= 2 * n
