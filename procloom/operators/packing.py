@@ -75,13 +75,23 @@ def _summaries(pdf: pd.DataFrame) -> list[Summary]:
     return [Summary(*(np.asarray(getattr(r, k), np.int64) for k in arrays), bool(r.sure), int(r.blocks), int(r.chars)) for r in pdf.itertuples()]
 
 
-def _breaks(blocks: np.ndarray, chars: np.ndarray, limits: Limits) -> tuple[np.ndarray, list[np.ndarray]]:
-    """For a batch that starts at each unit, the unit where the next starts, and (exit blocks, exit chars, batches) from there to the end."""
+def _next(blocks: np.ndarray, chars: np.ndarray, limits: Limits, first: np.ndarray | None = None) -> np.ndarray:
+    """For a batch that starts at each unit, the unit where the next starts; units where first holds begin a group."""
     n, alone = len(blocks), limits.alone(blocks, chars)
     b, c = np.r_[0, np.cumsum(blocks)], np.r_[0, np.cumsum(chars)]
     to = np.minimum(np.searchsorted(b, b[:-1] + limits.blocks, "right"), np.searchsorted(c, c[:-1] + limits.chars, "right")) - 1
     stop = np.append(np.flatnonzero(alone), n)  # a unit that stands alone also ends the batch before it
     to = np.where(alone, np.arange(n) + 1, np.minimum(to, stop[np.searchsorted(stop, np.arange(n))]))
+    if first is None:
+        return to
+    stop = np.append(np.flatnonzero(first), n)
+    return np.minimum(to, stop[np.searchsorted(stop, np.arange(n), "right")])
+
+
+def _breaks(blocks: np.ndarray, chars: np.ndarray, limits: Limits) -> tuple[np.ndarray, list[np.ndarray]]:
+    """_next, and (exit blocks, exit chars, batches) from a batch that starts at each unit to the end."""
+    n, alone = len(blocks), limits.alone(blocks, chars)
+    b, c, to = np.r_[0, np.cumsum(blocks)], np.r_[0, np.cumsum(chars)], _next(blocks, chars, limits)
     exit_b, exit_c, count = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
     ends = to == n
     exit_b[:-1], exit_c[:-1] = np.where(ends & ~alone, b[n] - b[:-1], 0), np.where(ends & ~alone, c[n] - c[:-1], 0)
@@ -133,9 +143,20 @@ def greedy(units: DataFrame, max_blocks: int = MAX_BLOCKS, max_chars: int = MAX_
     order = ["ord", "sub"] if "sub" in units.columns else ["ord"]
     orders = ", ".join(f"{c} long" for c in order)
 
+    def ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        """A segment's units in order, as the cluster sorts them, and where its groups start and the last ends."""
+        pdf = pdf.sort_values(["grp", *order], ignore_index=True, na_position="first")
+        codes, _ = pd.factorize(pdf["grp"], use_na_sentinel=False)
+        return pdf, np.r_[0, np.flatnonzero(np.diff(codes)) + 1, len(pdf)]
+
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pd.DataFrame([{"grp": pdf["grp"].iloc[0], "seg": pdf["seg"].iloc[0]} | summarise(pdf["blocks"].to_numpy(np.int64), pdf["chars"].to_numpy(np.int64), limits).row()])
+        """Of the first group and the last only: those between lie in this segment whole."""
+        pdf, at = ordered(pdf)
+        rows = []
+        for lo, hi in sorted({(at[0], at[1]), (at[-2], at[-1])}):
+            part = pdf.iloc[lo:hi]
+            rows.append({"grp": part["grp"].iloc[0], "seg": part["seg"].iloc[0]} | summarise(part["blocks"].to_numpy(np.int64), part["chars"].to_numpy(np.int64), limits).row())
+        return pd.DataFrame(rows)
 
     def up(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seg")
@@ -149,18 +170,27 @@ def greedy(units: DataFrame, max_blocks: int = MAX_BLOCKS, max_chars: int = MAX_
             state = part.after(*state, limits)
         return pd.DataFrame(rows, columns=["grp", "seg", "in_blocks", "in_chars", "in_count"])
 
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
+    def number(pdf: pd.DataFrame, come: pd.DataFrame) -> pd.DataFrame:
+        """All groups of a segment in one go; only the first may come with an open batch."""
+        pdf, at = ordered(pdf)
         b, c = pdf["blocks"].to_numpy(np.int64), pdf["chars"].to_numpy(np.int64)
-        to, _ = _breaks(b, c, limits)
-        blocks, chars, base = (int(pdf[x].iloc[0]) for x in ("in_blocks", "in_chars", "in_count"))
+        fresh = np.zeros(len(b), bool)
+        fresh[at[:-1]] = True
+        to = _next(b, c, limits, fresh).tolist()
+        grp = pdf["grp"].iloc[0]
+        own = come[come["grp"].isna()] if pd.isna(grp) else come[come["grp"] == grp]
+        blocks, chars, base = (int(own[x].iloc[0]) for x in ("in_blocks", "in_chars", "in_count"))
         start = np.zeros(len(b), np.int64)
-        bad = np.flatnonzero((blocks + np.cumsum(b) > max_blocks) | (chars + np.cumsum(c) > max_chars) | limits.alone(b, c))
-        i = 0 if not blocks else int(bad[0]) if len(bad) else len(b)
+        end = at[1]
+        bad = np.flatnonzero((blocks + np.cumsum(b[:end]) > max_blocks) | (chars + np.cumsum(c[:end]) > max_chars) | limits.alone(b[:end], c[:end]))
+        i = 0 if not blocks else int(bad[0]) if len(bad) else int(end)
         while i < len(b):
             start[i] = 1
             i = to[i]
-        return pdf[["grp", *order]].assign(batch_no=base - 1 + np.cumsum(start))
+        done = np.cumsum(start)
+        before = np.r_[0, done][at[:-1]]
+        before[0] = -base
+        return pdf[["grp", *order]].assign(batch_no=done - np.repeat(before, np.diff(at)) - 1)
 
     entries = "grp string, seg long, in_blocks long, in_chars long, in_count long"
     parent = F.floor(F.col("seg") / F.lit(fan))
@@ -168,7 +198,7 @@ def greedy(units: DataFrame, max_blocks: int = MAX_BLOCKS, max_chars: int = MAX_
         many = 1 + units.count() // segment
         cut = units.select("grp", *order, "blocks", "chars").repartitionByRange(many, "grp", *order).select("*", F.spark_partition_id().cast("long").alias("seg"))
         cut = spill(cut, "segments", outlast=1)  # segments are positions in the sorted table, however sparse ord is
-        tree = [spill(cut.groupBy("grp", "seg").applyInPandas(sums, f"grp string, seg long, {SUMMARY}"), "summaries", outlast=1)]
+        tree = [spill(cut.groupBy("seg").applyInPandas(sums, f"grp string, seg long, {SUMMARY}"), "summaries", outlast=1)]
         while many > fan:
             tree.append(spill(tree[-1].groupBy("grp", parent).applyInPandas(up, f"grp string, seg long, {SUMMARY}"), "summaries", outlast=1))
             many = -(-many // fan)
@@ -177,9 +207,7 @@ def greedy(units: DataFrame, max_blocks: int = MAX_BLOCKS, max_chars: int = MAX_
         for level in tree[-2::-1]:
             come = entry.withColumnsRenamed({"grp": "g", "seg": "s"})
             entry = level.join(come, F.col("grp").eqNullSafe(F.col("g")) & (parent == F.col("s"))).drop("g", "s").groupBy("grp", parent).applyInPandas(down, entries)
-    entry = entry.withColumnsRenamed({"grp": "g", "seg": "s"})
-    told = cut.join(entry, F.col("grp").eqNullSafe(F.col("g")) & (F.col("seg") == F.col("s"))).drop("g", "s")
-    return told.groupBy("grp", "seg").applyInPandas(number, f"grp string, {orders}, batch_no long")
+    return cut.groupBy("seg").cogroup(entry.groupBy("seg")).applyInPandas(number, f"grp string, {orders}, batch_no long")
 
 
 def batch_members(blocks: DataFrame, max_chars: int = MAX_CHARS, max_blocks: int = MAX_BLOCKS) -> DataFrame:

@@ -1,7 +1,13 @@
 from __future__ import annotations
 
+import random
+
+import pytest
+
 from procloom.operators import budget, packing
 
+from .test_text import greedy_by_hand
+
 BLOCKS = "run string, artifact string, pos long, block_id string, artifact_sha256 string, modality string, content string"
 
 
@@ -31,3 +37,14 @@ def test_order_by_a_second_key(spark):
     units = spark.createDataFrame([("g", 5, s, 1, 4) for s in range(6)] + [("g", -1, 0, 1, 4)], "grp string, ord long, sub long, blocks long, chars long")
     found = sorted((r["ord"], r["sub"], r["batch_no"]) for r in packing.greedy(units, 12, 8, segment=2, fan=2).collect())
     assert [b for _, _, b in found] == [0, 0, 1, 1, 2, 2, 3]
+
+
+@pytest.mark.parametrize("segment", [7, 40, 10_000])
+def test_many_groups_are_numbered_by_segment(spark, segment):
+    rng = random.Random(segment)
+    units = {g: [(rng.randint(1, 4), rng.randint(0, 14)) for _ in range(rng.choice([1, 2, 3, 30]))] for g in (None, "", "ä", "😀", *(f"g{k}" for k in range(60)))}
+    df = spark.createDataFrame([(g, 3 * k - 9, b, c) for g, own in units.items() for k, (b, c) in enumerate(own)], "grp string, ord long, blocks long, chars long")
+    found = packing.greedy(df, 3, 12, segment=segment, fan=2)
+    assert "FlatMapCoGroupsInPandas [seg" in found._jdf.queryExecution().executedPlan().toString()  # one call a segment, not one a group
+    rows = sorted(found.collect(), key=lambda r: r["ord"])
+    assert {g: [r["batch_no"] for r in rows if r["grp"] == g] for g in units} == {g: greedy_by_hand(own, 3, 12) for g, own in units.items()}
